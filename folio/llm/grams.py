@@ -55,7 +55,7 @@ def grams(sums: np.ndarray, n: int) -> np.ndarray:
     """Names of all n-token windows, by start."""
     m = max(0, len(sums) - n)
     got = (sums[n:] - sums[:m]) * _power(_INVERSE, m)
-    return mix(got + _U(n) * _U(0x9E3779B97F4A7C15))
+    return mix(got + _U(n * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
 def byte_tokens(data: np.ndarray) -> np.ndarray:
