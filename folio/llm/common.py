@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.grams import mix
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,8 +46,8 @@ def id_bounds(df: DataFrame, key: str, groups: int) -> np.ndarray:
     return np.unique(np.ceil(np.array(at, float)).astype(np.int64))
 
 
-def packed(df: DataFrame, key: str, bounds: np.ndarray, pack_mb: int = 24) -> DataFrame:
-    """(grp, blob): rows gathered by ranges of the key, each blob an Arrow stream under zstd.
+def packed(df: DataFrame, key: str, bounds: np.ndarray | int, pack_mb: int = 24) -> DataFrame:
+    """(grp, blob): rows gathered by ranges of the key, or by its hash if bounds is a number of groups; each blob an Arrow stream under zstd.
 
     Rows with a null key go to group 0. All columns travel inside the blob, so their names can't clash.
     """
@@ -53,7 +55,7 @@ def packed(df: DataFrame, key: str, bounds: np.ndarray, pack_mb: int = 24) -> Da
     def flush(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
         ids = np.asarray(t.column(key).cast(pa.int64()).fill_null(-(2**63)))
-        grp = np.searchsorted(bounds, ids, side="right")
+        grp = (mix(ids.astype(np.uint64) ^ np.uint64(0x5DEECE66D)) % np.uint64(bounds)).astype(np.int64) if isinstance(bounds, int) else np.searchsorted(bounds, ids, side="right")
         order = np.argsort(grp, kind="stable")
         t, grp = t.take(pa.array(order)), grp[order]
         cuts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.op01_substring_dedup import op1_substring_dedup
 from folio.llm.op05_line_dedup import op5_line_dedup
+from folio.llm.op06_simhash import op6_simhash
 from folio.llm.op08_suffix_dedup import op8_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,7 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup,
         op5_line_dedup,
+        op6_simhash,
         op8_suffix_dedup,
+        op9_packing,
     )
 }
 
