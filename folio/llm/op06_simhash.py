@@ -75,10 +75,12 @@ def fingerprints(df: DataFrame, words: int = 3, key: str = "doc_id", text: str =
 
 def links(nodes: DataFrame) -> DataFrame:
     """(u, v): the pairs u < v of distinct fingerprints at 2 or fewer differing bits; nodes: a column fp without repeats."""
-    high, low = "shiftrightunsigned(fp, 32)", "fp & 4294967295"
-    held = nodes.selectExpr(f"explode(array({high}, 4294967296 + ({low}))) AS seg", "fp AS a")
-    ball = "concat(array({0}), transform(filter(sequence(0, 31), i -> ({0} & shiftleft(1L, i)) = 0), i -> {0} + shiftleft(1L, i) + {1}))"
-    probes = nodes.selectExpr(f"explode(concat({ball.format(f'({high})', '0L')}, array_except({ball.format(f'({low})', '4294967296L')}, array({low})), array(4294967296 + ({low})))) AS seg", "fp AS b")
+    segments = ("shiftrightunsigned(fp, 32)", "(fp & 4294967295)")
+    name = "{0} + {1} * 4294967296L"  # a segment's value and number
+    flips = "transform(filter(sequence(0, 31), i -> ({0} & shiftleft(1L, i)) = 0), i -> shiftleft(1L, i))"
+    ball = [f"transform(concat(array(0L), {flips.format(x)}), flip -> {name.format(x, k)} + flip)" for k, x in enumerate(segments)]
+    held = nodes.selectExpr(f"explode(array({', '.join(name.format(x, k) for k, x in enumerate(segments))})) AS seg", "fp AS a")
+    probes = nodes.selectExpr(f"explode(concat({', '.join(ball)})) AS seg", "fp AS b")
     met = held.join(probes, "seg").where("a <> b AND bit_count(a ^ b) <= 2")
     return met.selectExpr("least(a, b) AS u", "greatest(a, b) AS v").distinct()
 
