@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_simhash,
         op8_suffix_dedup,
         op9_packing,
+        op10_quality,
     )
 }
 
