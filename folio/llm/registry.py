@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.op01_substring_dedup import op1_substring_dedup
+from folio.llm.op03_pii import op3_pii
 from folio.llm.op04_media import op4_media
 from folio.llm.op05_line_dedup import op5_line_dedup
 from folio.llm.op06_simhash import op6_simhash
 from folio.llm.op08_suffix_dedup import op8_suffix_dedup
+from folio.llm.op09_packing import op9_packing
+from folio.llm.op10_quality import op10_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op3_pii,
         op4_media,
         op5_line_dedup,
         op6_simhash,
