@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.op01_substring_dedup import op1_substring_dedup
+from folio.llm.op02_ann import op2_ann
 from folio.llm.op03_pii import op3_pii
 from folio.llm.op04_media import op4_media
 from folio.llm.op05_line_dedup import op5_line_dedup
 from folio.llm.op06_simhash import op6_simhash
+from folio.llm.op07_mixing import SQL as _MIXING
+from folio.llm.op07_mixing import op7_mixing
 from folio.llm.op08_suffix_dedup import op8_suffix_dedup
 from folio.llm.op09_packing import op9_packing
 from folio.llm.op10_quality import op10_quality
@@ -19,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_ann,
         op3_pii,
         op4_media,
         op5_line_dedup,
         op6_simhash,
+        op7_mixing,
         op8_suffix_dedup,
         op9_packing,
         op10_quality,
@@ -30,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": _MIXING,
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
