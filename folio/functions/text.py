@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folio.functions.scripts import CJK, SPACE
 
@@ -19,7 +20,7 @@ HYPHENS = "-‐­"
 PAGE_NUMBER = r"(?iU)^[\s\-–—・·|]*(?:page|p\.|頁|ページ|第)?[\s\-–—・]*[0-9〇一二三四五六七八九十百千]+[\s\-–—・|]*(?:頁|ページ|ページ目|/\s*[0-9]+)?[\s\-–—・|]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normalisation, which Spark lacks; for texts that aren't ASCII."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
