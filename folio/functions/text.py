@@ -100,7 +100,7 @@ def safe_filename(name: Column) -> Column:
 def human_size(n: Column) -> Column:
     k = F.lit(1024.0)
     d = n.cast("double")
-    one = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(f" {unit}"))
+    one = lambda x, unit: F.concat(F.format_string("%.1f", F.bround(x, 1)), F.lit(f" {unit}"))
     return (
         F.when(d < k, F.concat(n.cast("long").cast("string"), F.lit(" B")))
         .when(d < k * k, one(d / k, "KB"))

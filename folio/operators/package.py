@@ -16,7 +16,7 @@ def _all(xml: Column, path: str) -> Column:
 
 
 def _first(values: Column) -> Column:
-    return F.get(F.filter(F.transform(values, F.trim), lambda x: x != ""), 0)
+    return F.get(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""), 0)
 
 
 def _node(name: str) -> str:
@@ -153,7 +153,7 @@ def package_entries(books: DataFrame, chapters: DataFrame, images: DataFrame) ->
     text = lambda c: F.encode(c, "UTF-8")
     fixed = b.select("doc_id", F.explode(F.array(
         F.struct(F.lit(0).alias("ord"), F.lit("mimetype").alias("name"), text(F.lit(MIMETYPE)).alias("body"), F.lit(False).alias("compress")),
-        F.struct(F.lit(1), F.lit("META-INF/container.xml"), text(F.lit(CONTAINER)), F.lit(True)),
+        F.struct(F.lit(1).alias("ord"), F.lit("META-INF/container.xml").alias("name"), text(F.lit(CONTAINER)).alias("body"), F.lit(True).alias("compress")),
     )).alias("e")).select("doc_id", "e.*")
     css = books.select("doc_id", F.lit(2).alias("ord"), F.lit("OEBPS/css/book.css").alias("name"), text(stylesheet(F.col("vertical"), F.col("lang"), F.col("all_indent"))).alias("body"), F.lit(True).alias("compress"))
     pictures = images.select("doc_id", (F.col("k") + 10).alias("ord"), F.concat(F.lit("OEBPS/images/"), "name").alias("name"), F.col("bytes").alias("body"), F.lit(False).alias("compress"))
