@@ -10,11 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, long: str = ""):
+    """Registers a query and its SQL; long: columns that the SQL's literals leave too narrow."""
+
     def keep(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            wide = ", ".join(f"{c}::BIGINT AS {c}" for c in long.split())
+            SQL[f.__name__] = f"SELECT * REPLACE ({wide}) FROM ({sql})" if long else sql
         return f
 
     return keep
@@ -48,7 +51,10 @@ class Rows:
 
     @property
     def sql(self) -> str:
-        return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows) + ") AS t(" + ", ".join(self.names) + ")"
+        kinds = {"long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<int>": "INTEGER[]", "array<double>": "DOUBLE[]"}
+        rows = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
+        cols = ", ".join(f"{c.split()[0]}::{kinds[c.split()[1]]} AS {c.split()[0]}" for c in self.schema.split(", "))
+        return f"(SELECT {cols} FROM (VALUES {rows}) AS v({', '.join(self.names)})) AS t"
 
     def select(self) -> str:
         return f"SELECT * FROM {self.sql}"

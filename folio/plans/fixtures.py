@@ -90,7 +90,7 @@ def heading_like(spark, sf_dir):
 _STACK = Rows("doc_id long, block int, line int, text string, x0 double, y0 double, x1 double, y1 double", *[(1, 0, i, c, 50.0, 10.0 * i, 60.0, 10.0 * i + 10) for i, c in enumerate("吾輩は猫")], *[(1, 1, i, c, 50.0, 10.0 * i, 60.0, 10.0 * i + 10) for i, c in enumerate("abcd")], *[(1, 2, i, c, 50.0, 10.0 * i, 60.0, 10.0 * i + 10) for i, c in enumerate("吾輩")], *[(1, 3, i, "吾輩は猫である", 50.0, 10.0 * i, 120.0, 10.0 * i + 10) for i in range(4)])
 
 
-@query("SELECT * FROM (VALUES (1, 0, true), (1, 1, false), (1, 2, false), (1, 3, false)) t(doc_id, block, stacked)")
+@query("SELECT * FROM (VALUES (1, 0, true), (1, 1, false), (1, 2, false), (1, 3, false)) t(doc_id, block, stacked)", long="doc_id")
 def stacked_blocks(spark, sf_dir):
     return L.is_stacked(_STACK.df(spark))
 
@@ -112,7 +112,7 @@ def link_hits(spark, sf_dir):
 _VRUNS = Rows("doc_id long, page int, run int, vertical boolean, size double, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, True, 10.0, 320.0, 0.0, 330.0, 100.0), (1, 1, 1, True, 10.0, 336.0, 0.0, 346.0, 100.0), (1, 1, 2, False, 10.0, 311.0, 0.0, 315.0, 100.0))
 
 
-@query("SELECT 1 AS doc_id, 1 AS page, 2 AS k, 'c' AS href, 0 AS run")
+@query("SELECT 1 AS doc_id, 1 AS page, 2 AS k, 'c' AS href, 0 AS run", long="doc_id")
 def link_columns(spark, sf_dir):
     links = _LINKS.df(spark)
     return SP.link_columns(_VRUNS.df(spark), links, SP.link_hits(_GLYPHS.df(spark), links))
@@ -129,7 +129,7 @@ def table_strip(spark, sf_dir):
 _RUBY = Rows("doc_id long, page int, run int, text string, size double, vertical boolean, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, "吾輩は", 10.0, False, 50.0, 100.0, 80.0, 110.0), (1, 1, 1, "わがはい", 5.0, False, 50.0, 94.0, 70.0, 99.0), (1, 1, 2, "note 1", 5.0, False, 50.0, 94.0, 70.0, 99.0), (2, 1, 0, "猫である", 12.0, True, 100.0, 50.0, 112.0, 98.0), (2, 1, 1, "ねこ", 6.0, True, 112.5, 50.0, 118.5, 62.0), (3, 1, 0, "國", 10.0, False, 0.0, 100.0, 10.0, 110.0), (3, 1, 1, "ㄍㄨㄛ", 5.0, False, 200.0, 94.0, 210.0, 99.0))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 1, 0, 0, 1), (2, 1, 1, 0, 0, 0)) t(doc_id, page, ruby_run, base_run, lo, hi)")
+@query("SELECT * FROM (VALUES (1, 1, 1, 0, 0, 1), (2, 1, 1, 0, 0, 0)) t(doc_id, page, ruby_run, base_run, lo, hi)", long="doc_id")
 def ruby_attach(spark, sf_dir):
     return SP.attach_ruby(_RUBY.df(spark), 10.0)
 
@@ -137,7 +137,7 @@ def ruby_attach(spark, sf_dir):
 _RUNS = Rows("doc_id long, page int, block int, run int, vertical boolean, size double, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, 0, False, 10.0, 50.0, 100.0, 200.0, 110.0), (1, 1, 0, 1, False, 10.0, 50.0, 114.0, 200.0, 124.0), (1, 1, 0, 2, False, 10.0, 300.0, 100.0, 400.0, 110.0), (1, 1, 0, 3, False, 10.0, 50.0, 200.0, 200.0, 210.0), (1, 1, 0, 4, False, 10.0, 300.0, 130.0, 400.0, 140.0), (1, 1, 0, 5, True, 10.0, 50.0, 100.0, 60.0, 300.0))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 0, 0, 0), (1, 1, 0, 1, 0), (1, 1, 0, 2, 2), (1, 1, 0, 3, 3), (1, 1, 0, 4, 2), (1, 1, 0, 5, 5)) t(doc_id, page, block, run, cluster)")
+@query("SELECT * FROM (VALUES (1, 1, 0, 0, 0), (1, 1, 0, 1, 0), (1, 1, 0, 2, 2), (1, 1, 0, 3, 3), (1, 1, 0, 4, 2), (1, 1, 0, 5, 5)) t(doc_id, page, block, run, cluster)", long="doc_id")
 def run_clusters(spark, sf_dir):
     return SP.clusters(_RUNS.df(spark))
 
@@ -145,7 +145,7 @@ def run_clusters(spark, sf_dir):
 _BASE = Rows("doc_id long, page int, run int, text string, size double, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, "one", 10.0, 50.0, 100.0, 65.0, 110.0), (1, 1, 1, "two", 10.0, 70.0, 101.0, 85.0, 111.0), (1, 1, 2, "far", 10.0, 200.0, 100.0, 215.0, 110.0), (1, 1, 3, "next", 10.0, 50.0, 114.0, 70.0, 124.0))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 0, 'one two', 50.0, 100.0, 85.0, 111.0), (1, 1, 1, 'far', 200.0, 100.0, 215.0, 110.0), (1, 1, 2, 'next', 50.0, 114.0, 70.0, 124.0)) t(doc_id, page, part, text, x0, y0, x1, y1)".replace(".0,", ".0::DOUBLE,").replace(".0)", ".0::DOUBLE)"))
+@query("SELECT * FROM (VALUES (1, 1, 0, 'one two', 50.0, 100.0, 85.0, 111.0), (1, 1, 1, 'far', 200.0, 100.0, 215.0, 110.0), (1, 1, 2, 'next', 50.0, 114.0, 70.0, 124.0)) t(doc_id, page, part, text, x0, y0, x1, y1)".replace(".0,", ".0::DOUBLE,").replace(".0)", ".0::DOUBLE)"), long="doc_id")
 def baseline_merge(spark, sf_dir):
     return SP.merge_baselines(_BASE.df(spark))
 
@@ -154,7 +154,7 @@ _PLACED = Rows("doc_id long, page int, p int, x0 double, y0 double, x1 double, y
 _XREFS = Rows("doc_id long, page int, k int, xref int, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, 7, 11.0, 9.0, 51.0, 50.5), (1, 1, 1, 8, 10.0, 10.0, 50.0, 50.0), (1, 1, 2, 9, 100.0, 10.0, 153.0, 50.0))
 
 
-@query("SELECT 1 AS doc_id, 1 AS page, 0 AS p, 7 AS xref")
+@query("SELECT 1 AS doc_id, 1 AS page, 0 AS p, 7 AS xref", long="doc_id")
 def image_xref(spark, sf_dir):
     return SP.image_references(_PLACED.df(spark), _XREFS.df(spark))
 
@@ -163,7 +163,7 @@ _MARKS = Rows("doc_id long, page int, idx int, x double, y double, tolerance dou
 _UNITS = Rows("doc_id long, page int, ord int, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, 50.0, 50.0, 200.0, 90.0), (1, 1, 1, 50.0, 100.0, 200.0, 120.0), (1, 1, 2, 50.0, 160.0, 200.0, 190.0))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 3, -1)) t(doc_id, idx, ord)")
+@query("SELECT * FROM (VALUES (1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 3, -1)) t(doc_id, idx, ord)", long="doc_id")
 def bookmark_units(spark, sf_dir):
     return SP.bookmark_units(_MARKS.df(spark), _UNITS.df(spark)).fillna(-1, ["ord"])
 
@@ -181,7 +181,7 @@ _TABLES = Rows("doc_id long, page int, x0 double, y0 double, x1 double, y1 doubl
 _CENTRES = Rows("doc_id long, page int, cx double, cy double", *[(1, 1, 10.0 + i, 250.0) for i in range(13)], (1, 1, 50.0, 50.0))
 
 
-@query("SELECT 1 AS doc_id, 1 AS page, 0 AS k")
+@query("SELECT 1 AS doc_id, 1 AS page, 0 AS k", long="doc_id")
 def drawing_admission(spark, sf_dir):
     return L.admitted_drawings(_DRAWN.df(spark), _TABLES.df(spark), _CENTRES.df(spark)).select("doc_id", "page", "k")
 
@@ -189,7 +189,7 @@ def drawing_admission(spark, sf_dir):
 _CELLS = Rows("doc_id long, page int, k int, r int, c int, text string", *[(1, 1, 0, r, c, "x") for r in range(3) for c in range(2)], *[(1, 1, 1, 0, c, "x") for c in range(3)], *[(1, 1, 2, r, c, " ") for r in range(2) for c in range(2)], (1, 1, 3, 0, 0, "a"), (1, 1, 3, 0, 1, ""), (1, 1, 3, 1, 0, "b"), (1, 1, 3, 1, 1, "c"))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 0, 3, 2, true), (1, 1, 3, 2, 2, false)) t(doc_id, page, k, n_rows, n_cols, header)")
+@query("SELECT * FROM (VALUES (1, 1, 0, 3, 2, true), (1, 1, 3, 2, 2, false)) t(doc_id, page, k, n_rows, n_cols, header)", long="doc_id")
 def table_admission(spark, sf_dir):
     return L.admitted_tables(_CELLS.df(spark))
 
@@ -213,7 +213,7 @@ def reading_order(spark, sf_dir):
 _LINES = Rows("doc_id long, unit int, line int, text string, indented boolean", (1, 0, 0, "First line", True), (1, 0, 1, "goes on.", False), (1, 0, 2, "Second", True), (1, 0, 3, "Third", True), (2, 0, 0, "「猫」", False), (2, 0, 1, "「犬」", False), (2, 0, 2, "続き", False))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 0, 0), (1, 0, 1, 0), (1, 0, 2, 1), (1, 0, 3, 1), (2, 0, 0, 0), (2, 0, 1, 1), (2, 0, 2, 1)) t(doc_id, unit, line, para)")
+@query("SELECT * FROM (VALUES (1, 0, 0, 0), (1, 0, 1, 0), (1, 0, 2, 1), (1, 0, 3, 1), (2, 0, 0, 0), (2, 0, 1, 1), (2, 0, 2, 1)) t(doc_id, unit, line, para)", long="doc_id")
 def paragraph_breaks(spark, sf_dir):
     return ST.paragraph_breaks(_LINES.df(spark)).select("doc_id", "unit", "line", F.col("para").cast("int").alias("para"))
 
@@ -237,7 +237,7 @@ def paragraphs(spark, sf_dir):
     return ST.build_paragraphs(_FLOW.df(spark))
 
 
-@query("SELECT 1 AS doc_id, 2 AS indent, 1 AS noindent, true AS all_indent, 2 AS n_chapters, 1 AS n_images, 1 AS depth")
+@query("SELECT 1 AS doc_id, 2 AS indent, 1 AS noindent, true AS all_indent, 2 AS n_chapters, 1 AS n_images, 1 AS depth", long="doc_id indent noindent n_chapters n_images")
 def result_counts(spark, sf_dir):
     p = ST.build_paragraphs(_FLOW.df(spark))
     return ST.indent_vote(p).join(ST.result_counts(p), "doc_id")
@@ -297,7 +297,7 @@ _OWN = Rows("doc_id long, idx long, href string", (1, 1, "c2.xhtml#toc1"))
 _STARTS = Rows("doc_id long, page int, href string", (1, 1, "c1.xhtml"), (1, 3, "c2.xhtml"), (1, 6, "c3.xhtml"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'c1.xhtml'), (1, 1, 'c2.xhtml#toc1'), (1, 2, 'c3.xhtml'), (1, 3, 'c1.xhtml')) t(doc_id, idx, href)")
+@query("SELECT * FROM (VALUES (1, 0, 'c1.xhtml'), (1, 1, 'c2.xhtml#toc1'), (1, 2, 'c3.xhtml'), (1, 3, 'c1.xhtml')) t(doc_id, idx, href)", long="doc_id idx")
 def nav_targets(spark, sf_dir):
     return ST.navigation_targets(_TOC.df(spark), _OWN.df(spark), _STARTS.df(spark))
 
@@ -313,24 +313,24 @@ _PACKAGES = Rows(
 )
 
 
-@query("SELECT * FROM (VALUES (1, 'OEBPS/x.opf', 'One', 'en', true, 'ltr'), (2, '', 'Two', 'ja', false, 'rtl'), (3, '', 'stem', '', false, 'rtl')) t(doc_id, opf, title, language, fixed, direction)")
+@query("SELECT * FROM (VALUES (1, 'OEBPS/x.opf', 'One', 'en', true, 'ltr'), (2, '', 'Two', 'ja', false, 'rtl'), (3, '', 'stem', '', false, 'rtl')) t(doc_id, opf, title, language, fixed, direction)", long="doc_id")
 def opf_metadata(spark, sf_dir):
     x = F.col("opf_xml")
     blank = lambda c: F.coalesce(c, F.lit(""))
     return _PACKAGES.df(spark).select("doc_id", blank(P.opf_path(F.col("container_xml"))).alias("opf"), P.title(x, F.lit("stem")).alias("title"), blank(P.language(x)).alias("language"), P.is_fixed_layout(x).alias("fixed"), blank(P.page_direction(x)).alias("direction"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'a'), (1, 1, 'b'), (2, 0, 'z')) t(doc_id, pos, idref)")
+@query("SELECT * FROM (VALUES (1, 0, 'a'), (1, 1, 'b'), (2, 0, 'z')) t(doc_id, pos, idref)", long="doc_id")
 def opf_spine(spark, sf_dir):
     return P.spine(_PACKAGES.df(spark))
 
 
-@query("SELECT * FROM (VALUES (1, 'i.png'), (2, 'c.jpg'), (3, 'MyCover.JPG')) t(doc_id, cover)")
+@query("SELECT * FROM (VALUES (1, 'i.png'), (2, 'c.jpg'), (3, 'MyCover.JPG')) t(doc_id, cover)", long="doc_id")
 def opf_cover(spark, sf_dir):
     return _PACKAGES.df(spark).select("doc_id", P.cover_href(F.col("opf_xml")).alias("cover"))
 
 
-@query("SELECT * FROM (VALUES (1, false), (2, false), (3, true)) t(doc_id, drm)")
+@query("SELECT * FROM (VALUES (1, false), (2, false), (3, true)) t(doc_id, drm)", long="doc_id")
 def drm_check(spark, sf_dir):
     return _PACKAGES.df(spark).select("doc_id", P.is_protected(F.col("encryption_xml")).alias("drm"))
 
@@ -391,7 +391,7 @@ def stylesheets(spark, sf_dir):
 _TRIES = Rows("doc_id long, chunk int, attempt int, ok boolean, message string", (1, 0, 1, False, "timeout"), (1, 0, 2, True, ""), (1, 1, 1, False, "Protected by DRM"), (1, 1, 2, True, ""), (2, 0, 1, False, "timeout"), (2, 0, 2, False, "timeout"), (2, 0, 3, False, "crash"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, true, 2, ''), (1, 1, false, 1, 'Protected by DRM'), (2, 0, false, 3, 'crash')) t(doc_id, chunk, ok, attempts, message)")
+@query("SELECT * FROM (VALUES (1, 0, true, 2, ''), (1, 1, false, 1, 'Protected by DRM'), (2, 0, false, 3, 'crash')) t(doc_id, chunk, ok, attempts, message)", long="doc_id")
 def retry_outcomes(spark, sf_dir):
     return C.retry_outcomes(_TRIES.df(spark))
 
@@ -409,7 +409,7 @@ _SIDE = Rows("base string, json string", ("a", '{"title": "Alpha", "cover": "a.p
 _COVER_FILES = Rows("name string", ("a.png",))
 
 
-@query("SELECT * FROM (VALUES ('b.epub', 'b', 'epub', '100 B', 40, '', ''), ('a.pdf', 'Alpha', 'pdf', '2.0 KB', 30, 'a.png', 'n'), ('c.x.pdf', 'c.x', 'pdf', '3.0 MB', 30, '', '')) t(name, title, format, size, mtime, cover, note)")
+@query("SELECT * FROM (VALUES ('b.epub', 'b', 'epub', '100 B', 40, '', ''), ('a.pdf', 'Alpha', 'pdf', '2.0 KB', 30, 'a.png', 'n'), ('c.x.pdf', 'c.x', 'pdf', '3.0 MB', 30, '', '')) t(name, title, format, size, mtime, cover, note)", long="mtime")
 def list_books(spark, sf_dir):
     return C.list_books(_FILES.df(spark), _SIDE.df(spark), _COVER_FILES.df(spark), 3).fillna("", ["cover", "note"])
 
@@ -417,7 +417,7 @@ def list_books(spark, sf_dir):
 _ASK = Rows("slot int, job_id long, start double, end double", (0, 1, 0.0, 10.0), (0, 2, 5.0, 30.0), (0, 3, 10.0, 12.0), (0, 4, 11.0, 13.0), (0, 5, 12.0, 13.0))
 
 
-@query("SELECT * FROM (VALUES (0, 1, true), (0, 2, false), (0, 3, true), (0, 4, false), (0, 5, true)) t(slot, job_id, admitted)")
+@query("SELECT * FROM (VALUES (0, 1, true), (0, 2, false), (0, 3, true), (0, 4, false), (0, 5, true)) t(slot, job_id, admitted)", long="job_id")
 def job_admission(spark, sf_dir):
     return C.admitted_jobs(_ASK.df(spark))
 
@@ -426,7 +426,7 @@ _ENTRIES = Rows("doc_id long, ord int, name string, id string", (1, 0, "a.xhtml"
 _SPINE = Rows("doc_id long, pos int, idref string", (1, 0, "a"), (1, 1, "b"), (1, 2, "c"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'mimetype'), (1, 1, 'a.xhtml'), (1, 3, 'b.xhtml'), (1, 4, 'style.css')) t(doc_id, ord, name)")
+@query("SELECT * FROM (VALUES (1, 0, 'mimetype'), (1, 1, 'a.xhtml'), (1, 3, 'b.xhtml'), (1, 4, 'style.css')) t(doc_id, ord, name)", long="doc_id")
 def chunk_entries(spark, sf_dir):
     return P.chunk_entries(_ENTRIES.df(spark), _SPINE.df(spark), 0, 2).select("doc_id", "ord", "name")
 
@@ -434,7 +434,7 @@ def chunk_entries(spark, sf_dir):
 _MERGE = Rows("doc_id long, chunk int, chunk_page int", (1, 1, 0), (1, 0, 0), (1, 0, 1), (2, 0, 0))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 0, 0), (1, 0, 1, 1), (1, 1, 0, 2), (2, 0, 0, 0)) t(doc_id, chunk, chunk_page, page)")
+@query("SELECT * FROM (VALUES (1, 0, 0, 0), (1, 0, 1, 1), (1, 1, 0, 2), (2, 0, 0, 0)) t(doc_id, chunk, chunk_page, page)", long="doc_id")
 def merged_pages(spark, sf_dir):
     from folio.sources.files import merged
 
@@ -482,12 +482,12 @@ def book_entries(spark):
     return P.package_entries(_BOOK.df(spark), _CHAPTERS.df(spark), images)
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'mimetype', false), (1, 1, 'META-INF/container.xml', true), (1, 2, 'OEBPS/css/book.css', true), (1, 10, 'OEBPS/images/i.png', false), (1, 1000000, 'OEBPS/text/chapter0000.xhtml', true), (1, 1000001, 'OEBPS/text/chapter0001.xhtml', true), (1, 9000000, 'OEBPS/nav.xhtml', true), (1, 9000001, 'OEBPS/content.opf', true)) t(doc_id, ord, name, compress)")
+@query("SELECT * FROM (VALUES (1, 0, 'mimetype', false), (1, 1, 'META-INF/container.xml', true), (1, 2, 'OEBPS/css/book.css', true), (1, 10, 'OEBPS/images/i.png', false), (1, 1000000, 'OEBPS/text/chapter0000.xhtml', true), (1, 1000001, 'OEBPS/text/chapter0001.xhtml', true), (1, 9000000, 'OEBPS/nav.xhtml', true), (1, 9000001, 'OEBPS/content.opf', true)) t(doc_id, ord, name, compress)", long="doc_id")
 def package_entries(spark, sf_dir):
     return book_entries(spark).select("doc_id", "ord", "name", "compress")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'mimetype'), (1, 7, 'OEBPS/content.opf')) t(doc_id, ord, entry)")
+@query("SELECT * FROM (VALUES (1, 0, 'mimetype'), (1, 7, 'OEBPS/content.opf')) t(doc_id, ord, entry)", long="doc_id")
 def written_archive(spark, sf_dir):
     """A package written as an archive and read again: its first and last entries."""
     from folio.sources.files import archive_entries, write_archives
