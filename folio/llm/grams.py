@@ -15,8 +15,8 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every input bit over the output."""
-    x = x ^ (x >> _U(33))
+    """A bijection of 64-bit integers that spreads every input bit over the output; works in x itself."""
+    x ^= x >> _U(33)
     x *= _U(0xFF51AFD7ED558CCD)
     x ^= x >> _U(33)
     x *= _U(0xC4CEB9FE1A85EC53)
@@ -30,7 +30,7 @@ _BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 def _power(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
-        got = np.full(max(n, 1 << 16), base, dtype=_U)
+        got = np.full(1 << max(16, (n - 1).bit_length()), base, dtype=_U)
         got[0] = 1
         np.cumprod(got, out=got)
         if len(got) <= 1 << 23:  # a worker keeps 64 MB of powers at most
@@ -41,21 +41,27 @@ def _power(base: int, n: int) -> np.ndarray:
 def prefix(tokens: np.ndarray) -> np.ndarray:
     """Prefix sums of the tokens as a polynomial modulo 2**64; one entry more than tokens."""
     out = np.zeros(len(tokens) + 1, _U)
-    np.cumsum(tokens * _power(_BASE, len(tokens)), out=out[1:])
+    np.multiply(tokens, _power(_BASE, len(tokens)), out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
 def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit names of the token sequences [start, end)."""
-    got = (sums[end] - sums[start]) * _power(_INVERSE, len(sums))[start]
-    return mix(got + (end - start).astype(_U) * _U(0x9E3779B97F4A7C15))
+    got = sums[end]
+    got -= sums[start]
+    got *= _power(_INVERSE, len(sums))[start]
+    got += (end - start).astype(_U) * _U(0x9E3779B97F4A7C15)
+    return mix(got)
 
 
 def grams(sums: np.ndarray, n: int) -> np.ndarray:
     """Names of all n-token windows, by start."""
     m = max(0, len(sums) - n)
-    got = (sums[n:] - sums[:m]) * _power(_INVERSE, m)
-    return mix(got + _U(n * 0x9E3779B97F4A7C15 % (1 << 64)))
+    got = sums[n:] - sums[:m]
+    got *= _power(_INVERSE, m)
+    got += _U(n * 0x9E3779B97F4A7C15 % (1 << 64))
+    return mix(got)
 
 
 def byte_tokens(data: np.ndarray) -> np.ndarray:
@@ -79,9 +85,9 @@ def cut(data: np.ndarray, ends: np.ndarray, separators: np.ndarray) -> tuple[np.
 def window_minima(names: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` consecutive names."""
     got, have = names, 1
-    while have < width:
+    while have < width and len(got):
         step = min(have, width - have)
-        got = np.minimum(got[: len(got) - step], got[step:])
+        got = np.minimum(got[: max(0, len(got) - step)], got[step:])
         have += step
     return got
 

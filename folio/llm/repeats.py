@@ -30,7 +30,7 @@ from folio.llm import grams as G
 from folio.llm.common import id_bounds, packed, plan_bytes, power_of_two, text_bytes, unpacked
 
 _U = np.uint64
-GROUP_BYTES = 2 << 20  # of input as stored; some 4 MB of text
+GROUP_BYTES = 1 << 20  # of input as stored; some 2 MB of text
 BUCKET_BYTES = 8 << 20
 _BLOBS = "bucket int, grp int, kind int, a binary, b binary, c binary"
 _REPLIES = "grp int, bucket int, a binary, b binary, c binary"
@@ -76,49 +76,51 @@ class Group:
         np.add.at(keep, self.at[use + 1] - n + 1, -1)
         return np.cumsum(keep[:-1]) > 0
 
-    def anchors(self, skip: np.ndarray):
-        """The anchor of each gram or window start, where the skipped documents have none."""
+    def _blocks(self, skip: np.ndarray):
+        """Names of the rolling grams, their starts, and which of those start a non-overlapping block."""
+        p = np.flatnonzero(self._starts(self.spec.gram, skip))
+        doc_start = np.repeat(self.at[:-1], np.diff(self.at))[p]
+        return G.grams(self.sums, self.spec.gram)[p], p, (p - doc_start) % self.spec.gram == 0
+
+    def _minima(self, skip: np.ndarray):
+        """Runs of window starts with one least name: names, where the runs start, and the starts that count."""
         s = self.spec
-        if s.anchors == "blocks":
-            names, ok = G.grams(self.sums, s.gram), self._starts(s.gram, skip)
-            p = np.flatnonzero(ok)
-            doc_start = np.repeat(self.at[:-1], np.diff(self.at))[p]
-            return names, p, names[p[(p - doc_start) % s.gram == 0]]
-        names = G.window_minima(G.grams(self.sums, s.gram), s.window - s.gram + 1)
-        return names, np.flatnonzero(self._starts(s.window, skip)), None
+        names, ok = G.window_minima(G.grams(self.sums, s.gram), s.window - s.gram + 1), self._starts(s.window, skip)
+        at = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, np.int64)
+        return names[at], at, ok
 
     def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What the group sends: blocks, probes and whole documents."""
-        names, p, blocks = self.anchors(self.copies)
-        if blocks is None:
-            v = names[p]
-            v = v[np.r_[True, v[1:] != v[:-1]]] if len(v) else v
-            return np.zeros(0, _U), np.unique(v), self.whole_names
-        return np.unique(blocks), np.unique(names[p]), self.whole_names
+        if self.spec.anchors == "blocks":
+            names, _, block = self._blocks(self.copies)
+            return np.unique(names[block]), np.unique(names), self.whole_names
+        names, at, ok = self._minima(self.copies)
+        used = np.logical_or.reduceat(ok, at) if len(at) else np.zeros(0, bool)
+        return np.zeros(0, _U), np.unique(names[used]), self.whole_names
+
+    def _here(self, runs: np.ndarray, at: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        """Least names that several positions of the group have."""
+        # a position is an anchor if its name is the least of a window through it: the largest of those windows' least
+        width = self.spec.window - self.spec.gram + 1
+        least = np.full(len(ok) + 2 * (width - 1), ~_U(0))
+        least[width - 1 : width - 1 + len(ok)] = ~np.where(ok, np.repeat(runs, np.diff(np.r_[at, len(ok)])), _U(0))
+        least = G.window_minima(least, width)
+        np.invert(least, out=least)
+        every = G.grams(self.sums, self.spec.gram)
+        return np.sort(every[every == least[: len(every)]])
 
     def candidates(self, blocks: np.ndarray, probes: np.ndarray, wholes: np.ndarray):
         """(names, starts, shared, skip): windows that may repeat, which of them other groups may hold,
         and which long documents are copies of an earlier group's."""
         s = self.spec
         skip = self.copies | G.member(self.whole, wholes)
-        names, p, _ = self.anchors(skip)
-        v = names[p]
-        out = G.member(v, np.union1d(blocks, probes))
-        if s.anchors == "blocks":
-            u = np.sort(v)
-            twice = np.unique(u[1:][u[1:] == u[:-1]])
-        else:
-            # a position is an anchor if a window through it has its name as the least: then that is the largest of their least
-            width = s.window - s.gram + 1
-            least = np.zeros(max(0, self.n - s.gram + 1) + width - 1, _U)
-            least[p + width - 1] = v
-            every = G.grams(self.sums, s.gram)
-            u = np.sort(every[every == ~G.window_minima(~least, width)]) if len(v) else v
-            twice = np.unique(u[1:][u[1:] == u[:-1]])
-        here = out | G.member(v, twice)
-        ok = self._starts(s.window, skip)
+        shared = np.union1d(blocks, probes)
         if s.anchors == "blocks":
-            reach = s.window - s.gram + 1
+            names, p, _ = self._blocks(skip)
+            u = np.sort(names)
+            out = G.member(names, shared)
+            here = out | G.member(names, np.unique(u[1:][u[1:] == u[:-1]]))
+            ok, reach = self._starts(s.window, skip), s.window - s.gram + 1
 
             def around(flagged: np.ndarray) -> np.ndarray:
                 total = np.zeros(self.n + 2, np.int32)
@@ -129,9 +131,12 @@ class Group:
 
             far, near = around(out), around(here)
         else:
-            far, near = np.zeros(len(ok), bool), np.zeros(len(ok), bool)
-            far[p[out]] = True
-            near[p[here]] = True
+            names, at, ok = self._minima(skip)
+            u = self._here(names, at, ok)
+            out = G.member(names, shared)
+            here = out | G.member(names, np.unique(u[1:][u[1:] == u[:-1]]))
+            size = np.diff(np.r_[at, len(ok)])
+            far, near = ok & np.repeat(out, size), ok & np.repeat(here, size)
         starts = np.flatnonzero(near)
         return G.spans(self.sums, starts, starts + s.window), starts, far[starts], skip
 
