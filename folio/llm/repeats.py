@@ -31,7 +31,7 @@ from folio.llm.common import id_bounds, packed, plan_bytes, power_of_two, text_b
 
 _U = np.uint64
 GROUP_BYTES = 1 << 20  # of input as stored; some 2 MB of text
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 _BLOBS = "bucket int, grp int, kind int, a binary, b binary, c binary"
 _REPLIES = "grp int, bucket int, a binary, b binary, c binary"
 
@@ -280,7 +280,7 @@ def mark_repeats(df: DataFrame, spec: Spec, key: str, text: str, finish: Callabl
     """finish(group, marked tokens) for each group of documents."""
     size = plan_bytes(df)
     bounds = id_bounds(df, key, min(65536, max(1, size // GROUP_BYTES)))
-    bits = power_of_two(size / BUCKET_BYTES, 8, 1 << 16).bit_length() - 1
+    bits = power_of_two(size / BUCKET_BYTES, 64, 1 << 16).bit_length() - 1
     texts = packed(df, key, bounds)
 
     def group_of(blobs: pa.Table) -> Group:
