@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import table
 from folio.llm.op05_line_dedup import remove_repeated_lines
-from folio.llm.op06_simhash import near_duplicates
+from folio.llm.op06_simhash import similar_documents
 from folio.llm.op07_mixing import mixed
 from folio.llm.op09_packing import pack_documents
 from folio.llm.op10_quality import labelled_sample, score_documents, train
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document with the smallest id."""
-    groups = near_duplicates(docs, words=5)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id; rows without an id stay."""
+    groups = similar_documents(docs)
     keep = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id__")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id__")), "left_semi")
 

@@ -85,6 +85,108 @@ def links(nodes: DataFrame) -> DataFrame:
     return met.selectExpr("least(a, b) AS u", "greatest(a, b) AS v").distinct()
 
 
+SEGMENT, WORDS_OF_BITS = 20, 3  # bits of a segment, and 64-bit words of a long fingerprint: nine whole segments
+_SALT = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def long_fingerprints(df: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, f0, f1, f2): 192 bits of the same kind, each word from the shingles' names mixed anew."""
+
+    def batch(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                data, bounds = text_bytes(part.column(1))
+                data = data.tobytes()
+                names, cuts = shingle_names([data[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], words)
+                half, cols = np.diff(cuts)[:, None], [part.column(0).cast(pa.int64())]
+                for salt in _SALT:
+                    bits = 2 * bit_counts(G.mix(names ^ np.uint64(salt)), cuts) > half
+                    cols.append(pa.array(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f0", "f1", "f2"])
+
+    return df.select(key, text).mapInArrow(batch, "doc_id long, f0 long, f1 long, f2 long")
+
+
+def most_bits(similarity: float, slack: int = 4) -> int:
+    """Differing bits of 192 that two documents of this shingle similarity (Jaccard) have on average, and some more."""
+    return int(192 * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
+
+
+def _met(node: np.ndarray, f: np.ndarray, cuts: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links among the members of each bucket (rows between cuts): all pairs of small buckets, a spanning forest of others."""
+    u, v = [], []
+    size = np.diff(cuts)
+    small = np.flatnonzero((size > 1) & (size <= 8))
+    for step in range(1, 8):
+        own = small[size[small] > step]
+        if not len(own):
+            break
+        count = size[own] - step
+        at = np.repeat(cuts[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        ok = np.bitwise_count(f[at] ^ f[at + step]).sum(1) <= bits
+        u.append(node[at[ok]])
+        v.append(node[at[ok] + step])
+    for k in np.flatnonzero(size > 8):
+        own, fs = node[cuts[k] : cuts[k + 1]], f[cuts[k] : cuts[k + 1]]
+        label = np.arange(len(own))
+        for i in range(1, len(own)):
+            near = np.flatnonzero(np.bitwise_count(fs[:i] ^ fs[i]).sum(1, dtype=np.int64) <= bits)
+            if len(near):
+                groups, first = np.unique(label[near], return_index=True)  # one link to each group that it joins
+                u.append(own[near[first]])
+                v.append(np.full(len(first), own[i]))
+                if len(groups) > 1:
+                    label[np.isin(label, groups)] = groups[0]
+                label[i] = groups[0]
+    return u, v
+
+
+def long_links(nodes: DataFrame, bits: int) -> DataFrame:
+    """(u, v): links between nodes (node, f0, f1, f2) at `bits` or fewer differing bits, enough of them to connect each group.
+
+    Every node stands in the table of each segment under the segment's value and under those with one more bit set, so two
+    nodes meet if a segment agrees up to a bit (or two, one on each side). Complete distances decide. A bucket is a run of
+    sorted rows; nothing but the run is held. Two documents at the threshold itself meet in one of nine segments with a
+    chance of some 0.9, at a similarity of 0.9 of 0.99.
+    """
+    value = ["shiftrightunsigned(f{0}, {1}) & {2}".format(i // 3, SEGMENT * (i % 3), (1 << SEGMENT) - 1) for i in range(9)]
+    flips = f"concat(array(0L), transform(filter(sequence(0, {SEGMENT - 1}), i -> ({{0}} & shiftleft(1L, i)) = 0), i -> shiftleft(1L, i)))"
+    keys = ", ".join(f"transform({flips.format(f'({x})')}, flip -> ({x}) + flip + {k} * {1 << SEGMENT}L)" for k, x in enumerate(value))
+    rows = nodes.selectExpr(f"explode(concat({keys})) AS seg", "node", "f0", "f1", "f2").repartition("seg").sortWithinPartitions("seg", "node")
+
+    def find(batches):
+        rest = None
+        for b in batches:
+            t = np.stack([np.asarray(c) for c in b.columns], 1) if b.num_rows else np.zeros((0, 5), np.int64)
+            t = t if rest is None else np.concatenate([rest, t])
+            at = np.flatnonzero(np.r_[True, t[1:, 0] != t[:-1, 0]]) if len(t) else np.zeros(1, np.int64)
+            rest = t[at[-1] :]  # its bucket may go on
+            yield from links_of(t[: at[-1]], at)
+        if rest is not None and len(rest):
+            yield from links_of(rest, np.array([0, len(rest)]))
+
+    def links_of(t: np.ndarray, cuts: np.ndarray):
+        u, v = _met(t[:, 1], t[:, 2:].view(np.uint64), cuts, bits)
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], ["u", "v"])
+
+    return rows.mapInArrow(find, "u long, v long").distinct()
+
+
+def similar_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id: groups of documents whose shingles of `words` words are similar (Jaccard, by long fingerprints).
+
+    The smallest id names a group. Null and empty texts are one group; null keys are none's (component_id null); an empty
+    table gives an empty result; other columns are ignored.
+    """
+    docs = cut_lineage(long_fingerprints(df, words, key, text))
+    nodes = cut_lineage(docs.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
+    linked = components(long_links(nodes, most_bits(similarity)))
+    named = nodes.join(linked, "node", "left").select("f0", "f1", "f2", F.coalesce("component", "node").alias("component_id"))
+    return docs.join(named, ["f0", "f1", "f2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(df: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (the smallest doc_id reachable over links, itself included).
 
