@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 from folio.llm.grams import mix
 
 
+UNKNOWN = 1 << 60  # what Catalyst assumes of rows that no file's size tells of is above
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's own estimate of a plan's bytes (file sizes; no job runs)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's own estimate of a plan's bytes (file sizes; no job runs); where it has none, the rows' strings are measured."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < UNKNOWN:
+        return size
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    return df.select(F.sum(sum(wide, F.lit(64))).alias("n")).first()["n"] or 0
 
 
 def power_of_two(x: float, least: int, most: int) -> int:
@@ -79,7 +86,7 @@ def packed(df: DataFrame, key: str, bounds: np.ndarray | int, pack_mb: int = 24)
                 rows, size = [], 0
         if rows:
             yield from flush(rows)
-
+    
     return df.mapInArrow(pack, "grp int, blob binary")
 
 
