@@ -114,11 +114,17 @@ def ocr_action(mode: Column, fraction: Column, threshold: Column) -> Column:
     return F.when(mode == "off", "off").when((mode == "auto") & (fraction < threshold), "clean").when(mode == "auto", "pua").otherwise("always")
 
 
-def prepare_action(mode: Column, coverage: Column, fraction: Column, threshold: Column) -> Column:
-    """What to do before a conversion: a scan is recognised first, obfuscated text after that."""
+def prepare_action(mode: Column, pages: Column, coverage: Column, fraction: Column, threshold: Column) -> Column:
+    """What to do before a conversion: a scan is recognised first, obfuscated text else."""
+    return F.when((mode == "off") | (pages == 0), "off").when(coverage < 0.2, "scan").when(fraction >= threshold, "rebuild").otherwise("keep")
+
+
+def prepare_note(action: Column, done: Column, coverage_after: Column) -> Column:
+    """What the catalog says of it; null where nothing was to do."""
     return (
-        F.when(mode == "off", "off")
-        .when(coverage < 0.2, "scan")
-        .when((mode == "always") | (fraction >= threshold), "rebuild")
-        .otherwise("keep")
+        F.when((action == "scan") & ~done, "scanned PDF; OCR unavailable, pages kept as images")
+        .when((action == "scan") & (coverage_after >= 0.2), "text recovered via OCR (scanned PDF)")
+        .when(action == "scan", "OCR ran but recovered little text; pages kept as images")
+        .when((action == "rebuild") & done, "text layer rebuilt via OCR (PUA-obfuscated PDF)")
+        .when(action == "rebuild", "text layer is PUA-obfuscated and OCR failed; text may be garbled")
     )

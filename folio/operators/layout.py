@@ -9,7 +9,7 @@ from folio.functions.text import is_page_number, nfkc, overlap, position_key, si
 
 # Shares of the page height, repeats and sizes that the band rules go by.
 BAND, BAND_POSITION, MIN_REPEAT = 0.14, 0.09, 3
-HEADING_RATIO, SMALL_RATIO, RUBY_RATIO = 1.15, 0.92, 0.65
+HEADING_RATIO, SMALL_RATIO, RUBY_RATIO, GUTTER_RATIO = 1.15, 0.92, 0.65, 0.6
 MIN_PAGE_CHARS, SCANNED = 20, 0.2
 WIDTH, ROWS, LEADING = 60, 40, 14.0  # of the grid: characters a line, lines a page, points a line
 
@@ -113,12 +113,22 @@ def run_boxes(parts: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id", "page", "line", "part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count_if(F.col("c").rlike(r"\S")).alias("n"))
 
 
-def gutters(lines: DataFrame, least: int = 12) -> DataFrame:
-    """Runs of `least` or more 1-point bins between a page's outer edges that no line covers: (doc_id, page, g0, g1)."""
-    edges = lines.where("x1 > x0").groupBy("doc_id", "page").agg(F.min(F.floor("x0")).alias("lo"), F.max(F.ceil("x1")).alias("hi"))
-    bins = lines.where("x1 > x0").select("doc_id", "page", F.explode(F.sequence(F.floor("x0"), F.ceil("x1") - 1)).alias("bin")).distinct()
-    page = Window.partitionBy("doc_id", "page").orderBy("bin")
-    return bins.withColumn("next", F.lead("bin").over(page)).where(F.col("next") - F.col("bin") > least).select("doc_id", "page", (F.col("bin") + 1).alias("g0"), F.col("next").alias("g1")).join(edges.select("doc_id", "page"), ["doc_id", "page"])
+def gutters(marks: DataFrame, body_size: float = 10.0) -> DataFrame:
+    """(doc_id, page, g0, g1): stretches of x that nine in ten of the lines across them leave empty.
+
+    marks: the inked stretches (doc_id, page, line, x0, x1) of horizontal lines. Bins are a point wide, from the page's first ink.
+    A page needs 6 lines with two marks; a bin counts if 5 lines and 30 % of them cross it, a gutter if it is 0.6 body sizes wide.
+    """
+    page, line = ["doc_id", "page"], ["doc_id", "page", "line"]
+    lines = marks.groupBy(*line).agg(F.min("x0").alias("l0"), F.max("x1").alias("l1"), F.count("*").alias("n")).where("n >= 2")
+    pages = lines.groupBy(*page).agg(F.min("l0").alias("xmin"), F.count("*").alias("n_lines")).where("n_lines >= 6")
+    bin_of = lambda x: F.floor(x - F.col("xmin"))
+    crossed = lines.join(pages, page).select(*page, "xmin", "n_lines", F.explode(F.sequence(bin_of(F.col("l0")), bin_of(F.col("l1")))).alias("bin")).groupBy(*page, "xmin", "n_lines", "bin").agg(F.count("*").alias("cover"))
+    inked = marks.join(lines.select(*line), line, "left_semi").join(pages, page).select(*line, F.explode(F.sequence(bin_of(F.col("x0")), bin_of(F.col("x1")))).alias("bin")).distinct().groupBy(*page, "bin").agg(F.count("*").alias("ink"))
+    gaps = crossed.join(inked, [*page, "bin"], "left").where((F.col("cover") >= F.greatest(F.lit(5), F.floor(F.col("n_lines") * 0.3))) & (F.col("cover") - F.coalesce("ink", F.lit(0)) >= 0.9 * F.col("cover")))
+    island = F.col("bin") - F.row_number().over(Window.partitionBy(*page).orderBy("bin"))
+    runs = gaps.withColumn("island", island).groupBy(*page, "xmin", "island").agg(F.min("bin").alias("a"), (F.max("bin") + 1).alias("b"))
+    return runs.where(F.col("b") - F.col("a") >= GUTTER_RATIO * body_size).select(*page, (F.col("xmin") + F.col("a")).alias("g0"), (F.col("xmin") + F.col("b")).alias("g1"))
 
 
 def widest_gaps(boxes: DataFrame, start: str, end: str) -> DataFrame:
@@ -129,15 +139,18 @@ def widest_gaps(boxes: DataFrame, start: str, end: str) -> DataFrame:
     return gaps.groupBy("doc_id", "page").agg(F.max_by(F.struct("gap", ((F.col(start) + F.col("reach")) / 2).alias("cut")), F.struct("gap", -F.col(start))).alias("g")).select("doc_id", "page", "g.gap", "g.cut")
 
 
-def modal_edges(runs: DataFrame, edge: str = "x0") -> DataFrame:
-    """For each run the mode, in steps of 2 points, of the edge over the runs of its page with sizes within a quarter of its own;
-    null below three. Runs are counted by edge and size first, so the join is between few rows a page."""
-    counted = runs.select("doc_id", "page", F.bround(F.col(edge) / 2, 0).alias("q"), "size").groupBy("doc_id", "page", "q", "size").agg(F.count("*").alias("n"))
-    kinds = counted.select("doc_id", "page", F.col("size").alias("own")).distinct()
-    near = kinds.join(counted, ["doc_id", "page"]).where(F.abs(F.col("size") - F.col("own")) <= 0.25 * F.col("own"))
-    per = near.groupBy("doc_id", "page", "own", "q").agg(F.sum("n").alias("n"))
-    best = per.groupBy("doc_id", "page", "own").agg(mode(F.col("q"), F.col("n")).alias("q"), F.sum("n").alias("total"))
-    return best.select("doc_id", "page", F.col("own").alias("size"), F.when(F.col("total") >= 3, F.col("q") * 2).alias("edge"))
+def modal_edges(runs: DataFrame, edge: str = "x0", across: tuple[str, str] = ("x0", "x1")) -> DataFrame:
+    """For each kind of run (size and extent) the mode, in steps of 2 points, of the edge over the page's runs with sizes within a
+    quarter of its own that overlap it across; null below three. Equal runs are counted first, so few rows a page are joined."""
+    lo, hi = across
+    kind = ["doc_id", "page", "size", lo, hi]
+    counted = runs.groupBy(*kind, *([edge] if edge not in across else [])).agg(F.count("*").alias("n")).withColumn("q", F.bround(F.col(edge) / 2, 0)).select(*kind, "q", "n")
+    own = counted.select(*kind).distinct().select("doc_id", "page", *[F.col(c).alias(f"own_{c}") for c in kind[2:]])
+    near = own.join(counted, ["doc_id", "page"]).where((F.abs(F.col("size") - F.col("own_size")) <= 0.25 * F.col("own_size")) & (overlap(F.col(lo), F.col(hi), F.col(f"own_{lo}"), F.col(f"own_{hi}")) > 0))
+    key = ["doc_id", "page", *[f"own_{c}" for c in kind[2:]]]
+    per = near.groupBy(*key, "q").agg(F.sum("n").alias("n"))
+    best = per.groupBy(*key).agg(mode(F.col("q"), F.col("n")).alias("q"), F.sum("n").alias("total"))
+    return best.select("doc_id", "page", *[F.col(f"own_{c}").alias(c) for c in kind[2:]], F.when(F.col("total") >= 3, F.col("q") * 2).alias("edge"))
 
 
 def admitted_images(images: DataFrame) -> DataFrame:
@@ -175,11 +188,12 @@ def is_stacked(lines: DataFrame) -> DataFrame:
     """(doc_id, block, stacked): blocks of three or more lines that are columns of single characters."""
     w = Window.partitionBy("doc_id", "block").orderBy("line")
     chars = F.length(strip(F.col("text")))
-    rows = lines.withColumn("py1", F.lag("y1").over(w)).withColumn("px0", F.lag("x0").over(w)).withColumn("px1", F.lag("x1").over(w)).withColumn("n", chars)
+    rows = lines.withColumn("py0", F.lag("y0").over(w)).withColumn("px0", F.lag("x0").over(w)).withColumn("px1", F.lag("x1").over(w)).withColumn("n", chars)
     from folio.functions.scripts import CJK
 
-    pair = F.col("py1").isNotNull()
-    stacked = pair & (overlap(F.col("x0"), F.col("x1"), F.col("px0"), F.col("px1")) > 0) & (F.col("y0") >= F.col("py1") - 0.5 * (F.col("y1") - F.col("y0")))
+    pair = F.col("py0").isNotNull()
+    least = F.least(F.col("x1") - F.col("x0"), F.col("px1") - F.col("px0"))
+    stacked = pair & (overlap(F.col("x0"), F.col("x1"), F.col("px0"), F.col("px1")) >= 0.5 * least) & (F.col("y0") >= F.col("py0") - 1)
     sums = rows.groupBy("doc_id", "block").agg(F.count("*").alias("lines"), F.count_if(F.col("n") <= 2).alias("short"), F.count_if(pair).alias("pairs"), F.count_if(stacked).alias("stacked_pairs"), F.sum("n").alias("chars"), F.sum(F.regexp_count("text", F.lit(CJK))).alias("cjk"))
     return sums.select("doc_id", "block", ((F.col("lines") >= 3) & (F.col("short") >= 0.8 * F.col("lines")) & (F.col("stacked_pairs") >= 0.8 * F.col("pairs")) & (F.col("cjk") >= 0.5 * F.col("chars")) & (F.col("chars") > 0)).alias("stacked"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from folio.functions.text import overlap
 
 PAGE = ["doc_id", "page"]
 BOX = ("x0", "y0", "x1", "y1")
+READING = re.compile("[\u3040-\u30ff\u31f0-\u31ff\u3100-\u312f\u31a0-\u31bfー゛゜ˊˇˋ˙・]")
 STRIP = 24.0  # points; both sides of a point-in-box join meet by strips of y
 
 
@@ -37,10 +40,10 @@ def link_hits(glyphs: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_columns(runs: DataFrame, links: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, page, run, href) for links that hit no glyph: the nearest vertical run within 3 sizes that they overlap by 60 %."""
+    """(doc_id, page, run, href) for links that hit no glyph: the vertical run with the nearest middle, at most 3 sizes off, that they overlap by 60 %."""
     missed = links.join(hits.select(*PAGE, "href").distinct(), [*PAGE, "href"], "left_anti")
     r = _named(runs.where("vertical"), "r_", "run", "size", *BOX)
-    side = F.greatest(F.lit(0.0), F.col("x0") - F.col("r_x1"), F.col("r_x0") - F.col("x1"))
+    side = F.abs((F.col("r_x0") + F.col("r_x1")) / 2 - (F.col("x0") + F.col("x1")) / 2)
     near = missed.join(r, PAGE).withColumn("dx", side).where((overlap(F.col("y0"), F.col("y1"), F.col("r_y0"), F.col("r_y1")) >= 0.6 * (F.col("y1") - F.col("y0"))) & (F.col("dx") <= 3 * F.col("r_size")))
     return near.groupBy(*PAGE, "k", "href").agg(F.min_by("r_run", F.struct("dx", "r_run")).alias("run"))
 
@@ -63,11 +66,11 @@ def image_references(placements: DataFrame, images: DataFrame, tolerance: float
 
 def bookmark_units(toc: DataFrame, units: DataFrame) -> DataFrame:
     """(doc_id, idx, ord): a bookmark's unit: the box its point lies in (2 points wider), else the first unit that ends past the
-    point, else the page's first; null where the page has no unit (the bookmark waits for the next)."""
+    point (in a vertical book: begins left of it), else the page's first; null where the page has no unit (the bookmark waits for the next)."""
     u = _named(units, "u_", "ord", *BOX)
     at = F.col("x").between(F.col("u_x0") - 2, F.col("u_x1") + 2) & F.col("y").between(F.col("u_y0") - 2, F.col("u_y1") + 2)
     met = toc.join(u, PAGE, "left").groupBy("doc_id", "idx").agg(
-        F.min(F.when(at, F.col("u_ord"))).alias("hit"), F.min(F.when(F.col("u_y1") >= F.col("y") - F.col("tolerance"), F.col("u_ord"))).alias("past"), F.min("u_ord").alias("first")
+        F.min(F.when(at, F.col("u_ord"))).alias("hit"), F.min(F.when(F.when(F.col("vertical"), F.col("u_x0") <= F.col("x") + F.col("tolerance")).otherwise(F.col("u_y1") >= F.col("y") - F.col("tolerance")), F.col("u_ord"))).alias("past"), F.min("u_ord").alias("first")
     )
     return met.select("doc_id", "idx", F.coalesce("hit", "past", "first").alias("ord"))
 
@@ -97,7 +100,7 @@ def clusters(runs: DataFrame) -> DataFrame:
             cross = np.minimum(b[i, c + 2], b[j, c + 2]) - np.maximum(b[i, c], b[j, c])
             least = np.minimum(b[i, c + 2] - b[i, c], b[j, c + 2] - b[j, c])
             along = np.minimum(b[i, f + 2], b[j, f + 2]) - np.maximum(b[i, f], b[j, f])
-            ok = (v[j] == v[i]) & (cross >= 0.3 * least) & (cross > 0) & ((along > 0) | (-along <= 2.5 * np.maximum(s[i], s[j])))
+            ok = (v[j] == v[i]) & (np.maximum(cross, 0) >= 0.3 * least) & ((along > 0) | (-along <= 2.5 * np.maximum(s[i], s[j])))
             for k in j[ok]:
                 a, z = find(i), find(int(k))
                 root[max(a, z)] = min(a, z)
@@ -114,41 +117,41 @@ def attach_ruby(runs: DataFrame, body_size: float) -> DataFrame:
     run, and a glyph that has a reading takes no other.
     """
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
+    def parts_of(r: dict) -> list[dict]:
+        """A reading run cut at its spaces, each part with its share of the extent."""
+        a0, a1 = ("y0", "y1") if r["vertical"] else ("x0", "x1")
+        step = (r[a1] - r[a0]) / max(1, len(r["text"]))
+        return [r | {"text": m[0], a0: r[a0] + m.start() * step, a1: r[a0] + m.end() * step} for m in re.finditer(r"\S+", r["text"])]
+
+    def beside(r: dict, b: dict) -> float | None:
+        """How far a base is from a reading to its right (vertical) or above it; null if it isn't there or they hardly overlap."""
+        if r["vertical"]:
+            ok, lap, extent, dist = b["x1"] - 1.5 <= r["x0"] <= b["x1"] + 0.6 * b["size"], min(b["y1"], r["y1"]) - max(b["y0"], r["y0"]), r["y1"] - r["y0"], r["x0"] - b["x1"]
+        else:
+            ok, lap, extent, dist = b["y0"] - 0.8 * b["size"] <= r["y1"] <= b["y0"] + 0.35 * b["size"], min(b["x1"], r["x1"]) - max(b["x0"], r["x0"]), r["x1"] - r["x0"], b["y0"] - r["y1"]
+        return dist if ok and max(0.0, lap) >= extent / 2 else None
 
-        pdf = pdf.sort_values("run")
-        reading = re.compile(r"^[぀-ヿㇰ-ㇿㄅ-ㄯㆠ-ㆿˇˊˋ˙́̀̌ー・゙゚A-Za-zÀ-ɏ]+$")
+    def page(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, taken = [], set()
-        bases = pdf[pdf["size"] >= 0.8 * body_size].to_dict("records")
-        for r in pdf[pdf["size"] <= 0.65 * body_size].to_dict("records"):
-            if not reading.match(r["text"]):
+        records = pdf.sort_values("run").to_dict("records")
+        bases = [b for b in records if b["size"] >= 0.8 * body_size]
+        for r in (part for r in records if 0 < r["size"] <= 0.65 * body_size for part in parts_of(r)):
+            if not all(READING.match(c) or c.isalpha() for c in r["text"]):
                 continue
-            best = None
-            for b in bases:
-                if b["run"] == r["run"] or b["vertical"] != r["vertical"] or b["size"] < 1.4 * r["size"]:
-                    continue
-                if r["vertical"]:
-                    ok, lap, extent, dist = b["x1"] - 1.5 <= r["x0"] <= b["x1"] + 0.6 * b["size"], min(b["y1"], r["y1"]) - max(b["y0"], r["y0"]), r["y1"] - r["y0"], r["x0"] - b["x1"]
-                else:
-                    ok, lap, extent, dist = b["y0"] - 0.8 * b["size"] <= r["y1"] <= b["y0"] + 0.35 * b["size"], min(b["x1"], r["x1"]) - max(b["x0"], r["x0"]), r["x1"] - r["x0"], b["y0"] - r["y1"]
-                if ok and lap >= extent / 2 and (best is None or dist < best[0]):
-                    best = (dist, b)
-            if best is None:
+            near = [(d, k) for k, b in enumerate(bases) if b["run"] != r["run"] and b["vertical"] == r["vertical"] and b["size"] >= 1.4 * r["size"] and (d := beside(r, b)) is not None]
+            if not near:
                 continue
-            b = best[1]
+            b = bases[min(near)[1]]
             a0, a1 = ("y0", "y1") if r["vertical"] else ("x0", "x1")
-            step = (b[a1] - b[a0]) / max(1, len(b["text"]))
-            free = [i for i, c in enumerate(b["text"]) if not c.isspace() and (b["run"], i) not in taken]
-            spots = {i: (b[a0] + i * step, b[a0] + (i + 1) * step) for i in free}
-            slack = 0.3 * r["size"]
-            hit = [i for i, (p, q) in spots.items() if min(q, r[a1]) - max(p, r[a0]) > 0.25 * (q - p) or (p >= r[a0] - slack and q <= r[a1] + slack)]
-            if not hit and spots:
+            step, slack = (b[a1] - b[a0]) / max(1, len(b["text"])), 0.3 * b["size"]
+            spots = [(b[a0] + i * step, b[a0] + (i + 1) * step) for i in range(len(b["text"]))]
+            hit = [i for i, (p, q) in enumerate(spots) if min(q, r[a1]) - max(p, r[a0]) > 0.25 * (q - p) or (p >= r[a0] - slack and q <= r[a1] + slack)]
+            hit = [i for i in hit if not b["text"][i].isspace() and (b["run"], i) not in taken]
+            if not hit:
                 middle = (r[a0] + r[a1]) / 2
-                hit = [min(spots, key=lambda i: abs(sum(spots[i]) / 2 - middle))]
-            if hit:
-                taken |= {(b["run"], i) for i in range(min(hit), max(hit) + 1)}
-                rows.append((r["doc_id"], r["page"], r["run"], b["run"], min(hit), max(hit)))
+                hit = [min(range(len(spots)), key=lambda i: abs(sum(spots[i]) / 2 - middle))]
+            taken |= {(b["run"], i) for i in range(min(hit), max(hit) + 1)}
+            rows.append((r["doc_id"], r["page"], r["run"], b["run"], min(hit), max(hit)))
         return pd.DataFrame(rows, columns=["doc_id", "page", "ruby_run", "base_run", "lo", "hi"])
 
     return runs.groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, ruby_run int, base_run int, lo int, hi int")
@@ -156,7 +159,7 @@ def attach_ruby(runs: DataFrame, body_size: float) -> DataFrame:
 
 def merge_baselines(runs: DataFrame) -> DataFrame:
     """(doc_id, page, part, text, box): neighbouring runs on one baseline as one, with a blank between: they overlap by 60 % of the
-    smaller height and stand at most four sizes apart; the merged box grows as runs join it."""
+    smaller height and stand at most four of the later one's sizes apart; the merged box grows as runs join it."""
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
@@ -164,12 +167,12 @@ def merge_baselines(runs: DataFrame) -> DataFrame:
             if out:
                 p = out[-1]
                 lap, low = min(p[6], r["y1"]) - max(p[4], r["y0"]), min(p[6] - p[4], r["y1"] - r["y0"])
-                if lap >= 0.6 * low and 0 <= r["x0"] - p[5] <= 4 * p[7]:
+                if low > 0 and lap >= 0.6 * low and 0 <= r["x0"] - p[5] <= 4 * r["size"]:
                     p[2] += " " + r["text"]
                     p[4], p[5], p[6] = min(p[4], r["y0"]), max(p[5], r["x1"]), max(p[6], r["y1"])
                     continue
-            out.append([r["doc_id"], r["page"], r["text"], r["x0"], r["y0"], r["x1"], r["y1"], r["size"]])
-        rows = [(d, g, i, t, a, b, c, e) for i, (d, g, t, a, b, c, e, _) in enumerate(out)]
+            out.append([r["doc_id"], r["page"], r["text"], r["x0"], r["y0"], r["x1"], r["y1"]])
+        rows = [(d, g, i, t, a, b, c, e) for i, (d, g, t, a, b, c, e) in enumerate(out)]
         return pd.DataFrame(rows, columns=["doc_id", "page", "part", "text", *BOX])
 
     return runs.groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, part int, text string, x0 double, y0 double, x1 double, y1 double")

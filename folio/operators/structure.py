@@ -61,6 +61,16 @@ def paragraph_breaks(lines: DataFrame) -> DataFrame:
     return lines.withColumn("fresh", F.coalesce(fresh, F.lit(False)).cast("int")).withColumn("para", F.sum("fresh").over(w)).drop("fresh")
 
 
+def is_indented(edge: Column, margin: Column, size: Column) -> Column:
+    """Half a size to four sizes inside the modal edge; not without one."""
+    return F.coalesce((edge - margin > size * 0.5) & (edge - margin < size * 4), F.lit(False))
+
+
+def is_full(edge: Column, margin: Column, size: Column) -> Column:
+    """Less than a size short of the modal edge, or there is none."""
+    return F.coalesce(margin - edge < size, F.lit(True))
+
+
 def alignment(gap_before: Column, gap_after: Column, size: Column, width: Column) -> Column:
     """center, right or null for a one-run unit, by its distances from the margins."""
     centred = (gap_before > size) & (gap_after > size) & (F.abs(gap_before - gap_after) < F.greatest(size, width * 0.12))
@@ -71,7 +81,7 @@ def build_paragraphs(units: DataFrame) -> DataFrame:
     """Paragraphs and chapters of a document, a fold over its units in order of page and ord.
 
     units: doc_id, page, ord, kind (text, image, table), text, nchars, size, body, n_runs, heading (bool), ladder_level, toc_level (or
-    null), has_toc, indented, full, align (or null), vertical, gap. Result: doc_id, chapter, para, kind, level, page, classes, text.
+    null), has_toc, indented, full, align (or null), vertical, gap, and n_ids (of anchors) if there are any. Result: doc_id, chapter, para, kind, level, page, classes, text.
     """
 
     def document(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,13 +91,13 @@ def build_paragraphs(units: DataFrame) -> DataFrame:
             toc = None if u["toc_level"] is None else int(u["toc_level"])
             is_heading = u["kind"] == "text" and (bool(u["heading"]) or (toc is not None and u["nchars"] <= 160 and u["n_runs"] <= 4))
             level = max(1, min(4, toc if toc is not None else int(u["ladder_level"]))) if is_heading else 0
-            if entries and (toc == 1 or (is_heading and level == 1 and (toc is not None or not u["has_toc"])) or (new_page and size_now > CHAPTER_BYTES)):
+            if u["kind"] == "text" and entries and (toc == 1 or (is_heading and level == 1 and (toc is not None or not u["has_toc"])) or (new_page and size_now > CHAPTER_BYTES)):
                 chapter, size_now, entries, open_ = chapter + 1, 0, 0, None
             if u["kind"] == "text" and not is_heading:
                 last = open_ and open_["text"].rstrip()
                 quote = bool(last) and last[-1] in CJK_TERMINAL and u["text"].lstrip()[:1] in tuple(CJK_OPENERS)
-                near = open_ is not None and (open_["page"] != u["page"] or u["gap"] <= (1.4 if u["vertical"] else 1.2) * open_["size"])
-                if open_ is not None and toc is None and not u["align"] and not open_["align"] and not u["indented"] and open_["full"] and abs(u["size"] - open_["size"]) <= 0.15 * open_["size"] and u["vertical"] == open_["vertical"] and not quote and near:
+                near = open_ is not None and (open_["page"] != u["page"] or u["gap"] <= (1.4 if u["vertical"] else 1.2) * u["size"])
+                if open_ is not None and toc is None and (u.get("n_ids") or 0) <= 1 and not u["align"] and not open_["align"] and not u["indented"] and open_["full"] and abs(u["size"] - open_["size"]) <= 0.15 * max(u["size"], open_["size"]) and u["vertical"] == open_["vertical"] and not quote and near:
                     a, b = open_["text"][-1:], u["text"][:1]
                     open_["text"] += ("" if _CJK.match(a) or _CJK.match(b) else " ") + u["text"]
                     open_["full"], open_["page"] = u["full"], u["page"]

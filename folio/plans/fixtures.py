@@ -38,12 +38,25 @@ def ocr_lang_resolve(spark, sf_dir):
     return _ASKED.df(spark).select("id", usable.alias("usable"), dropped.alias("dropped"))
 
 
-_OCR = Rows("id long, mode string, coverage double, fraction double, unit string, whole string", (1, "off", 0.0, 1.0, "off", "off"), (2, "auto", 0.1, 0.0, "clean", "scan"), (3, "auto", 0.9, 0.1, "pua", "rebuild"), (4, "always", 0.9, 0.0, "always", "rebuild"), (5, "auto", 0.2, 0.05, "clean", "keep"))
+_OCR = Rows(
+    "id long, mode string, pages int, coverage double, fraction double, done boolean, after double, unit string, whole string, note string",
+    (1, "off", 3, 0.0, 1.0, False, 0.0, "off", "off", ""),
+    (2, "auto", 3, 0.1, 0.0, True, 0.5, "clean", "scan", "text recovered via OCR (scanned PDF)"),
+    (3, "auto", 3, 0.9, 0.1, True, 0.9, "pua", "rebuild", "text layer rebuilt via OCR (PUA-obfuscated PDF)"),
+    (4, "always", 3, 0.9, 0.0, True, 0.9, "always", "keep", ""),
+    (5, "auto", 3, 0.2, 0.05, False, 0.2, "clean", "keep", ""),
+    (6, "auto", 0, 0.0, 0.5, False, 0.0, "pua", "off", ""),
+    (7, "auto", 3, 0.1, 0.5, True, 0.1, "pua", "scan", "OCR ran but recovered little text; pages kept as images"),
+    (8, "auto", 3, 0.1, 0.0, False, 0.1, "clean", "scan", "scanned PDF; OCR unavailable, pages kept as images"),
+    (9, "auto", 3, 0.9, 0.5, False, 0.9, "pua", "rebuild", "text layer is PUA-obfuscated and OCR failed; text may be garbled"),
+)
 
 
-@query(f"SELECT id, unit, whole FROM {_OCR.sql}")
+@query(f"SELECT id, unit, whole, note FROM {_OCR.sql}")
 def ocr_decision(spark, sf_dir):
-    return _OCR.df(spark).select("id", S.ocr_action(F.col("mode"), F.col("fraction"), F.lit(0.1)).alias("unit"), S.prepare_action(F.col("mode"), F.col("coverage"), F.col("fraction"), F.lit(0.1)).alias("whole"))
+    c = F.col
+    whole = S.prepare_action(c("mode"), c("pages"), c("coverage"), c("fraction"), F.lit(0.1))
+    return _OCR.df(spark).select("id", S.ocr_action(c("mode"), c("fraction"), F.lit(0.1)).alias("unit"), whole.alias("whole"), F.coalesce(S.prepare_note(whole, c("done"), c("after")), F.lit("")).alias("note"))
 
 
 _HYPHENS = Rows("id long, parts array<string>, vertical boolean, want string", (1, ["The commu-", "nication failed"], False, "The communication failed"), (2, ["吾輩は猫で", "ある。"], False, "吾輩は猫である。"), (3, ["내리기도", "한다."], False, "내리기도한다."), (4, ["PARAGRAPH-", "END"], False, "PARAGRAPH-END"), (5, ["a 1-", "b"], False, "a 1- b"), (6, ["co-", "op"], True, "co- op"), (7, ["soft­", "ly", " ", "done"], False, "softly done"), (8, [], False, ""))
@@ -126,10 +139,10 @@ def table_strip(spark, sf_dir):
     return SP.strip_boxes(_GLYPHS.df(spark), _BOXES.df(spark)).select("doc_id", "page", "g", "c")
 
 
-_RUBY = Rows("doc_id long, page int, run int, text string, size double, vertical boolean, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, "吾輩は", 10.0, False, 50.0, 100.0, 80.0, 110.0), (1, 1, 1, "わがはい", 5.0, False, 50.0, 94.0, 70.0, 99.0), (1, 1, 2, "note 1", 5.0, False, 50.0, 94.0, 70.0, 99.0), (2, 1, 0, "猫である", 12.0, True, 100.0, 50.0, 112.0, 98.0), (2, 1, 1, "ねこ", 6.0, True, 112.5, 50.0, 118.5, 62.0), (3, 1, 0, "國", 10.0, False, 0.0, 100.0, 10.0, 110.0), (3, 1, 1, "ㄍㄨㄛ", 5.0, False, 200.0, 94.0, 210.0, 99.0))
+_RUBY = Rows("doc_id long, page int, run int, text string, size double, vertical boolean, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, "吾輩は", 10.0, False, 50.0, 100.0, 80.0, 110.0), (1, 1, 1, "わがはい", 5.0, False, 50.0, 94.0, 70.0, 99.0), (1, 1, 2, "note 1", 5.0, False, 50.0, 94.0, 70.0, 99.0), (2, 1, 0, "猫である", 12.0, True, 100.0, 50.0, 112.0, 98.0), (2, 1, 1, "ねこ", 6.0, True, 112.5, 50.0, 118.5, 62.0), (3, 1, 0, "國", 10.0, False, 0.0, 100.0, 10.0, 110.0), (3, 1, 1, "ㄍㄨㄛ", 5.0, False, 200.0, 94.0, 210.0, 99.0), (4, 1, 0, "愚公山", 10.0, False, 0.0, 100.0, 30.0, 110.0), (4, 1, 1, "ㄩˊ ㄍㄨㄥ", 5.0, False, 0.0, 94.0, 30.0, 99.0))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 1, 0, 0, 1), (2, 1, 1, 0, 0, 0)) t(doc_id, page, ruby_run, base_run, lo, hi)", long="doc_id")
+@query("SELECT * FROM (VALUES (1, 1, 1, 0, 0, 1), (1, 1, 2, 0, 0, 0), (2, 1, 1, 0, 0, 0), (4, 1, 1, 0, 0, 0), (4, 1, 1, 0, 1, 2)) t(doc_id, page, ruby_run, base_run, lo, hi)", long="doc_id")
 def ruby_attach(spark, sf_dir):
     return SP.attach_ruby(_RUBY.df(spark), 10.0)
 
@@ -159,11 +172,11 @@ def image_xref(spark, sf_dir):
     return SP.image_references(_PLACED.df(spark), _XREFS.df(spark))
 
 
-_MARKS = Rows("doc_id long, page int, idx int, x double, y double, tolerance double", (1, 1, 0, 60.0, 105.0, 10.0), (1, 1, 1, 10.0, 150.0, 10.0), (1, 1, 2, 10.0, 900.0, 10.0), (1, 2, 3, 0.0, 0.0, 10.0))
+_MARKS = Rows("doc_id long, page int, idx int, x double, y double, tolerance double, vertical boolean", (1, 1, 0, 60.0, 105.0, 10.0, False), (1, 1, 1, 10.0, 150.0, 10.0, False), (1, 1, 2, 10.0, 900.0, 10.0, False), (1, 2, 3, 0.0, 0.0, 10.0, False), (1, 1, 4, None, None, 10.0, False), (1, 1, 5, 45.0, 900.0, 10.0, True))
 _UNITS = Rows("doc_id long, page int, ord int, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, 50.0, 50.0, 200.0, 90.0), (1, 1, 1, 50.0, 100.0, 200.0, 120.0), (1, 1, 2, 50.0, 160.0, 200.0, 190.0))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 3, -1)) t(doc_id, idx, ord)", long="doc_id")
+@query("SELECT * FROM (VALUES (1, 0, 1), (1, 1, 2), (1, 2, 0), (1, 3, -1), (1, 4, 0), (1, 5, 0)) t(doc_id, idx, ord)", long="doc_id")
 def bookmark_units(spark, sf_dir):
     return SP.bookmark_units(_MARKS.df(spark), _UNITS.df(spark)).fillna(-1, ["ord"])
 
@@ -243,6 +256,15 @@ def result_counts(spark, sf_dir):
     return ST.indent_vote(p).join(ST.result_counts(p), "doc_id")
 
 
+_EDGES = Rows("id long, edge double, margin double, indented boolean, whole boolean", (1, 60.0, 50.0, True, True), (2, 55.0, 50.0, False, True), (3, 90.0, 50.0, False, True), (4, 40.0, 50.0, False, False), (5, 41.0, 50.0, False, True), (6, 10.0, None, False, True))
+
+
+@query(f"SELECT id, indented, whole FROM {_EDGES.sql}")
+def indents(spark, sf_dir):
+    e, m = F.col("edge"), F.col("margin")
+    return _EDGES.df(spark).select("id", ST.is_indented(e, m, F.lit(10.0)).alias("indented"), ST.is_full(e, m, F.lit(10.0)).alias("whole"))
+
+
 _ALIGN = Rows("id long, a double, b double, want string", (1, 100.0, 102.0, "center"), (2, 200.0, 4.0, "right"), (3, 0.0, 200.0, "none"), (4, 100.0, 160.0, "none"))
 
 

@@ -176,18 +176,23 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "page", "line", "size", x0.alias("x0"), (x0 + F.length(F.substring("text", F.col("k") * 20 + 1, F.lit(15))) * 5).alias("x1"), "y0", "y1")
 
 
-@query(
-    f"""WITH {_GRID}, {_HOLES}, bins AS (SELECT DISTINCT doc_id, page, unnest(range(floor(x0)::BIGINT, ceil(x1)::BIGINT)) AS bin FROM hl WHERE x1 > x0),
-n AS (SELECT *, lead(bin) OVER (PARTITION BY doc_id, page ORDER BY bin) AS nx FROM bins) SELECT doc_id, page, bin + 1 AS g0, nx AS g1 FROM n WHERE nx - bin > 12"""
-)
+_GUTTERS = """ln AS (SELECT doc_id, page, line, min(x0) AS l0, max(x1) AS l1 FROM hl GROUP BY ALL HAVING count(*) >= 2),
+pn AS (SELECT doc_id, page, min(l0) AS xmin, count(*) AS n_lines FROM ln GROUP BY ALL HAVING count(*) >= 6),
+cv AS (SELECT doc_id, page, xmin, n_lines, bin, count(*) AS cover FROM (SELECT doc_id, page, xmin, n_lines, unnest(range(floor(l0 - xmin)::BIGINT, floor(l1 - xmin)::BIGINT + 1)) AS bin FROM ln JOIN pn USING (doc_id, page)) GROUP BY ALL),
+ik AS (SELECT doc_id, page, bin, count(*) AS ink FROM (SELECT DISTINCT doc_id, page, line, unnest(range(floor(x0 - xmin)::BIGINT, floor(x1 - xmin)::BIGINT + 1)) AS bin FROM hl JOIN pn USING (doc_id, page) SEMI JOIN ln USING (doc_id, page, line)) GROUP BY ALL),
+gg AS (SELECT cv.*, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS island FROM cv LEFT JOIN ik USING (doc_id, page, bin) WHERE cover >= greatest(5, floor(n_lines * 0.3::DOUBLE)) AND cover - coalesce(ink, 0) >= 0.9::DOUBLE * cover),
+gu AS (SELECT doc_id, page, xmin + min(bin) AS g0, xmin + max(bin) + 1 AS g1 FROM gg GROUP BY doc_id, page, xmin, island HAVING max(bin) + 1 - min(bin) >= 6)"""
+
+
+@query(f"WITH {_GRID}, {_HOLES}, {_GUTTERS} SELECT doc_id, page, g0, g1 FROM gu")
 def gutters(spark, sf_dir):
     return L.gutters(_columns(spark, sf_dir))
 
 
 @query(
-    f"""WITH {_GRID}, {_HOLES}, n AS (SELECT doc_id, page, round_even(x0 / 2, 0) AS q, size, count(*) AS n FROM hl GROUP BY ALL),
-m AS (SELECT a.doc_id, a.page, a.size AS own, b.q, sum(b.n) AS n FROM (SELECT DISTINCT doc_id, page, size FROM n) a JOIN n b ON a.doc_id = b.doc_id AND a.page = b.page AND abs(b.size - a.size) <= 0.25 * a.size GROUP BY ALL)
-SELECT doc_id, page, own AS size, CASE WHEN sum(n) >= 3 THEN arg_max(q, {{'a': n, 'b': q}}) * 2 END AS edge FROM m GROUP BY doc_id, page, own"""
+    f"""WITH {_GRID}, {_HOLES}, n AS (SELECT doc_id, page, round_even(x0 / 2, 0) AS q, size, x0, x1, count(*) AS n FROM hl GROUP BY ALL),
+m AS (SELECT a.doc_id, a.page, a.size, a.x0, a.x1, b.q, sum(b.n) AS n FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.page = b.page AND abs(b.size - a.size) <= 0.25 * a.size AND least(a.x1, b.x1) > greatest(a.x0, b.x0) GROUP BY ALL)
+SELECT doc_id, page, size, x0, x1, CASE WHEN sum(n) >= 3 THEN arg_max(q, {{'a': n, 'b': q}}) * 2 END AS edge FROM m GROUP BY doc_id, page, size, x0, x1"""
 )
 def margins(spark, sf_dir):
     return L.modal_edges(_columns(spark, sf_dir))

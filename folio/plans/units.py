@@ -8,7 +8,7 @@ from folio.functions.scripts import BLANK
 from folio.operators import layout as L
 from folio.operators import units as U
 from folio.plans.base import Rows, query, table
-from folio.plans.texts import _GLYPHS, _GRID, _HOLES, _columns, _lines, _strip
+from folio.plans.texts import _GLYPHS, _GRID, _GUTTERS, _HOLES, _columns, _lines, _strip
 
 
 @query(f"WITH {_GRID}, c AS (SELECT doc_id, page, line, replace(text, chr(65533), '') AS t FROM lines) SELECT doc_id, page, line, CASE WHEN line % 5 = 0 THEN regexp_replace(t, '{BLANK}', '', 'g') ELSE regexp_replace(regexp_replace(t, '^{BLANK}+|{BLANK}+$', '', 'g'), '{BLANK}+', ' ', 'g') END AS text FROM c")
@@ -23,8 +23,7 @@ def pruned_units(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_GRID}, {_HOLES}, bins AS (SELECT DISTINCT doc_id, page, unnest(range(floor(x0)::BIGINT, ceil(x1)::BIGINT)) AS bin FROM hl WHERE x1 > x0),
-n AS (SELECT *, lead(bin) OVER (PARTITION BY doc_id, page ORDER BY bin) AS nx FROM bins), gu AS (SELECT doc_id, page, bin + 1 AS g0, nx AS g1 FROM n WHERE nx - bin > 12),
+    f"""WITH {_GRID}, {_HOLES}, {_GUTTERS},
 p AS (SELECT doc_id, page, line, x0, x1, lag(x1) OVER (PARTITION BY doc_id, page, line ORDER BY x0) AS px1 FROM hl),
 c AS (SELECT p.*, EXISTS (SELECT 1 FROM gu WHERE gu.doc_id = p.doc_id AND gu.page = p.page AND px1 <= g0 + 0.5 AND x0 >= g1 - 0.5) AS b FROM p)
 SELECT doc_id, page, line, x0, x1, (sum(b::INT) OVER (PARTITION BY doc_id, page, line ORDER BY x0))::BIGINT AS part FROM c"""
