@@ -119,15 +119,26 @@ def gutters(marks: DataFrame, body_size: float = 10.0) -> DataFrame:
     marks: the inked stretches (doc_id, page, line, x0, x1) of horizontal lines. Bins are a point wide, from the page's first ink.
     A page needs 6 lines with two marks; a bin counts if 5 lines and 30 % of them cross it, a gutter if it is 0.6 body sizes wide.
     """
+    # Counts change only where a line or a mark begins or ends: summed steps instead of a row for each bin.
     page, line = ["doc_id", "page"], ["doc_id", "page", "line"]
-    lines = marks.groupBy(*line).agg(F.min("x0").alias("l0"), F.max("x1").alias("l1"), F.count("*").alias("n")).where("n >= 2")
+    whole = Window.partitionBy(*line)
+    known = marks.select(*line, "x0", "x1").withColumns({"l0": F.min("x0").over(whole), "l1": F.max("x1").over(whole), "n": F.count("*").over(whole)}).where("n >= 2")
+    lines = known.groupBy(*line).agg(F.first("l0").alias("l0"), F.first("l1").alias("l1"))
     pages = lines.groupBy(*page).agg(F.min("l0").alias("xmin"), F.count("*").alias("n_lines")).where("n_lines >= 6")
-    bin_of = lambda x: F.floor(x - F.col("xmin"))
-    crossed = lines.join(pages, page).select(*page, "xmin", "n_lines", F.explode(F.sequence(bin_of(F.col("l0")), bin_of(F.col("l1")))).alias("bin")).groupBy(*page, "xmin", "n_lines", "bin").agg(F.count("*").alias("cover"))
-    inked = marks.join(lines.select(*line), line, "left_semi").join(pages, page).select(*line, F.explode(F.sequence(bin_of(F.col("x0")), bin_of(F.col("x1")))).alias("bin")).distinct().groupBy(*page, "bin").agg(F.count("*").alias("ink"))
-    gaps = crossed.join(inked, [*page, "bin"], "left").where((F.col("cover") >= F.greatest(F.lit(5), F.floor(F.col("n_lines") * 0.3))) & (F.col("cover") - F.coalesce("ink", F.lit(0)) >= 0.9 * F.col("cover")))
-    island = F.col("bin") - F.row_number().over(Window.partitionBy(*page).orderBy("bin"))
-    runs = gaps.withColumn("island", island).groupBy(*page, "xmin", "island").agg(F.min("bin").alias("a"), (F.max("bin") + 1).alias("b"))
+    bin_of = lambda x: F.floor(F.col(x) - F.col("xmin"))
+    in_order = whole.orderBy("b0", "b1").rowsBetween(Window.unboundedPreceding, -1)
+    inked = known.join(pages, page).select(*line, "xmin", "n_lines", bin_of("x0").alias("b0"), bin_of("x1").alias("b1"), bin_of("l0").alias("c0"), bin_of("l1").alias("c1"))
+    inked = inked.withColumns({"s0": F.greatest("b0", F.coalesce(F.max("b1").over(in_order) + 1, F.col("b0"))), "lead_row": F.row_number().over(whole.orderBy("b0", "b1")) == 1})
+    step = lambda at, cover, ink: F.struct(F.col(at).alias("bin") if isinstance(at, str) else at.alias("bin"), F.lit(cover).alias("cover"), F.lit(ink).alias("ink"))
+    none = F.array().cast("array<struct<bin:bigint,cover:int,ink:int>>")
+    own = F.when(F.col("s0") <= F.col("b1"), F.array(step("s0", 0, 1), step(F.col("b1") + 1, 0, -1))).otherwise(none)
+    edge = F.when(F.col("lead_row"), F.array(step("c0", 1, 0), step(F.col("c1") + 1, -1, 0))).otherwise(none)
+    steps = inked.select(*page, "xmin", "n_lines", F.explode(F.concat(own, edge)).alias("e")).groupBy(*page, "xmin", "n_lines", "e.bin").agg(F.sum("e.cover").alias("cover"), F.sum("e.ink").alias("ink"))
+    across = Window.partitionBy(*page).orderBy("bin")
+    spans = steps.withColumns({"cover": F.sum("cover").over(across), "ink": F.sum("ink").over(across), "next": F.lead("bin").over(across)})
+    gaps = spans.where((F.col("cover") >= F.greatest(F.lit(5), F.floor(F.col("n_lines") * 0.3))) & (F.col("cover") - F.col("ink") >= 0.9 * F.col("cover")))
+    fresh = F.when(F.lag("next").over(across) == F.col("bin"), 0).otherwise(1)
+    runs = gaps.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(across)).groupBy(*page, "xmin", "island").agg(F.min("bin").alias("a"), F.max("next").alias("b"))
     return runs.where(F.col("b") - F.col("a") >= GUTTER_RATIO * body_size).select(*page, (F.col("xmin") + F.col("a")).alias("g0"), (F.col("xmin") + F.col("b")).alias("g1"))
 
 
