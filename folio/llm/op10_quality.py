@@ -91,6 +91,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
         return net
     net.weights[-1] = np.log(labels.mean() / (1 - labels.mean()))
     net.weights[:-1] = rng.normal(0, 0.05, 2 * FILTERS)
+    # a short excerpt of each longer text learns along, as most labelled texts are long and short ones are to be scored, too
+    cuts = [(rng.integers(0, len(t) - 300), rng.integers(40, 300)) if len(t) > 400 else None for t in texts]
+    texts = [*texts, *[t[c[0] : c[0] + c[1]] for t, c in zip(texts, cuts, strict=True) if c]]
+    labels = np.concatenate([labels, labels[[i for i, c in enumerate(cuts) if c]]])
     parts, of = [], []
     for i, t in enumerate(texts):
         data, bounds = np.frombuffer(t, np.uint8), np.array([0, len(t)])
