@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
@@ -75,30 +76,46 @@ def _pieces(path: str):
 class Encoder:
     """One per worker; the distinct pieces' ids are kept, up to `most` pieces."""
 
-    def __init__(self, vocabulary: str | None = None, most: int = 1_000_000):
+    def __init__(self, vocabulary: str | None = None, most: int = 500_000):
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.piece = _pieces(path)
+        self.path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+        self.piece = _pieces(self.path)
         self.most = most
         self._clear()
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _clear(self) -> None:
-        self.names, self.at, self.sizes, self.ids = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.names, self.at, self.sizes, self.ids = np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _learn(self, names: np.ndarray, pieces: list[str]) -> None:
         got = [self.piece(p) for p in pieces]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        sizes = np.fromiter(map(len, got), np.int32, len(got))
         ids = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-        at = len(self.ids) + np.cumsum(sizes) - sizes
+        at = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
         self.ids = np.concatenate([self.ids, ids])
         every = np.concatenate([self.names, names])
         order = np.argsort(every, kind="stable")
         self.names, self.at, self.sizes = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.sizes, sizes])[order]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], part: int = 1_000_000) -> list[np.ndarray]:
+        """Each text's ids; some `part` characters are worked on at a time, or one longer text."""
+        out, own, size = [], [], 0
+        for t in texts:
+            own.append(t)
+            size += len(t)
+            if size > part:
+                out += self._encode(own)
+                own, size = [], 0
+        return out + self._encode(own)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain = []
         cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -127,7 +144,7 @@ class Encoder:
             self._learn(distinct[new], [whole[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         where = np.searchsorted(self.names, distinct)
         at, sizes = self.at[where][back], self.sizes[where][back]
-        total = np.r_[0, np.cumsum(sizes)]
+        total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         ids = self.ids[np.repeat(at - total[:-1], sizes) + np.arange(total[-1])]
         cuts = total[np.searchsorted(starts, bounds)]
         for k, i in enumerate(plain):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 
 import numpy as np
@@ -53,7 +55,7 @@ def id_bounds(df: DataFrame, key: str, groups: int) -> np.ndarray:
     return np.unique(np.ceil(np.array(at, float)).astype(np.int64))
 
 
-def packed(df: DataFrame, key: str, bounds: np.ndarray | int, pack_mb: int = 24) -> DataFrame:
+def packed(df: DataFrame, key: str, bounds: np.ndarray | int, pack_mb: int = 12) -> DataFrame:
     """(grp, blob): rows gathered by ranges of the key, or by its hash if bounds is a number of groups; each blob an Arrow stream under zstd.
 
     Rows with a null key go to group 0. All columns travel inside the blob, so their names can't clash.
@@ -86,12 +88,21 @@ def packed(df: DataFrame, key: str, bounds: np.ndarray | int, pack_mb: int = 24)
                 rows, size = [], 0
         if rows:
             yield from flush(rows)
-    
+        release()
+
     return df.mapInArrow(pack, "grp int, blob binary")
 
 
+def release() -> None:
+    """Gives a worker's freed memory back: workers live on between stages, and glibc and Arrow keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unpacked(blobs: pa.Table, key: str, text: str) -> pa.Table:
     """The rows of one group, in order of key, then text, whatever order the shuffle fetched."""
+    release()
     parts = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs.column("blob").combine_chunks()]
     t = pa.concat_tables(parts).combine_chunks()
     if t.num_rows < 2:
