@@ -31,6 +31,12 @@ def plan_bytes(df: DataFrame) -> int:
     return df.select(F.sum(sum(wide, F.lit(64))).alias("n")).first()["n"] or 0
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table in fewer splits than there are cores is dealt out before heavy work; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def power_of_two(x: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << math.ceil(math.log2(max(x, 1)))))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut_lineage, table
+from folio.llm.common import cut_lineage, spread, table
 
 #: The four base formats in the order of the result. Each finds what the plain pattern in the comment finds from left to
 #: right without overlap; look-behinds and possessive repeats keep long runs linear and leave out runs of wrong lengths.
@@ -70,7 +70,7 @@ def _count(kind: str) -> Column:
 
 def extract(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row, doc_id, base (spans of the fixed formats), tokens (identifier-like, with context, seed or not)."""
-    docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = spread(df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     docs = docs.select("doc_id", *[located("text", p).alias(k) for k, p in BASE.items()], located("text", TOKEN).alias("token"))
     parts = [_spans(i, k) for i, k in enumerate(BASE)]
     docs = docs.select("doc_id", F.concat(*parts).alias("base"), "token")

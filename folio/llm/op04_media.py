@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table, text_bytes
+from folio.llm.common import spread, table, text_bytes
 
 PACKET, BLOCK, UNIT = 188, 576, 8 * 576
 PAT_PID, PMT_PID, ES_PID, PROGRAM = 0, 0x1000, 0x100, 1
@@ -187,7 +187,7 @@ def to_transport_streams(df: DataFrame, key: str = "doc_id", text: str = "text")
             media = [write_stream(t.ljust(max(BLOCK, -(-len(t) // BLOCK) * BLOCK), b"\xff")) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return df.select(key, text).mapInArrow(write, "doc_id long, n_bytes long, media binary")
+    return spread(df.select(key, text)).mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
 
 def read_transport_streams(df: DataFrame, media: str = "media") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import grams as G
-from folio.llm.common import cut_lineage, table, text_bytes
+from folio.llm.common import cut_lineage, spread, table, text_bytes
 from folio.llm.components import components
 
 SEED = 42
@@ -70,7 +70,7 @@ def fingerprints(df: DataFrame, words: int = 3, key: str = "doc_id", text: str =
                 value = np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(value)], ["doc_id", "fp"])
 
-    return df.select(key, text).mapInArrow(batch, "doc_id long, fp long")
+    return spread(df.select(key, text)).mapInArrow(batch, "doc_id long, fp long")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def long_fingerprints(df: DataFrame, words: int = 5, key: str = "doc_id", text:
                     cols.append(pa.array(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f0", "f1", "f2"])
 
-    return df.select(key, text).mapInArrow(batch, "doc_id long, f0 long, f1 long, f2 long")
+    return spread(df.select(key, text)).mapInArrow(batch, "doc_id long, f0 long, f1 long, f2 long")
 
 
 def most_bits(similarity: float, slack: int = 4) -> int:

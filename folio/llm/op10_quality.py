@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table, text_bytes
+from folio.llm.common import spread, table, text_bytes
 
 CHUNK, STEP = 512, 480  # bytes; neighbours overlap, so no filter misses a seam
 WIDTH, STRIDE, FILTERS = 8, 2, 32
@@ -162,7 +162,7 @@ def score_documents(df: DataFrame, net: Network, text: str = "text", column: str
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(net.scores(data, bounds), 6), pa.float64())], [*part.schema.names, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(score, f"{schema}, `{column}` double")
+    return spread(df).mapInArrow(score, f"{schema}, `{column}` double")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
