@@ -2,7 +2,7 @@
 
 Coarse centroids and the residuals' codebooks are fitted on the driver to a bounded sample and travel with the tasks;
 every vector is assigned and coded in the scan. A cell's vectors are salted into blocks, so a hot cell is many groups.
-A query goes to every block of its nearest cells; a block ranks its codes by the query's distance tables, reranks the best
+A query goes to every block of its nearest cells (queries are dealt to parts, too, so that no block meets too many at once); a block ranks its codes by the query's distance tables, reranks the best
 by exact distances on the original vectors and answers with its nearest few; a query's answers are merged by rank.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import plan_bytes, table
 
 SAMPLE = 8192  # vectors that the index is fitted to, at most, by a hash of their ids
-BLOCK = 8192  # vectors of a cell in one block, about
+BLOCK, ASKED = 8192, 20_000  # vectors of a cell in one block, about, and queries that meet it at once
 CELLS, PARTS, CODES = 64, 16, 64  # cells at most; parts of a residual, and centroids of each
 PROBE_SHARE, RERANK = 0.8, 400  # share of the sampled vectors whose cells a query visits (vectors without clusters need so many); codes reranked in a block
 
@@ -105,6 +105,7 @@ def nearest(df: DataFrame, queries: str = "id % 100 = 0", k: int = 10, key: str
         return df.sparkSession.createDataFrame([], schema)
     index = Index.fit(np.array([r["v"] for r in sample]))
     salts = max(1, -(-plan_bytes(df) // (4 * dims) // (BLOCK * len(index.cells))))
+    parts = max(1, -(-df.select(F.col(key).cast("long").alias("id")).where(queries).count() // ASKED))
 
     def assign(batches):
         for b in batches:
@@ -140,9 +141,9 @@ def nearest(df: DataFrame, queries: str = "id % 100 = 0", k: int = 10, key: str
                 out["score"] += exact[best].tolist()
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    held = good.mapInArrow(assign, "id long, v array<double>, cell int, codes binary").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    asked = good.where(queries).mapInArrow(visit, "query_id long, q array<double>, cell int").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = held.groupBy("cell", "salt").cogroup(asked.groupBy("cell", "salt")).applyInArrow(search, "query_id long, vec_id long, score double")
+    held = good.mapInArrow(assign, "id long, v array<double>, cell int, codes binary").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = good.where(queries).mapInArrow(visit, "query_id long, q array<double>, cell int").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    met = held.groupBy("cell", "salt", "part").cogroup(asked.groupBy("cell", "salt", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
