@@ -133,9 +133,9 @@ def _met(node: np.ndarray, f: np.ndarray, cuts: np.ndarray, bits: int) -> tuple[
         for i in range(1, len(own)):
             near = np.flatnonzero(np.bitwise_count(fs[:i] ^ fs[i]).sum(1, dtype=np.int64) <= bits)
             if len(near):
-                groups, first = np.unique(label[near], return_index=True)  # one link to each group that it joins
-                u.append(own[near[first]])
-                v.append(np.full(len(first), own[i]))
+                groups = np.unique(label[near])  # one link to the least node of each group that it joins
+                u.append(own[groups])
+                v.append(np.full(len(groups), own[i]))
                 if len(groups) > 1:
                     label[np.isin(label, groups)] = groups[0]
                 label[i] = groups[0]
@@ -143,7 +143,8 @@ def _met(node: np.ndarray, f: np.ndarray, cuts: np.ndarray, bits: int) -> tuple[
 
 
 def long_links(nodes: DataFrame, bits: int) -> DataFrame:
-    """(u, v): links between nodes (node, f0, f1, f2) at `bits` or fewer differing bits, enough of them to connect each group.
+    """(u, v): links between nodes (node, f0, f1, f2) at `bits` or fewer differing bits, enough of them to connect each group: in
+    a large bucket a node is linked to the least node of what it joins, so that buckets of one group say much the same.
 
     Every node stands in the table of each segment under the segment's value and under those with one more bit set, so two
     nodes meet if a segment agrees up to a bit (or two, one on each side). Complete distances decide. A bucket is a run of
