@@ -85,81 +85,121 @@ def links(nodes: DataFrame) -> DataFrame:
     return met.selectExpr("least(a, b) AS u", "greatest(a, b) AS v").distinct()
 
 
-SEGMENT, WORDS_OF_BITS = 20, 3  # bits of a segment, and 64-bit words of a long fingerprint: nine whole segments
+SEGMENT = 20  # bits of a segment; a word of 64 bits has three
 _SALT = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_SALTS = (*_SALT, 0x165667B19E3779F9, 0x27D4EB2F165667C5)  # of the 320 bits that find candidates: fifteen segments
+#: Bits beyond the mean of a pair at the threshold that a candidate may differ in (4.5 standard deviations), and candidates whose ids are broadcast at most.
+SLACK, IDS_BROADCAST = 29, 500_000
+
+
+def distinct_shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names of each text's shingles, ascending and once each, and each text's bounds among them."""
+    names, cuts = shingle_names(texts, words)
+    doc = np.repeat(np.arange(len(texts)), np.diff(cuts))
+    names = names[np.lexsort((names, doc))]
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
+    return names[new], np.r_[0, np.cumsum(np.bincount(doc[new], minlength=len(texts)))]
+
+
+def _set_names(names: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """One name for each text's set of shingles."""
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(G.mix(names ^ np.uint64(0x85EBCA77C2B2AE63)), dtype=np.uint64)]
+    return G.mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.diff(cuts).astype(np.uint64)).view(np.int64)
+
+
+def _in_parts(batches, words: int):
+    """(keys, names of distinct shingles, bounds) of a thousand rows (key, text) at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, 1000):
+            part = b.slice(k, 1000)
+            data, bounds = text_bytes(part.column(1))
+            data = data.tobytes()
+            yield part.column(0).cast(pa.int64()), *distinct_shingles([data[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], words)
 
 
 def long_fingerprints(df: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, f2): 192 bits of the same kind, each word from the shingles' names mixed anew."""
+    """(doc_id, node, n, f0 to f4): the name and size of the set of shingles, and 320 bits, each word from the names mixed anew."""
 
     def batch(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                data, bounds = text_bytes(part.column(1))
-                data = data.tobytes()
-                names, cuts = shingle_names([data[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], words)
-                half, cols = np.diff(cuts)[:, None], [part.column(0).cast(pa.int64())]
-                for salt in _SALT:
-                    bits = 2 * bit_counts(G.mix(names ^ np.uint64(salt)), cuts) > half
-                    cols.append(pa.array(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f0", "f1", "f2"])
+        for ids, names, cuts in _in_parts(batches, words):
+            cols = [ids, pa.array(_set_names(names, cuts)), pa.array(np.diff(cuts), pa.int64())]
+            for salt in _SALTS:
+                bits = 2 * bit_counts(G.mix(names ^ np.uint64(salt)), cuts) > np.diff(cuts)[:, None]
+                cols.append(pa.array(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", *(f"f{i}" for i in range(len(_SALTS)))])
 
-    return spread(df.select(key, text)).mapInArrow(batch, "doc_id long, f0 long, f1 long, f2 long")
+    return spread(df.select(key, text)).mapInArrow(batch, "doc_id long, node long, n long, " + ", ".join(f"f{i} long" for i in range(len(_SALTS))))
 
 
-def most_bits(similarity: float, slack: int = 4) -> int:
-    """Differing bits of 192 that two documents of this shingle similarity (Jaccard) have on average, and some more."""
-    return int(192 * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
+def most_bits(similarity: float, slack: int = 4, bits: int = 192) -> int:
+    """Differing bits that two documents of this shingle similarity (Jaccard) have on average, and some more."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
 
 
-def _met(node: np.ndarray, f: np.ndarray, cuts: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links among the members of each bucket (rows between cuts): all pairs of small buckets, a spanning forest of others."""
+def _met(node: np.ndarray, n: np.ndarray, group: np.ndarray, f: np.ndarray, cuts: np.ndarray, bits: int, least: float, every: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links among the members of each bucket (rows between cuts) that aren't of one group yet: all pairs of small buckets, and of
+    others all pairs, too, or else a spanning forest, and each member of a pair that it spares linked to itself."""
     u, v = [], []
     size = np.diff(cuts)
     small = np.flatnonzero((size > 1) & (size <= 8))
+
+    def near(x, y):
+        close = np.bitwise_count(f[x] ^ f[y]).sum(-1, dtype=np.int64) <= bits
+        return close & (group[x] != group[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]))
+
     for step in range(1, 8):
         own = small[size[small] > step]
         if not len(own):
             break
         count = size[own] - step
         at = np.repeat(cuts[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        ok = np.bitwise_count(f[at] ^ f[at + step]).sum(1) <= bits
+        ok = near(at, at + step)
         u.append(node[at[ok]])
         v.append(node[at[ok] + step])
     for k in np.flatnonzero(size > 8):
-        own, fs = node[cuts[k] : cuts[k + 1]], f[cuts[k] : cuts[k + 1]]
-        label = np.arange(len(own))
+        at, own = cuts[k], node[cuts[k] : cuts[k + 1]]
+        label, spared = np.arange(len(own)), np.zeros(len(own), bool)
         for i in range(1, len(own)):
-            near = np.flatnonzero(np.bitwise_count(fs[:i] ^ fs[i]).sum(1, dtype=np.int64) <= bits)
-            if len(near):
-                groups = np.unique(label[near])  # one link to the least node of each group that it joins
-                u.append(own[groups])
-                v.append(np.full(len(groups), own[i]))
+            met = np.flatnonzero(near(slice(at, at + i), at + i))
+            if not len(met):
+                continue
+            if not every:
+                groups, first = np.unique(label[met], return_index=True)  # one link to the least node that it meets of each group that it joins
+                if len(met) > len(groups):
+                    spared[met] = spared[i] = True
                 if len(groups) > 1:
                     label[np.isin(label, groups)] = groups[0]
                 label[i] = groups[0]
+                met = met[first]
+            u.append(own[met])
+            v.append(np.full(len(met), own[i]))
+        u.append(own[spared])
+        v.append(own[spared])
     return u, v
 
 
-def long_links(nodes: DataFrame, bits: int) -> DataFrame:
-    """(u, v): links between nodes (node, f0, f1, f2) at `bits` or fewer differing bits, enough of them to connect each group: in
-    a large bucket a node is linked to the least node of what it joins, so that buckets of one group say much the same.
+def long_links(nodes: DataFrame, bits: int, least: float = 0.0, every: bool = False) -> DataFrame:
+    """(u, v): links between nodes (node, f0, f1 and so on; also n, a size, and grp, a group) of different groups at `bits` or fewer
+    differing bits, the smaller size at least `least` of the larger. In a large bucket only enough of them to connect what all
+    pairs connect, so that buckets of one group say much the same; the members of pairs so spared come as (u, u). With `every`, all.
 
     Every node stands in the table of each segment under the segment's value and under those with one more bit set, so two
     nodes meet if a segment agrees up to a bit (or two, one on each side). Complete distances decide. A bucket is a run of
-    sorted rows; nothing but the run is held. Two documents at the threshold itself meet in one of nine segments with a
-    chance of some 0.9, at a similarity of 0.9 of 0.99.
+    sorted rows; nothing but the run is held. Two documents at a similarity of 0.8 meet in one of fifteen segments with a
+    chance of some 0.99.
     """
-    value = ["shiftrightunsigned(f{0}, {1}) & {2}".format(i // 3, SEGMENT * (i % 3), (1 << SEGMENT) - 1) for i in range(9)]
+    words = [c for c in nodes.columns if c[0] == "f" and c[1:].isdigit()]
+    nodes = nodes.selectExpr("node", "n" if "n" in nodes.columns else "0L AS n", "grp" if "grp" in nodes.columns else "node AS grp", *words)
+    value = [f"shiftrightunsigned({w}, {SEGMENT * i}) & {(1 << SEGMENT) - 1}" for w in words for i in range(3)]
     flips = f"concat(array(0L), transform(filter(sequence(0, {SEGMENT - 1}), i -> ({{0}} & shiftleft(1L, i)) = 0), i -> shiftleft(1L, i)))"
     keys = ", ".join(f"transform({flips.format(f'({x})')}, flip -> ({x}) + flip + {k} * {1 << SEGMENT}L)" for k, x in enumerate(value))
-    rows = nodes.selectExpr(f"explode(concat({keys})) AS seg", "node", "f0", "f1", "f2").repartition("seg").sortWithinPartitions("seg", "node")
+    rows = nodes.selectExpr(f"explode(concat({keys})) AS seg", *nodes.columns).repartition("seg").sortWithinPartitions("seg", "node")
 
     def find(batches):
         rest = None
         for b in batches:
-            t = np.stack([np.asarray(c) for c in b.columns], 1) if b.num_rows else np.zeros((0, 5), np.int64)
+            t = np.stack([np.asarray(c) for c in b.columns], 1) if b.num_rows else np.zeros((0, 4 + len(words)), np.int64)
             t = t if rest is None else np.concatenate([rest, t])
             at = np.flatnonzero(np.r_[True, t[1:, 0] != t[:-1, 0]]) if len(t) else np.zeros(1, np.int64)
             rest = t[at[-1] :]  # its bucket may go on
@@ -168,24 +208,60 @@ def long_links(nodes: DataFrame, bits: int) -> DataFrame:
             yield from links_of(rest, np.array([0, len(rest)]))
 
     def links_of(t: np.ndarray, cuts: np.ndarray):
-        u, v = _met(t[:, 1], t[:, 2:].view(np.uint64), cuts, bits)
+        u, v = _met(t[:, 1], t[:, 2], t[:, 3], np.ascontiguousarray(t[:, 4:]).view(np.uint64), cuts, bits, least, every)
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], ["u", "v"])
 
     return rows.mapInArrow(find, "u long, v long").distinct()
 
 
+def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have this Jaccard similarity; only their documents are cut to shingles again."""
+
+    def batch(batches):
+        for _, names, cuts in _in_parts(batches, words):
+            sets = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(names.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_set_names(names, cuts)), sets], ["node", "has"])
+
+    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ids = cut_lineage(nodes.join(used, "node", "left_semi").select(F.col("least_id").alias("id__")).distinct())
+    if ids.limit(IDS_BROADCAST + 1).count() <= IDS_BROADCAST:
+        ids = F.broadcast(ids)
+    texts = df.select(F.col(key).cast("long").alias("key__"), F.col(text).alias("text__"))
+    sets = texts.join(ids, F.col("key__") == F.col("id__"), "left_semi").mapInArrow(batch, "node long, has array<long>").dropDuplicates(["node"])
+    both = pairs.join(sets.selectExpr("node AS u", "has AS a"), "u").join(sets.selectExpr("node AS v", "has AS b"), "v")
+    return both.selectExpr("u", "v", "size(a) + size(b) AS total", "size(array_intersect(a, b)) AS both").where(F.col("both") / (F.col("total") - F.col("both")) >= similarity).select("u", "v")
+
+
 def similar_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id: groups of documents whose shingles of `words` words are similar (Jaccard, by long fingerprints).
+    """doc_id, component_id: groups of documents whose sets of shingles of `words` words are similar (Jaccard), by chains.
 
+    Long fingerprints only name candidates; each link is verified by the sets themselves. What a large bucket spared is looked
+    at again where a verified group is smaller than its candidates' group, so every candidate is verified or needs not be.
     The smallest id names a group. Null and empty texts are one group; null keys are none's (component_id null); an empty
     table gives an empty result; other columns are ignored.
     """
     docs = cut_lineage(long_fingerprints(df, words, key, text))
-    nodes = cut_lineage(docs.groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
-    linked = components(long_links(nodes, most_bits(similarity)))
-    named = nodes.join(linked, "node", "left").select("f0", "f1", "f2", F.coalesce("component", "node").alias("component_id"))
-    return docs.join(named, ["f0", "f1", "f2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    prints = [f"f{i}" for i in range(len(_SALTS))]
+    nodes = cut_lineage(docs.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", *prints)]).where("least_id IS NOT NULL"))
+    bits = most_bits(similarity, SLACK, 64 * len(_SALTS))
+    check = lambda pairs: cut_lineage(verified(pairs, nodes, df, words, similarity, key, text))
+    met = cut_lineage(long_links(nodes.drop("least_id"), bits, similarity))
+    pairs = met.where("u <> v")
+    good = check(pairs)
+    linked = components(good)
+    spared = met.where("u = v").select(F.col("u").alias("node"))
+    if spared.limit(1).count():
+        grouped = components(pairs).withColumnRenamed("component", "loose").join(linked, "node", "left").select("node", "loose", F.coalesce("component", "node").alias("grp"))
+        parted = grouped.groupBy("loose").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y")
+        again = cut_lineage(nodes.drop("least_id").join(grouped.join(parted, "loose", "left_semi").join(spared, "node", "left_semi").select("node", "grp"), "node"))
+        more = cut_lineage(long_links(again, bits, similarity, every=True).join(pairs, ["u", "v"], "left_anti"))
+        if more.limit(1).count():
+            linked = components(good.union(check(more)))
+    named = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of = named.join(least, "component").select("node", "component_id")
+    return docs.join(of, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -130,3 +130,26 @@ def test_similar_documents_catch_near_copies_and_leave_others(spark):
         want |= {3 * i: 3 * i, 3 * i + 1: 3 * i, 3 * i + 2: 3 * i + 2}
     got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("f0", F.lit(1))).collect()}
     assert got == want
+
+def test_similar_documents_verify_the_similarity(spark):
+    """Pairs on both sides of 0.8, alone and in a group of many: what is linked is what the sets of shingles say."""
+    random.seed(8)
+    word = lambda: "".join(random.choices("abcdefgh", k=6))
+    texts = []
+    for changes in [4, 5, 6, 7, 8, 9, 10, 12] * 6:
+        w = [word() for _ in range(200)]
+        near = list(w)
+        for p in range(changes):  # each changes five shingles of 196
+            near[10 + 15 * p] = word()
+        texts += [" ".join(w), " ".join(near)]
+    base = [word() for _ in range(200)]
+    for _ in range(60):
+        w = list(base)
+        for p in random.sample(range(5, 195), random.randint(1, 6)):
+            w[p] = word()
+        texts.append(" ".join(w))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = brute.components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not {(a, b) for a, b in got.items() if want[a] == a != b}  # nothing goes that is not similar
+    assert got == want
