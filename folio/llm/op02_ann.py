@@ -8,6 +8,7 @@ by exact distances on the original vectors and answers with its nearest few; a q
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import plan_bytes, table
+from folio.llm.common import table
 
 SAMPLE = 8192  # vectors that the index is fitted to, at most, by a hash of their ids
 BLOCK, ASKED = 8192, 20_000  # vectors of a cell in one block, about, and queries that meet it at once
 CELLS, PARTS, CODES = 64, 16, 64  # cells at most; parts of a residual, and centroids of each
-PROBE_SHARE, RERANK = 0.8, 400  # share of the sampled vectors whose cells a query visits (vectors without clusters need so many); codes reranked in a block
+PROBE_SHARE, RERANK = 0.8, 400  # share of the sampled vectors whose cells a query visits (vectors without clusters need so many); codes reranked in a block, and all that tie with the last
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -104,8 +105,10 @@ def nearest(df: DataFrame, queries: str = "id % 100 = 0", k: int = 10, key: str
     if not sample:
         return df.sparkSession.createDataFrame([], schema)
     index = Index.fit(np.array([r["v"] for r in sample]))
-    salts = max(1, -(-plan_bytes(df) // (4 * dims) // (BLOCK * len(index.cells))))
-    parts = max(1, -(-df.select(F.col(key).cast("long").alias("id")).where(queries).count() // ASKED))
+    rows, asks = good.agg(F.count(F.lit(1)), F.count(F.when(F.expr(queries), 1))).first()
+    # a cell's blocks by its own share of the sample
+    salts = F.array(*[F.lit(max(1, math.ceil(rows * w / index.weight.sum() / BLOCK))) for w in index.weight.tolist()])
+    parts = max(1, -(-asks // ASKED))
 
     def assign(batches):
         for b in batches:
@@ -132,7 +135,8 @@ def nearest(df: DataFrame, queries: str = "id % 100 = 0", k: int = 10, key: str
                 table = index.tables(q[i], cell)
                 rough = sum(table[p][codes[:, p]] for p in range(PARTS))
                 rough[ids == q_ids[i]] = np.inf
-                some = np.argpartition(rough, RERANK)[:RERANK] if len(rough) > RERANK else np.arange(len(rough))
+                # with all that tie with the last, so equal vectors are in together and the smaller ids decide
+                some = np.flatnonzero(rough <= np.partition(rough, RERANK - 1)[RERANK - 1]) if len(rough) > RERANK else np.arange(len(rough))
                 some = some[ids[some] != q_ids[i]]
                 exact = np.sqrt(((x[some] - q[i]) ** 2).sum(1))
                 best = np.lexsort((ids[some], exact))[:k]
@@ -141,8 +145,8 @@ def nearest(df: DataFrame, queries: str = "id % 100 = 0", k: int = 10, key: str
                 out["score"] += exact[best].tolist()
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    held = good.mapInArrow(assign, "id long, v array<double>, cell int, codes binary").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = good.where(queries).mapInArrow(visit, "query_id long, q array<double>, cell int").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    held = good.mapInArrow(assign, "id long, v array<double>, cell int, codes binary").withColumn("salt", F.pmod(F.xxhash64("id"), F.element_at(salts, F.col("cell") + 1)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = good.where(queries).mapInArrow(visit, "query_id long, q array<double>, cell int").withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(salts, F.col("cell") + 1) - 1))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     met = held.groupBy("cell", "salt", "part").cogroup(asked.groupBy("cell", "salt", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -61,6 +61,23 @@ def test_neighbours_of_odd_vectors(spark):
     assert nearest(df.where("false")).collect() == nearest(df.where("vec_id = 3")).collect() == []
 
 
+def test_neighbours_among_thousands_of_copies(spark):
+    rng = np.random.default_rng(3)
+    one, x = rng.normal(size=16), rng.normal(size=(3000, 16))
+    ids = rng.permutation(4500)
+    rows = [(int(i), (one if k < 1500 else x[k - 1500]).tolist()) for k, i in enumerate(ids)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    copies, hit, want = set(ids[:1500].tolist()), 0, 0
+    for q, near in exact(rows):
+        if q in copies:  # all at distance 0: the ten smallest ids
+            assert got[q] == [i for i, _ in near]
+        else:
+            hit, want = hit + len(set(got[q]) & {i for i, _ in near}), want + 10
+    assert hit >= 0.9 * want
+
+
 # 3: personal data
 
 
