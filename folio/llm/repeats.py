@@ -65,7 +65,8 @@ class Group:
         self.whole = G.spans(self.sums, self.at[self.long], self.at[self.long + 1])
         _, first, back = np.unique(self.whole, return_index=True, return_inverse=True)
         self.repeats_id = self.ids[self.long[first[back]]] < self.ids[self.long]  # copies of a smaller id here
-        self.copies = first[back] != np.arange(len(back))
+        # rows whose windows needn't be looked at, as all their words go; a row of the same id goes on its own where only smaller ids count
+        self.copies = first[back] != np.arange(len(back)) if spec.same_document else self.repeats_id
         self.whole_names = np.unique(self.whole)
 
     def _starts(self, n: int, skip: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ class Group:
         hit = starts[gone]
         np.add.at(total, hit, 1)
         np.add.at(total, hit + s.window, -1)
-        full = G.member(self.whole, wholes) | (self.copies if s.same_document else self.repeats_id)
+        full = G.member(self.whole, wholes) | self.copies
         np.add.at(total, self.at[self.long[full]], 1)
         np.add.at(total, self.at[self.long[full] + 1], -1)
         return np.cumsum(total[:-1]) > 0

@@ -79,6 +79,13 @@ def test_null_and_repeated_keys(spark):
     assert sorted(r["n_removed"] for r in remove_repeated_bytes(df).collect()) == [0, len(part)]
 
 
+def test_rows_of_one_key_all_lose_what_a_smaller_key_holds(spark):
+    part = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, part), (5, f"x {part} y"), (5, f"x {part} y"), (5, f"x {part} y"), (7, f"x {part} y")]
+    got = remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in got) == [(1, 0, part), (5, 20, "x y"), (5, 20, "x y"), (5, 20, "x y"), (7, 22, "")]
+
+
 @pytest.mark.parametrize("f", [remove_repeated_passages, remove_repeated_bytes, remove_repeated_lines, near_duplicates, similar_documents])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).collect() == []
