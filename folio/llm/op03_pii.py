@@ -1,7 +1,7 @@
 """Operator 3, personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
 Four fixed formats (e-mail, IP address, payment card, phone) and long hexadecimal keys are the seeds. The lexical
-context before a seed is a pattern; patterns and the identifier-like tokens behind them are a bipartite graph, and both
+context before a whole seed is a pattern; patterns and the identifier-like tokens behind them are a bipartite graph, and both
 are scored in turns: a pattern by the mean score of its distinct tokens, a token by the chance that one of its patterns is
 right. What a confident pattern precedes is an identifier, too, whether or not it has a seed's format.
 """
@@ -60,8 +60,23 @@ def _sound(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
+def _whole(kind: str) -> Column:
+    return F.filter(kind, lambda x: _sound(kind, x["value"]))
+
+
+def _pattern(shape: Column, before: Column) -> Column:
+    context = F.regexp_extract(F.regexp_replace(F.lower(before), r"\s+", " "), CONTEXT, 1)
+    return F.when(context != "", F.concat_ws("|", shape, context))
+
+
+def _seeds(kind: str) -> Column:
+    """The whole spans of a format with what stands before them."""
+    shape = F.lit("secret" if kind == "email" else "number")
+    return F.transform(kind, lambda x: F.struct(F.lower(x["value"]).alias("value"), _pattern(shape, x["before"]).alias("pattern")))
+
+
 def _spans(i: int, kind: str) -> Column:
-    return F.transform(F.filter(kind, lambda x: _sound(kind, x["value"])), lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    return F.transform(kind, lambda x: F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
 
 
 def _count(kind: str) -> Column:
@@ -69,19 +84,19 @@ def _count(kind: str) -> Column:
 
 
 def extract(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id, base (spans of the fixed formats), tokens (identifier-like, with context, seed or not)."""
+    """doc_id, base (spans of the fixed formats), seeds (those with context), tokens (identifier-like, with context, seed or not)."""
     docs = spread(df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     docs = docs.select("doc_id", *[located("text", p).alias(k) for k, p in BASE.items()], located("text", TOKEN).alias("token"))
+    docs = docs.select("doc_id", *[_whole(k).alias(k) for k in BASE], "token")
     parts = [_spans(i, k) for i, k in enumerate(BASE)]
-    docs = docs.select("doc_id", F.concat(*parts).alias("base"), "token")
+    docs = docs.select("doc_id", F.concat(*parts).alias("base"), F.filter(F.concat(*map(_seeds, BASE)), lambda x: x["pattern"].isNotNull()).alias("seeds"), "token")
 
     def seen(x: Column) -> Column:
         inside = F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
         shape = F.when(x["value"].rlike("^[0-9-]+$"), "number").otherwise("secret")
-        context = F.regexp_extract(F.regexp_replace(F.lower(x["before"]), r"\s+", " "), CONTEXT, 1)
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["value"]).alias("value"), F.when(context != "", F.concat_ws("|", shape, context)).alias("pattern"), inside.alias("inside"), (inside | x["value"].rlike(HEX_KEY)).alias("seed"))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lower(x["value"]).alias("value"), _pattern(shape, x["before"]).alias("pattern"), inside.alias("inside"), x["value"].rlike(HEX_KEY).alias("seed"))
 
-    return docs.select("doc_id", "base", F.filter(F.transform("token", seen), lambda x: x["pattern"].isNotNull()).alias("tokens"))
+    return docs.select("doc_id", "base", "seeds", F.filter(F.transform("token", seen), lambda x: x["pattern"].isNotNull()).alias("tokens"))
 
 
 def confident_patterns(tokens: DataFrame, rounds: int = 3, least_seeds: int = 3, confidence: float = 0.7) -> DataFrame:
@@ -106,8 +121,10 @@ def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     rows = cut_lineage(extract(df, key, text)).withColumn("row", F.monotonically_increasing_id())
     tokens = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
-    good = confident_patterns(tokens.select("pattern", "value", "seed"))
-    more = tokens.where("not inside").join(good, "pattern", "left_semi")
+    tokens = tokens.where("not inside")  # the whole spans stand for them
+    seeds = rows.select(F.explode("seeds").alias("t")).selectExpr("t.pattern", "t.value", "true AS seed")
+    good = confident_patterns(tokens.select("pattern", "value", "seed").union(seeds))
+    more = tokens.join(good, "pattern", "left_semi")
     added = more.groupBy("row").agg(F.collect_list(F.struct(F.when(F.col("pattern").startswith("secret"), 4).otherwise(5).alias("k"), "s", "e")).alias("added"))
     named = F.transform(F.col("all"), lambda x: F.struct(F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1).alias("kind"), x["s"].alias("start"), x["e"].alias("end")))
     out = rows.join(added, "row", "left").withColumn("all", F.sort_array(F.concat("base", F.coalesce("added", F.expr("cast(array() AS array<struct<k:int,s:bigint,e:bigint>>)")))))

@@ -98,6 +98,25 @@ def test_patterns_find_unseen_identifiers_and_nothing_else(spark):
     assert got[101] == got[102] == [] and all(len(got[i]) == 1 for i in range(10))
 
 
+@pytest.mark.parametrize(
+    ("kind", "before", "value", "unseen", "found"),
+    [
+        ("phone", "call phone: ", "+49 30 12345{}", "030-99887766", "number"),
+        ("ip", "host ip: ", "10.0.0.{}", "10-20-30-40", "number"),
+        ("card", "my card: ", "4111 1111 1111 1111", "4111111111111112", "number"),
+        ("email", "write email: ", "jo.x@site{}.org", "jane-doe-at-site9", "secret"),
+    ],
+)
+def test_each_format_leads_to_unseen_identifiers(spark, kind, before, value, unseen, found):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "6011 0000 0000 0004", "3400 0000 0000 009"]
+    rows = [(i, f"some words, {before}{cards[i] if kind == 'card' else value.format(10 + i)} and more") for i in range(5)]
+    rows += [(100, f"some words, {before}{unseen} there"), (101, f"some words, other: {unseen} there")]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = rows[5][1].index(unseen)
+    assert all([s[0] for s in got[i]] == [kind] for i in range(5))
+    assert (found, at, at + len(unseen)) in got[100] and (found, at, at + len(unseen)) not in got[101]
+
+
 def test_personal_data_query(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in op3_pii(spark, sf).collect():
