@@ -1,6 +1,7 @@
 """Token ids of whole groups of texts: numpy splits them into the pieces that the vocabulary's pattern names, the
 tokenizer encodes each distinct piece once, and ids are gathered back. Texts with characters beyond U+024F, control
-characters U+001C to U+001F or a special token's string go through the tokenizer as they are."""
+characters U+001C to U+001F or a special token's string go through the tokenizer as they are. Pieces are told apart by their
+own bytes."""
 
 from __future__ import annotations
 
@@ -9,16 +10,13 @@ import unicodedata
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 
-from folio.llm import grams as G
-
-_U = np.uint64
 _LIMIT = 0x250
 #: Fixed value: the special token of the vocabulary.
 SPECIAL = "<|endoftext|>"
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _KIND = np.array([LETTER if (c := unicodedata.category(chr(i)))[0] == "L" else NUMBER if c[0] == "N" else SPACE if chr(i).isspace() and not 0x1C <= i <= 0x1F else OTHER for i in range(_LIMIT)], np.uint8)
-_NAMES = G.mix(np.arange(1, _LIMIT + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 #: What may follow an apostrophe as one piece, in the pattern's order.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -92,17 +90,16 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def _clear(self) -> None:
-        self.names, self.at, self.sizes, self.ids = np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.known: dict[bytes, int] = {}
+        self.at, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, names: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         got = [self.piece(p) for p in pieces]
-        sizes = np.fromiter(map(len, got), np.int32, len(got))
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-        at = (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)
-        self.ids = np.concatenate([self.ids, ids])
-        every = np.concatenate([self.names, names])
-        order = np.argsort(every, kind="stable")
-        self.names, self.at, self.sizes = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.sizes, sizes])[order]
+        at = len(self.ids) + np.cumsum(sizes) - sizes
+        self.known |= {p: len(self.known) + k for k, p in enumerate(pieces)}
+        self.ids, self.at, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.at, at]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: list[str], part: int = 1_000_000) -> list[np.ndarray]:
         """Each text's ids; some `part` characters are worked on at a time, or one longer text."""
@@ -134,15 +131,15 @@ class Encoder:
             return out
         cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         starts = split(cp, bounds)
-        names = G.spans(G.prefix(_NAMES[cp]), starts, np.r_[starts[1:], len(cp)])
-        ends = np.r_[starts[1:], len(cp)]
-        distinct, first, back = np.unique(names, return_index=True, return_inverse=True)
-        if len(self.names) + len(distinct) > self.most:
+        at = np.r_[0, np.cumsum(1 + (cp >= 0x80))].astype(np.int64)  # of each character among the bytes
+        data = pa.py_buffer(whole.encode())
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at[np.r_[starts, len(cp)]]), data]).dictionary_encode()
+        distinct, back = pieces.dictionary.to_pylist(), np.asarray(pieces.indices)
+        if len(self.known) + len(distinct) > self.most:
             self._clear()
-        new = ~G.member(distinct, self.names)
-        if new.any():
-            self._learn(distinct[new], [whole[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        where = np.searchsorted(self.names, distinct)
+        if new := [p for p in distinct if p not in self.known]:
+            self._learn(new)
+        where = np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))
         at, sizes = self.at[where][back], self.sizes[where][back]
         total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         ids = self.ids[np.repeat(at - total[:-1], sizes) + np.arange(total[-1])]

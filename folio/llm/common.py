@@ -5,6 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
+import re
+import tempfile
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +19,38 @@ from pyspark.sql import functions as F
 from folio.llm.grams import mix
 
 
-UNKNOWN = 1 << 60  # what Catalyst assumes of rows that no file's size tells of is above
+LEAST = -(2**63)  # what a null key counts as
+_QUANTILES = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's own estimate of a plan's bytes (file sizes; no job runs); where it has none, the rows' strings are measured."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < UNKNOWN:
-        return size
-    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of df has it (as Spark compares names)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def quoted(names: list[str]) -> list[str]:
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1 and so on, so that no name of theirs (a dot in it, or a name twice) is in the way; and what the named ones are called now."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(quoted(df.columns), df.schema.fields, strict=True))
+
+
+def text_size(df: DataFrame, *columns: str) -> int:
+    """Bytes of the columns' texts as they are worked on, not as they are stored: files may be compressed fifty-fold."""
+    wide = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in columns]
     return df.select(F.sum(sum(wide, F.lit(64))).alias("n")).first()["n"] or 0
 
 
@@ -41,11 +64,20 @@ def power_of_two(x: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << math.ceil(math.log2(max(x, 1)))))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, as the session names it. Where it names none, a local session has its own
+    folder, as in tests; a cluster's executors would not see each other's files there, so that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    return folder
+
+
 def with_shared_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() needs a folder; the cluster names one, and only where it doesn't (tests) we set our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -53,24 +85,81 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def id_bounds(df: DataFrame, key: str, groups: int) -> np.ndarray:
-    """Ascending bounds that deal the rows, in order of an integer key, to about `groups` even groups."""
-    if groups < 2:
-        return np.zeros(0, np.int64)
-    at = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / groups for i in range(1, groups)], 0.2 / groups)
-    return np.unique(np.ceil(np.array(at, float)).astype(np.int64))
-
-
-def packed(df: DataFrame, key: str, bounds: np.ndarray | int, pack_mb: int = 12) -> DataFrame:
-    """(grp, blob): rows gathered by ranges of the key, or by its hash if bounds is a number of groups; each blob an Arrow stream under zstd.
-
-    Rows with a null key go to group 0. All columns travel inside the blob, so their names can't clash.
+def text_hash(texts: pa.Array) -> np.ndarray:
+    """XXH64 of each text; a null counts as empty."""
+    import xxhash
+
+    data, bounds = text_bytes(texts)
+    data = data.tobytes()
+    return np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)), np.uint64, len(bounds) - 1)
+
+
+def order_keys(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.asarray(column.cast(pa.int64()).fill_null(LEAST))
+
+
+@dataclass(frozen=True)
+class Deal:
+    """Groups of about one size, ascending by key. A range of keys is cut evenly; a key that holds more than a group's share
+    is a range of its own, cut by the hash of its rows' texts, so neither nulls nor a repeated key make one task."""
+
+    lows: np.ndarray  # where each range of keys begins
+    highs: np.ndarray  # its last key
+    parts: np.ndarray  # groups that it is cut to
+    first: np.ndarray  # the first of them
+
+    @staticmethod
+    def of(df: DataFrame, key: str, text: str, group_bytes: int) -> tuple[Deal, int]:
+        """From one pass of counts and quantiles; and the bytes of all texts. The driver holds 1,024 quantiles, whatever the table's size."""
+        k = F.coalesce(F.col(quoted([key])[0]).cast("long"), F.lit(LEAST))
+        at = F.percentile_approx(k, F.array(*[F.lit((i + 0.5) / _QUANTILES) for i in range(_QUANTILES)]), 20 * _QUANTILES)
+        size = F.sum(F.coalesce(F.octet_length(F.col(quoted([text])[0])), F.lit(0)).cast("long") + 64)
+        r = df.agg(size.alias("size"), F.min(k).alias("low"), F.max(k).alias("high"), at.alias("at")).first()
+        if not r["size"]:
+            one = np.zeros(1, np.int64)
+            return Deal(one + LEAST, one - 1, one + 1, one), 0
+        at, groups = np.array(r["at"], np.int64), max(1, -(-r["size"] // group_bytes))
+        values, counts = np.unique(at, return_counts=True)
+        heavy = values[counts * groups >= 2 * _QUANTILES]  # two groups' share or more
+        even = at[(np.arange(1, min(groups, _QUANTILES)) * _QUANTILES) // min(groups, _QUANTILES)]
+        lows = np.unique(np.concatenate([[r["low"]], even, heavy, heavy[heavy < r["high"]] + 1]))
+        highs = np.r_[lows[1:] - 1, r["high"]]
+        own = np.searchsorted(at, highs, side="right") - np.searchsorted(at, lows)
+        parts = np.maximum(1, np.round(own * groups / _QUANTILES)).astype(np.int64)
+        return Deal(lows, highs, parts, np.cumsum(parts) - parts), r["size"]
+
+    def __call__(self, keys: np.ndarray, texts: pa.Array) -> np.ndarray:
+        r = np.maximum(np.searchsorted(self.lows, keys, side="right") - 1, 0)
+        sub, single = np.zeros(len(keys), np.int64), self.lows == self.highs
+        wide = np.flatnonzero((self.parts[r] > 1) & ~single[r])
+        low, high, n = (x[r[wide]] for x in (self.lows, self.highs, self.parts))
+        sub[wide] = np.minimum((keys[wide].astype(float) - low) / (high.astype(float) - low + 1) * n, n - 1).astype(np.int64)
+        cut = np.flatnonzero((self.parts[r] > 1) & single[r])
+        if len(cut):
+            n = self.parts[r[cut]]
+            sub[cut] = np.minimum(text_hash(texts.take(pa.array(cut))) / 2.0**64 * n, n - 1).astype(np.int64)
+        return self.first[r] + np.clip(sub, 0, None)
+
+    def rank(self, groups: np.ndarray) -> np.ndarray:
+        """Groups of one key have one rank; else a smaller rank has smaller keys."""
+        r = np.searchsorted(self.first, groups, side="right") - 1
+        return np.where(self.lows[r] == self.highs[r], self.first[r], groups)
+
+
+def by_hash(groups: int) -> Callable[[np.ndarray, pa.Array], np.ndarray]:
+    """Deals rows by a hash of key and text."""
+    return lambda keys, texts: (mix(text_hash(texts) ^ mix(keys.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
+
+
+def packed(df: DataFrame, key: str, text: str, deal: Callable[[np.ndarray, pa.Array], np.ndarray], pack_mb: int = 12) -> DataFrame:
+    """(grp, blob): rows gathered by groups; each blob an Arrow stream under zstd.
+
+    All columns travel inside the blob, so their names can't clash.
     """
 
     def flush(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
-        ids = np.asarray(t.column(key).cast(pa.int64()).fill_null(-(2**63)))
-        grp = (mix(ids.astype(np.uint64) ^ np.uint64(0x5DEECE66D)) % np.uint64(bounds)).astype(np.int64) if isinstance(bounds, int) else np.searchsorted(bounds, ids, side="right")
+        grp = deal(order_keys(t.column(key).combine_chunks()), _flat(t.column(text)))
         order = np.argsort(grp, kind="stable")
         t, grp = t.take(pa.array(order)), grp[order]
         cuts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
@@ -99,6 +188,11 @@ def packed(df: DataFrame, key: str, bounds: np.ndarray | int, pack_mb: int = 12)
     return df.mapInArrow(pack, "grp int, blob binary")
 
 
+def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a
+
+
 def release() -> None:
     """Gives a worker's freed memory back: workers live on between stages, and glibc and Arrow keep what they once had."""
     pa.default_memory_pool().release_unused()
@@ -107,14 +201,24 @@ def release() -> None:
 
 
 def unpacked(blobs: pa.Table, key: str, text: str) -> pa.Table:
-    """The rows of one group, in order of key, then text, whatever order the shuffle fetched."""
+    """The rows of one group in order of key, whatever order the shuffle fetched; rows of one key by the hash of their texts, then by the texts."""
     release()
     parts = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs.column("blob").combine_chunks()]
     t = pa.concat_tables(parts).combine_chunks()
     if t.num_rows < 2:
         return t
-    by = pa.table([t.column(key).cast(pa.int64()).fill_null(-(2**63)), t.column(text)], names=["k", "t"])
-    return t.take(pc.sort_indices(by, sort_keys=[("k", "ascending"), ("t", "ascending")])).combine_chunks()
+    keys = order_keys(t.column(key))
+    order = np.argsort(keys, kind="stable")
+    again = keys[order][1:] == keys[order][:-1]
+    if again.any():
+        tied = np.zeros(len(keys), bool)
+        tied[order[1:][again]] = tied[order[:-1][again]] = True
+        h = np.zeros(len(keys), np.uint64)
+        texts = _flat(t.column(text))
+        h[tied] = text_hash(texts.filter(pa.array(tied)))
+        by = pa.table([pa.array(keys), pa.array(h), texts], names=["k", "h", "t"])
+        order = np.asarray(pc.sort_indices(by, sort_keys=[("k", "ascending"), ("h", "ascending"), ("t", "ascending")]))
+    return t.take(pa.array(order)).combine_chunks()
 
 
 def text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,6 @@
-"""Vectorised token and window names over whole groups of documents (numpy only)."""
+"""Vectorised token and window names over whole groups of documents (numpy only).
+
+Names are polynomials modulo 2**64 and collide for some inputs by construction, so they may choose candidates but never decide equality."""
 
 from __future__ import annotations
 
@@ -82,6 +84,16 @@ def cut(data: np.ndarray, ends: np.ndarray, separators: np.ndarray) -> tuple[np.
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def words_in(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many words (runs without ASCII white space) each line [start, end) has."""
+    solid = ~_SPACE[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    first[starts] = solid[starts]
+    total = np.r_[0, np.cumsum(first)]
+    return total[ends] - total[starts]
+
+
 def window_minima(names: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` consecutive names."""
     got, have = names, 1

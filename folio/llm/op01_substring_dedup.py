@@ -1,7 +1,7 @@
 """Operator 1, substring dedup by fixed-block anchors.
 
 Non-overlapping blocks of every document are indexed and probed with every rolling window of the same
-length; hits are extended to windows of the threshold length, which are verified under their full names
+length; hits are extended to windows of the threshold length, which are compared word by word
 and united to maximal exact repeats. A window of n words holds a whole block of b words wherever it
 starts if n >= 2 b - 1, so with n = 13 and b = 7 no repeat is lost.
 """

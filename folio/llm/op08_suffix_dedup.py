@@ -1,10 +1,10 @@
 """Operator 8, suffix-array dedup by depth-limited radix sort.
 
-Only suffixes that can share their first `depth` bytes with another are ordered: the least 36-byte name of
-each window must occur twice. The rest are ordered no further than the depth, by the digits of their names,
-most significant first: the exchange deals them out by the first digit, each blob holds them by the second,
-and a bucket orders what remains. Equal groups are exactly the repeated windows; names stand for the bytes,
-so the order within a bucket is the names' order, which the result does not depend on.
+Suffixes are ordered by their bytes in passes over digits of eight bytes, most significant first: a pass orders what the
+passes before left tied, what is alone drops out, and at the depth (100 bytes) the sort stops. Equal groups are then exactly
+the repeated windows. Each group of documents sorts its own suffixes; the first of each equal group goes on to a bucket,
+which sorts those of all groups. Suffixes that share no 36-byte anchor with another can't be tied at the depth and aren't
+sorted at all; the anchors are least names of windows, which also say in which bucket equal windows meet.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def remove_repeated_bytes(df: DataFrame, depth: int = 100, key: str = "doc_id",
     """doc_id, n_bytes, n_removed, kept (the remaining bytes), removed (spans in bytes).
 
     A byte goes if a `depth`-byte string that covers it also starts earlier: in a row with a smaller key, or earlier
-    in the same row. Rows of one key count in order of their texts. A null text is empty; a null key is the smallest;
+    in the same row. Rows of one key count in an order that their texts give. A null text is empty; a null key is the smallest;
     an empty table gives an empty result; other columns are ignored.
     """
 

@@ -1,9 +1,10 @@
 """Operator 9, packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-Documents are dealt to groups by a hash of their id and each group is packed for itself, so groups bound memory and
+Documents are dealt to groups by a hash of their id and text and each group is packed for itself, so groups bound memory and
 need nothing of one another. In a group a document's whole sequences stand alone and the rests go to bins by first-fit
-decreasing. Then rests are cut to fill the holes: the least filled bins give to the fullest, and of the one bin that is
-left in the end, pieces of powers of two are made. No sequence needs padding.
+decreasing. Bins that it fills stay. Of those with holes the least filled ones give their rests, cut where need be, to fill
+the fullest, and of the one bin that is left in the end, pieces of powers of two are made. No sequence needs padding.
+Each piece tells the bin in which first-fit decreasing placed it, so the fill before cutting can be read off the result.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.bpe import encoder
-from folio.llm.common import packed, plan_bytes, table, unpacked
+from folio.llm.common import by_hash, packed, table, text_size, unpacked
 
-GROUP_BYTES = 2 << 20
-Piece = tuple[int, int, int]  # document, start, length
+GROUP_BYTES = 4 << 20  # of text
+Piece = tuple[int, int, int, int]  # document, start, length, and the bin of first-fit decreasing (-1: a whole sequence)
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -58,13 +59,13 @@ def fill_holes(bins: list[list[Piece]], capacity: int) -> list[list[Piece]]:
         if not bins[give]:
             give -= 1
             continue
-        doc, start, size = bins[give].pop()
+        doc, start, size, own = bins[give].pop()
         part = min(size, free[take])
-        bins[take].append((doc, start, part))
+        bins[take].append((doc, start, part, own))
         free[take] -= part
         free[give] += part
         if part < size:
-            bins[give].append((doc, start + part, size - part))
+            bins[give].append((doc, start + part, size - part, own))
     out = [b for k, b in enumerate(bins) if b and free[k] == 0]
     for b in (b for k, b in enumerate(bins) if b and free[k]):
         left, rest = sum(p[2] for p in b), list(b)
@@ -72,31 +73,32 @@ def fill_holes(bins: list[list[Piece]], capacity: int) -> list[list[Piece]]:
             want, seq = 1 << (left.bit_length() - 1), []
             left -= want
             while want:
-                doc, start, size = rest.pop()
+                doc, start, size, own = rest.pop()
                 part = min(size, want)
-                seq.append((doc, start, part))
+                seq.append((doc, start, part, own))
                 want -= part
                 if part < size:
-                    rest.append((doc, start + part, size - part))
+                    rest.append((doc, start + part, size - part, own))
             out.append(seq)
     return out
 
 
 def pack_group(lengths: list[int], capacity: int) -> list[list[Piece]]:
-    """Sequences of pieces (document, start, length) that hold every token once."""
-    whole = [[(i, k * capacity, capacity)] for i, n in enumerate(lengths) for k in range(n // capacity)]
+    """Sequences of pieces that hold every token once."""
+    whole = [[(i, k * capacity, capacity, -1)] for i, n in enumerate(lengths) for k in range(n // capacity)]
     rests = [(i, n - n % capacity, n % capacity) for i, n in enumerate(lengths) if n % capacity]
-    return whole + fill_holes([[rests[i] for i in b] for b in first_fit_decreasing([r[2] for r in rests], capacity)], capacity)
+    return whole + fill_holes([[(*rests[i], k) for i in b] for k, b in enumerate(first_fit_decreasing([r[2] for r in rests], capacity))], capacity)
 
 
 def pack_documents(df: DataFrame, capacity: int = 1024, end_id: int = 0, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, first_fit_bin (where
+    first-fit decreasing placed the piece's rest; null for a sequence that one document fills).
 
     Each document is its ids, then end_id. A null text is empty (one piece of end_id); a null key stays null; rows of
     one key are documents of their own, in order of their texts; an empty table gives an empty result; other columns
     are ignored. The capacity is a power of two.
     """
-    groups = max(1, plan_bytes(df.select(key, text)) // GROUP_BYTES)
+    groups = max(1, -(-text_size(df, text) // GROUP_BYTES))
 
     def pack(blobs: pa.Table) -> pa.Table:
         docs, grp = unpacked(blobs, key, text), blobs.column("grp")[0].as_py()
@@ -105,15 +107,15 @@ def pack_documents(df: DataFrame, capacity: int = 1024, end_id: int = 0, vocabul
         rows = []
         for s, seq in enumerate(pack_group([len(x) for x in ids], capacity)):
             offset = 0
-            for i, start, size in seq:
-                rows.append((i, start, size, ids[i][start : start + size].astype("<u4").tobytes(), len(ids[i]), (grp << 32) + s, offset))
+            for i, start, size, own in seq:
+                rows.append((i, start, size, ids[i][start : start + size].astype("<u4").tobytes(), len(ids[i]), (grp << 32) + s, offset, None if own < 0 else (grp << 32) + own))
                 offset += size
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-        ints = [pa.array(cols[i], pa.int64()) for i in (1, 2, 4, 5, 6)]
-        return pa.table([keys.take(pa.array(cols[0], pa.int64())), ints[0], ints[1], pa.array(cols[3], pa.binary()), *ints[2:]], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+        ints = [pa.array(cols[i], pa.int64()) for i in (1, 2, 4, 5, 6, 7)]
+        return pa.table([keys.take(pa.array(cols[0], pa.int64())), ints[0], ints[1], pa.array(cols[3], pa.binary()), *ints[2:]], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "first_fit_bin"])
 
-    return packed(df.select(key, text), key, groups).groupBy("grp").applyInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return packed(df.select(key, text), key, text, by_hash(groups)).groupBy("grp").applyInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, first_fit_bin long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "first_fit_bin")

@@ -45,22 +45,21 @@ def repeated_bytes(rows, n=100):
     return out
 
 
-def repeated_lines(rows, n=3):
+def repeated_lines(rows, n=3, long=(25, 50)):
+    """A run of lines counts if they stand for n lines at least: a line for one, and one more for each number of words it reaches."""
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
-        spots, at = [], 0
-        for line in (t or "").split("\n"):
-            if line:
-                spots.append((at, at + len(line), line))
-            at += len(line) + 1
-        gone = [False] * len(spots)
-        for j in range(len(spots) - n + 1):
-            k = tuple(s[2] for s in spots[j : j + n])
+        lines = [x for x in (t or "").split("\n") if x]
+        parts = [(k, x, j) for k, x in enumerate(lines) for j in range(1 + sum(len(WORD.findall(x)) >= w for w in long))]
+        gone = [False] * len(lines)
+        for j in range(len(parts) - n + 1):
+            k = tuple(p[1:] for p in parts[j : j + n])
             if k in seen:
-                gone[j : j + n] = [True] * n
+                for p in parts[j : j + n]:
+                    gone[p[0]] = True
             else:
                 seen.add(k)
-        out[i] = [s[2] for s, g in zip(spots, gone, strict=True) if not g]
+        out[i] = [x for x, g in zip(lines, gone, strict=True) if not g]
     return out
 
 

@@ -86,6 +86,78 @@ def test_rows_of_one_key_all_lose_what_a_smaller_key_holds(spark):
     assert sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in got) == [(1, 0, part), (5, 20, "x y"), (5, 20, "x y"), (5, 20, "x y"), (7, 22, "")]
 
 
+def alternating(n):
+    """0 or 1 by the parity of bits: whatever the odd base, the polynomial modulo 2**64 of n >= 2,048 such signs is that of their opposites."""
+    return [i.bit_count() % 2 for i in range(n)]
+
+
+def test_names_that_collide_decide_nothing(spark):
+    """Texts of one polynomial name, or whose windows have one, without anything in common."""
+    signs = alternating(2048)
+    words = [" ".join(("ab"[s ^ k]) + "x" * (j % 3) for j, s in enumerate(signs)) for k in (0, 1)]
+    rows = [(k, w) for k, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], brute.sha(r["kept"].encode())) for r in remove_repeated_passages(df).collect()} == brute.passages(rows)
+    rows = [(k, "".join("ab"[s ^ k] for s in alternating(4096))) for k in (0, 1)] + [(5, "f" * 40 + "".join("cd"[s] for s in alternating(1024)) + "g"), (6, "f" * 40 + "".join("dc"[s] for s in alternating(1024)) + "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), brute.sha(r["kept"])) for r in remove_repeated_bytes(df).collect()} == brute.repeated_bytes(rows)
+    one, other = ("".join("ab"[s ^ k] for s in alternating(1024)) for k in (0, 1))
+    rows = [(1, f"{one}\nsame\nend"), (2, f"{other}\nsame\nend"), (3, f"{one}\nsame\nend\nmore")]
+    got = remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in got} == brute.repeated_lines(rows) == {1: [one, "same", "end"], 2: [other, "same", "end"], 3: ["more"]}
+
+
+def test_windows_that_collide_across_groups(spark, monkeypatch):
+    """Windows of 4,096 bytes of one name in documents of different groups."""
+    monkeypatch.setattr(R, "GROUP_BYTES", 1000)
+    rows = [(k, f"{k} " * 30 + "".join("ab"[s ^ k % 2] for s in alternating(4096)) + " tail" * k) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for depth in (100, 4096):
+        got = remove_repeated_bytes(df, depth).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), brute.sha(r["kept"])) for r in got} == brute.repeated_bytes(rows, depth)
+
+
+def test_groups_that_share_long_prefixes(spark, many_groups):
+    """Strings that differ from one another at one byte only, at every depth of the digits, and periodic ones."""
+    base = "".join(random.Random(2).choices("abcd", k=100))
+    rows = [(i, f"<{i}>" + base[:i] + "#" + base[i + 1 :] + f"<{i}>" + base[:99] + str(i % 4)) for i in range(100)] + [(200, "ab" * 400), (201, "ba" * 300 + "c"), (202, "a" * 99), (203, "a" * 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), brute.sha(r["kept"])) for r in remove_repeated_bytes(df).collect()} == brute.repeated_bytes(rows)
+
+
+def test_long_lines_are_runs_of_their_own(spark, many_groups):
+    line = lambda seed, n: " ".join(random.Random(seed).choices(["alpha", "beta", "gamma", "delta"], k=n))
+    rows = [(1, line(1, 60) + "\nshort"), (2, "other\n" + line(1, 60)), (3, line(2, 30) + "\n" + line(3, 30)), (4, "x\n" + line(2, 30) + "\n" + line(3, 30) + "\ny"), (5, line(2, 30) + "\nz"), (6, line(2, 30) + "\nz"), (7, line(2, 30)), (8, "a b\nc"), (9, "a b\nc"), (10, line(2, 24) + "\nz"), (11, line(2, 24) + "\nz")]
+    got = {r["doc_id"]: [x for x in r["text"].split("\n") if x] for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.repeated_lines(rows)
+    assert got[2] == ["other"] and got[4] == ["x", "y"] and got[6] == [] and got[7] == [line(2, 30)] and got[9] == ["a b", "c"] and len(got[11]) == 2
+
+
+@pytest.mark.parametrize("same_key", [None, 5])
+def test_a_key_of_most_rows_is_many_groups(spark, monkeypatch, same_key):
+    """Null or repeated keys are dealt out, too, and lose what smaller keys hold, and among one another only where that counts."""
+    monkeypatch.setattr(R, "GROUP_BYTES", 4000)
+    word = random.Random(1)
+    part = " ".join(word.choices("abcdefg", k=40))
+    texts = [f"{i} {' '.join(word.choices('abcdefg', k=30))} {part} {i}" for i in range(300)]
+    rows = [(same_key, t) for t in texts[:200]] + [(10 + i, t) for i, t in enumerate(texts[200:])] + ([(1, part)] if same_key else [])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    deal, _ = R.Deal.of(df, "doc_id", "text", R.GROUP_BYTES)
+    assert deal.parts.max() > 5
+    got = remove_repeated_passages(df).collect()
+    of_key = [r["n_removed"] for r in got if r["doc_id"] == same_key]
+    assert len(of_key) == 200 and all((n >= 40) == (same_key is not None) for n in of_key)
+    assert all(r["n_removed"] >= 40 for r in got if r["doc_id"] is not None and r["doc_id"] >= 10)
+    kept = [r["kept"].decode() for r in remove_repeated_bytes(df, 60).collect()]
+    assert len(kept) == len(rows) and sum(part in k for k in kept) == 1
+
+
+def test_line_counts_go_to_a_name_of_their_own(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", 7), (2, "a\nb\nc", 8)], "doc_id long, text string, `n_lines_removed__` int").withColumnRenamed("n_lines_removed__", "N_lines_removed__")
+    got = remove_repeated_lines(df.withColumn("a.b", F.lit(1))).orderBy("doc_id").collect()
+    assert [r.asDict() for r in got] == [{"doc_id": 1, "text": "a\nb\nc", "N_lines_removed__": 7, "a.b": 1, "n_lines_removed___": 0}, {"doc_id": 2, "text": "", "N_lines_removed__": 8, "a.b": 1, "n_lines_removed___": 3}]
+
+
 @pytest.mark.parametrize("f", [remove_repeated_passages, remove_repeated_bytes, remove_repeated_lines, near_duplicates, similar_documents])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).collect() == []
