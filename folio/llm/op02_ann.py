@@ -1,14 +1,17 @@
 """Operator 2, approximate nearest neighbours: an inverted file with product-quantised residuals.
 
-Coarse centroids and the residuals' codebooks are fitted on the driver to a bounded sample and travel with the tasks;
-every vector is assigned and coded in the scan. A cell's vectors are salted into blocks, so a hot cell is many groups.
-A query goes to every block of its nearest cells (queries are dealt to parts, too, so that no block meets too many at once); a block ranks its codes by the query's distance tables, reranks the best
-by exact distances on the original vectors and answers with its nearest few; a query's answers are merged by rank.
+Coarse centroids and the residuals' codebooks are fitted on the driver to a bounded sample and travel with the tasks; every
+vector is assigned to its cell and coded in the scan. Neighbouring cells make a block of a few thousand vectors. A query goes,
+with the list of cells that it visits there, to the blocks of its nearest cells. A block ranks the codes in these cells by the
+query's distance table, reranks the best by exact distances on the original vectors and answers with its nearest few; a
+query's answers are merged by rank. How many cells a query visits is set on the sample, so that it finds the target share of
+neighbours there: few where vectors cluster, many where they don't.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,42 +19,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import table
+from folio.llm.common import cut_lineage, quoted, table
+from folio.llm.grams import mix
 
-SAMPLE = 8192  # vectors that the index is fitted to, at most, by a hash of their ids
-BLOCK, ASKED = 8192, 20_000  # vectors of a cell in one block, about, and queries that meet it at once
-CELLS, PARTS, CODES = 64, 16, 64  # cells at most; parts of a residual, and centroids of each
-PROBE_SHARE, RERANK = 0.8, 400  # share of the sampled vectors whose cells a query visits (vectors without clusters need so many); codes reranked in a block, and all that tie with the last
+CELLS, SAMPLE = 16_384, 16_384  # cells at most (else 4 times the square root of the rows), and vectors that they are fitted to: so many, or 16 a cell
+PARTS, CODES = 16, 64  # parts of a residual, and centroids of each
+BLOCK, ASKED = 4096, 50_000  # vectors of a block, about, and queries that meet it at once
+RECALL, RERANK = 0.97, 400  # share of the sample's neighbours that the visited cells hold; codes reranked in a block, and all that tie with the last
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each vector, some rows at a time."""
+    step = max(1, 4_000_000 // len(c))
+    return np.concatenate([_distances(x[k : k + step], c).argmin(1) for k in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[np.sort(rng.choice(len(x), min(k, len(x)), replace=False))].copy()
     for _ in range(rounds):
-        near = _distances(x, c).argmin(1)
-        for j in range(len(c)):
-            if (own := near == j).any():
-                c[j] = x[own].mean(0)
+        near = _nearest(x, c)
+        order = np.argsort(near, kind="stable")
+        own = np.bincount(near, minlength=len(c))
+        full = np.flatnonzero(own)
+        c[full] = np.add.reduceat(x[order], (np.cumsum(own) - own)[full], axis=0) / own[full, None]
     return c
 
 
-def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
-
-
 @dataclass
 class Index:
     cells: np.ndarray  # (cells, dims)
     books: np.ndarray  # (parts, codes, dims / parts)
-    weight: np.ndarray  # the sample's vectors in each cell
+    weight: np.ndarray  # share of the sample in each cell
+    block: np.ndarray  # the block of each cell
+    share: float  # a query visits its nearest cells until they hold this share of the sample
 
     @staticmethod
-    def fit(x: np.ndarray, seed: int = 11) -> Index:
+    def fit(x: np.ndarray, rows: int, k: int = 10, recall: float = RECALL, seed: int = 11) -> Index:
         rng = np.random.default_rng(seed)
-        cells = _kmeans(x, max(1, min(CELLS, len(x) // 64)), 8, rng)
-        near = _distances(x, cells).argmin(1)
-        rest = Index._parts(x - cells[near])
-        books = np.stack([_kmeans(rest[:, p], CODES, 6, rng) for p in range(PARTS)]) if len(x) else np.zeros((PARTS, 1, rest.shape[2]))
-        return Index(cells, books, np.bincount(near, minlength=len(cells)))
+        once = np.unique(x, axis=0)
+        cells = _kmeans(once, max(1, min(CELLS, int(4 * math.sqrt(rows)), len(once) // 16)), 6, rng)
+        near = _nearest(once, cells)
+        rest = Index._parts(once - cells[near])
+        books = np.stack([_kmeans(rest[:, p], CODES, 6, rng) for p in range(PARTS)])
+        tops = _kmeans(cells, max(1, -(-rows // BLOCK)), 4, rng)
+        weight = np.bincount(_nearest(x, cells), minlength=len(cells)) / len(x)
+        index = Index(cells, books, weight, _nearest(cells, tops), 1.0)
+        index.share = index._needed(once[rng.choice(len(once), min(256, len(once)), replace=False)], once, near, k, recall)
+        return index
+
+    def _needed(self, asked: np.ndarray, x: np.ndarray, near: np.ndarray, k: int, recall: float) -> float:
+        """The share of the sample that nearest cells must hold, so that they have this share of the sample's own neighbours."""
+        found = []
+        for k0 in range(0, len(asked), 16):
+            q = asked[k0 : k0 + 16]
+            top = np.argsort(_distances(q, x), 1, kind="stable")[:, 1 : k + 1]
+            order = _distances(q, self.cells).argsort(1, kind="stable")
+            held = np.cumsum(self.weight[order], 1)
+            place = np.argsort(order, 1)
+            at = np.take_along_axis(place, near[top], 1)
+            found.append(np.where(at > 0, np.take_along_axis(held, np.maximum(at - 1, 0), 1), 0).ravel())
+        found = np.concatenate(found)
+        return float(np.quantile(found, recall)) if len(found) else 1.0
 
     @staticmethod
     def _parts(rest: np.ndarray) -> np.ndarray:
@@ -60,21 +92,24 @@ class Index:
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell of each vector, and its codes."""
-        near = _distances(x, self.cells).argmin(1)
+        near = _nearest(x, self.cells)
         rest = self._parts(x - self.cells[near])
-        return near, np.stack([_distances(rest[:, p], self.books[p]).argmin(1) for p in range(PARTS)], 1).astype(np.uint8)
+        return near, np.stack([_nearest(rest[:, p], self.books[p]) for p in range(PARTS)], 1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
-        """Squared distances from the query's residual to every codebook entry: (parts, codes)."""
-        rest = self._parts((q - self.cells[cell])[None])[0]
-        return ((self.books - rest[:, None]) ** 2).sum(2)
+    def constants(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the distance from any query has of a coded vector alone: twice centroid times residual, and the residual's square."""
+        rest = np.stack([self.books[p][codes[:, p]] for p in range(PARTS)], 1)
+        return (rest * (2 * self._parts(self.cells[cell]) + rest)).sum((1, 2))
 
-    def probes(self, x: np.ndarray, share: float) -> list[np.ndarray]:
-        """For each query the nearest cells, until they held the share of the sample."""
-        order = _distances(x, self.cells).argsort(1, kind="stable")
+    def table(self, q: np.ndarray) -> np.ndarray:
+        """Twice the query times every codebook entry: (parts, codes)."""
+        return 2 * np.einsum("pcd,pd->pc", self.books, self._parts(q[None])[0])
+
+    def visits(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each query the nearest cells, until they hold the share of the sample."""
+        order = _distances(q, self.cells).argsort(1, kind="stable")
         held = np.cumsum(self.weight[order], 1)
-        count = 1 + (held < share * self.weight.sum()).sum(1)
-        return [o[:n] for o, n in zip(order, count, strict=True)]
+        return [o[:n] for o, n in zip(order, 1 + (held < self.share).sum(1), strict=True)]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -82,74 +117,123 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def sound(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
-    """(id, v): vectors of the right length without null or non-finite components, and not zero."""
-    v = F.col(vector).cast("array<double>")
-    fine = v.isNotNull() & (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.where(fine & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+def sound(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v): vectors without null or non-finite components, and not zero."""
+    v, key = F.col(quoted([vector])[0]).cast("array<double>"), F.col(quoted([key])[0])
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return df.where(fine & key.isNotNull()).select(key.cast("long").alias("id"), v.alias("v"))
+
+
+def _by_length(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    size = np.asarray(b.column(column).value_lengths())
+    for n in np.unique(size).tolist():
+        yield n, b.filter(pa.array(size == n))
+
+
+def _kept(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """Rows without those of equal vectors beyond the `most` smallest ids: they can be no one's nearest."""
+    order = np.lexsort((ids, *x.T[:2]))  # equal vectors side by side, but for chance neighbours, which the next line parts
+    new = np.ones(len(ids), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]).any(1)
+    place = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+    return np.sort(order[place < most])
 
 
-def nearest(df: DataFrame, queries: str = "id % 100 = 0", k: int = 10, key: str = "vec_id", vector: str = "embedding", share: float = PROBE_SHARE) -> DataFrame:
+def nearest(df: DataFrame, queries: str = "id % 100 = 0", k: int = 10, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by Euclidean distance, ties to the smaller id.
 
-    The dimension is the most frequent length. Vectors that are null, zero, of another length or hold a null or non-finite
-    component take no part, nor do rows with a null id. Repeated ids are vectors of their own, but a query's own id is no
-    candidate. A table with few vectors has one cell and is searched whole; an empty one gives an empty result; other
-    columns are ignored. `queries` is a condition on id.
+    `queries` is a condition on id. Candidates are all rows but the query's own; rows of one id are vectors and queries of their
+    own. Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with a null id. Vectors
+    of different lengths are not compared: the commonest length has the index, others are searched whole, in blocks. A table
+    with few vectors has one cell and is searched whole; an empty one gives an empty result; other columns are ignored.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
-    sizes = df.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dims = sizes[0]["n"] if sizes else 0
-    good = sound(df, key, vector, dims)
-    sample = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect() if dims else []
-    if not sample:
-        return df.sparkSession.createDataFrame([], schema)
-    index = Index.fit(np.array([r["v"] for r in sample]))
-    rows, asks = good.agg(F.count(F.lit(1)), F.count(F.when(F.expr(queries), 1))).first()
-    # a cell's blocks by its own share of the sample
-    salts = F.array(*[F.lit(max(1, math.ceil(rows * w / index.weight.sum() / BLOCK))) for w in index.weight.tolist()])
-    parts = max(1, -(-asks // ASKED))
+    good = sound(df, key, vector)
+    sizes = {r["n"]: r["count"] for r in good.groupBy(F.size("v").alias("n")).count().collect()}
+    if not sizes:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims = max(sizes, key=lambda n: (sizes[n], -n))
+    rows = sizes[dims]
+    sample = good.where(F.size("v") == dims).orderBy(F.xxhash64("id", "v"), "id").limit(max(SAMPLE, 16 * min(CELLS, int(4 * math.sqrt(rows))))).select("v").toArrow()
+    index = Index.fit(_matrix(sample.column(0).combine_chunks()), rows, k, recall)
+    shares = np.bincount(index.block, index.weight)
+    salts = {b: max(1, math.ceil(rows * s / (2 * BLOCK))) for b, s in enumerate(shares.tolist())} | {-n: -(-c // BLOCK) for n, c in sizes.items() if n != dims}
+    # queries, once for each vector and id; they are few, and what they are numbered by must stay
+    asked = good.where(queries).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("uid", F.monotonically_increasing_id())
+    asked = cut_lineage(asked.select("uid", F.col("id").alias("query_id"), "n", F.col("v").alias("q")))
+    parts = max(1, -(-asked.count() // ASKED))
 
     def assign(batches):
         for b in batches:
-            if b.num_rows:
-                cell, codes = index.assign(_matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "v", "cell", "codes"])
+            for n, own in _by_length(b, 1) if b.num_rows else ():
+                ids, x = own.column(0).to_numpy(), _matrix(own.column(1))
+                some = _kept(ids, x, k + 1)
+                own, ids, x = own.take(pa.array(some)), ids[some], x[some]
+                cell, codes = index.assign(x) if n == dims else (np.full(len(ids), -1), np.zeros((len(ids), PARTS), np.uint8))
+                block = index.block[cell] if n == dims else np.full(len(ids), -n)
+                salt = (mix(ids.astype(np.uint64)) % np.array([salts[i] for i in block.tolist()], np.uint64)).astype(np.int32)
+                codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTS), len(ids), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+                for part in range(parts):
+                    cols = [own.column(0), own.column(1), pa.array(cell, pa.int32()), codes, pa.array(block, pa.int32()), pa.array(salt), pa.array(np.full(len(ids), part, np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "v", "cell", "codes", "block", "salt", "part"])
 
     def visit(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                probes = index.probes(_matrix(part.column(1)), share) if part.num_rows else []
-                rows = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(np.concatenate(probes) if probes else [], pa.int32())], ["query_id", "q", "cell"])
+            for n, own in _by_length(b, 3) if b.num_rows else ():
+                at, block, cells = [], [], []
+                for i, seen in enumerate(index.visits(_matrix(own.column(3))) if n == dims else [np.full(1, -1)] * own.num_rows):
+                    of = index.block[seen] if n == dims else np.full(1, -n)
+                    for one in np.unique(of).tolist():
+                        mine = seen[of == one].tolist()
+                        for salt in range(salts[one]):
+                            at.append(i)
+                            block.append((one, salt))
+                            cells.append(mine)
+                if at:
+                    sent = own.take(pa.array(at))
+                    part = sent.column(0).to_numpy() % parts
+                    cols = [pa.array([x[0] for x in block], pa.int32()), pa.array([x[1] for x in block], pa.int32()), pa.array(part, pa.int32()), pa.array(cells, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*sent.columns, *cols], ["uid", "query_id", "n", "q", "block", "salt", "part", "cells"])
 
     def search(held: pa.Table, asked: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        place, best_id, best = [], [], []
         if held.num_rows and asked.num_rows:
-            cell = held.column("cell")[0].as_py()
-            ids, x = held.column("id").to_numpy(), _matrix(held.column("v").combine_chunks())
-            codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), PARTS)
-            q_ids, q = asked.column("query_id").to_numpy(), _matrix(asked.column("q").combine_chunks())
+            ids, x, cell = held.column("id").to_numpy(), _matrix(held.column("v").combine_chunks()), held.column("cell").to_numpy()
+            indexed = cell[0] >= 0
+            if indexed:
+                codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), PARTS)
+                fixed = index.constants(cell, codes)
+            q_ids, q, cells = asked.column("query_id").to_numpy(), _matrix(asked.column("q").combine_chunks()), asked.column("cells").to_pylist()
             for i in range(len(q_ids)):
-                table = index.tables(q[i], cell)
-                rough = sum(table[p][codes[:, p]] for p in range(PARTS))
-                rough[ids == q_ids[i]] = np.inf
-                # with all that tie with the last, so equal vectors are in together and the smaller ids decide
-                some = np.flatnonzero(rough <= np.partition(rough, RERANK - 1)[RERANK - 1]) if len(rough) > RERANK else np.arange(len(rough))
-                some = some[ids[some] != q_ids[i]]
+                some = np.arange(len(ids))
+                if indexed:
+                    far = np.full(len(index.cells), np.inf)
+                    far[cells[i]] = ((index.cells[cells[i]] - q[i]) ** 2).sum(1)
+                    some = np.flatnonzero(np.isfinite(far[cell]))
+                    if len(some) > RERANK:
+                        of_query, c = index.table(q[i]), codes[some]
+                        rough = far[cell[some]] + fixed[some] - sum(of_query[p][c[:, p]] for p in range(PARTS))
+                        # with all that tie with the last, so equal vectors are in together and the smaller ids decide; and the query's own row
+                        some = some[(rough <= np.partition(rough, RERANK - 1)[RERANK - 1] + 1e-9) | (ids[some] == q_ids[i])]
                 exact = np.sqrt(((x[some] - q[i]) ** 2).sum(1))
-                best = np.lexsort((ids[some], exact))[:k]
-                out["query_id"] += [q_ids[i]] * len(best)
-                out["vec_id"] += ids[some][best].tolist()
-                out["score"] += exact[best].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    held = good.mapInArrow(assign, "id long, v array<double>, cell int, codes binary").withColumn("salt", F.pmod(F.xxhash64("id"), F.element_at(salts, F.col("cell") + 1)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = good.where(queries).mapInArrow(visit, "query_id long, q array<double>, cell int").withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(salts, F.col("cell") + 1) - 1))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    met = held.groupBy("cell", "salt", "part").cogroup(asked.groupBy("cell", "salt", "part")).applyInArrow(search, "query_id long, vec_id long, score double")
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                near = np.lexsort((ids[some], exact))[: k + 1]
+                place += [i] * len(near)
+                best_id.append(ids[some][near])
+                best.append(exact[near])
+        of = asked.select(["uid", "query_id", "n"]).take(pa.array(place, pa.int64()))
+        every = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        return of.append_column("vec_id", every(best_id, pa.int64())).append_column("score", every(best, pa.float64()))
+
+    by = ("block", "salt", "part")
+    held = good.mapInArrow(assign, "id long, v array<double>, cell int, codes binary, block int, salt int, part int")
+    sent = asked.mapInArrow(visit, "uid long, query_id long, n long, q array<double>, block int, salt int, part int, cells array<int>")
+    met = held.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(search, "uid long, query_id long, n long, vec_id long, score double")
+    # the query's own row is one of its id at distance 0, if it is among the k + 1 nearest at all
+    place = F.row_number().over(Window.partitionBy("uid").orderBy("score", "vec_id"))
+    ranked = met.withColumn("place", place).where(F.col("place") <= k + 1)
+    own = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0), F.col("place"))).over(Window.partitionBy("uid"))
+    ranked = ranked.withColumn("own", F.coalesce(own, F.lit(k + 2))).where("place <> own")
+    ranked = ranked.withColumn("rank", F.col("place") - (F.col("place") > F.col("own")).cast("int")).where(F.col("rank") <= k)
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
