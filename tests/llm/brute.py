@@ -3,7 +3,10 @@
 import hashlib
 import itertools
 import re
+from collections import defaultdict
 
+
+import regex
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,3 +103,73 @@ def personal(t):
         return kind != "phone" or 9 <= len(d) <= 15
 
     return [(k, m.start(), m.end()) for k, p in BASE.items() for m in re.finditer(p, t or "") if sound(k, m[0])]
+
+
+SIGN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")
+TOKEN = regex.compile(r"(?<![0-9A-Za-z_./+-])(?=[A-Za-z_./+-]*[0-9])[0-9A-Za-z_./+-]{7,}[0-9A-Za-z]")
+
+
+def signs(t):
+    return ["0" if regex.match(r"\p{N}", x) else x for x in SIGN.findall(t.lower())]
+
+
+def contexts(t, spans, at):
+    """L and R patterns of the span with this number, from the text between its neighbours of the same kind."""
+    left = signs(t[spans[at - 1][1] if at else 0 : spans[at][0]])
+    right = signs(t[spans[at][1] : spans[at + 1][0] if at + 1 < len(spans) else len(t)])
+    out = ["L " + " ".join(left[-k:]) for k in (1, 2, 3) if len(left) >= k] + ["R " + " ".join(right[:k]) for k in (1, 2, 3) if len(right) >= k]
+    return [p for p in out if regex.search(r"\p{L}", p[2:])]
+
+
+def bootstrapped(rows, base_spans, rounds=3, least_seeds=3, confidence=0.7):
+    """Spans that the method adds, for each row (id, text); base_spans: of every kind, for a text, all matches and which are sound."""
+    grams, part, seeds = defaultdict(int), defaultdict(lambda: defaultdict(int)), defaultdict(set)
+    tokens = []
+    for i, t in rows:
+        t = t or ""
+        s = signs(t)
+        for k in (1, 2, 3):
+            for j in range(len(s) - k + 1):
+                grams[" ".join(s[j : j + k])] += 1
+        base = []
+        for spans, sound in base_spans(t):
+            for at, (a, b) in enumerate(spans):
+                if sound[at]:
+                    base.append((a, b))
+                    for p in contexts(t, spans, at):
+                        part[p][t[a:b].lower()] += 1
+                        seeds[p].add(t[a:b].lower())
+        spans = [m.span() for m in TOKEN.finditer(t)]
+        for at, (a, b) in enumerate(spans):
+            own = contexts(t, spans, at)
+            a += len(t[a:b]) - len(t[a:b].lstrip("_./+-"))
+            if any(x < b and a < y for x, y in base):
+                continue
+            kind = "number" if re.fullmatch(r"[0-9_./+-]+", t[a:b]) else "secret"
+            tokens.append((i, kind, a, b, own))
+            for p in own:
+                part[p][t[a:b].lower()] += 1
+                if re.fullmatch("[0-9a-f]{32,}", t[a:b]):
+                    seeds[p].add(t[a:b].lower())
+    rich = {p: v for p, v in part.items() if len(seeds[p]) >= least_seeds}
+    total = {p: max(sum(v.values()), grams[p[2:]]) for p, v in rich.items()}
+    fixed = set().union(*[seeds[p] for p in rich]) if rich else set()
+    patterns = defaultdict(list)
+    for p, v in rich.items():
+        for x in v:
+            patterns[x].append(p)
+    score = {x: float(x in fixed) for x in patterns}
+    weigh = lambda: {p: sum(n * score[x] for x, n in v.items()) / total[p] for p, v in rich.items()}
+    for _ in range(rounds):
+        weight = weigh()
+        for x, ps in patterns.items():
+            wrong = 1.0
+            for p in ps:
+                wrong *= 1.0000001 - min(weight[p], 1.0)
+            score[x] = 1.0 if x in fixed else min(1.0, 1 - wrong)
+    good = {p for p, w in weigh().items() if w >= confidence}
+    out = defaultdict(set)
+    for i, kind, a, b, own in tokens:
+        if good & set(own):
+            out[i].add((kind, a, b))
+    return out, good

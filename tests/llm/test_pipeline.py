@@ -11,7 +11,7 @@ from test_others import checked
 
 import corpus_pipeline as P
 from folio.llm.op06_simhash import _SALT, most_bits
-from folio.llm.op07_mixing import ROUNDS, TEMPER
+from folio.llm.op07_mixing import FILL, LIFT, ROUNDS, TEMPER
 from folio.llm.op10_quality import train
 
 
@@ -86,24 +86,28 @@ def test_mixing(stages):
     tokens = defaultdict(float)
     for i, c in cell.items():
         tokens[c] += words[i]
-    w = dict(tokens)
-    targets = []
+    total = sum(tokens.values())
+    most = {c: t / total for c, t in tokens.items()}
+    targets, room = [], 1.0
     for k in range(3):
         m = defaultdict(float)
-        for c, t in tokens.items():
+        for c, t in most.items():
             m[c[k]] += t
-        total = sum(x**TEMPER for x in m.values())
-        targets.append({v: x**TEMPER / total for v, x in m.items()})
+        z = sum(x**TEMPER for x in m.values())
+        goal = {v: min(x**TEMPER / z, LIFT * x) for v, x in m.items()}
+        targets.append({v: x / sum(goal.values()) for v, x in goal.items()})
+        room = min(room, *[m[v] / g for v, g in targets[-1].items() if g])
+    w = dict(most)
     for _ in range(ROUNDS):
         for k in range(3):
             m = defaultdict(float)
             for c, x in w.items():
                 m[c[k]] += x
-            w = {c: x * targets[k][c[k]] / m[c[k]] for c, x in w.items()}
-    all_w, all_t = sum(w.values()), sum(tokens.values())
+            w = {c: x * targets[k][c[k]] * FILL * room / m[c[k]] if m[c[k]] else 0.0 for c, x in w.items()}
+        w = {c: min(x, most[c]) for c, x in w.items()}
     kept = set()
     for i, c in cell.items():
-        p = 1.0 if tokens[c] == 0 else min(1.0, w[c] / all_w / (tokens[c] / all_t))
+        p = 1.0 if tokens[c] == 0 else w[c] / most[c]
         u = int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 4294967296
         assert not math.isclose(u, p, abs_tol=1e-9)
         if u < round(p, 9):
