@@ -8,13 +8,16 @@ complete distance. Equal fingerprints are one node throughout, so groups of copi
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import grams as G
-from folio.llm.common import cut_lineage, spread, table, text_bytes
+from folio.llm.common import cut_lineage, quoted, spread, table, text_bytes
 from folio.llm.components import components
 
 SEED = 42
@@ -70,7 +73,7 @@ def fingerprints(df: DataFrame, words: int = 3, key: str = "doc_id", text: str =
                 value = np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(value)], ["doc_id", "fp"])
 
-    return spread(df.select(key, text)).mapInArrow(batch, "doc_id long, fp long")
+    return spread(df.select(*quoted([key, text]))).mapInArrow(batch, "doc_id long, fp long")
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -85,11 +88,42 @@ def links(nodes: DataFrame) -> DataFrame:
     return met.selectExpr("least(a, b) AS u", "greatest(a, b) AS v").distinct()
 
 
-SEGMENT = 20  # bits of a segment; a word of 64 bits has three
-_SALT = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_SALTS = (*_SALT, 0x165667B19E3779F9, 0x27D4EB2F165667C5)  # of the 320 bits that find candidates: fifteen segments
-#: Bits beyond the mean of a pair at the threshold that a candidate may differ in (4.5 standard deviations), and candidates whose ids are broadcast at most.
-SLACK, IDS_BROADCAST = 29, 500_000
+#: Salts that mix the shingles' names anew for each further word of a long fingerprint.
+_SALT = tuple(int(G.mix(np.array([k * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]) for k in range(24))
+DIFFERS = np.arccos(2 * 0.8 / 1.8) / np.pi  # chance that a bit differs between documents at a similarity of 0.8
+OCCUPIED, IDS_BROADCAST = 1024, 500_000  # rows that a bucket of a segment's table may have on average; ids that are broadcast at most
+CHUNK, SHINGLES = 512, 4 << 20  # documents of one loose group in half a block, and shingles of a block
+
+
+@dataclass(frozen=True)
+class Segments:
+    """How long fingerprints are cut to find pairs: `count` segments of `bits` each, so many that two documents at a similarity of 0.8
+    meet in one with the chance asked for, each long enough for a table of the corpus."""
+
+    bits: int
+    count: int
+
+    @staticmethod
+    def of(documents: int, recall: float = 0.99) -> Segments:
+        bits = 16
+        while documents * (bits / 2 + 1) > OCCUPIED * 2.0**bits and bits < 26:
+            bits += 1
+        p, q = DIFFERS, 1 - DIFFERS
+        # a segment meets if none or one of its bits differs, or two, of which one side has one each
+        meets = q**bits + bits * p * q ** (bits - 1) + bits * (bits - 1) / 4 * p**2 * q ** (bits - 2)
+        return Segments(bits, int(np.ceil(np.log(1 - recall) / np.log(1 - meets))))
+
+    @property
+    def words(self) -> int:
+        return -(-self.count // (64 // self.bits))
+
+    def values(self) -> list[str]:
+        """SQL of each segment's value, from the words f0, f1 and so on."""
+        per = 64 // self.bits
+        return [f"cast(shiftrightunsigned(f{k // per}, {self.bits * (k % per)}) & {(1 << self.bits) - 1} AS int)" for k in range(self.count)]
+
+
+CHECKED = 3  # words of a fingerprint that travel with a segment's value, for the distance
 
 
 def distinct_shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +137,9 @@ def distinct_shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.nd
 
 
 def _set_names(names: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """One name for each text's set of shingles."""
-    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(G.mix(names ^ np.uint64(0x85EBCA77C2B2AE63)), dtype=np.uint64)]
-    return G.mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.diff(cuts).astype(np.uint64)).view(np.int64)
+    """One name for each text's set of shingles: 64 bits of BLAKE2b over the sorted set."""
+    data = names.tobytes()
+    return np.frombuffer(b"".join(hashlib.blake2b(data[8 * a : 8 * b], digest_size=8).digest() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)), np.int64)
 
 
 def _in_parts(batches, words: int):
@@ -118,146 +152,195 @@ def _in_parts(batches, words: int):
             yield part.column(0).cast(pa.int64()), *distinct_shingles([data[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], words)
 
 
-def long_fingerprints(df: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node, n, f0 to f4): the name and size of the set of shingles, and 320 bits, each word from the names mixed anew."""
+def long_fingerprints(df: DataFrame, most_words: int, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, node, n, f0, f1 and so on): the name and size of the set of shingles, and words of 64 bits, each from the names mixed anew."""
 
     def batch(batches):
         for ids, names, cuts in _in_parts(batches, words):
             cols = [ids, pa.array(_set_names(names, cuts)), pa.array(np.diff(cuts), pa.int64())]
-            for salt in _SALTS:
+            for salt in _SALT[:most_words]:
                 bits = 2 * bit_counts(G.mix(names ^ np.uint64(salt)), cuts) > np.diff(cuts)[:, None]
                 cols.append(pa.array(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", *(f"f{i}" for i in range(len(_SALTS)))])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", *(f"f{i}" for i in range(most_words))])
 
-    return spread(df.select(key, text)).mapInArrow(batch, "doc_id long, node long, n long, " + ", ".join(f"f{i} long" for i in range(len(_SALTS))))
+    return spread(df.select(*quoted([key, text]))).mapInArrow(batch, "doc_id long, node long, n long, " + ", ".join(f"f{i} long" for i in range(most_words)))
 
 
-def most_bits(similarity: float, slack: int = 4, bits: int = 192) -> int:
-    """Differing bits that two documents of this shingle similarity (Jaccard) have on average, and some more."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + slack
+def most_bits(similarity: float, bits: int = 64 * CHECKED) -> int:
+    """Differing bits that two documents of this shingle similarity (Jaccard) have on average, and three standard deviations more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
 
 
-def _met(node: np.ndarray, n: np.ndarray, group: np.ndarray, f: np.ndarray, cuts: np.ndarray, bits: int, least: float, every: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links among the members of each bucket (rows between cuts) that aren't of one group yet: all pairs of small buckets, and of
-    others all pairs, too, or else a spanning forest, and each member of a pair that it spares linked to itself."""
-    u, v = [], []
-    size = np.diff(cuts)
-    small = np.flatnonzero((size > 1) & (size <= 8))
+def _contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links u < v of the same components, about one for each node: a node keeps its least neighbour, and its others go to that."""
+    for _ in range(3):
+        if not len(u):
+            break
+        order = np.lexsort((u, v))
+        u, v = u[order], v[order]
+        new = np.r_[True, v[1:] != v[:-1]]
+        least = u[np.maximum.accumulate(np.where(new, np.arange(len(u)), 0))]
+        a, b = np.concatenate([least[new], least[u > least]]), np.concatenate([v[new], u[u > least]])
+        pairs = np.unique(np.stack([a, b], 1), axis=0)
+        u, v = pairs[:, 0], pairs[:, 1]
+    return u, v
 
-    def near(x, y):
-        close = np.bitwise_count(f[x] ^ f[y]).sum(-1, dtype=np.int64) <= bits
-        return close & (group[x] != group[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]))
 
-    for step in range(1, 8):
+def _met(f: np.ndarray, cuts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u < v) of links that connect what the pairs at `bits` or fewer differing bits connect within each bucket (rows between cuts)."""
+    u, v = [], []
+    size = np.diff(cuts)
+    near = lambda x, y: np.bitwise_count(f[x] ^ f[y]).sum(-1, dtype=np.int64) <= bits
+    small = np.flatnonzero((size > 1) & (size <= 64))
+    for step in range(1, int(size[small].max()) if len(small) else 0):  # many buckets at a time
         own = small[size[small] > step]
-        if not len(own):
-            break
         count = size[own] - step
-        at = np.repeat(cuts[own], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(cuts[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
         ok = near(at, at + step)
-        u.append(node[at[ok]])
-        v.append(node[at[ok] + step])
-    for k in np.flatnonzero(size > 8):
-        at, own = cuts[k], node[cuts[k] : cuts[k + 1]]
-        label, spared = np.arange(len(own)), np.zeros(len(own), bool)
-        for i in range(1, len(own)):
-            met = np.flatnonzero(near(slice(at, at + i), at + i))
-            if not len(met):
-                continue
-            if not every:
-                groups, first = np.unique(label[met], return_index=True)  # one link to the least node that it meets of each group that it joins
-                if len(met) > len(groups):
-                    spared[met] = spared[i] = True
+        u.append(at[ok])
+        v.append(at[ok] + step)
+    for k in np.flatnonzero(size > 64).tolist():  # one row against all before it
+        label = np.arange(size[k])
+        for i in range(1, int(size[k])):
+            met = np.flatnonzero(near(slice(cuts[k], cuts[k] + i), cuts[k] + i))
+            if len(met):
+                groups, first = np.unique(label[met], return_index=True)
                 if len(groups) > 1:
-                    label[np.isin(label, groups)] = groups[0]
+                    label[:i][np.isin(label[:i], groups)] = groups[0]
                 label[i] = groups[0]
-                met = met[first]
-            u.append(own[met])
-            v.append(np.full(len(met), own[i]))
-        u.append(own[spared])
-        v.append(own[spared])
-    return u, v
+                u.append(cuts[k] + met[first])
+                v.append(np.full(len(first), cuts[k] + i))
+    if not u:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return _contracted(np.concatenate(u), np.concatenate(v))
 
 
-def long_links(nodes: DataFrame, bits: int, least: float = 0.0, every: bool = False) -> DataFrame:
-    """(u, v): links between nodes (node, f0, f1 and so on; also n, a size, and grp, a group) of different groups at `bits` or fewer
-    differing bits, the smaller size at least `least` of the larger. In a large bucket only enough of them to connect what all
-    pairs connect, so that buckets of one group say much the same; the members of pairs so spared come as (u, u). With `every`, all.
+def long_links(nodes: DataFrame, segments: Segments, bits: int) -> DataFrame:
+    """(u, v): links between nodes (node, f0, f1 and so on) that connect all pairs at `bits` or fewer differing bits of the words that
+    are checked, which meet in a segment. A bucket says enough to connect them, so a dense group costs a link or so a node.
 
     Every node stands in the table of each segment under the segment's value and under those with one more bit set, so two
-    nodes meet if a segment agrees up to a bit (or two, one on each side). Complete distances decide. A bucket is a run of
-    sorted rows; nothing but the run is held. Two documents at a similarity of 0.8 meet in one of fifteen segments with a
-    chance of some 0.99.
+    nodes meet if a segment agrees up to a bit (or two, one on each side). A bucket is a run of sorted rows; nothing but the
+    run is held, some 40 bytes a row.
     """
-    words = [c for c in nodes.columns if c[0] == "f" and c[1:].isdigit()]
-    nodes = nodes.selectExpr("node", "n" if "n" in nodes.columns else "0L AS n", "grp" if "grp" in nodes.columns else "node AS grp", *words)
-    value = [f"shiftrightunsigned({w}, {SEGMENT * i}) & {(1 << SEGMENT) - 1}" for w in words for i in range(3)]
-    flips = f"concat(array(0L), transform(filter(sequence(0, {SEGMENT - 1}), i -> ({{0}} & shiftleft(1L, i)) = 0), i -> shiftleft(1L, i)))"
-    keys = ", ".join(f"transform({flips.format(f'({x})')}, flip -> ({x}) + flip + {k} * {1 << SEGMENT}L)" for k, x in enumerate(value))
-    rows = nodes.selectExpr(f"explode(concat({keys})) AS seg", *nodes.columns).repartition("seg").sortWithinPartitions("seg", "node")
+    checked = [f"f{i}" for i in range(min(CHECKED, segments.words))]
+    flips = f"concat(array(0), transform(filter(sequence(0, {segments.bits - 1}), i -> ({{0}} & shiftleft(1, i)) = 0), i -> shiftleft(1, i)))"
+    keys = ", ".join(f"transform({flips.format(x)}, flip -> {x} + flip + {k} * {1 << segments.bits})" for k, x in enumerate(segments.values()))
+    rows = nodes.selectExpr(f"explode(concat({keys})) AS seg", "node", *checked).repartition("seg").sortWithinPartitions("seg", "node")
 
     def find(batches):
-        rest = None
+        held, last = [], None  # the rows of a bucket that may go on
         for b in batches:
-            t = np.stack([np.asarray(c) for c in b.columns], 1) if b.num_rows else np.zeros((0, 4 + len(words)), np.int64)
-            t = t if rest is None else np.concatenate([rest, t])
-            at = np.flatnonzero(np.r_[True, t[1:, 0] != t[:-1, 0]]) if len(t) else np.zeros(1, np.int64)
-            rest = t[at[-1] :]  # its bucket may go on
-            yield from links_of(t[: at[-1]], at)
-        if rest is not None and len(rest):
-            yield from links_of(rest, np.array([0, len(rest)]))
-
-    def links_of(t: np.ndarray, cuts: np.ndarray):
-        u, v = _met(t[:, 1], t[:, 2], t[:, 3], np.ascontiguousarray(t[:, 4:]).view(np.uint64), cuts, bits, least, every)
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], ["u", "v"])
+            if not b.num_rows:
+                continue
+            t = np.stack([np.asarray(c).astype(np.int64) for c in b.columns], 1)
+            begins = np.flatnonzero(np.r_[t[0, 0] != last, t[1:, 0] != t[:-1, 0]])
+            if len(begins):
+                yield from links_of(held, t[: begins[-1]])
+                held, last, t = [], t[-1, 0], t[begins[-1] :]
+            held.append(t)
+        yield from links_of(held, np.zeros((0, 2 + len(checked)), np.int64))
+
+    def links_of(held: list[np.ndarray], more: np.ndarray):
+        t = np.concatenate([*held, more])
+        if not len(t):
+            return
+        cuts = np.flatnonzero(np.r_[True, t[1:, 0] != t[:-1, 0], True])
+        u, v = _met(np.ascontiguousarray(t[:, 2:]).view(np.uint64), cuts, bits)
+        if len(u):
+            pairs = np.unique(np.stack([t[u, 1], t[v, 1]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], ["u", "v"])
 
     return rows.mapInArrow(find, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles have this Jaccard similarity; only their documents are cut to shingles again."""
+def _verified(node: np.ndarray, f: np.ndarray, sets: list[np.ndarray], bits: int, similarity: float) -> list[tuple[int, int]]:
+    """Links among the members of a group that connect all of its pairs of this similarity; a pair whose ends are connected isn't looked at."""
+    n = np.array([len(s) for s in sets])
+    root = list(range(len(node)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i in np.argsort(-n, kind="stable").tolist():
+        others = np.flatnonzero((np.bitwise_count(f ^ f[i]).sum(-1, dtype=np.int64) <= bits) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])))
+        gap = np.bitwise_count(f[others] ^ f[i]).sum(-1, dtype=np.int64)
+        for j in others[np.argsort(gap, kind="stable")].tolist():
+            a, b = find(i), find(j)
+            if a == b:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (n[i] + n[j] - both):
+                root[max(a, b)] = min(a, b)
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def verified(loose: DataFrame, nodes: DataFrame, df: DataFrame, words: int, bits: int, similarity: float, key: str, text: str) -> DataFrame:
+    """(u, v): links that connect all pairs of this similarity (exact Jaccard of the sets of shingles) within each loose group (node,
+    component) of the nodes. Only the groups' documents are cut to shingles again, and a set travels once, unless its group is
+    larger than a block: then to the blocks that hold each pair of the group's chunks."""
 
     def batch(batches):
         for _, names, cuts in _in_parts(batches, words):
             sets = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(names.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(_set_names(names, cuts)), sets], ["node", "has"])
 
-    used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    ids = cut_lineage(nodes.join(used, "node", "left_semi").select(F.col("least_id").alias("id__")).distinct())
+    f = [c for c in nodes.columns if c[0] == "f" and c[1:].isdigit()][:CHECKED]
+    own = cut_lineage(nodes.join(loose, "node").select("node", "least_id", "n", F.col("component").alias("loose"), *f))
+    sizes = own.groupBy("loose").agg((F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(2 * CHUNK), F.sum("n") / F.lit(SHINGLES)))).cast("int").alias("blocks"))
+    chunks = F.when(F.col("blocks") == 1, 1).otherwise(2 * F.col("blocks"))
+    own = own.join(sizes, "loose").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    ids = cut_lineage(own.select(F.col("least_id").alias("id__")).distinct())
     if ids.limit(IDS_BROADCAST + 1).count() <= IDS_BROADCAST:
         ids = F.broadcast(ids)
+    key, text = quoted([key, text])
     texts = df.select(F.col(key).cast("long").alias("key__"), F.col(text).alias("text__"))
-    sets = texts.join(ids, F.col("key__") == F.col("id__"), "left_semi").mapInArrow(batch, "node long, has array<long>").dropDuplicates(["node"])
-    both = pairs.join(sets.selectExpr("node AS u", "has AS a"), "u").join(sets.selectExpr("node AS v", "has AS b"), "v")
-    return both.selectExpr("u", "v", "size(a) + size(b) AS total", "size(array_intersect(a, b)) AS both").where(F.col("both") / (F.col("total") - F.col("both")) >= similarity).select("u", "v")
+    sets = texts.join(ids, F.col("key__") == F.col("id__"), "left_semi").mapInArrow(batch, "node long, has array<long>")
+    # small groups share tasks; each pair of a large group's chunks is a task
+    total = own.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, -(-total // SHINGLES))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64("loose", F.least(c, F.col("chunk")), F.greatest(c, F.col("chunk"))))
+    spread_to = F.when(F.col("chunks") == 1, F.array(F.pmod(F.xxhash64("loose"), F.lit(tasks)))).otherwise(pairs)
+    rows = own.join(sets, "node").select(F.explode(spread_to).alias("task"), "loose", "node", "has", *f)
+
+    def block(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by([("loose", "ascending"), ("node", "ascending")])
+        group, node = t.column("loose").to_numpy(), t.column("node").to_numpy()
+        prints = np.ascontiguousarray(np.stack([t.column(c).to_numpy() for c in f], 1)).view(np.uint64)
+        has = t.column("has").combine_chunks()
+        has = pa.concat_arrays(has.chunks) if isinstance(has, pa.ChunkedArray) else has
+        bounds, every = np.asarray(has.offsets), np.asarray(has.values)
+        keep = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (node[1:] != node[:-1])])  # documents of one set of shingles, and chunks that meet themselves
+        links = []
+        for own in np.split(keep, np.flatnonzero(np.diff(group[keep])) + 1):
+            if len(own) > 1:
+                links += _verified(node[own], prints[own], [every[bounds[i] : bounds[i + 1]] for i in own.tolist()], bits, similarity)
+        return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["u", "v"])
+
+    return rows.groupBy("task").applyInArrow(block, "u long, v long")
 
 
 def similar_documents(df: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id: groups of documents whose sets of shingles of `words` words are similar (Jaccard), by chains.
 
-    Long fingerprints only name candidates; each link is verified by the sets themselves. What a large bucket spared is looked
-    at again where a verified group is smaller than its candidates' group, so every candidate is verified or needs not be.
-    The smallest id names a group. Null and empty texts are one group; null keys are none's (component_id null); an empty
-    table gives an empty result; other columns are ignored.
+    Long fingerprints only name loose groups; within each, all pairs that the fingerprints don't rule out are verified by the
+    sets themselves, until they are connected. The smallest id names a group, and each of its rows has it, rows of one id,
+    too. Null and empty texts are one group; null keys are none's (component_id null); an empty table gives an empty result;
+    other columns are ignored.
     """
-    docs = cut_lineage(long_fingerprints(df, words, key, text))
-    prints = [f"f{i}" for i in range(len(_SALTS))]
+    segments = Segments.of(df.count())
+    docs = cut_lineage(long_fingerprints(df, segments.words, words, key, text))
+    prints = [f"f{i}" for i in range(segments.words)]
     nodes = cut_lineage(docs.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", *prints)]).where("least_id IS NOT NULL"))
-    bits = most_bits(similarity, SLACK, 64 * len(_SALTS))
-    check = lambda pairs: cut_lineage(verified(pairs, nodes, df, words, similarity, key, text))
-    met = cut_lineage(long_links(nodes.drop("least_id"), bits, similarity))
-    pairs = met.where("u <> v")
-    good = check(pairs)
-    linked = components(good)
-    spared = met.where("u = v").select(F.col("u").alias("node"))
-    if spared.limit(1).count():
-        grouped = components(pairs).withColumnRenamed("component", "loose").join(linked, "node", "left").select("node", "loose", F.coalesce("component", "node").alias("grp"))
-        parted = grouped.groupBy("loose").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y")
-        again = cut_lineage(nodes.drop("least_id").join(grouped.join(parted, "loose", "left_semi").join(spared, "node", "left_semi").select("node", "grp"), "node"))
-        more = cut_lineage(long_links(again, bits, similarity, every=True).join(pairs, ["u", "v"], "left_anti"))
-        if more.limit(1).count():
-            linked = components(good.union(check(more)))
+    bits = most_bits(similarity, 64 * min(CHECKED, segments.words))
+    loose = cut_lineage(components(long_links(nodes, segments, bits)))
+    linked = components(cut_lineage(verified(loose, nodes, df, words, bits, similarity, key, text)))
     named = nodes.join(linked, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = named.join(least, "component").select("node", "component_id")
