@@ -1,8 +1,9 @@
 """Operator 10, quality classifier: a byte-level convolutional network in numpy.
 
-Learned filters slide over the bytes of overlapping chunks that cover the whole document; each filter's largest response
-in a chunk is kept, and the means and the maxima over the chunks are combined into one probability. The network is
-trained on the driver from a bounded sample of labelled rows and sent to the scan; nothing is shuffled for scoring.
+Each byte has a learned vector. Learned filters slide over the bytes, one by one, of overlapping chunks that cover the whole
+document; each filter's largest response in a chunk is kept, and the means and the maxima over the chunks are combined into
+one probability. The network is trained on the driver from a bounded sample of labelled rows, read whole, and sent to the
+scan; nothing is shuffled for scoring.
 """
 
 from __future__ import annotations
@@ -14,43 +15,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import spread, table, text_bytes
+from folio.llm.common import ddl, fresh, numbered, quoted, spread, table, text_bytes
 
-CHUNK, STEP = 512, 480  # bytes; neighbours overlap, so no filter misses a seam
-WIDTH, STRIDE, FILTERS = 8, 2, 32
-TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS = 2000, 12, 14  # the sample's bounds: documents, and chunks of each (evenly spread)
-
-
-def _embedding() -> np.ndarray:
-    """Eight numbers for each byte: its class, and a few fixed random directions."""
-    b = np.arange(256)
-    letter = ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122)) | (b >= 128)
-    cols = [b == 32, b == 10, (b >= 65) & (b <= 90), (b >= 48) & (b <= 57), (b > 32) & ~letter & ~((b >= 48) & (b <= 57))]
-    out = np.concatenate([np.stack(cols, 1).astype(np.float32), np.random.default_rng(7).normal(0, 0.5, (256, 3)).astype(np.float32)], 1)
-    out[0] = 0  # and the padding
-    return out
-
-
-EMBEDDING = _embedding()
-DEPTH = EMBEDDING.shape[1]
-WINDOWS = (CHUNK - WIDTH) // STRIDE + 1
+CHUNK, STEP = 512, 480  # bytes; neighbours overlap by more than a filter's width, so no filter misses a seam
+WIDTH, DEPTH, FILTERS = 8, 8, 32
+TRAIN_DOCS, TRAIN_BYTES, EPOCHS = 2000, 64 << 20, 12  # the sample's bounds: documents, and bytes of all their texts
+WINDOWS = CHUNK - WIDTH + 1
+_AT_ONCE = 64  # chunks whose windows lie in memory together, some 8 MB
 
 
 @dataclass
 class Network:
+    vectors: np.ndarray  # (256, DEPTH), of bytes; 0, the padding, has none
     filters: np.ndarray  # (WIDTH * DEPTH, FILTERS)
     weights: np.ndarray  # (2 * FILTERS + 1,): means, maxima, bias
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """A probability for each document between bounds; an empty one has the bias alone."""
         doc, start = chunks(bounds)
-        pooled = np.concatenate([self.pool(take(data, bounds, doc[k : k + 64], start[k : k + 64])) for k in range(0, len(doc), 64)])
+        pooled = np.concatenate([self.pool(take(data, bounds, doc[k : k + _AT_ONCE], start[k : k + _AT_ONCE]))[0] for k in range(0, len(doc), _AT_ONCE)])
         return 1 / (1 + np.exp(-self.logits(pooled, doc, len(bounds) - 1)[0]))
 
-    def pool(self, part: np.ndarray) -> np.ndarray:
-        """Largest response of each filter in each chunk, 0 at least."""
-        r = windows(part).reshape(-1, WIDTH * DEPTH) @ self.filters
-        return np.maximum(r.reshape(len(part), WINDOWS, FILTERS).max(1), 0)
+    def pool(self, part: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Largest response of each filter in each chunk, 0 at least; and where it is."""
+        e = np.ascontiguousarray(self.vectors[part].reshape(len(part), CHUNK * DEPTH))
+        s = e.strides
+        w = np.lib.stride_tricks.as_strided(e, (len(part), WINDOWS, WIDTH * DEPTH), (s[0], DEPTH * s[1], s[1]))
+        r = (w.reshape(-1, WIDTH * DEPTH) @ self.filters).reshape(len(part), WINDOWS, FILTERS)
+        return np.maximum(r.max(1), 0), r.argmax(1) if places else None
 
     def logits(self, pooled: np.ndarray, doc: np.ndarray, n: int):
         first = np.searchsorted(doc, np.arange(n))
@@ -75,16 +67,12 @@ def take(data: np.ndarray, bounds: np.ndarray, doc: np.ndarray, start: np.ndarra
     return np.where(inside, out, np.uint8(0))
 
 
-def windows(part: np.ndarray) -> np.ndarray:
-    e = np.ascontiguousarray(EMBEDDING[part].reshape(len(part), CHUNK * DEPTH))
-    s = e.strides
-    return np.lib.stride_tricks.as_strided(e, (len(part), WINDOWS, WIDTH * DEPTH), (s[0], STRIDE * DEPTH * s[1], s[1]))
-
-
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
-    """Adam on the logistic loss; a filter's gradient goes to the window of its largest response in each chunk."""
+    """Adam on the logistic loss over whole texts; the gradient goes, through each filter's largest response in each chunk, to the
+    filter and to the vectors of the bytes there."""
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.2, (WIDTH * DEPTH, FILTERS)).astype(np.float32), np.zeros(2 * FILTERS + 1))
+    net = Network(rng.normal(0, 0.5, (256, DEPTH)).astype(np.float32), rng.normal(0, 0.2, (WIDTH * DEPTH, FILTERS)).astype(np.float32), np.zeros(2 * FILTERS + 1))
+    net.vectors[0] = 0
     if not len(labels) or labels.min() == labels.max():
         p = (labels.sum() + 1) / (len(labels) + 2)
         net.weights[-1] = np.log(p / (1 - p))
@@ -95,79 +83,89 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     cuts = [(rng.integers(0, len(t) - 300), rng.integers(40, 300)) if len(t) > 400 else None for t in texts]
     texts = [*texts, *[t[c[0] : c[0] + c[1]] for t, c in zip(texts, cuts, strict=True) if c]]
     labels = np.concatenate([labels, labels[[i for i, c in enumerate(cuts) if c]]])
-    parts, of = [], []
-    for i, t in enumerate(texts):
-        data, bounds = np.frombuffer(t, np.uint8), np.array([0, len(t)])
-        doc, start = chunks(bounds)
-        some = np.unique(np.linspace(0, len(doc) - 1, min(TRAIN_CHUNKS, len(doc))).astype(int))
-        parts.append(take(data, bounds, doc[some], start[some]))
-        of.append(np.full(len(some), i))
-    parts, of = np.concatenate(parts), np.concatenate(of)
-    m = [np.zeros_like(net.filters, dtype=np.float64), np.zeros_like(net.weights)]
-    v = [np.zeros_like(x) for x in m]
-    step, first = 0, np.searchsorted(of, np.arange(len(texts) + 1))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    bounds = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+    of, start = chunks(bounds)
+    first = np.searchsorted(of, np.arange(len(texts) + 1))
+    params = [net.vectors, net.filters, net.weights]
+    m, v = ([np.zeros(x.shape) for x in params] for _ in range(2))
+    step = 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), 32):
             some = np.sort(order[k : k + 32])
             rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in some])
             doc = np.repeat(np.arange(len(some)), first[some + 1] - first[some])
-            x = windows(parts[rows])
-            r = (x.reshape(-1, WIDTH * DEPTH) @ net.filters).reshape(len(rows), WINDOWS, FILTERS)
-            at = r.argmax(1)
-            pooled = np.maximum(np.take_along_axis(r, at[:, None], 1)[:, 0], 0)
+            pooled, seen = [], []  # responses, and the bytes that gave them
+            for j in range(0, len(rows), _AT_ONCE):
+                own = rows[j : j + _AT_ONCE]
+                part = take(data, bounds, of[own], start[own])
+                value, at = net.pool(part, True)
+                pooled.append(value)
+                seen.append(part[np.arange(len(own))[:, None, None], at[:, :, None] + np.arange(WIDTH)])
+            pooled, seen = np.concatenate(pooled), np.concatenate(seen)
             z, mean, most, count = net.logits(pooled, doc, len(some))
             d = (1 / (1 + np.exp(-z)) - labels[some]) / len(some)
-            grads = [None, np.concatenate([mean.T @ d, most.T @ d, [d.sum()]]) + 1e-4 * net.weights]
             top = pooled == most[doc]
-            back = d[doc, None] * (net.weights[:FILTERS] / count[doc] + net.weights[FILTERS:-1] * top) * (pooled > 0)
-            grads[0] = np.stack([x[np.arange(len(rows)), at[:, f]].T @ back[:, f] for f in range(FILTERS)], 1)
+            back = (d[doc, None] * (net.weights[:FILTERS] / count[doc] + net.weights[FILTERS:-1] * top) * (pooled > 0)).astype(np.float32)
+            to_filters = np.einsum("cf,cfwd->wdf", back, net.vectors[seen], optimize=True).reshape(WIDTH * DEPTH, FILTERS)
+            to_bytes = back[:, :, None, None] * net.filters.reshape(WIDTH, DEPTH, FILTERS).transpose(2, 0, 1)
+            to_vectors = np.bincount((seen[..., None].astype(np.int64) * DEPTH + np.arange(DEPTH)).ravel(), to_bytes.ravel(), 256 * DEPTH).reshape(256, DEPTH)
+            to_vectors[0] = 0
+            to_weights = np.concatenate([mean.T @ d, most.T @ d, [d.sum()]]) + 1e-4 * net.weights
             step += 1
             rate = 0.01 * (1 - epoch / EPOCHS) + 0.001
-            for j, g in enumerate(grads):
+            for j, g in enumerate((to_vectors, to_filters, to_weights)):
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.999 * v[j] + 0.001 * g * g
-                change = rate * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.999**step)) + 1e-8)
-                if j:
-                    net.weights -= change
-                else:
-                    net.filters -= change.astype(np.float32)
+                params[j] -= (rate * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.999**step)) + 1e-8)).astype(params[j].dtype)
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[list[bytes], np.ndarray]:
-    """At most `most` labelled documents that aren't held out, by a hash of the key: TopK over the small table, then a join
-    with that bounded side. Of a text beyond 65,536 characters 64 evenly spread pieces of 1,024 are learned from, so the driver
-    gets 128 million characters at most."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[list[bytes], np.ndarray]:
+    """At most `most` labelled documents that aren't held out, by a hash of the key, and of those, in this order, as many as have
+    `most_bytes` of text together, whole texts each: TopK over the small table, then joins with that bounded side. A key with
+    several labels has the least; a key with several rows is one document, its least text."""
+    key, text, label = quoted([key, text, label])
     learn = labels.where(f"{label} IS NOT NULL AND {key} IS NOT NULL").where(~held_out(F.col(key)))
-    ids = learn.groupBy(key).agg(F.min(label).alias("label__")).orderBy(F.xxhash64(key), key).limit(most)
-    n = F.length(text)
-    spread_out = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substring(F.col(text), (i * F.floor(n / 64) + 1).cast("int"), F.lit(1024))), "")
-    found = docs.select(key, text).join(F.broadcast(ids), key).select(key, "label__", F.when(n > 65536, spread_out).otherwise(F.col(text)).alias("text__"))
-    rows = found.groupBy(key, "label__").agg(F.min("text__").alias("text__")).collect()
-    rows = sorted((r[key], r["label__"], r["text__"] or "") for r in rows)
+    ids = learn.groupBy(F.col(key).alias("id__")).agg(F.min(label).alias("label__")).orderBy(F.xxhash64("id__"), "id__").limit(most)
+    docs = docs.select(F.col(key).alias("id__"), F.coalesce(F.col(text), F.lit("")).alias("text__"))
+    found = docs.join(F.broadcast(ids), "id__").groupBy("id__", "label__")
+    sizes = found.agg(F.octet_length(F.min("text__")).alias("size__")).orderBy(F.xxhash64("id__"), "id__").collect()
+    total, chosen = 0, []
+    for r in sizes:
+        if total + r["size__"] <= most_bytes:
+            total += r["size__"]
+            chosen.append((r["id__"],))
+    if not chosen:
+        return [], np.zeros(0)
+    chosen = docs.sparkSession.createDataFrame(chosen, f"id__ {dict(ids.dtypes)['id__']}")
+    rows = docs.join(F.broadcast(ids.join(chosen, "id__")), "id__").groupBy("id__", "label__").agg(F.min("text__").alias("text__")).collect()
+    rows = sorted((r["id__"], r["label__"], r["text__"]) for r in rows)
     return [r[2].encode() for r in rows], np.array([float(r[1]) for r in rows])
 
 
 def held_out(key) -> F.Column:
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """Whether a row is kept from training; one without a key has no label to learn and isn't held out."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def score_documents(df: DataFrame, net: Network, text: str = "text", column: str = "score") -> DataFrame:
     """df with the probability that a text's label is 1 behind its columns. A null or empty text is one empty chunk and has
-    a score, too; equal texts have equal scores to 6 places; an empty table gives an empty result."""
-    names = df.columns
-    where = names.index(text)
+    a score, too; equal texts have equal scores to 6 places; an empty table gives an empty result. If df has a column of the
+    new one's name already, underscores are appended to the new one's."""
+    names = [*df.columns, fresh(df, column)]
+    df, (text,) = numbered(df, text)
+    where = df.columns.index(text)
 
     def score(batches):
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 data, bounds = text_bytes(part.column(where))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(net.scores(data, bounds), 6), pa.float64())], [*part.schema.names, column])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(net.scores(data, bounds), 6), pa.float64())], [*part.schema.names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return spread(df).mapInArrow(score, f"{schema}, `{column}` double")
+    return spread(df).mapInArrow(score, f"{ddl(df)}, score double").toDF(*names)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
