@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import folio.llm.repeats as R
 from folio.llm.op01_substring_dedup import op1_substring_dedup, remove_repeated_passages
 from folio.llm.op05_line_dedup import op5_line_dedup, remove_repeated_lines
-from folio.llm.op06_simhash import long_links, most_bits, near_duplicates, op6_simhash, similar_documents
+from folio.llm import op06_simhash as S
+from folio.llm.op06_simhash import Segments, long_links, most_bits, near_duplicates, op6_simhash, similar_documents
 from folio.llm.op08_suffix_dedup import op8_suffix_dedup, remove_repeated_bytes
 
 
@@ -191,7 +192,7 @@ def test_long_links_connect_as_all_pairs_do(spark):
             rows.append([x - (1 << 64) if x >> 63 else x for x in f])
     rows = [(i, *f) for i, f in enumerate(rows)]
     bits = most_bits(0.8)
-    got = long_links(spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long"), bits).collect()
+    got = long_links(spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long"), Segments.of(120), bits).collect()
     far = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(rows[a][1:], rows[b][1:], strict=True))
     pairs = {(r["u"], r["v"]) for r in got}
     assert brute.components(range(120), lambda a, b: (a, b) in pairs) == brute.components(range(120), lambda a, b: far(a, b) <= bits)
@@ -210,8 +211,16 @@ def test_similar_documents_catch_near_copies_and_leave_others(spark):
     got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("f0", F.lit(1))).collect()}
     assert got == want
 
-def test_similar_documents_verify_the_similarity(spark):
-    """Pairs on both sides of 0.8, alone and in a group of many: what is linked is what the sets of shingles say."""
+
+def jaccard_groups(texts, least=0.8):
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for t in texts)]
+    return brute.components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least)
+
+
+@pytest.mark.parametrize("chunk", [512, 8])
+def test_similar_documents_verify_the_similarity(spark, monkeypatch, chunk):
+    """Pairs on both sides of 0.8, alone and in a group of many, in one block or in several: what is linked is what the sets of shingles say."""
+    monkeypatch.setattr(S, "CHUNK", chunk)
     random.seed(8)
     word = lambda: "".join(random.choices("abcdefgh", k=6))
     texts = []
@@ -222,13 +231,49 @@ def test_similar_documents_verify_the_similarity(spark):
             near[10 + 15 * p] = word()
         texts += [" ".join(w), " ".join(near)]
     base = [word() for _ in range(200)]
-    for _ in range(60):
+    for _ in range(100):
         w = list(base)
-        for p in random.sample(range(5, 195), random.randint(1, 6)):
+        for p in random.sample(range(5, 195), random.randint(1, 9)):
             w[p] = word()
         texts.append(" ".join(w))
-    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
-    want = brute.components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    want = jaccard_groups(texts)
     got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert not {(a, b) for a, b in got.items() if want[a] == a != b}  # nothing goes that is not similar
     assert got == want
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs at a similarity just at or above 0.8, texts short and long, at least 0.9 are found, and no pair below."""
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghijkl", k=5))
+    texts = []
+    for k in range(400):
+        n = [30, 60, 200, 600][k % 4]
+        w = [word() for _ in range(n)]
+        near, changes = list(w), max(1, round(0.0222 * (n - 4)))
+        for p in range(changes):
+            near[int((p + 0.5) * n / changes)] = word()
+        texts += [" ".join(w), " ".join(near)]
+    want = jaccard_groups_of_pairs(texts)
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [got[i + 1] == i for i in want]
+    assert len(want) > 150 and sum(found) >= 0.9 * len(want)
+    assert all(got[i + 1] == i + 1 for i in range(0, len(texts), 2) if i not in want)
+
+
+def jaccard_groups_of_pairs(texts):
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    return {i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8}
+
+
+def test_segments_grow_with_the_corpus():
+    few, many = Segments.of(10_000), Segments.of(10**9)
+    assert few.bits == 16 and many.bits > 22 and many.count > few.count and many.words <= len(S._SALT)
+    assert 10**9 * (many.bits / 2 + 1) / 2**many.bits <= S.OCCUPIED
+
+
+def test_similar_documents_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (5, "A b c d E f"), (6, "x " * 50_000), (7, "x " * 60_000), (8, "one"), (9, "ONE")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, node int, f0 int, `x.y` int")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in similar_documents(df).collect())
+    assert got == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 8)]
