@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import human_size
+from folio.functions.text import human_size, is_safe_member
+from folio.operators.folds import sorted_fold
 
-# What an error says that no retry mends; the base of the waiting times.
+# What an error says that no retry mends; the base of the waiting times; the kinds of books.
 TERMINAL_ERROR = "drm|not a valid|malformed|not found"
 BACKOFF = 5
+BOOKS = (".pdf", ".epub")
+# Notes of the catalog.
+PARTLY, REBUILT, USELESS = ("text layer partially rebuilt via OCR; ", " section(s) may remain unselectable"), "text layer rebuilt via OCR", "OCR attempted but failed; text layer may be unusable"
 
 
 def chunk_plan(items: DataFrame, size: int = 50) -> DataFrame:
@@ -39,8 +43,8 @@ def retry_outcomes(attempts: DataFrame, retries: int = 2) -> DataFrame:
 def recognition_outcomes(units: DataFrame) -> DataFrame:
     """Per document the sums of its units' outcomes, and a note."""
     sums = units.groupBy("doc_id").agg(*[F.sum(c).cast("long").alias(c) for c in ("ocred", "failed", "clean")])
-    some = F.concat(F.lit("text layer partially rebuilt via OCR; "), F.col("failed").cast("string"), F.lit(" section(s) may remain unselectable"))
-    note = F.when((F.col("ocred") > 0) & (F.col("failed") > 0), some).when(F.col("ocred") > 0, "text layer rebuilt via OCR").when(F.col("failed") > 0, "OCR attempted but failed; text layer may be unusable")
+    some = F.concat(F.lit(PARTLY[0]), F.col("failed").cast("string"), F.lit(PARTLY[1]))
+    note = F.when((F.col("ocred") > 0) & (F.col("failed") > 0), some).when(F.col("ocred") > 0, REBUILT).when(F.col("failed") > 0, USELESS)
     return sums.withColumn("note", note)
 
 
@@ -49,19 +53,25 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("kind", "seq").alias("status"), F.max_by("message", "seq").alias("message"), F.count_if(F.col("kind") == "step").alias("n_steps"), F.max("seq").alias("last_seq"))
 
 
+def job_lookup(states: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The states of the jobs asked for (job_id), one row each; a job that isn't known has the status 'unknown'."""
+    return jobs.select("job_id").join(states, "job_id", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+
+
 def admitted_jobs(requests: DataFrame) -> DataFrame:
-    """Requests (job_id, start, end) with whether one slot was free: nobody whom the slot already served still ran.
+    """Requests (slot, job_id, start, end) with whether the slot was free: nobody whom the slot already served still ran.
 
-    A request that is refused doesn't hold the slot, so this is a fold over the requests in order.
+    A request that is refused doesn't hold the slot, so this is a fold over a slot's requests in order; of any number, as only
+    the time until which the slot is busy is kept.
     """
-    seq = F.sort_array(F.collect_list(F.struct("start", "job_id", "end")))
-    zero = F.struct(F.lit(None).cast("double").alias("busy"), F.array().cast("array<struct<job_id:long,admitted:boolean>>").alias("out"))
 
-    def step(acc: Column, r: Column) -> Column:
-        free = acc["busy"].isNull() | (r["start"] >= acc["busy"])
-        return F.struct(F.when(free, r["end"]).otherwise(acc["busy"]).alias("busy"), F.concat(acc["out"], F.array(F.struct(r["job_id"].alias("job_id"), free.alias("admitted")))).alias("out"))
+    def step(state: list, r) -> tuple:
+        free = not state or r.start >= state[0]
+        if free:
+            state[:] = [r.end]
+        return r.slot, r.job_id, free
 
-    return requests.groupBy("slot").agg(F.aggregate(seq, zero, step, lambda a: a["out"]).alias("o")).select("slot", F.explode("o").alias("o")).select("slot", "o.*")
+    return sorted_fold(requests.select("slot", "job_id", "start", "end"), ["slot"], ["start", "job_id"], list, step, "slot int, job_id long, admitted boolean")
 
 
 def newest(books: DataFrame, limit: int | None = None) -> DataFrame:
@@ -85,26 +95,75 @@ def sidecar_json(title: Column, file: Column, fmt: Column, cover: Column, pdf: C
 
 
 def unique_names(wanted: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """(id, name, unique): 'stem (2).ext', 'stem (3).ext'... for names that are there already; those in `taken` count first."""
+    """(id, name, unique): in order of id each name as it is if nobody has it, else the first free of 'stem (2).ext', 'stem (3).ext'
+    and so on; names in `taken` are had by others from the start.
+
+    Only names with one root can be in each other's way: what is left of the stem without numbers in brackets behind it. Per
+    root it's a fold that keeps the names given as they are and, for each name, the next number to try.
+    """
+    parts = r"^(.*?)((?: \([0-9]+\))*)(\.[^.]*)?$"
     rows = wanted.select("id", "name", F.lit(1).alias("turn"))
     if taken is not None:
-        rows = rows.unionByName(taken.select(F.lit(None).cast("long").alias("id"), "name", F.lit(0).alias("turn")))
-    k = F.row_number().over(Window.partitionBy("name").orderBy("turn", "id"))
-    stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^.*?(\.[^.]*)?$", 1)
-    unique = F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("k").cast("string"), F.lit(")"), ext))
-    return rows.withColumn("k", k).where("turn = 1").select("id", "name", unique.alias("unique"))
+        rows = rows.unionByName(taken.select(F.lit(None).cast("long").alias("id"), "name", F.lit(0).alias("turn")).distinct())
+    rows = rows.withColumn("root", F.concat(F.regexp_extract("name", parts, 1), F.lit("/"), F.regexp_extract("name", parts, 3)))
+
+    def numbered(name: str) -> tuple[str, int] | None:
+        """The name and the number that this name could be given for."""
+        stem, dot, ext = name.rpartition(".") if "." in name else (name, "", "")
+        head, _, tail = stem.rpartition(" (")
+        n = tail[:-1]
+        return (head + dot + ext, int(n)) if tail.endswith(")") and n.isascii() and n.isdigit() and n[0] != "0" and int(n) > 1 else None
+
+    def step(state: dict, r) -> tuple | None:
+        def had(name: str) -> bool:
+            of = numbered(name)
+            return name in state or (of is not None and of[1] < state.get(of[0], 2))
+
+        # state: names that somebody has as they are, with the next number to try for them
+        unique = r.name
+        if r.turn == 0:
+            state.setdefault(r.name, 2)
+            return None
+        if had(r.name):
+            stem, dot, ext = r.name.rpartition(".") if "." in r.name else (r.name, "", "")
+            k = state.setdefault(r.name, 2)
+            while had(unique := f"{stem} ({k}){dot}{ext}"):
+                k += 1
+                state[r.name] = k
+            state[r.name] = k + 1
+        else:
+            state[r.name] = 2
+        return r.id, r.name, unique
+
+    return sorted_fold(rows, ["root"], ["turn", "id"], dict, step, "id long, name string, unique string")
 
 
 def deduplicated(contents: DataFrame) -> DataFrame:
-    """(id, digest, image): contents by digest, numbered in the order first seen."""
-    d = contents.select("id", F.md5(F.col("content")).alias("digest"))
-    first = d.groupBy("digest").agg(F.min("id").alias("first"))
-    return d.join(first, "digest").select("id", "digest", "first")
+    """(doc_id, id, digest, first, number) of a document's images (doc_id, id, xref, content) in order of id: one with a reference is
+    the same as others with that reference, one without as others without of the same bytes (by MD5, which names the file);
+    first is the first of the same, and these are numbered from 1 in the order first seen."""
+    digest = F.md5(F.col("content"))
+    key = F.when(F.col("xref").isNotNull(), F.concat(F.lit("xref:"), F.col("xref").cast("string"))).otherwise(digest)
+    d = contents.select("doc_id", "id", digest.alias("digest"), key.alias("key"))
+    first = d.withColumn("first", F.min("id").over(Window.partitionBy("doc_id", "key")))
+    return first.select("doc_id", "id", "digest", "first", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first")).alias("number"))
 
 
 def upload_cut(parts: DataFrame, cap: int) -> DataFrame:
-    """(upload, total, accepted): running totals of an upload's parts; one that passes the cap is refused."""
-    return parts.groupBy("upload").agg(F.sum("bytes").cast("long").alias("total")).withColumn("accepted", F.col("total") <= cap)
+    """(upload, received, cut_part, accepted) of an upload's parts (upload, part, bytes): bytes up to the part that passes the cap, where
+    receiving ends, and that part; null and accepted if none does."""
+    w = Window.partitionBy("upload").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.withColumn("running", F.sum("bytes").over(w))
+    over = F.col("running") > cap
+    sums = rows.groupBy("upload").agg(F.min(F.when(over, F.struct("part", "running"))).alias("cut"), F.max("running").alias("total"))
+    return sums.select("upload", F.coalesce("cut.running", "total").cast("long").alias("received"), F.col("cut.part").alias("cut_part"), F.col("cut").isNull().alias("accepted"))
+
+
+def book_lookup(files: DataFrame, asked: DataFrame, kinds: tuple[str, ...] = BOOKS) -> DataFrame:
+    """The files (name, ...) asked for by a bare name (column asked) with an extension of the kinds; others are not found."""
+    extension = F.lower(F.regexp_extract("asked", r"(\.[^.]*)$", 1))
+    fine = asked.select("asked").distinct().where(is_safe_member(F.col("asked")) & extension.isin(*kinds))
+    return files.join(fine, F.col("name") == F.col("asked"), "left_semi")
 
 
 def without(catalog: DataFrame, names: DataFrame) -> DataFrame:
