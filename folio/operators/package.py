@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.text import escape
+from folio.operators.structure import clamped_levels
+
 # Font obfuscation, which leaves a book readable; the root file's place.
 READABLE = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
 MIMETYPE = "application/epub+zip"
@@ -99,11 +104,12 @@ def is_cover(page: Column, chars: Column, share: Column, width: Column) -> Colum
 
 
 def stylesheet(vertical: Column, lang: Column, all_indent: Column) -> Column:
+    """The rules in their order; {p} and {indent} stand for what depends on the book."""
     indent = F.when(lang.startswith("zh"), "2em").otherwise("1em")
     flat = F.when(all_indent, F.concat(F.lit("p { margin: 0; text-indent: "), indent, F.lit("; }"))).otherwise("p { margin: 0 0 0.8em 0; text-indent: 0; }")
-    parts = [F.lit(x) for x in _RULES[:4]] + [flat, F.concat(F.lit("p.indent { text-indent: "), indent, F.lit("; }"))] + [F.lit(x) for x in _RULES[4:]]
+    plain = F.replace(F.replace(F.lit("\n".join(_RULES)), F.lit("{p}"), flat), F.lit("{indent}"), indent)
     upright = F.when(vertical, F.concat(F.lit("\n"), F.lit("\n".join(_VERTICAL)))).otherwise("")
-    return F.concat(F.concat_ws("\n", *parts), upright, F.lit("\n" + "\n".join(_COVER) + "\n"))
+    return F.concat(plain, upright, F.lit("\n" + "\n".join(_COVER) + "\n"))
 
 
 # The rules of the stylesheet, those of vertical books, and the cover's.
@@ -112,6 +118,8 @@ _RULES = (
     "body { line-height: 1.75; }",
     "h1, h2, h3, h4 { font-weight: bold; line-height: 1.3; }",
     "h1 { font-size: 1.6em; } h2 { font-size: 1.35em; } h3 { font-size: 1.15em; } h4 { font-size: 1em; }",
+    "{p}",
+    "p.indent { text-indent: {indent}; }",
     "p.noindent { text-indent: 0; }",
     "p.center, h1.center, h2.center, h3.center { text-align: center; text-indent: 0; }",
     "p.right { text-align: right; text-indent: 0; }",
@@ -146,34 +154,110 @@ def chunk_entries(entries: DataFrame, spine_rows: DataFrame, chunk: int, size: i
     return kept.withColumn("ord", F.when(F.col("name") == "mimetype", 0).otherwise(F.col("ord") + 1))
 
 
-def package_entries(books: DataFrame, chapters: DataFrame, images: DataFrame) -> DataFrame:
-    """Ordered entries (doc_id, ord, name, body, compress) of a package: mimetype (stored), container, styles, images, chapters, navigation,
-    package document. books: doc_id, title, lang, vertical, all_indent, uid, modified; chapters: doc_id, chapter, title, html; images: doc_id, k, name, bytes."""
-    b = books.select("doc_id")
+def _times(text: str, n: Column) -> Column:
+    return F.repeat(F.lit(text), F.greatest(n, F.lit(0)))
+
+
+def _walk(entries: Column, levels: Column, before, opened) -> Column:
+    """before(level, level of the one before, 0 at first) and opened(entry, number from 1) of each entry, put together."""
+    place = F.sequence(F.lit(0), F.size(entries) - 1)
+    return F.array_join(F.transform(place, lambda i: F.concat(before(F.get(levels, i), F.when(i == 0, 0).otherwise(F.get(levels, i - 1))), opened(F.get(entries, i), i + 1))), "")
+
+
+def _shown(title: Column) -> Column:
+    return F.when(F.coalesce(F.trim(title), F.lit("")) == "", "—").otherwise(escape(title))
+
+
+def navigation_list(entries: Column) -> Column:
+    """Entries (array of level, title, href) as nested lists; none is more than one level below the one before."""
+    levels = clamped_levels(F.transform(entries, lambda e: e["level"]))
+    before = lambda now, last: F.when(now > last, "<ol>").when(now == last, "</li>").otherwise(F.concat(_times("</li></ol>", last - now), F.lit("</li>")))
+    opened = lambda e, k: F.concat(F.lit('<li><a href="'), escape(e["href"], True), F.lit('">'), _shown(e["title"]), F.lit("</a>"))
+    return F.when(F.size(entries) == 0, "<ol></ol>").otherwise(F.concat(_walk(entries, levels, before, opened), F.lit("</li>"), _times("</ol></li>", F.element_at(levels, -1) - 1), F.lit("</ol>")))
+
+
+def navigation_points(entries: Column) -> Column:
+    """The same as nested points in play order, for readers of the older kind."""
+    levels = clamped_levels(F.transform(entries, lambda e: e["level"]))
+    before = lambda now, last: _times("</navPoint>", F.when(last == 0, 0).otherwise(last - now + 1))
+    number = lambda k: k.cast("string")
+    opened = lambda e, k: F.concat(F.lit('<navPoint id="np'), number(k), F.lit('" playOrder="'), number(k), F.lit('"><navLabel><text>'), _shown(e["title"]), F.lit('</text></navLabel><content src="'), escape(e["href"], True), F.lit('"/>'))
+    return F.when(F.size(entries) == 0, "").otherwise(F.concat(_walk(entries, levels, before, opened), _times("</navPoint>", F.element_at(levels, -1))))
+
+
+def image_type(name: Column) -> Column:
+    kind = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    return F.when(kind.isin("png", "gif", "webp"), F.concat(F.lit("image/"), kind)).when(kind == "svg", "image/svg+xml").otherwise("image/jpeg")
+
+
+def _document(title: Column, lang: Column, css: str, body: Column) -> Column:
+    return F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" xml:lang="'), escape(lang, True),
+        F.lit('"><head><title>'), escape(title), F.lit(f'</title><link rel="stylesheet" type="text/css" href="{css}"/></head><body>\n'), body, F.lit("\n</body></html>\n"),
+    )
+
+
+def package_entries(books: DataFrame, chapters: DataFrame, images: DataFrame, covers: DataFrame | None = None, navigation: DataFrame | None = None) -> DataFrame:
+    """Ordered entries (doc_id, ord, name, body, compress) of a package: mimetype (stored), container, styles, cover image and page,
+    images, chapters, navigation in both kinds, package document.
+
+    books: doc_id, title, lang, vertical, all_indent, uid, modified, and author if there is any; chapters: doc_id, chapter, title, html;
+    images: doc_id, k, name, bytes; covers: doc_id, name, bytes; navigation: doc_id, idx, level, title, href. A book without chapters has
+    one empty chapter; a chapter without a title has the book's if it's the first, else its number; a book without navigation has an entry a chapter.
+    """
+    spark = books.sparkSession
     text = lambda c: F.encode(c, "UTF-8")
-    fixed = b.select("doc_id", F.explode(F.array(
-        F.struct(F.lit(0).alias("ord"), F.lit("mimetype").alias("name"), text(F.lit(MIMETYPE)).alias("body"), F.lit(False).alias("compress")),
-        F.struct(F.lit(1).alias("ord"), F.lit("META-INF/container.xml").alias("name"), text(F.lit(CONTAINER)).alias("body"), F.lit(True).alias("compress")),
-    )).alias("e")).select("doc_id", "e.*")
-    css = books.select("doc_id", F.lit(2).alias("ord"), F.lit("OEBPS/css/book.css").alias("name"), text(stylesheet(F.col("vertical"), F.col("lang"), F.col("all_indent"))).alias("body"), F.lit(True).alias("compress"))
-    pictures = images.select("doc_id", (F.col("k") + 10).alias("ord"), F.concat(F.lit("OEBPS/images/"), "name").alias("name"), F.col("bytes").alias("body"), F.lit(False).alias("compress"))
-    file = F.format_string("text/chapter%04d.xhtml", "chapter")
-    pages = chapters.join(books.select("doc_id", "lang"), "doc_id").select("doc_id", (F.col("chapter") + 1_000_000).alias("ord"), F.concat(F.lit("OEBPS/"), file).alias("name"), text(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="'), "lang", F.lit('"><head><title>'), "title", F.lit('</title><link rel="stylesheet" type="text/css" href="../css/book.css"/></head><body>'), "html", F.lit("</body></html>\n"))).alias("body"), F.lit(True).alias("compress"))
-    listed = chapters.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter", file.alias("file"), "title"))).alias("cs"))
-    seen = images.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("is"))
-    top = books.join(listed, "doc_id").join(seen, "doc_id", "left")
-    points = F.array_join(F.transform("cs", lambda c: F.concat(F.lit('<li><a href="'), c["file"], F.lit('">'), c["title"], F.lit("</a></li>"))), "")
-    nav = top.select("doc_id", F.lit(9_000_000).alias("ord"), F.lit("OEBPS/nav.xhtml").alias("name"), text(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>'), "title", F.lit('</title></head><body><nav epub:type="toc"><ol>'), points, F.lit("</ol></nav></body></html>\n"))).alias("body"), F.lit(True).alias("compress"))
+    entry = lambda ord_, name, body, compress=True: [F.lit(ord_).alias("ord") if isinstance(ord_, int) else ord_.alias("ord"), (F.lit(name) if isinstance(name, str) else name).alias("name"), body.alias("body"), F.lit(compress).alias("compress")]
+    covers = covers if covers is not None else spark.createDataFrame([], "doc_id long, name string, bytes binary")
+    navigation = navigation if navigation is not None else spark.createDataFrame([], "doc_id long, idx long, level int, title string, href string")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    author = F.col("author") if "author" in books.columns else F.lit(None).cast("string")
+    books = books.select("doc_id", F.coalesce("title", F.lit("")).alias("book"), F.when(blank(F.col("lang")), "en").otherwise(F.col("lang")).alias("lang"), "vertical", "all_indent", "uid", "modified", author.alias("author"))
+    empty = books.join(chapters, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("chapter"), F.lit(None).cast("string").alias("title"), F.lit("").alias("html"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter"))
+    parts = chapters.select("doc_id", "chapter", "title", "html").unionByName(empty).join(books.select("doc_id", "book", "lang"), "doc_id").withColumn("place", place)
+    parts = parts.withColumn("title", F.when(~blank(F.col("title")), F.col("title")).when(F.col("place") == 1, F.col("book")).otherwise(F.concat(F.lit("Section "), F.col("place").cast("string"))))
+    parts = parts.withColumn("file", F.format_string("text/chapter%04d.xhtml", "chapter"))
+    section = F.concat(F.lit('<section epub:type="chapter">\n'), F.coalesce("html", F.lit("")), F.lit("\n</section>"))
+    listed = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter", "file", "title"))).alias("cs"))
+    seen = images.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("shown"))
+    marks = navigation.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "level", "title", "href"))), lambda e: F.struct(e["level"].alias("level"), e["title"].alias("title"), e["href"].alias("href"))).alias("marks"))
+    top = books.join(listed, "doc_id").join(seen, "doc_id", "left").join(marks, "doc_id", "left").join(covers.select("doc_id", F.col("name").alias("cover")), "doc_id", "left")
+    plain = F.transform("cs", lambda c: F.struct(F.lit(1).alias("level"), c["title"].alias("title"), c["file"].alias("href")))
+    top = top.withColumn("nav", F.coalesce("marks", plain))
+    heading = F.concat(F.lit('<nav epub:type="toc" id="toc"><h1>'), escape(F.col("book")), F.lit("</h1>\n"), navigation_list(F.col("nav")), F.lit("\n</nav>"))
+    ncx = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1">\n<head><meta name="dtb:uid" content="'), escape(F.col("uid"), True),
+        F.lit('"/><meta name="dtb:depth" content="'), F.array_max(F.transform("nav", lambda e: e["level"])).cast("string"),
+        F.lit('"/><meta name="dtb:totalPageCount" content="0"/><meta name="dtb:maxPageNumber" content="0"/></head>\n<docTitle><text>'), escape(F.col("book")),
+        F.lit("</text></docTitle>\n<navMap>"), navigation_points(F.col("nav")), F.lit("</navMap>\n</ncx>\n"),
+    )
+    has_cover = F.col("cover").isNotNull()
+    cover_items = F.when(has_cover, F.concat(F.lit('<item id="cover-image" href="images/'), escape(F.col("cover"), True), F.lit('" media-type="'), image_type(F.col("cover")), F.lit('" properties="cover-image"/><item id="cover" href="cover.xhtml" media-type="application/xhtml+xml"/>'))).otherwise("")
     item = F.array_join(F.transform("cs", lambda c: F.concat(F.lit('<item id="c'), c["chapter"].cast("string"), F.lit('" href="'), c["file"], F.lit('" media-type="application/xhtml+xml"/>'))), "")
-    shown = F.coalesce(F.array_join(F.transform("is", lambda i: F.concat(F.lit('<item id="i'), i["k"].cast("string"), F.lit('" href="images/'), i["name"], F.lit('" media-type="image/'), F.when(i["name"].endswith(".png"), "png").otherwise("jpeg"), F.lit('"/>'))), ""), F.lit(""))
-    ref = F.array_join(F.transform("cs", lambda c: F.concat(F.lit('<itemref idref="c'), c["chapter"].cast("string"), F.lit('"/>'))), "")
-    way = F.when(F.col("vertical"), ' page-progression-direction="rtl"').otherwise("")
-    opf = top.select("doc_id", F.lit(9_000_001).alias("ord"), F.lit("OEBPS/content.opf").alias("name"), text(F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">'), "uid",
-        F.lit("</dc:identifier><dc:title>"), "title", F.lit("</dc:title><dc:language>"), "lang", F.lit('</dc:language><meta property="dcterms:modified">'), "modified",
-        F.lit('</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="css/book.css" media-type="text/css"/>'), item, shown,
-        F.lit("</manifest><spine"), way, F.lit(">"), ref, F.lit("</spine></package>\n"))).alias("body"), F.lit(True).alias("compress"))
-    out = fixed
-    for part in (css, pictures, pages, nav, opf):
-        out = out.unionByName(part)
-    return out
+    shown = F.coalesce(F.array_join(F.transform("shown", lambda i: F.concat(F.lit('<item id="i'), i["k"].cast("string"), F.lit('" href="images/'), escape(i["name"], True), F.lit('" media-type="'), image_type(i["name"]), F.lit('"/>'))), ""), F.lit(""))
+    ref = F.concat(F.when(has_cover, '<itemref idref="cover" linear="yes"/>').otherwise(""), F.array_join(F.transform("cs", lambda c: F.concat(F.lit('<itemref idref="c'), c["chapter"].cast("string"), F.lit('"/>'))), ""))
+    opf = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid" xml:lang="'), escape(F.col("lang"), True),
+        F.lit('"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="bookid">'), escape(F.col("uid")),
+        F.lit("</dc:identifier><dc:title>"), escape(F.col("book")), F.lit("</dc:title><dc:language>"), escape(F.col("lang")), F.lit('</dc:language><meta property="dcterms:modified">'), escape(F.col("modified")), F.lit("</meta>"),
+        F.when(blank(F.col("author")), "").otherwise(F.concat(F.lit("<dc:creator>"), escape(F.col("author")), F.lit("</dc:creator>"))),
+        F.when(has_cover, '<meta name="cover" content="cover-image"/>').otherwise(""), F.when(F.col("vertical"), '<meta name="primary-writing-mode" content="vertical-rl"/>').otherwise(""),
+        F.lit('</metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="css" href="css/book.css" media-type="text/css"/>'),
+        cover_items, shown, item, F.lit('</manifest><spine toc="ncx"'), F.when(F.col("vertical"), ' page-progression-direction="rtl"').otherwise(""), F.lit(">"), ref, F.lit("</spine></package>\n"),
+    )
+    bound = covers.join(books.select("doc_id", "book", "lang"), "doc_id")
+    picture = F.concat(F.lit('<section class="cover" epub:type="cover"><img src="images/'), escape(F.col("name"), True), F.lit('" alt="'), escape(F.col("book"), True), F.lit('"/></section>'))
+    out = [
+        books.select("doc_id", *entry(0, "mimetype", text(F.lit(MIMETYPE)), False)),
+        books.select("doc_id", *entry(1, "META-INF/container.xml", text(F.lit(CONTAINER)))),
+        books.select("doc_id", *entry(2, "OEBPS/css/book.css", text(stylesheet(F.col("vertical"), F.col("lang"), F.col("all_indent"))))),
+        bound.select("doc_id", *entry(3, F.concat(F.lit("OEBPS/images/"), "name"), F.col("bytes"), False)),
+        bound.select("doc_id", *entry(4, "OEBPS/cover.xhtml", text(_document(F.col("book"), F.col("lang"), "css/book.css", picture)))),
+        images.select("doc_id", *entry(F.col("k") + 10, F.concat(F.lit("OEBPS/images/"), "name"), F.col("bytes"), False)),
+        parts.select("doc_id", *entry(F.col("chapter") + 1_000_000, F.concat(F.lit("OEBPS/"), "file"), text(_document(F.col("title"), F.col("lang"), "../css/book.css", section)))),
+        top.select("doc_id", *entry(9_000_000, "OEBPS/nav.xhtml", text(_document(F.col("book"), F.col("lang"), "css/book.css", heading)))),
+        top.select("doc_id", *entry(9_000_001, "OEBPS/toc.ncx", text(ncx))),
+        top.select("doc_id", *entry(9_000_002, "OEBPS/content.opf", text(opf))),
+    ]
+    return reduce(DataFrame.unionByName, out)

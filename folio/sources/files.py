@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import io
+import lzma
 import zipfile
+import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.operators.package import package_verdict
+
 
 def book_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
     """name, bytes, mtime of the books in a folder; their content is only read if asked for."""
@@ -18,7 +22,16 @@ def book_files(spark: SparkSession, folder: str, content: bool = False) -> DataF
 
 
 def archive_entries(files: DataFrame) -> DataFrame:
-    """(name, ord, entry, body) of the archives in column content; what isn't one has a single row with a null entry."""
+    """(name, ord, entry, body, error) of the archives in column content; what isn't one has a single row with a null entry. An entry that
+    can't be read has no body and says why: encrypted or damaged."""
+
+    def read(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        if info.flag_bits & 1:
+            return None, "encrypted"
+        try:
+            return z.read(info), None
+        except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, EOFError, OSError, NotImplementedError, RuntimeError, ValueError):
+            return None, "damaged"
 
     def unzip(batches):
         for pdf in batches:
@@ -26,12 +39,26 @@ def archive_entries(files: DataFrame) -> DataFrame:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(name, i, n, z.read(n)) for i, n in enumerate(z.namelist())]
-                except (zipfile.BadZipFile, TypeError):
-                    rows.append((name, None, None, None))
-            yield pd.DataFrame(rows, columns=["name", "ord", "entry", "body"]).astype({"ord": "Int32"})
+                        rows += [(name, i, info.filename, *read(z, info)) for i, info in enumerate(z.infolist())]
+                except (zipfile.BadZipFile, TypeError, ValueError, OSError, NotImplementedError):
+                    rows.append((name, None, None, None, "no archive"))
+            yield pd.DataFrame(rows, columns=["name", "ord", "entry", "body", "error"]).astype({"ord": "Int32"})
+
+    return files.select("name", "content").mapInPandas(unzip, "name string, ord int, entry string, body binary, error string")
 
-    return files.select("name", "content").mapInPandas(unzip, "name string, ord int, entry string, body binary")
+
+def archive_verdicts(files: DataFrame) -> DataFrame:
+    """(name, verdict): ok, or why an archive (name, content) is no readable book; an entry that the verdict needs and that can't be read is
+    a verdict, too."""
+    of = lambda entry, c: F.max(F.when(F.col("entry") == entry, F.col(c)))
+    needed = {"mimetype": "mimetype", "container": "META-INF/container.xml", "encryption": "META-INF/encryption.xml"}
+    sums = archive_entries(files).groupBy("name").agg(
+        *[F.decode(of(e, "body"), "UTF-8").alias(k) for k, e in needed.items()],
+        F.max(F.when(F.col("entry").isin(*needed.values()), F.concat("error", F.lit(" entry "), "entry"))).alias("broken"),
+    )
+    rows = files.select("name", F.substring("content", 1, 4).alias("head")).join(sums, "name")
+    verdict = package_verdict(F.col("head"), F.col("mimetype"), F.col("container"), F.col("encryption"))
+    return rows.select("name", F.when(F.col("broken").isNotNull(), F.col("broken")).otherwise(verdict).alias("verdict"))
 
 
 def write_archives(entries: DataFrame) -> DataFrame:
@@ -51,6 +78,4 @@ def write_archives(entries: DataFrame) -> DataFrame:
 
 def merged(parts: DataFrame) -> DataFrame:
     """Pages of a document's chunks in order: (doc_id, page, chunk, chunk_page)."""
-    from pyspark.sql import Window
-
     return parts.withColumn("page", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk", "chunk_page")) - 1)
