@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.functions.scripts import BLANK, CJK, PUA, count_of
 from folio.functions.text import is_page_number, nfkc, overlap, position_key, signature_of, strip
 
 # Shares of the page height, repeats and sizes that the band rules go by.
@@ -76,9 +77,14 @@ def position_pages(n: Column) -> Column:
     return F.greatest(min_pages(n), F.floor(n * 0.4).cast("int"))
 
 
+def signed(units: DataFrame) -> DataFrame:
+    """Units with the signature of their text, unless they have it already."""
+    return units if "signature" in units.columns else units.withColumn("signature", signature_of(nfkc(F.col("text"))))
+
+
 def band_signatures(bands: DataFrame, pages: DataFrame) -> DataFrame:
-    """(book, place, signature, n) that return on enough pages. bands: book, page, place, text; pages: book, n_pages."""
-    sig = bands.select("book", "page", "place", signature_of(nfkc(F.col("text"))).alias("signature")).where("signature <> ''")
+    """(book, place, signature, n) that return on enough pages. bands: book, page, place, text (and signature); pages: book, n_pages."""
+    sig = signed(bands).select("book", "page", "place", "signature").where("signature <> ''")
     return sig.groupBy("book", "place", "signature").agg(F.countDistinct("page").alias("n")).join(pages, "book").where(F.col("n") >= min_pages(F.col("n_pages"))).select("book", "place", "signature", "n")
 
 
@@ -91,7 +97,7 @@ def band_positions(bands: DataFrame, pages: DataFrame) -> DataFrame:
 
 def drop_running_heads(units: DataFrame, signatures: DataFrame, positions: DataFrame) -> DataFrame:
     """Units (book, page, place, pos, text, size, body_size) without heads, feet and page numbers; place is null outside the bands."""
-    marked = units.withColumn("signature", signature_of(nfkc(F.col("text"))))
+    marked = signed(units)
     number = F.col("place").isNotNull() & is_page_number(F.col("text")) & (F.length("text") <= 12)
     slight = (F.col("size") < SMALL_RATIO * F.col("body_size")) | (F.length("text") <= 40)
     kept = marked.where(~F.coalesce(number, F.lit(False))).join(signatures.select("book", "place", "signature"), ["book", "place", "signature"], "left_anti")
@@ -99,10 +105,15 @@ def drop_running_heads(units: DataFrame, signatures: DataFrame, positions: DataF
     return kept.join(listed, (F.col("book") == F.col("b_")) & (F.col("place") == F.col("p_")) & (F.col("pos") == F.col("q_")) & slight, "left_anti").drop("signature")
 
 
+def is_ink(c: Column) -> Column:
+    """Whether a glyph isn't blank; an ideographic space is content."""
+    return ~c.rlike(f"^{BLANK}$")
+
+
 def gap_runs(chars: DataFrame) -> DataFrame:
-    """Glyphs with `part`: a new part begins where the gap to the last non-space glyph exceeds four times the larger size."""
+    """Glyphs with `part`: a new part begins where the gap to the last inked glyph exceeds four times the larger size."""
     line = Window.partitionBy("doc_id", "page", "line").orderBy("pos")
-    solid = F.col("c").rlike(r"\S")
+    solid = is_ink(F.col("c"))
     before = lambda c: F.last(F.when(solid, F.col(c)), True).over(line.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.col("x0") - before("x1")
     fresh = solid & (gap > 4 * F.greatest(F.col("size"), before("size"), F.lit(1.0)))
@@ -110,7 +121,8 @@ def gap_runs(chars: DataFrame) -> DataFrame:
 
 
 def run_boxes(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("doc_id", "page", "line", "part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count_if(F.col("c").rlike(r"\S")).alias("n"))
+    """Each part from its first to its last inked glyph: blanks at its ends fall away, and a part of blanks does."""
+    return parts.where(is_ink(F.col("c"))).groupBy("doc_id", "page", "line", "part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count("*").alias("n"))
 
 
 def gutters(marks: DataFrame, body_size: float = 10.0) -> DataFrame:
@@ -200,12 +212,10 @@ def is_stacked(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "block").orderBy("line")
     chars = F.length(strip(F.col("text")))
     rows = lines.withColumn("py0", F.lag("y0").over(w)).withColumn("px0", F.lag("x0").over(w)).withColumn("px1", F.lag("x1").over(w)).withColumn("n", chars)
-    from folio.functions.scripts import CJK
-
     pair = F.col("py0").isNotNull()
     least = F.least(F.col("x1") - F.col("x0"), F.col("px1") - F.col("px0"))
     stacked = pair & (overlap(F.col("x0"), F.col("x1"), F.col("px0"), F.col("px1")) >= 0.5 * least) & (F.col("y0") >= F.col("py0") - 1)
-    sums = rows.groupBy("doc_id", "block").agg(F.count("*").alias("lines"), F.count_if(F.col("n") <= 2).alias("short"), F.count_if(pair).alias("pairs"), F.count_if(stacked).alias("stacked_pairs"), F.sum("n").alias("chars"), F.sum(F.regexp_count("text", F.lit(CJK))).alias("cjk"))
+    sums = rows.groupBy("doc_id", "block").agg(F.count("*").alias("lines"), F.count_if(F.col("n") <= 2).alias("short"), F.count_if(pair).alias("pairs"), F.count_if(stacked).alias("stacked_pairs"), F.sum("n").alias("chars"), F.sum(count_of(F.col("text"), CJK)).alias("cjk"))
     return sums.select("doc_id", "block", ((F.col("lines") >= 3) & (F.col("short") >= 0.8 * F.col("lines")) & (F.col("stacked_pairs") >= 0.8 * F.col("pairs")) & (F.col("cjk") >= 0.5 * F.col("chars")) & (F.col("chars") > 0)).alias("stacked"))
 
 
@@ -219,8 +229,6 @@ def sampled_pages(pages: DataFrame, most: int = 12) -> DataFrame:
 
 def obfuscation(pages: DataFrame) -> DataFrame:
     """(doc_id, fraction): private-use characters over those beyond ASCII on sampled pages."""
-    from folio.functions.scripts import PUA, count_of
-
     some = sampled_pages(pages)
     sums = some.groupBy("doc_id").agg(F.sum(count_of(F.col("text"), PUA)).alias("pua"), F.sum(count_of(F.col("text"), r"[^\x{0}-\x{7F}]")).alias("beyond"))
     return sums.select("doc_id", "pua", "beyond", F.when(F.col("beyond") == 0, 0.0).otherwise(F.col("pua") / F.col("beyond")).alias("fraction"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import overlap
+from folio.functions.scripts import BLANK
+from folio.functions.text import overlap, strip
+from folio.operators.folds import sorted_fold
 
 PAGE = ["doc_id", "page"]
 BOX = ("x0", "y0", "x1", "y1")
-READING = re.compile("[\u3040-\u30ff\u31f0-\u31ff\u3100-\u312f\u31a0-\u31bfー゛゜ˊˇˋ˙・]")
+# Kana, bopomofo and the marks that readings have.
+READING = r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3100}-\x{312F}\x{31A0}-\x{31BF}ー゛゜ˊˇˋ˙・]"
 STRIP = 24.0  # points; both sides of a point-in-box join meet by strips of y
 
 
@@ -34,18 +35,29 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, margin: float, *names:
 
 
 def link_hits(glyphs: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, page, g, href): the first link, by k, whose rectangle (1 point wider) holds the glyph's centre."""
+    """(doc_id, page, g, k, href): the first link, by k, whose rectangle (1 point wider) holds the glyph's centre."""
     met = points_in_boxes(glyphs.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2), links, 1.0, "k", "href")
-    return met.groupBy(*PAGE, "g").agg(F.min_by("b_href", "b_k").alias("href"))
+    return met.groupBy(*PAGE, "g").agg(F.min("b_k").alias("k"), F.min_by("b_href", "b_k").alias("href"))
 
 
 def link_columns(runs: DataFrame, links: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, page, run, href) for links that hit no glyph: the vertical run with the nearest middle, at most 3 sizes off, that they overlap by 60 %."""
-    missed = links.join(hits.select(*PAGE, "href").distinct(), [*PAGE, "href"], "left_anti")
+    """(doc_id, page, k, href, run, y0, y1) for links whose rectangle hit no glyph: the vertical run with the nearest middle, at most 3 sizes
+    off, that they overlap by 60 %, and the stretch of it that they link."""
+    missed = links.join(hits.select(*PAGE, "k").distinct(), [*PAGE, "k"], "left_anti")
     r = _named(runs.where("vertical"), "r_", "run", "size", *BOX)
     side = F.abs((F.col("r_x0") + F.col("r_x1")) / 2 - (F.col("x0") + F.col("x1")) / 2)
     near = missed.join(r, PAGE).withColumn("dx", side).where((overlap(F.col("y0"), F.col("y1"), F.col("r_y0"), F.col("r_y1")) >= 0.6 * (F.col("y1") - F.col("y0"))) & (F.col("dx") <= 3 * F.col("r_size")))
-    return near.groupBy(*PAGE, "k", "href").agg(F.min_by("r_run", F.struct("dx", "r_run")).alias("run"))
+    return near.groupBy(*PAGE, "k", "href").agg(F.min_by("r_run", F.struct("dx", "r_run")).alias("run"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+
+
+def linked_glyphs(glyphs: DataFrame, runs: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, page, g, k, href) of all links' glyphs (with their run): those under a rectangle, and for rectangles that hit none the
+    glyphs of the nearest column in their stretch, of which the first link, by k, has those that have no link yet."""
+    hits = link_hits(glyphs, links)
+    stretch = link_columns(runs, links, hits).withColumnsRenamed({"y0": "l_y0", "y1": "l_y1"})
+    cy = (F.col("y0") + F.col("y1")) / 2
+    more = glyphs.join(stretch, [*PAGE, "run"]).where(cy.between(F.col("l_y0") - 1, F.col("l_y1") + 1)).groupBy(*PAGE, "g").agg(F.min("k").alias("k"), F.min_by("href", "k").alias("href"))
+    return hits.unionByName(more.join(hits, [*PAGE, "g"], "left_anti"))
 
 
 def strip_boxes(glyphs: DataFrame, boxes: DataFrame, margin: float = 1.0) -> DataFrame:
@@ -110,51 +122,63 @@ def clusters(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*PAGE, "block").applyInPandas(group, "doc_id long, page int, block int, run int, cluster int")
 
 
+def readings(runs: DataFrame, body_size: float) -> DataFrame:
+    """The small runs that may be readings, cut at their blanks if that gives several parts: doc_id, page, run, part, text, size, vertical and box,
+    of which a part has its share. A reading is letters, kana and reading marks throughout; an ideographic space is no blank."""
+    found = F.regexp_extract_all("text", F.lit(f"(?:(?!{BLANK}).)+"), F.lit(0))
+    gaps = F.split("text", f"(?:(?!{BLANK}).)+", -1)
+    small = runs.where((F.col("size") > 0) & (F.col("size") <= 0.65 * body_size)).withColumns({"found": found, "gaps": gaps, "n": F.greatest(F.length("text"), F.lit(1))})
+    several = small.where(F.size("found") > 1).select("*", F.posexplode("found").alias("part", "piece"))
+    before = F.aggregate(F.slice("gaps", 1, F.col("part") + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice("found", 1, F.col("part")), F.lit(0), lambda a, g: a + F.length(g))
+    several = several.withColumn("at", before)
+    whole = small.where(F.size("found") == 1).select("*", F.lit(0).alias("part"), strip(F.col("text")).alias("piece"), F.lit(0).alias("at"))
+    flow = lambda lo, hi, at: F.col(lo) + at * (F.col(hi) - F.col(lo)) / F.col("n")
+    a, z = F.col("at"), F.when(F.size("found") > 1, F.col("at") + F.length("piece")).otherwise(F.col("n"))
+    box = [F.when(F.col("vertical"), F.col(c)).otherwise(flow("x0", "x1", at)).alias(c) for c, at in (("x0", a), ("x1", z))]
+    box += [F.when(F.col("vertical"), flow("y0", "y1", at)).otherwise(F.col(c)).alias(c) for c, at in (("y0", a), ("y1", z))]
+    word = strip(F.col("piece"))
+    return several.unionByName(whole).where(word.rlike(f"^(?:{READING}|\\p{{L}})+$")).select(*PAGE, "run", "part", word.alias("text"), "size", "vertical", *box)
+
+
+def ruby_bases(runs: DataFrame, small: DataFrame, body_size: float) -> DataFrame:
+    """(doc_id, page, run, part, base): the nearest base run of each reading: of its direction, 1.4 times its size or more, to the left of a vertical
+    reading or below a horizontal one, and overlapping half of it; the first of equals. Both sides meet by page and direction."""
+    b = runs.where(F.col("size") >= 0.8 * body_size).select(*PAGE, "vertical", F.col("run").alias("base"), *[F.col(c).alias(f"b_{c}") for c in ("size", *BOX)])
+    met = small.join(b, [*PAGE, "vertical"]).where((F.col("base") != F.col("run")) & (F.col("b_size") >= 1.4 * F.col("size")))
+    across = F.col("x0").between(F.col("b_x1") - 1.5, F.col("b_x1") + 0.6 * F.col("b_size")) & (overlap(F.col("y0"), F.col("y1"), F.col("b_y0"), F.col("b_y1")) >= (F.col("y1") - F.col("y0")) / 2)
+    above = F.col("y1").between(F.col("b_y0") - 0.8 * F.col("b_size"), F.col("b_y0") + 0.35 * F.col("b_size")) & (overlap(F.col("x0"), F.col("x1"), F.col("b_x0"), F.col("b_x1")) >= (F.col("x1") - F.col("x0")) / 2)
+    near = met.where(F.when(F.col("vertical"), across).otherwise(above)).withColumn("far", F.when(F.col("vertical"), F.col("x0") - F.col("b_x1")).otherwise(F.col("b_y0") - F.col("y1")))
+    return near.groupBy(*PAGE, "run", "part").agg(F.min_by("base", F.struct("far", "base")).alias("base"))
+
+
 def attach_ruby(runs: DataFrame, body_size: float) -> DataFrame:
     """(doc_id, page, ruby_run, base_run, lo, hi): which glyphs of which base run each small reading run annotates.
 
-    runs: doc_id, page, run, text, size, vertical, box. Glyphs share a run's extent evenly. Readings take their bases in order of
-    run, and a glyph that has a reading takes no other.
+    runs: doc_id, page, run, text, size, vertical, box. Glyphs share a run's extent evenly. Each reading's base and the glyphs
+    beside it are joins; that a glyph which has a reading takes no other is a fold over each base's readings in order.
     """
-
-    def parts_of(r: dict) -> list[dict]:
-        """A reading run cut at its spaces, each part with its share of the extent."""
-        a0, a1 = ("y0", "y1") if r["vertical"] else ("x0", "x1")
-        step = (r[a1] - r[a0]) / max(1, len(r["text"]))
-        return [r | {"text": m[0], a0: r[a0] + m.start() * step, a1: r[a0] + m.end() * step} for m in re.finditer(r"\S+", r["text"])]
-
-    def beside(r: dict, b: dict) -> float | None:
-        """How far a base is from a reading to its right (vertical) or above it; null if it isn't there or they hardly overlap."""
-        if r["vertical"]:
-            ok, lap, extent, dist = b["x1"] - 1.5 <= r["x0"] <= b["x1"] + 0.6 * b["size"], min(b["y1"], r["y1"]) - max(b["y0"], r["y0"]), r["y1"] - r["y0"], r["x0"] - b["x1"]
-        else:
-            ok, lap, extent, dist = b["y0"] - 0.8 * b["size"] <= r["y1"] <= b["y0"] + 0.35 * b["size"], min(b["x1"], r["x1"]) - max(b["x0"], r["x0"]), r["x1"] - r["x0"], b["y0"] - r["y1"]
-        return dist if ok and max(0.0, lap) >= extent / 2 else None
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, taken = [], set()
-        records = pdf.sort_values("run").to_dict("records")
-        bases = [b for b in records if b["size"] >= 0.8 * body_size]
-        for r in (part for r in records if 0 < r["size"] <= 0.65 * body_size for part in parts_of(r)):
-            if not all(READING.match(c) or c.isalpha() for c in r["text"]):
-                continue
-            near = [(d, k) for k, b in enumerate(bases) if b["run"] != r["run"] and b["vertical"] == r["vertical"] and b["size"] >= 1.4 * r["size"] and (d := beside(r, b)) is not None]
-            if not near:
-                continue
-            b = bases[min(near)[1]]
-            a0, a1 = ("y0", "y1") if r["vertical"] else ("x0", "x1")
-            step, slack = (b[a1] - b[a0]) / max(1, len(b["text"])), 0.3 * b["size"]
-            spots = [(b[a0] + i * step, b[a0] + (i + 1) * step) for i in range(len(b["text"]))]
-            hit = [i for i, (p, q) in enumerate(spots) if min(q, r[a1]) - max(p, r[a0]) > 0.25 * (q - p) or (p >= r[a0] - slack and q <= r[a1] + slack)]
-            hit = [i for i in hit if not b["text"][i].isspace() and (b["run"], i) not in taken]
-            if not hit:
-                middle = (r[a0] + r[a1]) / 2
-                hit = [min(range(len(spots)), key=lambda i: abs(sum(spots[i]) / 2 - middle))]
-            taken |= {(b["run"], i) for i in range(min(hit), max(hit) + 1)}
-            rows.append((r["doc_id"], r["page"], r["run"], b["run"], min(hit), max(hit)))
-        return pd.DataFrame(rows, columns=["doc_id", "page", "ruby_run", "base_run", "lo", "hi"])
-
-    return runs.groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, ruby_run int, base_run int, lo int, hi int")
+    small = readings(runs, body_size)
+    lo, hi = F.when(F.col("vertical"), F.col("y0")).otherwise(F.col("x0")), F.when(F.col("vertical"), F.col("y1")).otherwise(F.col("x1"))
+    r = small.select(*PAGE, "run", "part", lo.alias("a"), hi.alias("z")).join(ruby_bases(runs, small, body_size), [*PAGE, "run", "part"])
+    b = runs.select(*PAGE, F.col("run").alias("base"), F.col("text").alias("b_text"), F.col("size").alias("b_size"), lo.alias("b0"), hi.alias("b1"))
+    n = F.greatest(F.length("b_text"), F.lit(1))
+    step, slack = (F.col("b1") - F.col("b0")) / n, 0.3 * F.col("b_size")
+
+    def beside(i: Column) -> Column:
+        p, q = F.col("b0") + i * step, F.col("b0") + (i + 1) * step
+        return (F.least(q, F.col("z")) - F.greatest(p, F.col("a")) > 0.25 * (q - p)) | ((p >= F.col("a") - slack) & (q <= F.col("z") + slack))
+
+    spots = F.sequence(F.lit(0), n - 1)
+    some = F.filter(spots, lambda i: beside(i) & ~F.substring("b_text", i + 1, F.lit(1)).rlike(f"^{BLANK}$"))
+    middle = F.array_min(F.transform(spots, lambda i: F.struct(F.abs(F.col("b0") + (i + 0.5) * step - (F.col("a") + F.col("z")) / 2).alias("far"), i.alias("i"))))["i"]
+    rows = r.join(b, [*PAGE, "base"]).select(*PAGE, "base", "run", "part", some.alias("some"), middle.alias("middle"))
+
+    def turn(taken: set, r) -> tuple:
+        free = [i for i in r.some if i not in taken] or [r.middle]
+        taken.update(range(min(free), max(free) + 1))
+        return r.doc_id, r.page, r.run, r.base, min(free), max(free)
+
+    return sorted_fold(rows, [*PAGE, "base"], ["run", "part"], set, turn, "doc_id long, page int, ruby_run int, base_run int, lo int, hi int")
 
 
 def merge_baselines(runs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.scripts import CJK
 from folio.functions.text import CJK_OPENERS, CJK_TERMINAL, escape, strip
+from folio.operators.layout import is_ink
 
 CHAPTER_BYTES = 250_000
 _CJK = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), CJK))
@@ -132,7 +133,7 @@ def inline_html(glyphs: DataFrame, in_heading: bool = False) -> DataFrame:
     """
     p = Window.partitionBy("doc_id", "para")
     w = p.orderBy("pos")
-    solid = F.col("c").rlike(r"\S")
+    solid = is_ink(F.col("c"))
     every = lambda c: F.bool_and(F.when(solid, F.col(c)).otherwise(True)).over(p)
     g = glyphs.withColumn("b", F.col("bold") & ~(F.lit(in_heading) | every("bold"))).withColumn("i", F.col("italic") & ~(F.lit(in_heading) & every("italic")))
     style = F.struct(F.coalesce("link", F.lit("")).alias("link"), "b", "i", "sup", "mono")
@@ -200,6 +201,19 @@ def navigation_targets(toc: DataFrame, anchors: DataFrame, page_chapters: DataFr
     return ahead.join(own, ["doc_id", "idx"], "left").join(first, "doc_id", "left").select("doc_id", "idx", F.coalesce("own", "next", "first").alias("href"))
 
 
-def result_counts(paragraphs: DataFrame) -> DataFrame:
-    """(doc_id, n_chapters, n_images, depth): non-empty chapters, images, and the deepest heading."""
-    return paragraphs.groupBy("doc_id").agg(F.countDistinct("chapter").alias("n_chapters"), F.count_if(F.col("kind") == "image").alias("n_images"), F.max("level").alias("depth"))
+def navigation_levels(paragraphs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """(doc_id, levels) of a book's navigation in its order: of its bookmarks (doc_id, idx, level), else of its headings of the first two
+    levels, else 1 for each chapter."""
+    in_order = lambda *at: F.transform(F.sort_array(F.collect_list(F.struct(*at, "level"))), lambda x: x["level"])
+    books = paragraphs.groupBy("doc_id").agg(F.array_repeat(F.lit(1), F.countDistinct("chapter").cast("int")).alias("plain"))
+    heads = paragraphs.where("kind = 'h' AND level <= 2").groupBy("doc_id").agg(in_order("chapter", "para").alias("heads"))
+    marks = (toc if toc is not None else paragraphs.sparkSession.createDataFrame([], "doc_id long, idx long, level int")).groupBy("doc_id").agg(in_order("idx").alias("marks"))
+    return books.join(heads, "doc_id", "left").join(marks, "doc_id", "left").select("doc_id", F.coalesce("marks", "heads", "plain").alias("levels"))
+
+
+def result_counts(paragraphs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_chapters, n_images, depth, tree_depth): non-empty chapters, images, the deepest level that the navigation names, and
+    how deep it nests, as no entry is more than one below the one before."""
+    sums = paragraphs.groupBy("doc_id").agg(F.countDistinct("chapter").alias("n_chapters"), F.count_if(F.col("kind") == "image").alias("n_images"))
+    levels = navigation_levels(paragraphs, toc)
+    return sums.join(levels, "doc_id").select("doc_id", "n_chapters", "n_images", F.array_max("levels").alias("depth"), F.array_max(clamped_levels(F.col("levels"))).alias("tree_depth"))
