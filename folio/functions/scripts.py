@@ -23,21 +23,26 @@ COUNTERS = ("han", "kana", "hangul", "latin", "simplified", "traditional", "pua"
 
 
 def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
+    """How many characters of a class a text has: what it loses when they are deleted, so no match becomes a string of its own."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"(?:{pattern})+", ""))).cast("long")
 
 
 def script_counts(text: Column) -> list[Column]:
-    """The eight counters of a text. A letter of no other class counts as latin, so those classes are deleted first."""
-    letters = F.regexp_replace(text, CLASSED, "")
+    """The eight counters of a text. A letter of no other class counts as latin, so those classes are deleted first. All of these
+    begin at U+1100; a text without such characters takes one look and two passes."""
+    solid = F.regexp_replace(text, f"{SPACE}+", "")
+    beyond = text.rlike(r"[\x{1100}-\x{10FFFF}]")
+    some = lambda pattern: F.when(beyond, count_of(text, pattern)).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long")))
+    letters = F.when(beyond, F.regexp_replace(solid, f"{CLASSED}+", "")).otherwise(solid)
     return [
-        count_of(text, HAN).alias("han"),
-        count_of(text, KANA).alias("kana"),
-        count_of(text, HANGUL).alias("hangul"),
+        some(HAN).alias("han"),
+        some(KANA).alias("kana"),
+        some(HANGUL).alias("hangul"),
         count_of(letters, r"\p{L}").alias("latin"),
-        count_of(text, SIMPLIFIED).alias("simplified"),
-        count_of(text, TRADITIONAL).alias("traditional"),
-        count_of(text, PUA).alias("pua"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("total"),
+        some(SIMPLIFIED).alias("simplified"),
+        some(TRADITIONAL).alias("traditional"),
+        some(PUA).alias("pua"),
+        F.length(solid).cast("long").alias("total"),
     ]
 
 
@@ -119,12 +124,17 @@ def prepare_action(mode: Column, pages: Column, coverage: Column, fraction: Colu
     return F.when((mode == "off") | (pages == 0), "off").when(coverage < 0.2, "scan").when(fraction >= threshold, "rebuild").otherwise("keep")
 
 
+# The catalog's notes of recognition.
+SCAN_KEPT, SCAN_READ, SCAN_POOR = "scanned PDF; OCR unavailable, pages kept as images", "text recovered via OCR (scanned PDF)", "OCR ran but recovered little text; pages kept as images"
+LAYER_REBUILT, LAYER_GARBLED = "text layer rebuilt via OCR (PUA-obfuscated PDF)", "text layer is PUA-obfuscated and OCR failed; text may be garbled"
+
+
 def prepare_note(action: Column, done: Column, coverage_after: Column) -> Column:
     """What the catalog says of it; null where nothing was to do."""
     return (
-        F.when((action == "scan") & ~done, "scanned PDF; OCR unavailable, pages kept as images")
-        .when((action == "scan") & (coverage_after >= 0.2), "text recovered via OCR (scanned PDF)")
-        .when(action == "scan", "OCR ran but recovered little text; pages kept as images")
-        .when((action == "rebuild") & done, "text layer rebuilt via OCR (PUA-obfuscated PDF)")
-        .when(action == "rebuild", "text layer is PUA-obfuscated and OCR failed; text may be garbled")
+        F.when((action == "scan") & ~done, SCAN_KEPT)
+        .when((action == "scan") & (coverage_after >= 0.2), SCAN_READ)
+        .when(action == "scan", SCAN_POOR)
+        .when((action == "rebuild") & done, LAYER_REBUILT)
+        .when(action == "rebuild", LAYER_GARBLED)
     )

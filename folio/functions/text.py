@@ -21,9 +21,13 @@ PAGE_NUMBER = r"(?iU)^[\s\-–—・·|]*(?:page|p\.|頁|ページ|第)?[\s\-–
 
 
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility normalisation, which Spark lacks; for texts that aren't ASCII."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x and unicodedata.normalize("NFKC", x))
+
+
+def nfkc(s: Column) -> Column:
+    """Compatibility normalisation, which Spark lacks. Only texts with a character that it could change, from U+00A0 on, travel to Python."""
+    return F.coalesce(_nfkc(F.when(s.rlike(r"[\x{A0}-\x{10FFFF}]"), s)), s)
 
 
 def strip(s: Column) -> Column:
@@ -160,9 +164,12 @@ def render_command(source: Column, target: Column, timeout: Column, browser: Col
 
 
 def fold_joined(parts: Column) -> Column:
-    """An ordered array of lines as one text: blank lines go, and each boundary has its joiner."""
+    """An ordered array of lines as one text: blank lines go, and each boundary has its joiner. A boundary depends on its two lines
+    alone, so the text is put together once."""
     lines = F.filter(F.transform(parts, strip), lambda x: x != "")
-    return F.aggregate(lines, F.lit(""), lambda acc, x: F.concat(acc, F.when(acc == "", F.lit("")).otherwise(joiner(acc, x)), x))
+    after = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    ends = F.zip_with(F.slice(lines, 1, F.size(after)), after, lambda a, b: F.concat(a, joiner(a, b)))
+    return F.when(F.size(lines) == 0, "").otherwise(F.concat(F.array_join(ends, ""), F.element_at(lines, -1)))
 
 
 def dehyphenate(parts: Column, vertical: Column | None = None) -> Column:
