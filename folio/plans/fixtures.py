@@ -114,7 +114,7 @@ def _glyph_rows(doc: int, text: str, x: float, y: float, size: float = 10.0):
 
 _GLYPHS = Rows("doc_id long, page int, g int, c string, x0 double, y0 double, x1 double, y1 double", *_glyph_rows(1, "see the link here", 50, 100), *_glyph_rows(2, "table text", 50, 300))
 _LINKS = Rows("doc_id long, page int, k int, x0 double, y0 double, x1 double, y1 double, href string", (1, 1, 0, 90.0, 100.0, 110.0, 110.0, "a"), (1, 1, 1, 70.0, 100.0, 95.0, 110.0, "b"), (1, 1, 2, 300.0, 10.0, 310.0, 60.0, "c"))
-_HITS = "h AS (SELECT g.doc_id, g.page, g.g, arg_min(l.href, l.k) AS href FROM g JOIN l ON g.doc_id = l.doc_id AND g.page = l.page AND (g.x0 + g.x1) / 2 BETWEEN l.x0 - 1 AND l.x1 + 1 AND (g.y0 + g.y1) / 2 BETWEEN l.y0 - 1 AND l.y1 + 1 GROUP BY ALL)"
+_HITS = "h AS (SELECT g.doc_id, g.page, g.g, min(l.k) AS k, arg_min(l.href, l.k) AS href FROM g JOIN l ON g.doc_id = l.doc_id AND g.page = l.page AND (g.x0 + g.x1) / 2 BETWEEN l.x0 - 1 AND l.x1 + 1 AND (g.y0 + g.y1) / 2 BETWEEN l.y0 - 1 AND l.y1 + 1 GROUP BY ALL)"
 
 
 @query(f"WITH g AS ({_GLYPHS.select()}), l AS ({_LINKS.select()}), {_HITS} SELECT * FROM h")
@@ -125,12 +125,29 @@ def link_hits(spark, sf_dir):
 _VRUNS = Rows("doc_id long, page int, run int, vertical boolean, size double, x0 double, y0 double, x1 double, y1 double", (1, 1, 0, True, 10.0, 320.0, 0.0, 330.0, 100.0), (1, 1, 1, True, 10.0, 336.0, 0.0, 346.0, 100.0), (1, 1, 2, False, 10.0, 311.0, 0.0, 315.0, 100.0))
 
 
-@query("SELECT 1 AS doc_id, 1 AS page, 2 AS k, 'c' AS href, 0 AS run", long="doc_id")
+_MISSED = """m AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = l.doc_id AND h.page = l.page AND h.k = l.k)),
+n AS (SELECT m.doc_id, m.page, m.k, m.href, m.y0, m.y1, v.run, row_number() OVER (PARTITION BY m.doc_id, m.page, m.k ORDER BY abs((v.x0 + v.x1) / 2 - (m.x0 + m.x1) / 2), v.run) AS turn FROM m JOIN v ON v.doc_id = m.doc_id AND v.page = m.page AND v.vertical
+ AND greatest(0, least(m.y1, v.y1) - greatest(m.y0, v.y0)) >= 0.6 * (m.y1 - m.y0) AND abs((v.x0 + v.x1) / 2 - (m.x0 + m.x1) / 2) <= 3 * v.size)"""
+#: The last two have the address of one that hit, and the stretch of a column of which the first has a part.
+_MORE_LINKS = Rows(_LINKS.schema, *_LINKS.rows, (1, 1, 3, 300.0, 40.0, 310.0, 95.0, "a"), (1, 1, 4, 900.0, 0.0, 910.0, 100.0, "a"))
+_VGLYPHS = Rows("doc_id long, page int, g int, run int, c string, x0 double, y0 double, x1 double, y1 double", *[(d, p, g, 9, c, x0, y0, x1, y1) for d, p, g, c, x0, y0, x1, y1 in _GLYPHS.rows], *[(1, 1, 100 + i, 0, "字", 320.0, 10.0 * i, 330.0, 10.0 * i + 10) for i in range(10)])
+
+
+@query(f"WITH g AS ({_GLYPHS.select()}), l AS ({_MORE_LINKS.select()}), v AS ({_VRUNS.select()}), {_HITS}, {_MISSED} SELECT doc_id, page, k, href, run, y0, y1 FROM n WHERE turn = 1")
 def link_columns(spark, sf_dir):
-    links = _LINKS.df(spark)
+    links = _MORE_LINKS.df(spark)
     return SP.link_columns(_VRUNS.df(spark), links, SP.link_hits(_GLYPHS.df(spark), links))
 
 
+@query(
+    f"""WITH g AS ({_VGLYPHS.select()}), l AS ({_MORE_LINKS.select()}), v AS ({_VRUNS.select()}), {_HITS}, {_MISSED},
+c AS (SELECT g.doc_id, g.page, g.g, min(n.k) AS k, arg_min(n.href, n.k) AS href FROM g JOIN n ON n.doc_id = g.doc_id AND n.page = g.page AND n.run = g.run AND turn = 1 AND (g.y0 + g.y1) / 2 BETWEEN n.y0 - 1 AND n.y1 + 1 GROUP BY ALL)
+SELECT * FROM h UNION ALL SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = c.doc_id AND h.page = c.page AND h.g = c.g)"""
+)
+def linked_glyphs(spark, sf_dir):
+    return SP.linked_glyphs(_VGLYPHS.df(spark), _VRUNS.df(spark), _MORE_LINKS.df(spark))
+
+
 _BOXES = Rows("doc_id long, page int, x0 double, y0 double, x1 double, y1 double", (1, 1, 50.0, 95.0, 66.0, 112.0), (2, 1, 74.0, 299.0, 200.0, 312.0), (3, 1, 0.0, 0.0, 999.0, 999.0))
 
 
@@ -250,10 +267,25 @@ def paragraphs(spark, sf_dir):
     return ST.build_paragraphs(_FLOW.df(spark))
 
 
-@query("SELECT 1 AS doc_id, 2 AS indent, 1 AS noindent, true AS all_indent, 2 AS n_chapters, 1 AS n_images, 1 AS depth", long="doc_id indent noindent n_chapters n_images")
+_MARKED = Rows(_PARAS.schema, *_PARAS.rows, *[(2, i, i, "h", 1 + i, i, "", f"H{i}") for i in range(4)], (3, 0, 0, "p", 0, 1, "indent", "x"), (3, 1, 1, "image", 0, 2, "", ""), (4, 0, 0, "h", 3, 1, "", "deep"), (4, 0, 1, "h", 2, 1, "", "less"))
+_BOOKMARKS = Rows("doc_id long, idx long, level int", (2, 0, 3), (2, 1, 1), (2, 2, 4), (2, 3, 4), (2, 4, 2))
+
+
+@query(
+    f"""WITH p AS ({_MARKED.select()}), b AS ({_BOOKMARKS.select()}),
+l AS (SELECT doc_id, idx AS place, level FROM b UNION ALL SELECT doc_id, para, level FROM p WHERE kind = 'h' AND level <= 2 AND doc_id NOT IN (SELECT doc_id FROM b)),
+e AS (SELECT * FROM l UNION ALL SELECT DISTINCT doc_id, chapter, 1 FROM p WHERE doc_id NOT IN (SELECT doc_id FROM l)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM e),
+t AS (WITH RECURSIVE t(doc_id, i, now) AS (SELECT doc_id, i, 1 FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.i, least(o.level, t.now + 1) FROM t JOIN o ON o.doc_id = t.doc_id AND o.i = t.i + 1) SELECT * FROM t)
+SELECT p.doc_id, count(DISTINCT chapter) AS n_chapters, count(*) FILTER (WHERE kind = 'image') AS n_images, (SELECT max(level) FROM e WHERE e.doc_id = p.doc_id) AS depth, (SELECT max(now) FROM t WHERE t.doc_id = p.doc_id)::INT AS tree_depth FROM p GROUP BY p.doc_id"""
+)
 def result_counts(spark, sf_dir):
-    p = ST.build_paragraphs(_FLOW.df(spark))
-    return ST.indent_vote(p).join(ST.result_counts(p), "doc_id")
+    return ST.result_counts(_MARKED.df(spark), _BOOKMARKS.df(spark))
+
+
+@query(f"SELECT doc_id, count(*) FILTER (WHERE kind = 'p' AND list_contains(string_split(classes, ' '), 'indent')) AS indent, count(*) FILTER (WHERE kind = 'p' AND list_contains(string_split(classes, ' '), 'noindent')) AS noindent, indent > noindent AS all_indent FROM {_MARKED.sql} GROUP BY doc_id HAVING bool_or(kind = 'p')")
+def indent_votes(spark, sf_dir):
+    return ST.indent_vote(_MARKED.df(spark))
 
 
 _EDGES = Rows("id long, edge double, margin double, indented boolean, whole boolean", (1, 60.0, 50.0, True, True), (2, 55.0, 50.0, False, True), (3, 90.0, 50.0, False, True), (4, 40.0, 50.0, False, False), (5, 41.0, 50.0, False, True), (6, 10.0, None, False, True))
@@ -401,13 +433,20 @@ def render_commands(spark, sf_dir):
     return _RENDER.df(spark).select("id", F.array_join(T.render_command(F.lit("a.epub"), F.lit("a.pdf"), F.lit(300), c("browser"), c("size"), c("fixed"), c("way")), " ").alias("command"))
 
 
-_CSS = Rows("id long, vertical boolean, lang string, indent boolean, n_lines int, first string", (1, False, "en", False, 21, "p { margin: 0 0 0.8em 0; text-indent: 0; }"), (2, True, "zh-TW", True, 29, "p { margin: 0; text-indent: 2em; }"), (3, False, "ja", True, 21, "p { margin: 0; text-indent: 1em; }"))
+def _css_sql() -> str:
+    """The whole text by the rules' list: what depends on the book is put in by SQL."""
+    join = lambda rules: "\n".join(rules).replace("'", "''")
+    p = "CASE WHEN indent THEN 'p { margin: 0; text-indent: ' || i || '; }' ELSE 'p { margin: 0 0 0.8em 0; text-indent: 0; }' END"
+    text = f"replace(replace('{join(P._RULES)}', '{{p}}', {p}), '{{indent}}', i) || CASE WHEN vertical THEN chr(10) || '{join(P._VERTICAL)}' ELSE '' END || chr(10) || '{join(P._COVER)}' || chr(10)"
+    return f"SELECT id, {text} AS css FROM (SELECT *, CASE WHEN starts_with(lang, 'zh') THEN '2em' ELSE '1em' END AS i FROM {_CSS.sql})"
+
 
+_CSS = Rows("id long, vertical boolean, lang string, indent boolean", (1, False, "en", False), (2, True, "zh-TW", True), (3, False, "ja", True), (4, True, "zh", False))
 
-@query(f"SELECT id, n_lines, first FROM {_CSS.sql}")
+
+@query(_css_sql())
 def stylesheets(spark, sf_dir):
-    lines = F.split(F.rtrim(P.stylesheet(F.col("vertical"), F.col("lang"), F.col("indent")), F.lit("\n")), "\n")
-    return _CSS.df(spark).select("id", F.size(lines).alias("n_lines"), F.get(lines, 4).alias("first"))
+    return _CSS.df(spark).select("id", P.stylesheet(F.col("vertical"), F.col("lang"), F.col("indent")).alias("css"))
 
 
 _TRIES = Rows("doc_id long, chunk int, attempt int, ok boolean, message string", (1, 0, 1, False, "timeout"), (1, 0, 2, True, ""), (1, 1, 1, False, "Protected by DRM"), (1, 1, 2, True, ""), (2, 0, 1, False, "timeout"), (2, 0, 2, False, "timeout"), (2, 0, 3, False, "crash"))
@@ -436,6 +475,24 @@ def list_books(spark, sf_dir):
     return C.list_books(_FILES.df(spark), _SIDE.df(spark), _COVER_FILES.df(spark), 3).fillna("", ["cover", "note"])
 
 
+_WANTED = Rows("id long, name string, want string", (1, "a.pdf", "a (2).pdf"), (2, "a.pdf", "a (4).pdf"), (3, "a (3).pdf", "a (3) (2).pdf"), (4, "a (2).pdf", "a (2) (2).pdf"), (5, "a.epub", "a.epub"), (6, "b", "b"), (7, "b", "b (2)"), (8, "b (2)", "b (2) (2)"), (9, "a (5).pdf", "a (5).pdf"), (10, "a.pdf", "a (6).pdf"))
+_TAKEN = Rows("name string", ("a.pdf",), ("a (3).pdf",), ("c.pdf",))
+
+
+@query(f'SELECT id, name, want AS "unique" FROM {_WANTED.sql}')
+def unique_names_taken(spark, sf_dir):
+    """Names that others have, or that look like numbered ones."""
+    return C.unique_names(_WANTED.df(spark), _TAKEN.df(spark))
+
+
+_ASKED_BOOKS = Rows("asked string", ("a.pdf",), ("b.epub",), ("../a.pdf",), ("x/a.pdf",), ("a.png",), ("gone.pdf",), ("..",), ("",))
+
+
+@query("SELECT * FROM (VALUES ('a.pdf', 2048), ('b.epub', 100)) t(name, bytes)", long="bytes")
+def book_lookup(spark, sf_dir):
+    return C.book_lookup(_FILES.df(spark), _ASKED_BOOKS.df(spark)).select("name", "bytes")
+
+
 _ASK = Rows("slot int, job_id long, start double, end double", (0, 1, 0.0, 10.0), (0, 2, 5.0, 30.0), (0, 3, 10.0, 12.0), (0, 4, 11.0, 13.0), (0, 5, 12.0, 13.0))
 
 
@@ -495,24 +552,117 @@ def catalog_delete(spark, sf_dir):
     return C.without(books, _SIDE.df(spark)).select("name", "base")
 
 
-_BOOK = Rows("doc_id long, title string, lang string, vertical boolean, all_indent boolean, uid string, modified string", (1, "Book", "ja", True, True, "u1", "2020-01-01T00:00:00Z"))
-_CHAPTERS = Rows("doc_id long, chapter int, title string, html string", (1, 0, "One", "<p>a</p>"), (1, 1, "Two", "<p>b</p>"))
+_BOOK = Rows("doc_id long, title string, lang string, vertical boolean, all_indent boolean, uid string, modified string, author string", (1, 'Tom & "Jerry" <1>', "ja", True, True, "u1", "2020-01-01T00:00:00Z", "A & B"), (2, "Bare", "", False, False, "u2", "2020-01-01T00:00:00Z", None))
+_CHAPTERS = Rows("doc_id long, chapter int, title string, html string", (1, 0, "One & <two>", "<p>a</p>"), (1, 1, None, "<p>b</p>"))
+_NAVIGATION = Rows("doc_id long, idx long, level int, title string, href string", (1, 0, 3, "First & last", "text/chapter0000.xhtml"), (1, 1, 2, "Under", "text/chapter0000.xhtml#a"), (1, 2, 4, " ", "text/chapter0000.xhtml#b"), (1, 3, 1, "Top", "text/chapter0001.xhtml"))
+_NAV = {
+    1: '<ol><li><a href="text/chapter0000.xhtml">First &amp; last</a><ol><li><a href="text/chapter0000.xhtml#a">Under</a><ol><li><a href="text/chapter0000.xhtml#b">—</a></li></ol></li></ol></li><li><a href="text/chapter0001.xhtml">Top</a></li></ol>',
+    2: '<ol><li><a href="text/chapter0000.xhtml">Bare</a></li></ol>',
+}
 
 
 def book_entries(spark):
     images = spark.createDataFrame([(1, 0, "i.png", bytearray(b"x"))], "doc_id long, k int, name string, bytes binary")
-    return P.package_entries(_BOOK.df(spark), _CHAPTERS.df(spark), images)
+    covers = spark.createDataFrame([(1, "cover.jpg", bytearray(b"c"))], "doc_id long, name string, bytes binary")
+    return P.package_entries(_BOOK.df(spark), _CHAPTERS.df(spark), images, covers, _NAVIGATION.df(spark))
+
 
+_NAMES = {
+    1: [(0, "mimetype", False), (1, "META-INF/container.xml", True), (2, "OEBPS/css/book.css", True), (3, "OEBPS/images/cover.jpg", False), (4, "OEBPS/cover.xhtml", True), (10, "OEBPS/images/i.png", False), (1000000, "OEBPS/text/chapter0000.xhtml", True), (1000001, "OEBPS/text/chapter0001.xhtml", True)],
+    2: [(0, "mimetype", False), (1, "META-INF/container.xml", True), (2, "OEBPS/css/book.css", True), (1000000, "OEBPS/text/chapter0000.xhtml", True)],
+}
+_LAST = [(9000000, "OEBPS/nav.xhtml", True), (9000001, "OEBPS/toc.ncx", True), (9000002, "OEBPS/content.opf", True)]
+_PACKED = Rows("doc_id long, ord int, name string, compress boolean", *[(d, *e) for d, es in _NAMES.items() for e in es + _LAST])
 
-@query("SELECT * FROM (VALUES (1, 0, 'mimetype', false), (1, 1, 'META-INF/container.xml', true), (1, 2, 'OEBPS/css/book.css', true), (1, 10, 'OEBPS/images/i.png', false), (1, 1000000, 'OEBPS/text/chapter0000.xhtml', true), (1, 1000001, 'OEBPS/text/chapter0001.xhtml', true), (1, 9000000, 'OEBPS/nav.xhtml', true), (1, 9000001, 'OEBPS/content.opf', true)) t(doc_id, ord, name, compress)", long="doc_id")
+
+@query(_PACKED.select())
 def package_entries(spark, sf_dir):
     return book_entries(spark).select("doc_id", "ord", "name", "compress")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'mimetype'), (1, 7, 'OEBPS/content.opf')) t(doc_id, ord, entry)", long="doc_id")
+_READ_BACK = Rows(
+    "doc_id long, title string, language string, direction string, cover string, spine string, nav string, points string, titles string",
+    (1, 'Tom & "Jerry" <1>', "ja", "rtl", "images/cover.jpg", "cover,c0,c1", _NAV[1], "np1 np2 np3 np4", "One & <two>|Section 2"),
+    (2, "Bare", "en", "", "", "c0", _NAV[2], "np1", "Bare"),
+)
+
+
+@query(_READ_BACK.select())
+def package_texts(spark, sf_dir):
+    """What the package's own documents say when they are parsed as XML: titles with signs, nesting, cover, spine and both navigations."""
+    e = book_entries(spark).select("doc_id", "name", F.decode("body", "UTF-8").alias("xml"))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("xml")))
+    chapters = F.sort_array(F.collect_list(F.when(F.col("name").contains("/text/"), F.struct("name", "xml"))))
+    b = e.where("name NOT LIKE '%/images/%'").groupBy("doc_id").agg(of("OEBPS/content.opf").alias("opf"), of("OEBPS/nav.xhtml").alias("nav"), of("OEBPS/toc.ncx").alias("ncx"), chapters.alias("cs"))
+    spine = F.array_join(F.xpath("opf", F.lit("//*[local-name()='itemref']/@idref")), ",")
+    heads = F.transform("cs", lambda c: F.get(F.xpath(c["xml"], F.lit("//*[local-name()='title']/text()")), 0))
+    points = F.array_join(F.xpath("ncx", F.lit("//*[local-name()='navPoint']/@id")), " ")
+    return b.select(
+        "doc_id", P.title(F.col("opf"), F.lit("")).alias("title"), P.language(F.col("opf")).alias("language"), F.coalesce(P.page_direction(F.col("opf")), F.lit("")).alias("direction"), F.coalesce(P.cover_href(F.col("opf")), F.lit("")).alias("cover"),
+        spine.alias("spine"), F.regexp_extract("nav", "(?s)</h1>\n(.*)\n</nav>", 1).alias("nav"), points.alias("points"), F.array_join(heads, "|").alias("titles"),
+    )
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'mimetype'), (1, 10, 'OEBPS/content.opf'), (2, 0, 'mimetype')) t(doc_id, ord, entry)", long="doc_id")
 def written_archive(spark, sf_dir):
-    """A package written as an archive and read again: its first and last entries."""
+    """Packages written as archives and read again: first and last entries."""
     from folio.sources.files import archive_entries, write_archives
 
     books = write_archives(book_entries(spark)).select(F.col("doc_id").cast("string").alias("name"), "content")
-    return archive_entries(books).where("ord IN (0, 7)").select(F.col("name").cast("long").alias("doc_id"), "ord", "entry")
+    return archive_entries(books).where("ord IN (0, 10)").select(F.col("name").cast("long").alias("doc_id"), "ord", "entry")
+
+
+def sample_archives() -> list[tuple[str, bytearray]]:
+    """Archives of every verdict, made here: sound, protected, of another kind, with an encrypted and with a damaged entry, and none at all."""
+    import io
+    import zipfile
+
+    def packed(**files: str) -> bytes:
+        sink = io.BytesIO()
+        with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in files.items():
+                z.writestr(zipfile.ZipInfo({"container": "META-INF/container.xml", "encryption": "META-INF/encryption.xml"}.get(name, name), (1980, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
+        return sink.getvalue()
+
+    good = packed(mimetype=P.MIMETYPE, container=P.CONTAINER)
+    locked, at = bytearray(good), good.index(b"PK\x01\x02")
+    locked[6] |= 1  # the first entry's own flags, and those in the directory
+    locked[at + 8] |= 1
+    broken, at = bytearray(good), good.index(b"META-INF/container.xml") + len("META-INF/container.xml")
+    broken[at : at + 8] = b"\xff" * 8
+    drm = _DRM.format(_METHOD.format("http://www.w3.org/2001/04/xmlenc#aes256-cbc"))
+    return [
+        ("good", bytearray(good)), ("bare", bytearray(packed(container=P.CONTAINER))), ("drm", bytearray(packed(mimetype=P.MIMETYPE, container=P.CONTAINER, encryption=drm))),
+        ("other", bytearray(packed(mimetype="application/pdf", container=P.CONTAINER))), ("hollow", bytearray(packed(mimetype=P.MIMETYPE))),
+        ("locked", locked), ("broken", broken), ("cut", bytearray(good[: len(good) // 2])), ("none", bytearray(b"%PDF-1.4")),
+    ]
+
+
+@query("SELECT * FROM (VALUES ('good', 'ok'), ('bare', 'ok'), ('drm', 'protected by drm'), ('other', 'wrong mimetype'), ('hollow', 'missing container'), ('locked', 'encrypted entry mimetype'), ('broken', 'damaged entry META-INF/container.xml'), ('cut', 'missing container'), ('none', 'not a zip archive')) t(name, verdict)")
+def archive_verdicts(spark, sf_dir):
+    from folio.sources.files import archive_verdicts as verdicts
+
+    return verdicts(spark.createDataFrame(sample_archives(), "name string, content binary"))
+
+
+@query("SELECT * FROM (VALUES ('good.epub', 'ok'), ('drm.epub', 'protected by drm'), ('none.pdf', 'not a zip archive')) t(name, verdict)")
+def library_files(spark, sf_dir):
+    """Books written to a folder that all executors see, listed by their extensions and read; other files there are none."""
+    import uuid
+
+    from folio.sources.files import archive_verdicts as verdicts
+    from folio.sources.files import book_files
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/library-{uuid.uuid4().hex}"
+    files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, content in sample_archives():
+        if name in ("good", "drm", "none", "other"):
+            out = files.create(path(f"{folder}/{name}.{dict(none='pdf', other='txt').get(name, 'epub')}"))
+            out.write(content)
+            out.close()
+    try:
+        rows = verdicts(book_files(spark, folder, content=True)).collect()
+    finally:
+        files.delete(path(folder), True)
+    return spark.createDataFrame(rows, "name string, verdict string")

@@ -117,6 +117,7 @@ WHERE r.n IS NULL AND rp.n IS NULL AND NOT (regexp_matches(lower(text), '^[\\s\\
 )
 def text_after_drop(spark, sf_dir):
     placed, pages = _placed(spark, sf_dir)
+    placed = L.signed(placed)
     units = placed.withColumn("pos", T.position_key(F.col("y0")))
     return L.drop_running_heads(units, L.band_signatures(placed, pages), L.band_positions(placed, pages)).select("book", "page", "place", "text")
 
@@ -156,24 +157,29 @@ def writing_mode(spark, sf_dir):
 _GLYPHS = "gl AS (SELECT doc_id, page, line, size, y0, y1, p AS pos, substr(text, (p + 1)::BIGINT, 1) AS c, 40 + p * size / 2 AS x0, 40 + p * size / 2 + size / 2 AS x1 FROM (SELECT *, unnest(range(0, length(text))) AS p FROM lines WHERE length(text) > 0))"
 
 
+_BLANK = f"regexp_matches(c, '^{S.BLANK}$')"
+
+
 @query(
-    f"""WITH {_GRID}, {_GLYPHS}, a AS (SELECT *, last_value(CASE WHEN regexp_matches(c, '\\S') THEN x1 END IGNORE NULLS) OVER w AS px, last_value(CASE WHEN regexp_matches(c, '\\S') THEN size END IGNORE NULLS) OVER w AS ps FROM gl WHERE pos % 31 < 5 WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, sum(CASE WHEN regexp_matches(c, '\\S') AND x0 - px > 4 * greatest(size, ps, 1) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line ORDER BY pos) AS part FROM a)
-SELECT doc_id, page, line, part::BIGINT AS part, min(x0) AS x0, max(x1) AS x1, count(*) FILTER (WHERE regexp_matches(c, '\\S')) AS n FROM f GROUP BY doc_id, page, line, part"""
+    f"""WITH {_GRID}, {_GLYPHS}, w AS (SELECT * REPLACE (x0 + (pos // 7) * 60 AS x0, x1 + (pos // 7) * 60 AS x1), {_BLANK} AS blank FROM gl),
+a AS (SELECT *, last_value(CASE WHEN NOT blank THEN x1 END IGNORE NULLS) OVER w AS px, last_value(CASE WHEN NOT blank THEN size END IGNORE NULLS) OVER w AS ps FROM w WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, sum(CASE WHEN NOT blank AND x0 - px > 4 * greatest(size, ps, 1) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line ORDER BY pos) AS part FROM a)
+SELECT doc_id, page, line, part::BIGINT AS part, min(x0) AS x0, max(x1) AS x1, count(*) AS n FROM f WHERE NOT blank GROUP BY doc_id, page, line, part"""
 )
 def gap_split_runs(spark, sf_dir):
-    """Lines with holes cut into them, so that there are gaps to split at."""
-    return L.run_boxes(L.gap_runs(L.glyphs(_lines(spark, sf_dir)).where("pos % 31 < 5")))
+    """Every seven glyphs stand 60 points further, so that there are gaps to split at, and in a title's larger type too small ones."""
+    shift = F.floor(F.col("pos") / 7) * 60
+    return L.run_boxes(L.gap_runs(L.glyphs(_lines(spark, sf_dir)).withColumns({"x0": F.col("x0") + shift, "x1": F.col("x1") + shift})))
 
 
-_HOLES = "hl AS (SELECT doc_id, page, line, size, 40 + k * 100.0::DOUBLE AS x0, 40 + k * 100.0::DOUBLE + length(substr(text, (k * 20 + 1)::BIGINT, 15)) * 5 AS x1, y0, y1 FROM (SELECT *, unnest(range(0, 3)) AS k FROM lines) WHERE length(text) > k * 20)"
+_HOLES = "hl AS (SELECT doc_id, page, line, size, 40 + k * 125.0::DOUBLE AS x0, 40 + k * 125.0::DOUBLE + length(substr(text, (k * 20 + 1)::BIGINT, 20)) * 5 AS x1, y0, y1 FROM (SELECT *, unnest(range(0, 3)) AS k FROM lines) WHERE length(text) > k * 20)"
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as three columns of 15 characters."""
-    parts = _lines(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("length(text) > k * 20")
-    x0 = 40 + F.col("k") * F.lit(100.0)
-    return parts.select("doc_id", "page", "line", "size", x0.alias("x0"), (x0 + F.length(F.substring("text", F.col("k") * 20 + 1, F.lit(15))) * 5).alias("x1"), "y0", "y1")
+    """Lines as three columns of 20 characters, 25 points apart."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / 20).cast("int")), lambda k: F.struct((40 + k * 125.0).alias("x0"), (F.length(F.substring("text", k * 20 + 1, F.lit(20))) * 5).alias("w")))
+    parts = _lines(spark, sf_dir).where("text <> ''").select("doc_id", "page", "line", "size", "y0", "y1", F.explode(pieces).alias("p"))
+    return parts.select("doc_id", "page", "line", "size", F.col("p.x0").alias("x0"), (F.col("p.x0") + F.col("p.w")).alias("x1"), "y0", "y1")
 
 
 _GUTTERS = """ln AS (SELECT doc_id, page, line, min(x0) AS l0, max(x1) AS l1 FROM hl GROUP BY ALL HAVING count(*) >= 2),
@@ -225,10 +231,11 @@ def terminal_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t")).select("doc_id", "line", T.is_terminal(T.strip(F.col("t"))).alias("terminal"))
 
 
-@query("SELECT doc_id, replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS attribute FROM (SELECT page_id AS doc_id, html AS text, url FROM pages)")
+@query("SELECT doc_id, md5(e) AS escaped, length(e) AS n, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS attribute FROM (SELECT page_id AS doc_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e, url FROM pages)", long="n")
 def escaped_pages(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select(F.col("page_id").alias("doc_id"), T.escape(F.left("html", F.lit(200))).alias("escaped"), T.escape(F.col("url"), True).alias("attribute"))
+    """Whole pages, escaped; a digest and the length stand for the text."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), T.escape(F.col("html")).alias("e"), T.escape(F.col("url"), True).alias("attribute"))
+    return p.select("doc_id", F.md5("e").alias("escaped"), F.length("e").cast("long").alias("n"), "attribute")
 
 
 @query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE printf('%.1f MB', n / 1048576.0::DOUBLE) END AS size FROM (SELECT doc_id, n_chars * 37 AS n FROM documents)")
@@ -236,9 +243,12 @@ def human_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.human_size(F.col("n_chars") * 37).alias("size"))
 
 
-@query("SELECT doc_id, CASE WHEN f = '' THEN 'untitled' ELSE left(f, 180) END AS name FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(left(text, 250), '/', '_'), '\\', '_'), '^\\s+|\\s+$', '', 'g'), '[^\\p{L}\\p{M}\\p{Nd}_.\\- ]', '', 'g'), '^[ .]+|[ .]+$', '', 'g') AS f FROM documents)")
+_NAME = f"""regexp_replace(regexp_replace({_strip("replace(replace(text, '/', '_'), chr(92), '_')")}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_.\\- ]', '', 'g'), '^[ .]+|[ .]+$', '', 'g')"""
+
+
+@query(f"SELECT doc_id, CASE WHEN f = '' THEN 'untitled' ELSE left(f, 180) END AS name FROM (SELECT doc_id, {_NAME} AS f FROM documents)")
 def safe_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.safe_filename(F.left("text", F.lit(250))).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.safe_filename(F.col("text")).alias("name"))
 
 
 _PAGES = "pg AS (SELECT doc_id // 40 AS doc, doc_id AS page, text, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id // 40) AS n FROM documents)"
@@ -250,11 +260,17 @@ def pua_sample(spark, sf_dir):
     return L.obfuscation(table(spark, sf_dir, "documents").select(F.expr("doc_id div 40").alias("doc_id"), F.col("doc_id").alias("page"), "text"))
 
 
-@query("WITH d AS (SELECT doc_id, md5(text) AS digest FROM documents), f AS (SELECT digest, min(doc_id) AS first FROM d GROUP BY 1) SELECT doc_id AS id, digest, first FROM d JOIN f USING (digest)")
+@query(
+    """WITH d AS (SELECT doc_id // 50 AS book, doc_id AS id, md5(text) AS digest, CASE WHEN n_chars % 3 = 0 THEN 'xref:' || (n_chars % 30) ELSE md5(text) END AS k FROM documents),
+f AS (SELECT *, min(id) OVER (PARTITION BY book, k) AS first FROM d), o AS (SELECT book, first, row_number() OVER (PARTITION BY book ORDER BY first) AS number FROM (SELECT DISTINCT book, first FROM f))
+SELECT book AS doc_id, id, digest, first, number::INT AS number FROM f JOIN o USING (book, first)"""
+)
 def content_dedupe(spark, sf_dir):
+    """Fifty documents in a row as one book's images, some with a reference number."""
     from folio.operators.catalog import deduplicated
 
-    return deduplicated(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("content")))
+    d = table(spark, sf_dir, "documents")
+    return deduplicated(d.select(F.expr("doc_id div 50").alias("doc_id"), F.col("doc_id").alias("id"), F.when(F.col("n_chars") % 3 == 0, F.col("n_chars") % 30).alias("xref"), F.col("text").cast("binary").alias("content")))
 
 
 @query("WITH a AS (SELECT doc_id // 30 AS d, doc_id AS page FROM documents WHERE n_chars % 3 = 0), l AS (SELECT doc_id // 30 AS d, doc_id AS link FROM documents), m AS (SELECT l.d, link, min(a.page) AS page FROM l LEFT JOIN a ON a.d = l.d AND a.page >= link GROUP BY ALL) SELECT d AS doc_id, link, CASE WHEN page IS NULL THEN '#' ELSE '#pg' || page END AS href FROM m")
@@ -320,8 +336,24 @@ def unique_names(spark, sf_dir):
     return names(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat("event_type", F.lit("."), (F.col("user_id") % 3).cast("string"), F.lit(".pdf")).alias("name")))
 
 
-@query("SELECT user_id AS upload, sum(event_id % 1000)::BIGINT AS total, sum(event_id % 1000) <= 30000 AS accepted FROM events GROUP BY 1")
+@query(
+    """WITH r AS (SELECT user_id AS upload, event_id AS part, sum(event_id % 1000) OVER (PARTITION BY user_id ORDER BY event_id) AS running FROM events),
+c AS (SELECT upload, max(running) AS total, min(part) FILTER (WHERE running > 10000) AS cut_part, min(running) FILTER (WHERE running > 10000) AS cut FROM r GROUP BY upload)
+SELECT upload, coalesce(cut, total)::BIGINT AS received, cut_part, cut_part IS NULL AS accepted FROM c"""
+)
 def upload_totals(spark, sf_dir):
+    """A user's events as an upload's parts, some of which pass the cap."""
     from folio.operators.catalog import upload_cut
 
-    return upload_cut(table(spark, sf_dir, "events").select(F.col("user_id").alias("upload"), (F.col("event_id") % 1000).alias("bytes")), 30000)
+    return upload_cut(table(spark, sf_dir, "events").select(F.col("user_id").alias("upload"), F.col("event_id").alias("part"), (F.col("event_id") % 1000).alias("bytes")), 10000)
+
+
+@query("WITH s AS (SELECT user_id AS job_id, arg_max(event_type, event_id) AS status, max(event_id) AS last_seq FROM events GROUP BY 1) SELECT a.job_id, coalesce(status, 'unknown') AS status, coalesce(last_seq, -1) AS last_seq FROM (SELECT DISTINCT l_suppkey AS job_id FROM lineitem) a LEFT JOIN s USING (job_id)", long="last_seq")
+def job_lookup(spark, sf_dir):
+    """Jobs asked for by number, known or not."""
+    from folio.operators.catalog import job_lookup as lookup
+    from folio.operators.catalog import job_states
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.lit("").alias("message"))
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("job_id")).distinct()
+    return lookup(job_states(e).select("job_id", "status", "last_seq"), asked).fillna(-1, ["last_seq"])
