@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.scripts import CJK
 from folio.functions.text import CJK_OPENERS, CJK_TERMINAL, escape, strip
+from folio.operators.folds import sorted_fold
 from folio.operators.layout import is_ink
 
 CHAPTER_BYTES = 250_000
@@ -78,44 +81,65 @@ def alignment(gap_before: Column, gap_after: Column, size: Column, width: Column
     return F.when(centred, "center").when((gap_after < size * 0.5) & (gap_before > size * 3), "right")
 
 
+@dataclass
+class _Flow:
+    """What building paragraphs remembers of a document: where it is, and of the paragraph that may go on its end."""
+
+    chapter: int = 0
+    para: int = -1
+    size: int = 0  # of the chapter so far, about, in bytes
+    started: bool = False
+    page: int | None = None
+    on: Any = None  # the last unit of the open paragraph; None if none is open
+    like: Any = None  # its first unit
+    solid: str = ""  # its last character that isn't blank
+
+
+def _goes_on(s: _Flow, u: Any) -> bool:
+    """Whether a text unit continues the open paragraph. Across pages no gap counts, which heals page breaks."""
+    if s.on is None or u.toc_level is not None or (getattr(u, "n_ids", None) or 0) > 1 or u.align or s.like.align or u.indented or not s.on.full:
+        return False
+    alike = abs(u.size - s.like.size) <= 0.15 * max(u.size, s.like.size) and u.vertical == s.like.vertical
+    speech = s.solid != "" and s.solid in CJK_TERMINAL and u.text.lstrip()[:1] in tuple(CJK_OPENERS)
+    near = s.on.page != u.page or u.gap <= (1.4 if u.vertical else 1.2) * u.size
+    return alike and near and not speech
+
+
+def _place(s: _Flow, u: Any) -> tuple:
+    """The paragraph of a unit, and the piece of text that it adds to it."""
+    turned, s.page = s.page != u.page, u.page
+    is_text, marked = u.kind == "text", u.toc_level is not None
+    heading = is_text and (bool(u.heading) or (marked and u.nchars <= 160 and u.n_runs <= 4))
+    level = max(1, min(4, int(u.toc_level) if marked else int(u.ladder_level))) if heading else 0
+    top = u.toc_level == 1 or (heading and level == 1 and (marked or not u.has_toc))
+    if is_text and s.started and (top or (turned and s.size > CHAPTER_BYTES)):
+        s.chapter, s.size, s.started, s.on = s.chapter + 1, 0, False, None
+    text, classes = u.text or "", u.align or ""
+    if is_text and not heading and _goes_on(s, u):
+        piece = ("" if _CJK.match(s.on.text[-1:]) or _CJK.match(text[:1]) else " ") + text
+        s.size += 3 * u.nchars
+    else:
+        piece, s.para, s.started = text, s.para + 1, True
+        s.size += 3 * len(text) + 40
+        s.like, s.solid = (u, "") if is_text and not heading else (None, "")
+        if s.like is not None:
+            classes = " ".join([u.align or ("indent" if u.indented else "noindent"), *(["small"] if u.size <= 0.85 * u.body else [])])
+    s.on = u if s.like is not None else None
+    s.solid = text.rstrip()[-1:] or s.solid
+    return u.doc_id, s.para, u.page, u.ord, s.chapter, "h" if heading else "p" if is_text else u.kind, level, classes, piece
+
+
 def build_paragraphs(units: DataFrame) -> DataFrame:
-    """Paragraphs and chapters of a document, a fold over its units in order of page and ord.
+    """Paragraphs and chapters of a document: a fold over its units in order of page and ord says where each goes, and their pieces of
+    text are put together. A document may be of any length.
 
     units: doc_id, page, ord, kind (text, image, table), text, nchars, size, body, n_runs, heading (bool), ladder_level, toc_level (or
     null), has_toc, indented, full, align (or null), vertical, gap, and n_ids (of anchors) if there are any. Result: doc_id, chapter, para, kind, level, page, classes, text.
     """
-
-    def document(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, chapter, size_now, entries, open_, page = [], 0, 0, 0, None, None
-        for u in pdf.sort_values(["page", "ord"]).astype(object).where(pdf.notna(), None).to_dict("records"):
-            new_page, page = u["page"] != page, u["page"]
-            toc = None if u["toc_level"] is None else int(u["toc_level"])
-            is_heading = u["kind"] == "text" and (bool(u["heading"]) or (toc is not None and u["nchars"] <= 160 and u["n_runs"] <= 4))
-            level = max(1, min(4, toc if toc is not None else int(u["ladder_level"]))) if is_heading else 0
-            if u["kind"] == "text" and entries and (toc == 1 or (is_heading and level == 1 and (toc is not None or not u["has_toc"])) or (new_page and size_now > CHAPTER_BYTES)):
-                chapter, size_now, entries, open_ = chapter + 1, 0, 0, None
-            if u["kind"] == "text" and not is_heading:
-                last = open_ and open_["text"].rstrip()
-                quote = bool(last) and last[-1] in CJK_TERMINAL and u["text"].lstrip()[:1] in tuple(CJK_OPENERS)
-                near = open_ is not None and (open_["page"] != u["page"] or u["gap"] <= (1.4 if u["vertical"] else 1.2) * u["size"])
-                if open_ is not None and toc is None and (u.get("n_ids") or 0) <= 1 and not u["align"] and not open_["align"] and not u["indented"] and open_["full"] and abs(u["size"] - open_["size"]) <= 0.15 * max(u["size"], open_["size"]) and u["vertical"] == open_["vertical"] and not quote and near:
-                    a, b = open_["text"][-1:], u["text"][:1]
-                    open_["text"] += ("" if _CJK.match(a) or _CJK.match(b) else " ") + u["text"]
-                    open_["full"], open_["page"] = u["full"], u["page"]
-                    size_now += 3 * u["nchars"]
-                    continue
-                classes = [u["align"] or ("indent" if u["indented"] else "noindent")] + (["small"] if u["size"] <= 0.85 * u["body"] else [])
-                open_ = {"first": u["page"], "page": u["page"], "text": u["text"], "size": u["size"], "full": u["full"], "align": u["align"], "vertical": u["vertical"], "kind": "p", "level": 0, "classes": " ".join(classes), "chapter": chapter}
-                out.append(open_)
-            else:
-                open_ = None
-                out.append({"first": u["page"], "text": u["text"] or "", "kind": "h" if is_heading else u["kind"], "level": level, "classes": u["align"] or "", "chapter": chapter})
-            entries += 1
-            size_now += 3 * len(u["text"] or "") + 40
-        rows = [(pdf["doc_id"].iloc[0], p["chapter"], i, p["kind"], p["level"], p["first"], p["classes"], p["text"]) for i, p in enumerate(out)]
-        return pd.DataFrame(rows, columns=["doc_id", "chapter", "para", "kind", "level", "page", "classes", "text"])
-
-    return units.groupBy("doc_id").applyInPandas(document, "doc_id long, chapter int, para int, kind string, level int, page int, classes string, text string")
+    placed = sorted_fold(units, ["doc_id"], ["page", "ord"], _Flow, _place, "doc_id long, para int, page int, ord int, chapter int, kind string, level int, classes string, piece string")
+    first = F.min_by(F.struct("chapter", "kind", "level", "page", "classes"), F.struct("page", "ord")).alias("f")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "ord", "piece"))), lambda x: x["piece"]), "").alias("text")
+    return placed.groupBy("doc_id", "para").agg(first, text).select("doc_id", "f.chapter", "para", "f.kind", "f.level", "f.page", "f.classes", "text")
 
 
 def indent_vote(paragraphs: DataFrame) -> DataFrame:
