@@ -92,7 +92,7 @@ def links(nodes: DataFrame) -> DataFrame:
 _SALT = tuple(int(G.mix(np.array([k * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]) for k in range(24))
 DIFFERS = np.arccos(2 * 0.8 / 1.8) / np.pi  # chance that a bit differs between documents at a similarity of 0.8
 OCCUPIED, IDS_BROADCAST = 1024, 500_000  # rows that a bucket of a segment's table may have on average; ids that are broadcast at most
-CHUNK, SHINGLES = 512, 4 << 20  # documents of one loose group in half a block, and shingles of a block
+CHUNK, SHINGLES = 512, 1 << 19  # documents of one loose group in half a block, and shingles of a block
 
 
 @dataclass(frozen=True)
