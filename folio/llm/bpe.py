@@ -74,7 +74,7 @@ def _pieces(path: str):
 class Encoder:
     """One per worker; the distinct pieces' ids are kept, up to `most` pieces."""
 
-    def __init__(self, vocabulary: str | None = None, most: int = 500_000):
+    def __init__(self, vocabulary: str | None = None, most: int = 100_000):
         import public_tokenizers
 
         self.path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
