@@ -9,7 +9,9 @@ pattern stands at is an identifier, too, whether or not it has a seed's format.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import cut_lineage, quoted, spread, table
@@ -27,6 +29,8 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*BASE, "secret", "number"]
+#: A character that every match of a format has; a text without it isn't searched.
+NEEDED = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+", "token": "[0-9]"}
 #: Identifier-like tokens: eight or more letters, digits and joining signs, with a digit among them, to the last letter or digit.
 TOKEN = r"(?<![0-9A-Za-z_./+-])(?=[A-Za-z_./+-]*+[0-9])[0-9A-Za-z_./+-]{7,}[0-9A-Za-z]"
 HEX_KEY = r"^[0-9a-f]{32,}$"
@@ -39,6 +43,11 @@ _FOUND = "array<struct<s:bigint,e:bigint,value:string,patterns:array<string>>>"
 _STEP = 256  # terms that are summed by one fold
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _sums(numbers: Column) -> Column:
     """Sums of all numbers up to each: folds over short stretches, so a long array takes time in proportion."""
 
@@ -46,9 +55,11 @@ def _sums(numbers: Column) -> Column:
         zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
         return F.aggregate(part, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")))
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _STEP).cast("int")), lambda i: fold(F.slice(numbers, i * _STEP + 1, _STEP)))
-    before = fold(F.transform(parts, lambda p: p["at"]))["out"]
-    return F.flatten(F.zip_with(parts, before, lambda p, total: F.transform(p["out"], lambda x: x + total - p["at"])))
+    def joined(parts: Column) -> Column:
+        before = fold(F.transform(parts, lambda p: p["at"]))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda p, total: F.transform(p["out"], lambda x: x + total - p["at"])))
+
+    return _let(F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _STEP).cast("int")), lambda i: fold(F.slice(numbers, i * _STEP + 1, _STEP))), joined)
 
 
 def _signs(text: Column) -> Column:
@@ -63,15 +74,20 @@ def _patterns(left: Column, right: Column) -> Column:
     return F.filter(F.concat(last, next_), lambda p: p.isNotNull() & F.substring(p, 2, 1 << 30).rlike(r"\p{L}"))
 
 
-def located(text: str, pattern: str) -> Column:
+def located(text: str, pattern: str, needed: str) -> Column:
     """Matches with their code-point positions and their patterns: the gaps between matches give places and contexts."""
-    found, gaps = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), F.split(F.col(text), pattern, -1)
-    ends = _sums(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("bigint")))
-    around = F.transform(gaps, _signs)
-    sides = F.zip_with(F.slice(around, 1, F.size(found)), F.slice(around, 2, F.size(found)), _patterns)
-    one = lambda m, x: F.struct((x["e"] - F.length(m)).alias("s"), x["e"].alias("e"), m.alias("value"), x["p"].alias("patterns"))
-    out = F.zip_with(found, F.zip_with(ends, sides, lambda e, p: F.struct(e.alias("e"), p.alias("p"))), one)
-    return F.when(F.size(found) > 0, out).otherwise(F.array().cast(_FOUND))
+    none = F.array().cast(_FOUND)
+
+    def spans(x: Column) -> Column:
+        found, gaps = x["found"], x["gaps"]
+        n = F.size(found)
+        ends = _let(F.zip_with(F.slice(gaps, 1, n), found, lambda g, m: (F.length(g) + F.length(m)).cast("bigint")), _sums)
+        sides = _let(F.transform(gaps, _signs), lambda a: F.zip_with(F.slice(a, 1, n), F.slice(a, 2, n), _patterns))
+        one = lambda m, y: F.struct((y["e"] - F.length(m)).alias("s"), y["e"].alias("e"), m.alias("value"), y["p"].alias("patterns"))
+        return F.when(n > 0, F.zip_with(found, F.zip_with(ends, sides, lambda e, p: F.struct(e.alias("e"), p.alias("p"))), one)).otherwise(none)
+
+    both = F.struct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("found"), F.split(F.col(text), pattern, -1).alias("gaps"))
+    return F.when(F.col(text).rlike(needed), _let(both, spans)).otherwise(none)
 
 
 def _sound(kind: str, v: Column) -> Column:
@@ -99,9 +115,9 @@ def _count(kind: str) -> Column:
 
 
 def extract(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base (spans of the fixed formats), seeds (their values and patterns), tokens (identifier-like and outside of base spans)."""
+    """doc_id, base (spans of the fixed formats), seeds (their values and patterns), tokens (identifier-like)."""
     docs = spread(df.select(F.col(quoted([key])[0]).alias("doc_id"), F.coalesce(F.col(quoted([text])[0]), F.lit("")).alias("text")))
-    docs = docs.select("doc_id", *[located("text", p).alias(k) for k, p in BASE.items()], located("text", TOKEN).alias("token"))
+    docs = docs.select("doc_id", *[located("text", p, NEEDED[k]).alias(k) for k, p in {**BASE, "token": TOKEN}.items()])
     docs = docs.select("doc_id", *[_whole(k).alias(k) for k in BASE], "token")
     spans = [_spans(i, k) for i, k in enumerate(BASE)]
     seeds = F.transform(F.concat(*BASE), lambda x: F.struct(F.lower(x["value"]).alias("value"), x["patterns"].alias("patterns")))
@@ -112,8 +128,17 @@ def extract(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         kind = F.when(v.rlike("^[0-9_./+-]+$"), KINDS.index("number")).otherwise(KINDS.index("secret"))
         return F.struct(kind.alias("k"), (x["e"] - F.length(v)).alias("s"), x["e"].alias("e"), F.lower(v).alias("value"), x["patterns"].alias("patterns"), v.rlike(HEX_KEY).alias("seed"))
 
-    free = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return docs.select("doc_id", "base", "seeds", F.filter(F.transform("token", seen), free).alias("tokens"))
+    return docs.select("doc_id", "base", "seeds", F.transform("token", seen).alias("tokens"))
+
+
+def outside(tokens: DataFrame, base: DataFrame) -> DataFrame:
+    """The tokens (row, s, e, ...) that overlap no base span (row, s, e) of their row: one sorted pass, whatever a text has of both."""
+    w = Window.partitionBy("row").orderBy("s", "turn")
+    both = tokens.withColumn("turn", F.lit(1)).unionByName(base.select("row", "s", "e", F.lit(0).alias("turn")), allowMissingColumns=True)
+    ends = F.max(F.when(F.col("turn") == 0, F.col("e"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.min(F.when(F.col("turn") == 0, F.col("s"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    marked = both.withColumns({"ends": ends, "begins": begins}).where("turn = 1")
+    return marked.where("(ends IS NULL OR ends <= s) AND (begins IS NULL OR begins >= e)").drop("turn", "ends", "begins")
 
 
 def occurrences(df: DataFrame, grams: DataFrame, text: str = "text") -> DataFrame:
@@ -153,6 +178,7 @@ def personal_data(df: DataFrame, key: str = "doc_id", text: str = "text", least_
     """
     rows = cut_lineage(extract(df, key, text).withColumn("row", F.monotonically_increasing_id()))
     tokens = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.k", "t.s", "t.e", "t.value", "t.seed", "t.patterns")
+    tokens = cut_lineage(outside(tokens, rows.select("row", F.explode("base").alias("b")).select("row", "b.s", "b.e")))
     seeds = rows.select(F.explode("seeds").alias("t")).selectExpr("t.value", "true AS seed", "t.patterns")
     sides = tokens.select("value", "seed", "patterns").union(seeds).select("value", "seed", F.explode("patterns").alias("pattern"))
     edges = cut_lineage(sides.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))

@@ -185,9 +185,9 @@ def test_added_spans_are_those_of_plain_loops(spark):
 
 
 def test_many_matches_in_one_text(spark):
-    text = " ".join(f"{i % 256}.{i // 256 % 256}.1.1" for i in range(20_000))
+    text = " ".join(f"{i % 256}.{i // 256 % 256}.1.1" for i in range(3_000))
     got = personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["base"]
-    assert len(got) == 20_000 and [tuple(x) for x in got] == brute.personal(text)
+    assert len(got) == 3_000 and [tuple(x) for x in got] == brute.personal(text)
 
 
 def test_personal_data_query(spark, sf):
