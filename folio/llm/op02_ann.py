@@ -24,7 +24,7 @@ from folio.llm.grams import mix
 
 CELLS, SAMPLE = 16_384, 16_384  # cells at most (else 4 times the square root of the rows), and vectors that they are fitted to: so many, or 16 a cell
 PARTS, CODES = 16, 64  # parts of a residual, and centroids of each
-BLOCK, ASKED = 4096, 50_000  # vectors of a block, about, and queries that meet it at once
+BLOCK, ASKED = 1024, 50_000  # vectors of a block, about, and queries that meet it at once
 RECALL, RERANK = 0.97, 400  # share of the sample's neighbours that the visited cells hold; codes reranked in a block, and all that tie with the last
 
 
