@@ -17,6 +17,10 @@ from folio.llm.op07_mixing import op7_mixing
 from folio.llm.op08_suffix_dedup import op8_suffix_dedup
 from folio.llm.op09_packing import op9_packing
 from folio.llm.op10_quality import op10_quality
+from folio.llm.op12_prefix_trie import SQL as _TRIE
+from folio.llm.op12_prefix_trie import op12_prefix_trie
+from folio.llm.op13_embedding_dedup import SQL as _LINKED
+from folio.llm.op13_embedding_dedup import op13_embedding_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -31,11 +35,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_packing,
         op10_quality,
+        op12_prefix_trie,
+        op13_embedding_dedup,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": _MIXING,
+    "op12_prefix_trie": _TRIE,
+    "op13_embedding_dedup": _LINKED,
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
