@@ -17,6 +17,7 @@ from folio.llm.op07_mixing import op7_mixing
 from folio.llm.op08_suffix_dedup import op8_suffix_dedup
 from folio.llm.op09_packing import op9_packing
 from folio.llm.op10_quality import op10_quality
+from folio.llm.op11_periodic_runs import op11_periodic_runs
 from folio.llm.op12_prefix_trie import SQL as _TRIE
 from folio.llm.op12_prefix_trie import op12_prefix_trie
 from folio.llm.op13_embedding_dedup import SQL as _LINKED
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_packing,
         op10_quality,
+        op11_periodic_runs,
         op12_prefix_trie,
         op13_embedding_dedup,
     )
