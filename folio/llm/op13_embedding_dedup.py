@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from folio.llm.common import cut_lineage, quoted, table
 from folio.llm.components import components
 
-TILE = 4096  # nodes of a tile, about
+TILE, FEW = 2048, 128  # nodes of a tile, about; labels of fewer nodes than FEW share tasks
 _SIDE, _PAIRS = 1024, 1 << 16  # rows of a product at a time, and pairs computed again at a time
 _EXACT = 1 << 10  # dimensions up to which a product of int8 codes is exact in single precision (127^2 * 1024 < 2^24)
 _SLACK = 1e-5  # more than what the bounds' own arithmetic in single precision can miss
@@ -103,15 +103,15 @@ def linked_vectors(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     nodes = cut_lineage(nodes.select(F.monotonically_increasing_id().alias("node"), "label", "v", F.size("v").alias("dims"), "n", "least_id"))
     sizes = nodes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("m"))
     total = sizes.agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("k")).first()
-    sizes = sizes.select("label", "dims", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    sizes = sizes.select("label", "dims", "m", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
     if total["k"] <= SIZES_BROADCAST:
         sizes = F.broadcast(sizes)
-    # labels of one tile share tasks; each pair of a larger label's tiles is a task
-    tasks = max(1, -(-(total["m"] or 0) // TILE), min(total["k"] or 1, df.sparkSession.sparkContext.defaultParallelism))
+    # small labels share tasks; each pair of another label's tiles is a task
+    tasks = max(1, -(-(total["m"] or 0) // TILE))
     own = nodes.join(sizes, ["label", "dims"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     each = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("tile")).alias("low"), F.greatest(o, F.col("tile")).alias("high")))
-    pair = own.select(F.explode(each).alias("pair"), "label", "dims", "tiles", "tile", "node", "n", "v")
-    task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("label", "dims"), F.lit(tasks))).otherwise(F.xxhash64("label", "dims", "pair"))
+    pair = own.select(F.explode(each).alias("pair"), "label", "dims", "m", "tile", "node", "n", "v")
+    task = F.when(F.col("m") < FEW, F.pmod(F.xxhash64("label", "dims"), F.lit(tasks))).otherwise(F.xxhash64("label", "dims", "pair"))
     dealt = pair.select(task.alias("task"), "label", "dims", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "tile", "node", "n", "v")
 
     def block(t: pa.Table) -> pa.Table:
