@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import zlib
 from collections import defaultdict
 
 
@@ -173,3 +174,74 @@ def bootstrapped(rows, base_spans, rounds=3, least_seeds=3, confidence=0.7):
         if good & set(own):
             out[i].add((kind, a, b))
     return out, good
+
+
+def periodic_runs(w, exponent=4, least=6):
+    """(start, length, period) of every run of a list of words."""
+    n, out = len(w), []
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            size = j - i + q
+            if size >= max(least, exponent * q) and j > i and not any(all(w[x] == w[x + d] for x in range(i, i + size - d)) for d in range(1, q)):
+                out.append((i, size, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def without_runs(w, runs):
+    gone = {i for a, size, q in runs for i in range(a + q, a + size)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def trie(rows, rebuild):
+    """{(conv, depth): (parent, convs, children, leaves, saved, digest of those that end)} of rows (conv, turn, role, text)."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [v[2:] for v in sorted(vs)] for c, vs in own.items()}
+    said = own
+    if rebuild:
+        said = {}
+        for c, turns in own.items():
+            h, base = zlib.crc32(str(c).encode()) % 9, c - (c % 5 if c >= 0 else -(-c % 5))
+            said[c] = own.get(base, [])[:h] + turns[h:]
+    node, kids, out, value = defaultdict(list), defaultdict(list), {}, {}
+    for c, turns in said.items():
+        for d in range(len(turns) + 1):
+            node[tuple(turns[:d])].append(c)
+    for p in node:
+        if p:
+            kids[p[:-1]].append(p)
+    for p in sorted(node, key=len, reverse=True):
+        leaves = sum(value[x][0] for x in kids[p]) or 1
+        saved = sum(value[x][1] for x in kids[p]) + ((len(node[p]) - 1) * len(p[-1][1].encode()) if p else 0)
+        value[p] = leaves, saved
+        ends = sorted(c for c in node[p] if len(said[c]) == len(p))
+        out[min(node[p]), len(p)] = (min(node[p[:-1]]) if p else None, len(node[p]), len(kids[p]), leaves, saved, sha(",".join(map(str, ends)).encode()))
+    return out
+
+
+def linked(rows, threshold=0.93):
+    """[(id, links, component)] of rows (id, label, vector), as many as rows, in their order."""
+
+    def sound(v):
+        return bool(v) and all(x is not None and abs(x) < float("inf") for x in v) and any(v)
+
+    def near(a, b):
+        (i, k, v), (j, m, w) = rows[a], rows[b]
+        if None in (i, j, k, m) or k != m or not sound(v) or not sound(w) or len(v) != len(w):
+            return False
+        return sum(x * y for x, y in zip(v, w, strict=True)) / (sum(x * x for x in v) ** 0.5 * sum(x * x for x in w) ** 0.5) >= threshold
+
+    pairs = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if near(a, b)}
+    of = components(range(len(rows)), lambda a, b: (a, b) in pairs)
+    least = {}
+    for a, r in of.items():
+        if rows[a][0] is not None:
+            least[r] = min(least.get(r, rows[a][0]), rows[a][0])
+    return [(rows[a][0], sum(a in p for p in pairs), least.get(of[a])) for a in range(len(rows))]

@@ -27,7 +27,7 @@ def test_query_agrees_with_sql(name, spark, sf):
 
 
 def test_every_operator_has_its_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 # 2: nearest neighbours
