@@ -204,7 +204,7 @@ def trie(turns: DataFrame, seqs: DataFrame) -> DataFrame:
     if top[0] is None:
         return spark.createDataFrame([], _NODE)
     large = [spark.createDataFrame([(top[0], top[1], None, 0, top[2])], "cls long, convs long, parent long, bytes long, ends long")]  # the nodes that Spark has split, a depth each
-    active, done, depth = seqs.select("seq", "n", "m", F.lit(top[0]).cast("long").alias("cls")), [], 0
+    active, done, depth = cut_lineage(seqs.select("seq", "n", "m", F.lit(top[0]).cast("long").alias("cls"))), [], 0  # a literal would make the joins by class products
     while True:
         size = active.groupBy("cls").agg(F.count(F.lit(1)).alias("seqs"), F.sum(F.col("n") - depth).alias("rows"))
         kind = F.when(F.col("seqs") == 1, 0).when(F.col("rows") <= SMALL, 1).otherwise(2)
