@@ -13,14 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.grams import mix
 
 
 LEAST = -(2**63)  # what a null key counts as
-_QUANTILES = 1024
+RANGES = 1 << 18  # ranges of keys that the driver tells apart
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,12 +87,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def text_hash(texts: pa.Array) -> np.ndarray:
-    """XXH64 of each text; a null counts as empty."""
+    """XXH64 of each text, as Spark's xxhash64; a null counts as empty."""
     import xxhash
 
     data, bounds = text_bytes(texts)
     data = data.tobytes()
-    return np.fromiter((xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)), np.uint64, len(bounds) - 1)
+    return np.fromiter((xxhash.xxh64_intdigest(data[a:b], 42) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)), np.uint64, len(bounds) - 1)
 
 
 def order_keys(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -100,33 +101,68 @@ def order_keys(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Deal:
-    """Groups of about one size, ascending by key. A range of keys is cut evenly; a key that holds more than a group's share
-    is a range of its own, cut by the hash of its rows' texts, so neither nulls nor a repeated key make one task."""
+    """Groups of about one number of bytes, ascending by key.
+
+    Ranges of keys are cut where the bytes are, so clusters of keys and long texts don't pile up. A key that holds more than a
+    group's share is a range of its own, cut by the hash of its rows' texts, and a text that holds more than that under one key
+    is dealt out row by row; so neither nulls, nor a repeated key, nor identical rows make one task.
+    """
 
     lows: np.ndarray  # where each range of keys begins
     highs: np.ndarray  # its last key
     parts: np.ndarray  # groups that it is cut to
     first: np.ndarray  # the first of them
+    hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]]  # of a range: hashes of texts that have groups of their own, the first of these, how many, and groups of the other texts
 
     @staticmethod
-    def of(df: DataFrame, key: str, text: str, group_bytes: int) -> tuple[Deal, int]:
-        """From one pass of counts and quantiles; and the bytes of all texts. The driver holds 1,024 quantiles, whatever the table's size."""
+    def of(df: DataFrame, key: str, text: str, group_bytes: int, ranges: int = RANGES) -> tuple[Deal, int]:
+        """And the bytes of all texts, with 64 a row. The driver holds some five numbers a group, up to `ranges` of them (half a terabyte
+        of text in groups of 2 MB); where more groups are wanted, these ranges are cut evenly by key."""
         k = F.coalesce(F.col(quoted([key])[0]).cast("long"), F.lit(LEAST))
-        at = F.percentile_approx(k, F.array(*[F.lit((i + 0.5) / _QUANTILES) for i in range(_QUANTILES)]), 20 * _QUANTILES)
-        size = F.sum(F.coalesce(F.octet_length(F.col(quoted([text])[0])), F.lit(0)).cast("long") + 64)
-        r = df.agg(size.alias("size"), F.min(k).alias("low"), F.max(k).alias("high"), at.alias("at")).first()
+        width = F.coalesce(F.octet_length(F.col(quoted([text])[0])), F.lit(0)).cast("long") + 64
+        sizes = cut_lineage(df.select(k.alias("k"), width.alias("w")))
+        r = sizes.agg(F.sum("w").alias("size"), F.min("k").alias("low"), F.max("k").alias("high")).first()
         if not r["size"]:
             one = np.zeros(1, np.int64)
-            return Deal(one + LEAST, one - 1, one + 1, one), 0
-        at, groups = np.array(r["at"], np.int64), max(1, -(-r["size"] // group_bytes))
-        values, counts = np.unique(at, return_counts=True)
-        heavy = values[counts * groups >= 2 * _QUANTILES]  # two groups' share or more
-        even = at[(np.arange(1, min(groups, _QUANTILES)) * _QUANTILES) // min(groups, _QUANTILES)]
-        lows = np.unique(np.concatenate([[r["low"]], even, heavy, heavy[heavy < r["high"]] + 1]))
-        highs = np.r_[lows[1:] - 1, r["high"]]
-        own = np.searchsorted(at, highs, side="right") - np.searchsorted(at, lows)
-        parts = np.maximum(1, np.round(own * groups / _QUANTILES)).astype(np.int64)
-        return Deal(lows, highs, parts, np.cumsum(parts) - parts), r["size"]
+            return Deal(one + LEAST, one - 1, one + 1, one, {}), 0
+        share = max(group_bytes, r["size"] / ranges)
+        low, high, held = _leaves(sizes, r["low"], r["high"], r["size"], share)
+        # neighbours are put together while they stay within the share
+        begins, sums, filled = [], [], math.inf
+        for i, w in enumerate(held.tolist()):
+            if filled + w > share:
+                begins.append(i)
+                sums.append(0)
+                filled = 0
+            sums[-1] += w
+            filled += w
+        begins, sums = np.array(begins), np.array(sums, float)
+        lows, highs = low[begins], high[np.r_[begins[1:], len(low)] - 1]
+        parts = np.maximum(1, np.ceil(sums / group_bytes - 1e-9)).astype(np.int64)
+        single = lows == highs
+        hot = Deal._hot(df, k, width, text, lows[single & (parts > 1)], lows, sums, group_bytes)
+        for at, (_, _, own, rest) in hot.items():
+            parts[at] = own.sum() + rest
+        return Deal(lows, highs, parts, np.cumsum(parts) - parts, hot), r["size"]
+
+    @staticmethod
+    def _hot(df: DataFrame, k: Column, width: Column, text: str, keys: np.ndarray, lows: np.ndarray, sums: np.ndarray, group_bytes: int) -> dict[int, tuple]:
+        """For each key that is cut: its texts that hold more than half a group; together no more than two a group."""
+        if not len(keys):
+            return {}
+        spark = df.sparkSession
+        own = df.select(k.alias("k"), width.alias("w"), F.xxhash64(F.coalesce(F.col(quoted([text])[0]), F.lit(""))).alias("h"))
+        cut = F.broadcast(spark.createDataFrame([(i,) for i in keys.tolist()], "k long"))  # a group each at least
+        texts = own.join(cut, "k").groupBy("k", "h").agg(F.sum("w").alias("w")).where(F.col("w") > group_bytes / 2).orderBy("k", "h").toArrow()
+        tk, th, tw = (texts.column(c).to_numpy() for c in ("k", "h", "w"))
+        hot = {}
+        for key in keys.tolist():
+            at = int(np.searchsorted(lows, key))
+            mine = slice(np.searchsorted(tk, key), np.searchsorted(tk, key, side="right"))
+            parts = np.ceil(tw[mine] / group_bytes).astype(np.int64)
+            rest = max(1, math.ceil((sums[at] - tw[mine].sum()) / group_bytes))
+            hot[at] = th[mine].copy(), rest + np.cumsum(parts) - parts, parts, rest
+        return hot
 
     def __call__(self, keys: np.ndarray, texts: pa.Array) -> np.ndarray:
         r = np.maximum(np.searchsorted(self.lows, keys, side="right") - 1, 0)
@@ -136,8 +172,17 @@ class Deal:
         sub[wide] = np.minimum((keys[wide].astype(float) - low) / (high.astype(float) - low + 1) * n, n - 1).astype(np.int64)
         cut = np.flatnonzero((self.parts[r] > 1) & single[r])
         if len(cut):
-            n = self.parts[r[cut]]
-            sub[cut] = np.minimum(text_hash(texts.take(pa.array(cut))) / 2.0**64 * n, n - 1).astype(np.int64)
+            h = text_hash(texts.take(pa.array(cut)))
+            again, salt = ordinals(h), mix(keys.astype(np.uint64).sum(keepdims=True) + np.uint64(partition_id()))  # other tasks and batches begin elsewhere
+            for at in np.unique(r[cut]).tolist():
+                of, first, own, rest = self.hot[at]
+                mine = np.flatnonzero(r[cut] == at)
+                sub[cut[mine]] = np.minimum(h[mine] / 2.0**64 * rest, rest - 1).astype(np.int64)
+                if len(of):
+                    place = np.minimum(np.searchsorted(of, h[mine].view(np.int64)), len(of) - 1)
+                    hit = of[place] == h[mine].view(np.int64)
+                    place, mine = place[hit], mine[hit]
+                    sub[cut[mine]] = first[place] + (mix(again[mine].astype(np.uint64) + salt) % own[place].astype(np.uint64)).astype(np.int64)
         return self.first[r] + np.clip(sub, 0, None)
 
     def rank(self, groups: np.ndarray) -> np.ndarray:
@@ -146,9 +191,61 @@ class Deal:
         return np.where(self.lows[r] == self.highs[r], self.first[r], groups)
 
 
+def _leaves(sizes: DataFrame, low: int, high: int, size: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of keys (first, last, bytes) that hold half the share at most, or one key: what is too much is cut to narrower ranges, by
+    its bytes, in passes over the keys' sizes. A pass makes ranges 64 times narrower at least, so there are 11 at most."""
+    low, high, held = np.array([low]), np.array([high]), np.array([size], np.int64)
+    while (over := np.flatnonzero((held > share / 2) & (low < high))).size:
+        cuts = np.maximum(64, np.ceil(4 * held[over] / share)).astype(np.int64)
+        at, first = low[over], np.cumsum(cuts) - cuts
+        span = high[over].astype(np.uint64) - at.astype(np.uint64)  # modulo 2^64, so that it is right beyond 2^63, too
+        step = span // cuts.astype(np.uint64) + np.uint64(1)
+
+        def count(batches, at=at, last=high[over], first=first, step=step, buckets=int(cuts.sum())):
+            held, least, most = np.zeros(buckets, np.int64), np.full(buckets, 2**63 - 1), np.full(buckets, LEAST)
+            for b in batches:
+                k, w = b.column(0).to_numpy(), b.column(1).to_numpy()
+                r = np.searchsorted(at, k, side="right") - 1
+                inside = (r >= 0) & (k <= last[np.maximum(r, 0)])
+                k, w, r = k[inside], w[inside], r[inside]
+                bucket = first[r] + ((k.astype(np.uint64) - at[r].astype(np.uint64)) // step[r]).astype(np.int64)
+                np.add.at(held, bucket, w)
+                np.minimum.at(least, bucket, k)
+                np.maximum.at(most, bucket, k)
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (np.arange(buckets), held, least, most)], ["bucket", "w", "low", "high"])
+
+        got = sizes.mapInArrow(count, "bucket long, w long, low long, high long").groupBy("bucket").agg(F.sum("w").alias("w"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+        keep = np.ones(len(low), bool)
+        keep[over] = False
+        low, high, held = (np.concatenate([x[keep], got.column(c).to_numpy()]) for x, c in ((low, "low"), (high, "high"), (held, "w")))
+        order = np.argsort(low)
+        low, high, held = low[order], high[order], held[order]
+    return low, high, held
+
+
+def ordinals(names: np.ndarray) -> np.ndarray:
+    """0 for the first of equal names, 1 for the second and so on."""
+    order = np.argsort(names, kind="stable")
+    new = np.r_[True, names[order][1:] != names[order][:-1]][: len(names)]
+    out = np.empty(len(names), np.int64)
+    out[order] = np.arange(len(names)) - np.maximum.accumulate(np.where(new, np.arange(len(names)), 0)) if len(names) else 0
+    return out
+
+
+def partition_id() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context is not None else 0
+
+
 def by_hash(groups: int) -> Callable[[np.ndarray, pa.Array], np.ndarray]:
-    """Deals rows by a hash of key and text."""
-    return lambda keys, texts: (mix(text_hash(texts) ^ mix(keys.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
+    """Deals rows by a hash of key and text, and identical rows one by one."""
+
+    def deal(keys: np.ndarray, texts: pa.Array) -> np.ndarray:
+        h = mix(text_hash(texts) ^ mix(keys.astype(np.uint64)))
+        return (mix(h + ordinals(h).astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+    return deal
 
 
 def packed(df: DataFrame, key: str, text: str, deal: Callable[[np.ndarray, pa.Array], np.ndarray], pack_mb: int = 12) -> DataFrame:

@@ -1,10 +1,13 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import folio.llm.repeats as R
+from folio.llm.common import Deal
 from folio.llm.op01_substring_dedup import op1_substring_dedup, remove_repeated_passages
 from folio.llm.op05_line_dedup import op5_line_dedup, remove_repeated_lines
 from folio.llm import op06_simhash as S
@@ -277,3 +280,56 @@ def test_similar_documents_of_odd_rows(spark):
     df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, node int, f0 int, `x.y` int")
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in similar_documents(df).collect())
     assert got == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (6, 6), (7, 6), (8, 8), (9, 8)]
+
+
+def dealt(kind, n=400_000):
+    """Keys and lengths of texts (their own, or one for all)."""
+    rng = np.random.default_rng(1)
+    keys, size = np.arange(n), np.full(n, 16)
+    if kind == "clustered":
+        keys = (keys // 1000 << 32) + keys % 1000
+    if kind == "exponential":
+        keys = np.unique(np.exp(np.linspace(0, 43, n)).astype(np.int64))
+    if kind == "long":
+        size[n // 2 : n // 2 + n // 100] = 640
+    if kind in ("one key", "identical"):
+        keys = np.where(rng.random(n) < 0.34, n // 2, keys)
+    if kind == "extremes":
+        keys = np.where(keys % 2 == 0, 2**63 - 1 - keys, -(2**63) + keys)
+    return keys, size[: len(keys)]
+
+
+@pytest.mark.parametrize("kind", ["dense", "clustered", "exponential", "long", "one key", "identical", "extremes"])
+def test_groups_stay_small_at_any_number(spark, kind):
+    """The largest group holds twice the bytes asked for at most, from a hundred groups to a hundred thousand; what a hash deals, but for chance."""
+    keys, size = dealt(kind)
+    same = kind == "identical"
+    texts = pa.array([("x" if same and k == len(keys) // 2 else f"{i:07d}").ljust(n, "y") for i, (k, n) in enumerate(zip(keys.tolist(), size.tolist(), strict=True))])
+    df = spark.createDataFrame(pa.table({"k": keys, "t": texts}))
+    total = int(size.sum()) + 64 * len(size)
+    for groups in (100, 2047, 2048, 100_000):
+        share = -(-total // groups)
+        deal, bytes_ = Deal.of(df, "k", "t", share)
+        got = np.concatenate([deal(keys[a : a + 50_000], texts[a : a + 50_000]) for a in range(0, len(keys), 50_000)])
+        held = np.bincount(got, size + 64)
+        most = 2 * max(share, size.max() + 64)
+        if kind in ("one key", "identical"):  # dealt by a hash: at four rows a group chance counts
+            most = max(most, share + 6 * (share * 80) ** 0.5)
+        assert bytes_ == total and held.max() <= most
+        if groups < 100_000 or not same:
+            assert groups / 2 <= (held > 0).sum()
+        # ascending by key: a smaller rank has smaller keys
+        rank = deal.rank(got)
+        by = np.argsort(keys, kind="stable")
+        assert (np.diff(rank[by]) >= 0).all()
+        one = keys[by][1:] == keys[by][:-1]
+        assert (np.diff(rank[by])[one] == 0).all()
+
+
+def test_groups_of_nothing_and_of_more_than_the_driver_tells_apart(spark):
+    df = spark.createDataFrame(pa.table({"k": np.arange(20_000), "t": ["x" * 36] * 20_000}))
+    deal, _ = Deal.of(df, "k", "t", 1000, ranges=16)  # 2,000 groups from 16 ranges
+    held = np.bincount(deal(np.arange(20_000), pa.array(["x" * 36] * 20_000)), np.full(20_000, 100))
+    assert (held > 0).sum() >= 1900 and held.max() <= 2000
+    deal, size = Deal.of(df.where("false"), "k", "t", 1000)
+    assert size == 0 and deal(np.arange(3), pa.array(["a", None, "c"])).tolist() == [0, 0, 0]
