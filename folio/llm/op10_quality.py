@@ -2,12 +2,13 @@
 
 Each byte has a learned vector. Learned filters slide over the bytes, one by one, of overlapping chunks that cover the whole
 document; each filter's largest response in a chunk is kept, and the means and the maxima over the chunks are combined into
-one probability. The network is trained on the driver from a bounded sample of labelled rows, read whole, and sent to the
-scan; nothing is shuffled for scoring.
+one probability. The network is trained in one task from a bounded sample of labelled rows, read whole, and sent to the scan;
+the driver sees the network alone, and nothing is shuffled for scoring.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +20,9 @@ from folio.llm.common import ddl, fresh, numbered, quoted, spread, table, text_b
 
 CHUNK, STEP = 512, 480  # bytes; neighbours overlap by more than a filter's width, so no filter misses a seam
 WIDTH, DEPTH, FILTERS = 8, 8, 32
-TRAIN_DOCS, TRAIN_BYTES, EPOCHS = 2000, 64 << 20, 12  # the sample's bounds: documents, and bytes of all their texts
+TRAIN_DOCS, TRAIN_BYTES, EPOCHS = 2000, 64 << 20, 8  # the sample's bounds: documents, and bytes of all their texts
 WINDOWS = CHUNK - WIDTH + 1
-_AT_ONCE = 64  # chunks whose windows lie in memory together, some 8 MB
+_AT_ONCE, _GRADIENT_AT_ONCE = 64, 4096  # chunks whose windows lie in memory together, some 8 MB; and whose bytes are summed together, some 16 MB
 
 
 @dataclass
@@ -41,8 +42,8 @@ class Network:
         e = np.ascontiguousarray(self.vectors[part].reshape(len(part), CHUNK * DEPTH))
         s = e.strides
         w = np.lib.stride_tricks.as_strided(e, (len(part), WINDOWS, WIDTH * DEPTH), (s[0], DEPTH * s[1], s[1]))
-        r = (w.reshape(-1, WIDTH * DEPTH) @ self.filters).reshape(len(part), WINDOWS, FILTERS)
-        return np.maximum(r.max(1), 0), r.argmax(1) if places else None
+        r = (self.filters.T @ w.reshape(-1, WIDTH * DEPTH).T).reshape(FILTERS, len(part), WINDOWS)  # the windows side by side, as they are searched
+        return np.maximum(r.max(2).T, 0), r.argmax(2).T if places else None
 
     def logits(self, pooled: np.ndarray, doc: np.ndarray, n: int):
         first = np.searchsorted(doc, np.arange(n))
@@ -52,6 +53,19 @@ class Network:
         return mean @ self.weights[:FILTERS] + most @ self.weights[FILTERS:-1] + self.weights[-1], mean, most, count
 
 
+    def gradient(self, seen: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the vectors and of the filters: seen, the bytes (chunks, FILTERS, WIDTH) of the largest responses, and back, the loss's
+        gradient by these. What goes back to a filter's place is first summed by byte, so no chunk has its bytes' vectors in memory."""
+        by_byte = np.zeros(WIDTH * 256 * FILTERS)
+        place = np.arange(WIDTH) * (256 * FILTERS) + np.arange(FILTERS)[:, None]
+        for k in range(0, len(seen), _GRADIENT_AT_ONCE):
+            at = seen[k : k + _GRADIENT_AT_ONCE].astype(np.int64) * FILTERS + place
+            by_byte += np.bincount(at.ravel(), np.repeat(back[k : k + _GRADIENT_AT_ONCE].ravel(), WIDTH), len(by_byte))
+        by_byte = by_byte.reshape(WIDTH, 256, FILTERS)
+        filters = self.filters.reshape(WIDTH, DEPTH, FILTERS)
+        return np.einsum("wbf,wdf->bd", by_byte, filters, optimize=True), np.einsum("wbf,bd->wdf", by_byte, self.vectors, optimize=True).reshape(WIDTH * DEPTH, FILTERS)
+
+
 def chunks(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, start in data) of the chunks that cover each document; an empty one has one chunk of padding."""
     size = np.diff(bounds)
@@ -108,9 +122,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
             d = (1 / (1 + np.exp(-z)) - labels[some]) / len(some)
             top = pooled == most[doc]
             back = (d[doc, None] * (net.weights[:FILTERS] / count[doc] + net.weights[FILTERS:-1] * top) * (pooled > 0)).astype(np.float32)
-            to_filters = np.einsum("cf,cfwd->wdf", back, net.vectors[seen], optimize=True).reshape(WIDTH * DEPTH, FILTERS)
-            to_bytes = back[:, :, None, None] * net.filters.reshape(WIDTH, DEPTH, FILTERS).transpose(2, 0, 1)
-            to_vectors = np.bincount((seen[..., None].astype(np.int64) * DEPTH + np.arange(DEPTH)).ravel(), to_bytes.ravel(), 256 * DEPTH).reshape(256, DEPTH)
+            to_vectors, to_filters = net.gradient(seen, back)
             to_vectors[0] = 0
             to_weights = np.concatenate([mean.T @ d, most.T @ d, [d.sum()]]) + 1e-4 * net.weights
             step += 1
@@ -122,10 +134,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[list[bytes], np.ndarray]:
-    """At most `most` labelled documents that aren't held out, by a hash of the key, and of those, in this order, as many as have
-    `most_bytes` of text together, whole texts each: TopK over the small table, then joins with that bounded side. A key with
-    several labels has the least; a key with several rows is one document, its least text."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """(id, label, text) of at most `most` labelled documents that aren't held out, by a hash of the key, and of those, in this order, as
+    many as have `most_bytes` of text together, whole texts each: TopK over the small table, then joins with that bounded side. A
+    key with several labels has the least; a key with several rows is one document, its least text."""
     key, text, label = quoted([key, text, label])
     learn = labels.where(f"{label} IS NOT NULL AND {key} IS NOT NULL").where(~held_out(F.col(key)))
     ids = learn.groupBy(F.col(key).alias("id__")).agg(F.min(label).alias("label__")).orderBy(F.xxhash64("id__"), "id__").limit(most)
@@ -136,13 +148,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS,
     for r in sizes:
         if total + r["size__"] <= most_bytes:
             total += r["size__"]
-            chosen.append((r["id__"],))
-    if not chosen:
-        return [], np.zeros(0)
-    chosen = docs.sparkSession.createDataFrame(chosen, f"id__ {dict(ids.dtypes)['id__']}")
-    rows = docs.join(F.broadcast(ids.join(chosen, "id__")), "id__").groupBy("id__", "label__").agg(F.min("text__").alias("text__")).collect()
-    rows = sorted((r["id__"], r["label__"], r["text__"]) for r in rows)
-    return [r[2].encode() for r in rows], np.array([float(r[1]) for r in rows])
+            chosen.append((r["id__"], float(r["label__"])))
+    chosen = docs.sparkSession.createDataFrame(chosen, f"id__ {dict(ids.dtypes)['id__']}, label double")
+    return docs.join(F.broadcast(chosen), "id__").groupBy("id__", "label").agg(F.min("text__").alias("text")).select(F.col("id__").alias("id"), "label", "text")
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Network:
+    """The network of the sample of labelled documents, trained in one task; without labels that of no texts."""
+
+    def fit(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[2].encode() for r in rows], np.array([r[1] for r in rows])))], pa.binary())], ["net"])
+
+    got = labelled_sample(docs, labels).coalesce(1).mapInArrow(fit, "net binary").first()
+    return train([], np.zeros(0)) if got is None else pickle.loads(got["net"])
 
 
 def held_out(key) -> F.Column:
@@ -170,6 +189,5 @@ def score_documents(df: DataFrame, net: Network, text: str = "text", column: str
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    net = train(*labelled_sample(docs, table(spark, sf_dir, "labels")))
-    scored = score_documents(docs, net)
+    scored = score_documents(docs, trained(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

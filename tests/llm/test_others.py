@@ -1,7 +1,11 @@
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -17,6 +21,7 @@ from folio.llm.op04_media import op4_media, read_stream, read_transport_streams,
 from folio.llm import op07_mixing as op07
 from folio.llm.op07_mixing import mixed, topic
 from folio.llm.op09_packing import first_fit_decreasing, op9_packing, pack_documents
+from folio.llm import op10_quality as op10
 from folio.llm.op10_quality import op10_quality, score_documents, train
 from folio.llm.registry import ORACLE_SQL, QUERIES
 
@@ -521,3 +526,79 @@ def test_scores_of_odd_rows(spark):
     assert score_documents(df.where("false"), net).collect() == []
     one = train([b"x"], np.array([1.0]))
     assert 0 < score_documents(df, one).first()["score"] < 1
+
+
+def small_network(seed=3):
+    rng = np.random.default_rng(seed)
+    net = op10.Network(rng.normal(0, 0.5, (256, op10.DEPTH)).astype(np.float32), rng.normal(0, 0.2, (op10.WIDTH * op10.DEPTH, op10.FILTERS)).astype(np.float32), rng.normal(0, 0.5, 2 * op10.FILTERS + 1))
+    net.vectors[0] = 0
+    return net
+
+
+def test_scores_against_loops():
+    """Every window of every chunk by itself."""
+    net, texts = small_network(), [b"", b"short", bytes(random.Random(1).choices(range(1, 256), k=520)), "é😀 ".encode() * 200]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+    for t, got in zip(texts, net.scores(data, bounds), strict=True):
+        pooled, begin = [], 0
+        while True:
+            chunk = t[begin : begin + op10.CHUNK].ljust(op10.CHUNK, b"\0")
+            most = np.zeros(op10.FILTERS)
+            for i in range(op10.CHUNK - op10.WIDTH + 1):
+                window = np.concatenate([net.vectors[b] for b in chunk[i : i + op10.WIDTH]]).astype(float)
+                most = np.maximum(most, window @ net.filters.astype(float))
+            pooled.append(most)
+            if begin + op10.CHUNK >= len(t):
+                break
+            begin += op10.STEP
+        z = np.mean(pooled, 0) @ net.weights[: op10.FILTERS] + np.max(pooled, 0) @ net.weights[op10.FILTERS : -1] + net.weights[-1]
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_gradient_against_loops_and_differences():
+    net, rng = small_network(), np.random.default_rng(5)
+    seen, back = rng.integers(0, 256, (3, op10.FILTERS, op10.WIDTH)).astype(np.uint8), rng.normal(size=(3, op10.FILTERS)).astype(np.float32)
+    to_vectors, to_filters = np.zeros((256, op10.DEPTH)), np.zeros((op10.WIDTH, op10.DEPTH, op10.FILTERS))
+    filters = net.filters.reshape(op10.WIDTH, op10.DEPTH, op10.FILTERS)
+    for c in range(3):
+        for f in range(op10.FILTERS):
+            for w in range(op10.WIDTH):
+                to_vectors[seen[c, f, w]] += back[c, f] * filters[w, :, f]
+                to_filters[w, :, f] += back[c, f] * net.vectors[seen[c, f, w]]
+    got = net.gradient(seen, back)
+    assert np.allclose(got[0], to_vectors, atol=1e-5) and np.allclose(got[1], to_filters.reshape(-1, op10.FILTERS), atol=1e-5)
+    # and the response of a window by a small step in each filter
+    loss = lambda: sum(back[c, f] * (net.vectors[seen[c, f]].ravel() @ net.filters[:, f]) for c in range(3) for f in range(op10.FILTERS))
+    net.filters, net.vectors = net.filters.astype(float), net.vectors.astype(float)
+    for i, f in ((0, 0), (17, 5), (63, 31)):
+        before = loss()
+        net.filters[i, f] += 1e-4
+        assert abs((loss() - before) / 1e-4 - got[1][i, f]) < 1e-3
+
+
+def test_training_stays_small_on_few_long_texts():
+    """The documented bound of text in four texts: under a GB at its peak."""
+    code = """
+import resource, numpy as np
+from folio.llm import op10_quality as Q
+rng = np.random.default_rng(1)
+texts = [rng.integers(32, 120, Q.TRAIN_BYTES // 4).astype(np.uint8).tobytes() for _ in range(4)]
+Q.EPOCHS = 1
+Q.train(texts, np.array([0.0, 1, 0, 1]))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], env=os.environ | {"PYTHONPATH": str(Path(__file__).parents[2])})
+    assert int(got.stdout) < 1000, got.stderr
+
+
+def test_sample_is_bounded_and_no_held_out_row(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(1, 101)] + [(101, None), (None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 102)] + [(5, 0), (6, None), (None, 1)], "doc_id long, quality int")
+    got = op10.labelled_sample(docs, labels).collect()
+    learn = {i for i in range(1, 102) if zlib.crc32(str(i).encode()) % 5}
+    assert {r["id"] for r in got} == learn and all(r["label"] == (0 if r["id"] == 5 else r["id"] % 2) and len(r["text"]) == (10 * r["id"] if r["id"] < 101 else 0) for r in got)
+    assert op10.labelled_sample(docs, labels, most=7).count() == 7
+    few = op10.labelled_sample(docs, labels, most_bytes=3000).collect()
+    assert 0 < sum(len(r["text"]) for r in few) <= 3000
+    none = op10.trained(docs, labels.where("false"))
+    assert none.scores(np.zeros(0, np.uint8), np.array([0, 0])).tolist() == [0.5]
