@@ -15,7 +15,7 @@ from folio.llm.op05_line_dedup import remove_repeated_lines
 from folio.llm.op06_simhash import similar_documents
 from folio.llm.op07_mixing import mixed
 from folio.llm.op09_packing import pack_documents
-from folio.llm.op10_quality import labelled_sample, score_documents, train
+from folio.llm.op10_quality import score_documents, trained
 
 REJECT_BELOW = 0.3
 
@@ -23,7 +23,7 @@ REJECT_BELOW = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores at 0.3 or more; it learns from labelled rows that aren't held out. A null or empty text has a
     score like any other; without labels all documents have one score, 0.5, and stay."""
-    scored = score_documents(docs, train(*labelled_sample(docs, table(spark, sf_dir, "labels"))))
+    scored = score_documents(docs, trained(docs, table(spark, sf_dir, "labels")))
     return scored.where(F.col(quoted(scored.columns)[-1]) >= REJECT_BELOW).select(*quoted(docs.columns))
 
 
