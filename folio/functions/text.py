@@ -163,25 +163,60 @@ def render_command(source: Column, target: Column, timeout: Column, browser: Col
     )
 
 
+def _with(value: Column, f) -> Column:
+    """f of a value that is worked out once; named several times, it would be worked out anew each time."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _solid_lines(parts: Column) -> Column:
+    return F.filter(F.transform(parts, strip), lambda x: x != "")
+
+
 def fold_joined(parts: Column) -> Column:
     """An ordered array of lines as one text: blank lines go, and each boundary has its joiner. A boundary depends on its two lines
     alone, so the text is put together once."""
-    lines = F.filter(F.transform(parts, strip), lambda x: x != "")
-    after = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    ends = F.zip_with(F.slice(lines, 1, F.size(after)), after, lambda a, b: F.concat(a, joiner(a, b)))
-    return F.when(F.size(lines) == 0, "").otherwise(F.concat(F.array_join(ends, ""), F.element_at(lines, -1)))
+
+    def joined(lines: Column) -> Column:
+        after = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+        ends = F.zip_with(F.slice(lines, 1, F.size(after)), after, lambda a, b: F.concat(a, joiner(a, b)))
+        return F.when(F.size(lines) == 0, "").otherwise(F.concat(F.array_join(ends, ""), F.element_at(lines, -1)))
+
+    return _with(_solid_lines(parts), joined)
 
 
 def dehyphenate(parts: Column, vertical: Column | None = None) -> Column:
     """An ordered array of lines as one text, where a word broken at a line's end is healed: a hyphen between letters goes
-    before a lower-case letter and stays, without a blank, before another."""
-    lines = F.filter(F.transform(parts, strip), lambda x: x != "")
+    before a lower-case letter and stays, without a blank, before another. A boundary depends on its two lines, and on the last
+    character before them where the first is a hyphen alone, so the text is put together once."""
+
+    def joined(lines: Column) -> Column:
+        def end(i: Column) -> Column:
+            line, before = F.get(lines, i), F.coalesce(F.get(lines, i - 1), F.lit(""))
+            return F.when((F.length(line) == 1) & (joiner(before, line) == ""), F.concat(F.right(before, F.lit(1)), line)).otherwise(F.right(line, F.lit(2)))
+
+        def piece(i: Column) -> Column:
+            line, after = F.get(lines, i), F.get(lines, i + 1)
+            broken = end(i).rlike(rf"\p{{L}}[{HYPHENS}]$") & after.rlike(r"^\p{L}")
+            if vertical is not None:
+                broken &= ~vertical
+            whole = F.when(broken & after.rlike(r"^\p{Ll}"), F.left(line, F.length(line) - 1)).when(broken, line)
+            return whole.otherwise(F.concat(line, joiner(line, after)))
+
+        pieces = F.transform(F.sequence(F.lit(0), F.size(lines) - 2), piece)
+        return F.when(F.size(lines) == 0, "").when(F.size(lines) == 1, F.get(lines, 0)).otherwise(F.concat(F.array_join(pieces, ""), F.element_at(lines, -1)))
+
+    return _with(_solid_lines(parts), joined)
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """A text's lines cut to pieces of `width` characters, with a hyphen where a cut falls between two letters."""
+
+    def pieces(line: Column) -> Column:
+        def piece(i: Column) -> Column:
+            at = F.substring(line, i * width + 1, F.lit(width + 1))
+            cut = F.substring(at, F.lit(width), F.lit(2)).rlike(r"^\p{L}\p{L}$")
+            return F.concat(F.left(at, F.lit(width)), F.when(cut, "-").otherwise(""))
 
-    def step(acc: Column, x: Column) -> Column:
-        broken = acc.rlike(rf"\p{{L}}[{HYPHENS}]$") & x.rlike(r"^\p{L}")
-        if vertical is not None:
-            broken &= ~vertical
-        drop = broken & x.rlike(r"^\p{Ll}")
-        return F.when(acc == "", x).when(drop, F.concat(F.left(acc, F.length(acc) - 1), x)).when(broken, F.concat(acc, x)).otherwise(F.concat(acc, joiner(acc, x), x))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(line), F.lit(1)) - 1) / width).cast("int")), piece)
 
-    return F.aggregate(lines, F.lit(""), step)
+    return F.flatten(F.transform(F.split(text, "\n", -1), pieces))

@@ -226,6 +226,18 @@ def line_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold_joined(F.split("text", "\n", -1))).alias("joined"))
 
 
+_WRAP = f"""w AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda t: list_transform(range(0, greatest(1, (length(t) + 39) // 40)), lambda i: substr(t, (i * 40 + 1)::BIGINT, 40) || CASE WHEN regexp_matches(substr(t, (i * 40 + 40)::BIGINT, 2), '^\\p{{L}}\\p{{L}}$') THEN '-' ELSE '' END))) AS ls FROM documents),
+h AS (SELECT doc_id, list_filter(list_transform(ls, lambda x: {_strip("x")}), lambda x: x <> '') AS ls FROM w),
+e AS (SELECT doc_id, ls, list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i = len(ls) THEN 0 WHEN NOT regexp_matches(right(ls[i], 2), '\\p{{L}}[-‐­]$') OR NOT regexp_matches(ls[i + 1], '^\\p{{L}}') THEN 1 WHEN regexp_matches(ls[i + 1], '^\\p{{Ll}}') THEN 2 ELSE 3 END) AS k FROM h)"""
+
+
+@query(f"WITH {_WRAP}, t AS (SELECT doc_id, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: CASE k[i] WHEN 1 THEN ls[i] || ' ' WHEN 2 THEN left(ls[i], length(ls[i]) - 1) ELSE ls[i] END), '') AS t FROM e) SELECT doc_id, length(t) AS n, md5(t) AS joined FROM t", long="n")
+def doc_dehyphenated(spark, sf_dir):
+    """The documents set in lines of 40 characters, with words broken by hyphens at their ends, and put together again."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.wrapped(F.col("text"), 40).alias("lines"))
+    return d.select("doc_id", T.dehyphenate(F.col("lines")).alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("joined"))
+
+
 @query(f"WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) SELECT doc_id, (i - 1)::INT AS line, {_strip('line')} <> '' AND instr('.!?:;\"'')]」』】〉》）］…。！？」』', right({_strip('line')}, 1)) > 0 AS terminal FROM l")
 def terminal_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t")).select("doc_id", "line", T.is_terminal(T.strip(F.col("t"))).alias("terminal"))
