@@ -154,6 +154,38 @@ def chunk_entries(entries: DataFrame, spine_rows: DataFrame, chunk: int, size: i
     return kept.withColumn("ord", F.when(F.col("name") == "mimetype", 0).otherwise(F.col("ord") + 1))
 
 
+_LINK = r'(href="(?:[^"#]*/)?chapter)(-?[0-9]{4,})(\.xhtml)'
+
+
+def _moved_links(xhtml: Column, offset: Column) -> Column:
+    """Links to chapters, their numbers moved by offset."""
+    cuts = F.split(F.regexp_replace(xhtml, _LINK, "$1\u0001$2\u0001$3"), "\u0001", -1)  # at odd places the numbers; no text in XML has that sign
+    number = lambda n: F.concat(F.when(n < 0, "-").otherwise(""), F.format_string("%04d", F.abs(n)))
+    return F.array_join(F.transform(cuts, lambda x, i: F.when(i % 2 == 1, number(x.try_cast("long") + offset)).otherwise(x)), "")
+
+
+def split_chapters(chapters: DataFrame, size: int) -> DataFrame:
+    """(doc_id, chunk, chapter, id, href, xhtml): chapters (doc_id, chapter from 0, xhtml) in chunks of `size`, each of which is a package of
+    its own: it counts from 0, so ids and files of different chunks are alike, and its links have its own numbers (those to other
+    chunks' chapters numbers outside it, which may be below 0)."""
+    whole = chapters.select("doc_id", F.floor(F.col("chapter") / size).alias("chunk"), F.col("chapter").alias("whole"), "xhtml")  # in a lambda the new `chapter` would hide the old
+    return _numbered_chapters(whole.select("doc_id", "chunk", (F.col("whole") - F.col("chunk") * size).alias("chapter"), _moved_links(F.col("xhtml"), -F.col("chunk") * size).alias("xhtml")), "chunk")
+
+
+def merge_chapters(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chapter, chunk, id, href, xhtml) of whole books from chunks of any sizes (doc_id, chunk, chapter from 0, xhtml): what the
+    chunks before hold is added to each number, in files, manifest ids and links. Only the chunks' sizes are put in order; the
+    texts stay where they are."""
+    sizes = chunks.groupBy("doc_id", "chunk").agg((F.max("chapter") + 1).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("doc_id").orderBy("chunk")) - F.col("size")
+    moved = chunks.join(sizes.select("doc_id", "chunk", before.alias("before")), ["doc_id", "chunk"])
+    return _numbered_chapters(moved.select("doc_id", (F.col("chapter") + F.col("before")).alias("chapter"), "chunk", _moved_links(F.col("xhtml"), F.col("before")).alias("xhtml")), "chunk")
+
+
+def _numbered_chapters(chapters: DataFrame, *more: str) -> DataFrame:
+    return chapters.select("doc_id", *more, "chapter", F.concat(F.lit("c"), F.col("chapter").cast("string")).alias("id"), F.format_string("text/chapter%04d.xhtml", "chapter").alias("href"), "xhtml")
+
+
 def _times(text: str, n: Column) -> Column:
     return F.repeat(F.lit(text), F.greatest(n, F.lit(0)))
 
