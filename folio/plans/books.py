@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import package as P
+from folio.operators.rounds import new_folder
 from folio.plans.base import query, table
-from folio.sources.archives import new_folder, read_archives, write_archives
+from folio.sources.archives import read_archives, write_archives
 
 LINES = 4  # of a chapter
 _TITLE = "'Book ' || doc_id || ' & <' || source || '>'"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.plans.base import query, table
-from folio.sources.archives import new_folder
+from folio.operators.rounds import new_folder
 from folio.streaming.jobs import SCHEMA, job_flow as flow
 from folio.streaming.jobs import kind_of, streamed_job_flow, with_timers
 

@@ -217,6 +217,20 @@ def widest_gap(spark, sf_dir):
     return L.widest_gaps(_columns(spark, sf_dir), "x0", "x1")
 
 
+@query(
+    f"""WITH RECURSIVE {_GRID}, {_HOLES}, r AS (SELECT doc_id, page, line * 10 + round_even((x0 - 40) / 125, 0)::INT AS tag, x0, y0, x1, y1, '' AS path, true AS going FROM hl
+UNION ALL SELECT doc_id, page, tag, x0, y0, x1, y1, CASE WHEN cut IS NULL THEN path ELSE path || CASE WHEN mid >= cut THEN '1' ELSE '0' END END, cut IS NOT NULL FROM (
+SELECT *, CASE WHEN gx.g >= 10 AND (gy.g IS NULL OR gy.g < 3 OR gx.g > gy.g) THEN -gx.n - gx.g / 2 WHEN gy.g >= 3 THEN -gy.n - gy.g / 2 END AS cut, CASE WHEN gx.g >= 10 AND (gy.g IS NULL OR gy.g < 3 OR gx.g > gy.g) THEN (x0 + x1) / 2 ELSE (y0 + y1) / 2 END AS mid FROM (
+SELECT *, max(CASE WHEN x0 - rx > 0.5 THEN {{'g': x0 - rx, 'n': -x0}} END) OVER (PARTITION BY doc_id, page, path) AS gx, max(CASE WHEN y0 - ry > 0.5 THEN {{'g': y0 - ry, 'n': -y0}} END) OVER (PARTITION BY doc_id, page, path) AS gy FROM (
+SELECT *, max(x1) OVER (PARTITION BY doc_id, page, path ORDER BY x0, x1, tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rx, max(y1) OVER (PARTITION BY doc_id, page, path ORDER BY y0, y1, tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ry FROM r WHERE going))))
+SELECT doc_id, page, tag, (row_number() OVER (PARTITION BY doc_id, page ORDER BY path, y0, x0, tag) - 1)::INT AS ord FROM r WHERE NOT going"""
+)
+def page_reading_order(spark, sf_dir):
+    """The documents' pages in three columns, in which bands that blank lines leave are read before columns where they are wider apart."""
+    units = _columns(spark, sf_dir).withColumns({"tag": F.col("line") * 10 + F.round((F.col("x0") - 40) / 125).cast("int"), "vertical": F.lit(False), "body": F.lit(10.0)})
+    return ST.reading_order(units.select("doc_id", "page", "tag", "x0", "y0", "x1", "y1", "vertical", "body"))
+
+
 _JOIN = f"""ls AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') AS ls FROM documents)"""
 
 

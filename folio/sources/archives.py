@@ -212,9 +212,3 @@ def write_archives(entries: DataFrame, path: str, name: str = "name") -> None:
     stored = [c for c in ("stored",) if c in entries.columns]
     rows = entries.repartition(F.col(name)).sortWithinPartitions(name, "ord", "entry")
     rows.select(F.col(name).alias("name"), "entry", "body", *stored).write.format("archives").mode("append").save(path)
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder that the driver and all executors see: below spark.checkpoint.dir, or else the warehouse's."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -347,3 +347,20 @@ def test_stages_keep_each_rows_outcome(spark):
 def test_commands(argv, code, said):
     got = E.run_command(argv, 0.2)
     assert got[0] == code and got[2].startswith(said)
+
+
+def test_reading_order_takes_few_rounds_and_no_python(spark, monkeypatch, capsys):
+    """Three columns of two hundred lines under a heading: rounds grow with nesting, not with lines."""
+    rows = [(1, 0, "h", 0.0, 0.0, 500.0, 12.0, False, 10.0)] + [(1, 0, f"{c}-{i:03}", 180.0 * c, 40.0 + 14 * i, 180.0 * c + 120 + i % 7, 50.0 + 14 * i, False, 10.0) for i in range(200) for c in range(3)]
+    df = spark.createDataFrame(rows[::-1], "doc_id long, page int, tag string, x0 double, y0 double, x1 double, y1 double, vertical boolean, body double")
+    rounds, written = [], ST.written
+
+    def counted(df, name):
+        df.explain()
+        rounds.append(capsys.readouterr().out)
+        return written(df, name)
+
+    monkeypatch.setattr(ST, "written", counted)
+    got = [r["tag"] for r in ST.reading_order(df).orderBy("ord").collect()]
+    assert got == ["h"] + [f"{c}-{i:03}" for c in range(3) for i in range(200)]
+    assert len(rounds) <= 5 and not any(x in plan for plan in rounds for x in ("Python", "Pandas", "Arrow"))
