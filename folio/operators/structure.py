@@ -14,6 +14,7 @@ from folio.functions.scripts import CJK
 from folio.functions.text import CJK_OPENERS, CJK_TERMINAL, escape, strip
 from folio.operators.folds import sorted_fold
 from folio.operators.layout import is_ink
+from folio.operators.ranges import Ranges, either
 from folio.operators.rounds import written
 
 CHAPTER_BYTES = 250_000
@@ -115,14 +116,14 @@ def _goes_on(s: _Flow, u: Any) -> bool:
     return alike and near and not speech
 
 
-def _place(s: _Flow, u: Any) -> tuple:
+def _place(s: _Flow, u: Any, chapter_bytes: int) -> tuple:
     """The paragraph of a unit, and the piece of text that it adds to it."""
     turned, s.page = s.page != u.page, u.page
     is_text, marked = u.kind == "text", u.toc_level is not None
     heading = is_text and (bool(u.heading) or (marked and u.nchars <= 160 and u.n_runs <= 4))
     level = max(1, min(4, int(u.toc_level) if marked else int(u.ladder_level))) if heading else 0
     top = u.toc_level == 1 or (heading and level == 1 and (marked or not u.has_toc))
-    if is_text and s.started and (top or (turned and s.size > CHAPTER_BYTES)):
+    if is_text and s.started and (top or (turned and s.size > chapter_bytes)):
         s.chapter, s.size, s.started, s.on = s.chapter + 1, 0, False, None
     text, classes = u.text or "", u.align or ""
     if is_text and not heading and _goes_on(s, u):
@@ -139,19 +140,91 @@ def _place(s: _Flow, u: Any) -> tuple:
     return u.doc_id, s.para, u.page, u.ord, s.chapter, "h" if heading else "p" if is_text else u.kind, level, classes, piece
 
 
-def build_paragraphs(units: DataFrame) -> DataFrame:
+def build_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES) -> DataFrame:
     """Paragraphs and chapters of a document: a fold over its units in order of page and ord says where each goes, and their pieces of
     text are put together. A document may be of any length.
 
     units: doc_id, page, ord, kind (text, image, table), text, nchars, size, body, n_runs, heading (bool), ladder_level, toc_level (or
     null), has_toc, indented, full, align (or null), vertical, gap, and n_ids (of anchors) if there are any. Result: doc_id, chapter, para, kind, level, page, classes, text.
     """
-    placed = sorted_fold(units, ["doc_id"], ["page", "ord"], _Flow, _place, "doc_id long, para int, page int, ord int, chapter int, kind string, level int, classes string, piece string")
+    placed = sorted_fold(units, ["doc_id"], ["page", "ord"], _Flow, lambda s, u: _place(s, u, chapter_bytes), "doc_id long, para int, page int, ord int, chapter int, kind string, level int, classes string, piece string")
     first = F.min_by(F.struct("chapter", "kind", "level", "page", "classes"), F.struct("page", "ord")).alias("f")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "ord", "piece"))), lambda x: x["piece"]), "").alias("text")
     return placed.groupBy("doc_id", "para").agg(first, text).select("doc_id", "f.chapter", "para", "f.kind", "f.level", "f.page", "f.classes", "text")
 
 
+def _gap_limit() -> Column:
+    return F.when(F.col("vertical"), 1.4).otherwise(1.2) * F.col("size")
+
+
+def scanned_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES, parts: int | None = None) -> DataFrame:
+    """What ``build_paragraphs`` gives, with a document in many tasks.
+
+    Nearly all that decides whether a unit goes on is said by it and the one before, so it is a scan over ranges. Runs that go on
+    thereby are paragraphs, unless their sizes differ by more than 15 %, where each has to be held against its paragraph's first; only
+    such runs are folded. Chapters that are full end at the first page after: a fold over the pages' first units and the bytes
+    before them. A chapter that begins within a run of different sizes changes what follows in it, so that document is folded whole.
+    """
+    n_ids = F.coalesce("n_ids", F.lit(0)) if "n_ids" in units.columns else F.lit(0)
+    text, mark, key = F.coalesce("text", F.lit("")), F.col("toc_level"), ["doc_id", "page", "ord"]
+    is_text = F.col("kind") == "text"
+    head = is_text & either(F.col("heading"), mark.isNotNull() & (F.col("nchars") <= 160) & (F.col("n_runs") <= 4))
+    r = Ranges(units.withColumn("head", head), ["doc_id"], ["page", "ord"], parts)
+    level = F.when(F.col("head"), F.least(F.lit(4), F.greatest(F.lit(1), F.coalesce(mark, "ladder_level")))).otherwise(0)
+    top = is_text & either(mark == 1, F.col("head") & (level == 1) & (mark.isNotNull() | ~F.col("has_toc")))
+    stripped = strip(text)
+    aligned = F.coalesce(F.col("align"), F.lit("")) != ""
+    u = r.rows.select(
+        *key, "part", "size", level.alias("level"), top.alias("top"), is_text.alias("is_text"), (is_text & ~F.col("head")).alias("plain"), either(F.col("full")).alias("full"), aligned.alias("aligned"), "vertical",
+        either(mark.isNotNull(), n_ids > 1, F.col("indented")).alias("own_start"), either(F.col("gap") <= _gap_limit()).alias("near"), F.length(text).alias("length"), F.coalesce("nchars", F.lit(0)).alias("nchars"),
+        F.when(stripped != "", F.right(stripped, F.lit(1))).alias("solid"), F.left(stripped, F.lit(1)).rlike(f"^[{CJK_OPENERS}]").alias("opens"), F.right(text, F.lit(1)).alias("end"))
+    before = F.struct("plain", "page", "full", "aligned", "vertical", "solid", "end")
+    u = r.scan(u, b=("before", before))
+    speech = F.col("b.solid").rlike(f"^[{CJK_TERMINAL}]") & F.col("opens")
+    first = F.col("b").isNull()
+    forced = either(first, ~F.col("plain"), ~F.col("b.plain"), F.col("top"), F.col("own_start"), F.col("aligned"), F.col("b.aligned"), ~F.col("b.full"), F.col("vertical") != F.col("b.vertical"), (F.col("b.page") == F.col("page")) & ~F.col("near"), speech)
+    u = written(u.withColumns({"first": first, "forced": forced, "turned": first | (F.col("b.page") != F.col("page")), "unsure": F.col("opens") & F.col("b.solid").isNull() & ~forced}).drop("opens", "near"), "paragraphs")
+    u = written(r.scan(u, run=("sum", F.col("forced").cast("long"))), "paragraphs")
+    mixed = u.groupBy("doc_id", "run").agg((F.max("size") - F.min("size") > 0.15 * F.max("size") - 1e-9).alias("uneven"), F.max("unsure").alias("unsure")).where("uneven OR unsure").select("doc_id", "run")
+    in_mixed = written(u.join(mixed, ["doc_id", "run"]).select("doc_id", "run", "page", "ord", "size", "solid", "unsure"), "mixed")
+
+    def within(state: list, row) -> tuple:
+        """state: size of the paragraph's first unit, and its last character that isn't blank."""
+        start = not state or abs(row.size - state[0]) > 0.15 * max(row.size, state[0]) or (bool(row.unsure) and state[1] != "" and state[1] in CJK_TERMINAL)
+        state[:] = [row.size if start else state[0], row.solid or ("" if start else state[1])]
+        return row.doc_id, row.page, row.ord, start
+
+    found = sorted_fold(in_mixed, ["doc_id", "run"], ["page", "ord"], list, within, "doc_id long, page int, ord int, split boolean")
+    u = u.join(found, key, "left").withColumn("start", F.col("forced") | F.coalesce("split", F.lit(False)))
+    u = u.withColumn("bytes", F.when(F.col("start"), 3 * F.col("length") + 40).otherwise(3 * F.col("nchars")).cast("long"))
+    u = written(r.scan(u, so_far=("sum", F.col("bytes"))), "paragraphs")
+    turns = u.where("is_text AND NOT first AND (turned OR top)").select(*key, (F.col("so_far") - F.col("bytes")).alias("at"), (3 * F.col("length") + 40 - F.col("bytes")).alias("more"), "top", "start", F.col("split").isNotNull().alias("mixed"))
+
+    def chapter(state: list, row) -> tuple | None:
+        """state: bytes before the chapter, less what its first unit has more by beginning it."""
+        begin = state[0] if state else 0
+        if not (row.top or row.at - begin > chapter_bytes):
+            return None
+        state[:] = [row.at - row.more]
+        return row.doc_id, row.page, row.ord, bool(row.mixed and not row.start)
+
+    begins = written(sorted_fold(turns, ["doc_id"], ["page", "ord"], list, chapter, "doc_id long, page int, ord int, within boolean"), "chapters")
+    whole = begins.where("within").select("doc_id").distinct()
+    u = u.join(whole, "doc_id", "left_anti").join(begins.select(*key, F.lit(True).alias("begins")), key, "left")
+    u = u.withColumn("start", F.col("start") | F.coalesce("begins", F.lit(False)))
+    u = r.scan(u.select(*key, "part", "level", "start", "begins", "end", F.col("b.end").alias("b_end")), para=("sum", F.col("start").cast("long")), chapter=("sum", F.coalesce("begins", F.lit(False)).cast("long")))
+    placed = u.select(*key, "part", "level", "start", (F.col("para") - 1).cast("int").alias("para"), F.col("chapter").cast("int").alias("chapter"), "b_end").join(r.rows, [*key, "part"])
+    joined = F.when(F.col("start"), "").when(F.col("b_end").rlike(CJK) | F.left(text, F.lit(1)).rlike(CJK), "").otherwise(" ")
+    small = F.when(F.col("size") <= 0.85 * F.col("body"), " small").otherwise("")
+    classes = F.when(is_text & ~F.col("head"), F.concat(F.when(aligned, F.col("align")).when(either(F.col("indented")), "indent").otherwise("noindent"), small)).otherwise(F.coalesce("align", F.lit("")))
+    kind = F.when(F.col("head"), "h").when(is_text, "p").otherwise(F.col("kind"))
+    at = F.struct("page", "ord")
+    f = F.min_by(F.struct("chapter", kind.alias("kind"), F.col("level").cast("int").alias("level"), "page", classes.alias("classes")), at).alias("f")
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("page", "ord", F.concat(joined, text).alias("piece")))), lambda x: x["piece"])
+    out = placed.groupBy("doc_id", "para").agg(f, F.array_join(pieces, "").alias("text")).select("doc_id", "f.chapter", "para", "f.kind", "f.level", "f.page", "f.classes", "text")
+    return out.unionByName(build_paragraphs(units.join(whole, "doc_id", "left_semi"), chapter_bytes))
+
+
 def indent_vote(paragraphs: DataFrame) -> DataFrame:
     """(doc_id, all_indent): whether indented paragraphs outnumber the others; aligned ones have no vote."""
     p = F.col("kind") == "p"

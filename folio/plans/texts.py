@@ -231,6 +231,37 @@ def page_reading_order(spark, sf_dir):
     return ST.reading_order(units.select("doc_id", "page", "tag", "x0", "y0", "x1", "y1", "vertical", "body"))
 
 
+_CAP = 30_000
+_BOOK_LINES = f"""bl AS (SELECT doc_id // 50 AS book, ((doc_id % 50) * 1000 + page)::INT AS page, line, text, length(text) AS len, {_W} AS nch, size, doc_id % 10 = 0 AND page = 0 AND line = 0 AS head, length(text) >= 50 AS full_, regexp_matches(text, '^[ \t]') AS indented, doc_id AS d FROM lines WHERE text <> ''),
+bb AS (SELECT *, lag(head) OVER w AS p_head, lag(page) OVER w AS p_page, lag(line) OVER w AS p_line, lag(full_) OVER w AS p_full, lag(size) OVER w AS p_size FROM bl WINDOW w AS (PARTITION BY book ORDER BY page, line)),
+bf AS (SELECT *, p_page IS NULL OR head OR p_head OR indented OR NOT p_full OR size <> p_size OR (page = p_page AND (line - p_line) * 14 - p_size > 1.2 * size) AS forced FROM bb),
+bs AS (SELECT *, sum(CASE WHEN forced THEN 3 * len + 40 ELSE 3 * nch END) OVER (PARTITION BY book ORDER BY page, line) - CASE WHEN forced THEN 3 * len + 40 ELSE 3 * nch END AS off, CASE WHEN forced THEN 0 ELSE 3 * len + 40 - 3 * nch END AS more FROM bf),
+bc AS (SELECT book, page, line, off, more, head, row_number() OVER (PARTITION BY book ORDER BY page, line) AS k FROM bs WHERE p_page IS NOT NULL AND (head OR page <> p_page)),
+ch AS (SELECT book, 0::BIGINT AS k, 0::HUGEINT AS base FROM bl GROUP BY book UNION ALL SELECT ch.book, min(bc.k), arg_min(bc.off - bc.more, bc.k) FROM ch JOIN bc ON bc.book = ch.book AND bc.k > ch.k AND (bc.head OR bc.off - ch.base > {_CAP}) GROUP BY ch.book, ch.k),
+bp AS (SELECT bs.*, sum((forced OR ch.k IS NOT NULL)::INT) OVER w - 1 AS para, sum((ch.k IS NOT NULL)::INT) OVER w AS chapter FROM bs LEFT JOIN bc ON bc.book = bs.book AND bc.page = bs.page AND bc.line = bs.line LEFT JOIN ch ON ch.book = bc.book AND ch.k = bc.k WINDOW w AS (PARTITION BY bs.book ORDER BY bs.page, bs.line))"""
+_BOOK_PARAGRAPHS = """SELECT book AS doc_id, any_value(chapter)::INT AS chapter, para::INT AS para, CASE WHEN bool_or(head) THEN 'h' ELSE 'p' END AS kind, bool_or(head)::INT AS level, min(page) AS page,
+ CASE WHEN bool_or(head) THEN '' WHEN arg_min(indented, {'p': page, 'l': line}) THEN 'indent' ELSE 'noindent' END AS classes, md5(string_agg(text, ' ' ORDER BY page, line)) AS digest FROM bp GROUP BY book, para"""
+
+
+def _book_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty documents in a row as a book, their lines as its units; every tenth begins with a heading."""
+    c = F.col
+    lines = _lines(spark, sf_dir).where("text <> ''")
+    gap = c("y0") - F.lag("y1").over(Window.partitionBy("doc_id", "page").orderBy("line"))
+    lines = lines.withColumn("gap", F.coalesce(gap, F.lit(0.0)))
+    head = (c("doc_id") % 10 == 0) & (c("page") == 0) & (c("line") == 0)
+    return lines.select(
+        F.expr("doc_id div 50").alias("doc_id"), ((c("doc_id") % 50) * 1000 + c("page")).cast("int").alias("page"), c("line").alias("ord"), F.lit("text").alias("kind"), "text", F.length(T.strip(c("text"))).alias("nchars"), "size", F.lit(10.0).alias("body"),
+        F.lit(1).alias("n_runs"), head.alias("heading"), F.lit(1).alias("ladder_level"), F.lit(None).cast("int").alias("toc_level"), F.lit(False).alias("has_toc"), c("text").rlike("^[ \t]").alias("indented"), (F.length("text") >= 50).alias("full"),
+        F.lit(None).cast("string").alias("align"), F.lit(False).alias("vertical"), "gap")
+
+
+@query(f"WITH RECURSIVE {_GRID}, {_BOOK_LINES} {_BOOK_PARAGRAPHS}")
+def book_paragraphs(spark, sf_dir):
+    """Paragraphs and chapters of at most 30,000 bytes or so, of books that are many tasks each."""
+    return ST.scanned_paragraphs(_book_units(spark, sf_dir), _CAP).select("doc_id", "chapter", "para", "kind", "level", "page", "classes", F.md5("text").alias("digest"))
+
+
 _JOIN = f"""ls AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') AS ls FROM documents)"""
 
 

@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from folio.operators import catalog as C
+from folio.operators import ranges as R
 from folio.operators import spatial as SP
 from folio.operators import stages as E
 from folio.operators import structure as ST
@@ -271,7 +274,8 @@ def paragraphs(units):
     return [tuple(p[c] for c in ("chapter", "kind", "level", "page", "classes", "text")) for p in out]
 
 
-def test_paragraphs(spark):
+@pytest.mark.parametrize("build", [ST.build_paragraphs, lambda units: ST.scanned_paragraphs(units, parts=7)])
+def test_paragraphs(spark, build):
     rng, rows, want = random.Random(6), [], {}
     for doc in range(40):
         has_toc, units, page = rng.random() < 0.5, [], 1
@@ -288,7 +292,7 @@ def test_paragraphs(spark):
         want[doc] = paragraphs(units)
     schema = "doc_id long, page int, ord int, kind string, text string, nchars int, size double, body double, n_runs int, heading boolean, ladder_level int, toc_level int, has_toc boolean, indented boolean, full boolean, align string, vertical boolean, gap double"
     got = {}
-    for r in ST.build_paragraphs(spark.createDataFrame([tuple(u.values()) for u in rows], schema)).orderBy("doc_id", "para").collect():
+    for r in build(spark.createDataFrame([tuple(u.values()) for u in rows], schema)).orderBy("doc_id", "para").collect():
         got.setdefault(r["doc_id"], []).append((r["chapter"], r["kind"], r["level"], r["page"], r["classes"], r["text"]))
     assert got == want
 
@@ -364,3 +368,32 @@ def test_reading_order_takes_few_rounds_and_no_python(spark, monkeypatch, capsys
     got = [r["tag"] for r in ST.reading_order(df).orderBy("ord").collect()]
     assert got == ["h"] + [f"{c}-{i:03}" for c in range(3) for i in range(200)]
     assert len(rounds) <= 5 and not any(x in plan for plan in rounds for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_one_book_over_all_tasks(spark):
+    """A book that is the whole table, with runs of drifting sizes, blank units and small chapters: the scan is the fold."""
+    rng, units, page = random.Random(9), [], 1
+    for i in range(2500):
+        page += rng.random() < 0.1
+        kind = rng.choice(["text"] * 30 + ["image"])
+        text = rng.choice(["some words", "他说。", "「好", "  ", "", "ends. "]) if kind == "text" else None
+        units.append((7, page, i, kind, text, len(text or ""), rng.choice([10.0] * 20 + [9.2, 10.9, 12.0]) if i % 500 > 100 else rng.choice([9.0, 10.0, 11.0]), 10.0, 1, rng.random() < 0.01, rng.randint(1, 3), None, False, rng.random() < 0.03, rng.random() < 0.97, None, False, 5.0))
+    schema = "doc_id long, page int, ord int, kind string, text string, nchars int, size double, body double, n_runs int, heading boolean, ladder_level int, toc_level int, has_toc boolean, indented boolean, full boolean, align string, vertical boolean, gap double"
+    df = spark.createDataFrame(units, schema)
+    for cap in (300, 5_000, 10**9):
+        want = sorted(map(tuple, ST.build_paragraphs(df, cap).collect()))
+        assert sorted(map(tuple, ST.scanned_paragraphs(df, cap, parts=8).collect())) == want
+    rows = R.Ranges(df, ["doc_id"], ["page", "ord"], 8).rows.groupBy("part").count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 700
+
+
+def test_scans_over_ranges(spark):
+    """Each kind of scan against plain windows; groups over many parts, and many groups in a part."""
+    rng = random.Random(10)
+    df = spark.createDataFrame([(rng.choice([1, 1, 1, 2, 3, rng.randrange(50)]), i, rng.choice([None, rng.randrange(-5, 9)])) for i in range(800)], "g long, i long, x long")
+    r = R.Ranges(df, ["g"], ["i"], 9)
+    got = r.scan(r.rows, s=("sum", F.col("x")), m=("min", F.col("x")), b=("before", F.col("x")), l=("last", F.col("x")), n=("next", F.col("x")))
+    w = Window.partitionBy("g").orderBy("i")
+    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    want = df.select("g", "i", "x", F.coalesce(F.sum("x").over(w), F.lit(0)).alias("s"), F.min("x").over(w).alias("m"), F.lag("x").over(w).alias("b"), F.last("x", True).over(w).alias("l"), F.first("x", True).over(ahead).alias("n"))
+    assert sorted(map(str, got.drop("part").collect())) == sorted(map(str, want.collect()))
