@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import escape
-from folio.operators.structure import clamped_levels
+from folio.operators.structure import nested_levels
 
 # Font obfuscation, which leaves a book readable; the root file's place.
 READABLE = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
@@ -201,8 +201,8 @@ def _shown(title: Column) -> Column:
 
 
 def navigation_list(entries: Column) -> Column:
-    """Entries (array of level, title, href) as nested lists; none is more than one level below the one before."""
-    levels = clamped_levels(F.transform(entries, lambda e: e["level"]))
+    """Entries (array of nested, title, href; as of ``nested_levels``) as nested lists."""
+    levels = F.transform(entries, lambda e: e["nested"])
     before = lambda now, last: F.when(now > last, "<ol>").when(now == last, "</li>").otherwise(F.concat(_times("</li></ol>", last - now), F.lit("</li>")))
     opened = lambda e, k: F.concat(F.lit('<li><a href="'), escape(e["href"], True), F.lit('">'), _shown(e["title"]), F.lit("</a>"))
     return F.when(F.size(entries) == 0, "<ol></ol>").otherwise(F.concat(_walk(entries, levels, before, opened), F.lit("</li>"), _times("</ol></li>", F.element_at(levels, -1) - 1), F.lit("</ol>")))
@@ -210,7 +210,7 @@ def navigation_list(entries: Column) -> Column:
 
 def navigation_points(entries: Column) -> Column:
     """The same as nested points in play order, for readers of the older kind."""
-    levels = clamped_levels(F.transform(entries, lambda e: e["level"]))
+    levels = F.transform(entries, lambda e: e["nested"])
     before = lambda now, last: _times("</navPoint>", F.when(last == 0, 0).otherwise(last - now + 1))
     number = lambda k: k.cast("string")
     opened = lambda e, k: F.concat(F.lit('<navPoint id="np'), number(k), F.lit('" playOrder="'), number(k), F.lit('"><navLabel><text>'), _shown(e["title"]), F.lit('</text></navLabel><content src="'), escape(e["href"], True), F.lit('"/>'))
@@ -253,9 +253,10 @@ def package_entries(books: DataFrame, chapters: DataFrame, images: DataFrame, co
     section = F.concat(F.lit('<section epub:type="chapter">\n'), F.coalesce("html", F.lit("")), F.lit("\n</section>"))
     listed = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter", "file", "title"))).alias("cs"))
     seen = images.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("shown"))
-    marks = navigation.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "level", "title", "href"))), lambda e: F.struct(e["level"].alias("level"), e["title"].alias("title"), e["href"].alias("href"))).alias("marks"))
+    named = ("level", "nested", "title", "href")
+    marks = nested_levels(navigation).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", *named))), lambda e: F.struct(*[e[n].alias(n) for n in named])).alias("marks"))
     top = books.join(listed, "doc_id").join(seen, "doc_id", "left").join(marks, "doc_id", "left").join(covers.select("doc_id", F.col("name").alias("cover")), "doc_id", "left")
-    plain = F.transform("cs", lambda c: F.struct(F.lit(1).alias("level"), c["title"].alias("title"), c["file"].alias("href")))
+    plain = F.transform("cs", lambda c: F.struct(F.lit(1).alias("level"), F.lit(1).alias("nested"), c["title"].alias("title"), c["file"].alias("href")))
     top = top.withColumn("nav", F.coalesce("marks", plain))
     heading = F.concat(F.lit('<nav epub:type="toc" id="toc"><h1>'), escape(F.col("book")), F.lit("</h1>\n"), navigation_list(F.col("nav")), F.lit("\n</nav>"))
     ncx = F.concat(

@@ -284,6 +284,15 @@ def clamped_levels(levels: Column) -> Column:
     return F.aggregate(levels, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, F.lit(1)).otherwise(F.least(x, F.element_at(acc, -1) + 1)))))
 
 
+def nested_levels(entries: DataFrame, by: str = "doc_id", order: str = "idx", level: str = "level") -> DataFrame:
+    """entries with `nested`: the first of each list is at 1, and none is more than one below the one before. As level_i = min(level_i,
+    level_(i-1) + 1) is i + the least level_j - j so far, a window says it."""
+    w = Window.partitionBy(by).orderBy(order)
+    rows = entries.withColumn("at__", F.row_number().over(w) - 1)
+    least = F.min(F.when(F.col("at__") == 0, F.lit(1)).otherwise(F.col(level)) - F.col("at__")).over(w)
+    return rows.withColumn("nested", (F.col("at__") + least).cast("int")).drop("at__")
+
+
 def chapters(starts: DataFrame) -> DataFrame:
     """Paragraphs (doc_id, para, starts) with the running number of their chapter."""
     return starts.withColumn("chapter", F.sum(F.col("starts").cast("int")).over(Window.partitionBy("doc_id").orderBy("para")))
@@ -308,19 +317,19 @@ def navigation_targets(toc: DataFrame, anchors: DataFrame, page_chapters: DataFr
     return ahead.join(own, ["doc_id", "idx"], "left").join(first, "doc_id", "left").select("doc_id", "idx", F.coalesce("own", "next", "first").alias("href"))
 
 
-def navigation_levels(paragraphs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
-    """(doc_id, levels) of a book's navigation in its order: of its bookmarks (doc_id, idx, level), else of its headings of the first two
-    levels, else 1 for each chapter."""
-    in_order = lambda *at: F.transform(F.sort_array(F.collect_list(F.struct(*at, "level"))), lambda x: x["level"])
-    books = paragraphs.groupBy("doc_id").agg(F.array_repeat(F.lit(1), F.countDistinct("chapter").cast("int")).alias("plain"))
-    heads = paragraphs.where("kind = 'h' AND level <= 2").groupBy("doc_id").agg(in_order("chapter", "para").alias("heads"))
-    marks = (toc if toc is not None else paragraphs.sparkSession.createDataFrame([], "doc_id long, idx long, level int")).groupBy("doc_id").agg(in_order("idx").alias("marks"))
-    return books.join(heads, "doc_id", "left").join(marks, "doc_id", "left").select("doc_id", F.coalesce("marks", "heads", "plain").alias("levels"))
+def navigation_entries(paragraphs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """(doc_id, idx, level) of a book's navigation in its order: its bookmarks (doc_id, idx, level), else its headings of the first two
+    levels, else an entry at 1 for each chapter."""
+    marks = (toc if toc is not None else paragraphs.sparkSession.createDataFrame([], "doc_id long, idx long, level int")).select("doc_id", F.col("idx").cast("long").alias("idx"), "level")
+    unmarked = paragraphs.join(marks.select("doc_id").distinct(), "doc_id", "left_anti")
+    heads = unmarked.where("kind = 'h' AND level <= 2").select("doc_id", F.col("para").cast("long").alias("idx"), "level")
+    plain = unmarked.join(heads.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.col("chapter").cast("long").alias("idx")).distinct().withColumn("level", F.lit(1))
+    return marks.unionByName(heads).unionByName(plain)
 
 
 def result_counts(paragraphs: DataFrame, toc: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_chapters, n_images, depth, tree_depth): non-empty chapters, images, the deepest level that the navigation names, and
     how deep it nests, as no entry is more than one below the one before."""
     sums = paragraphs.groupBy("doc_id").agg(F.countDistinct("chapter").alias("n_chapters"), F.count_if(F.col("kind") == "image").alias("n_images"))
-    levels = navigation_levels(paragraphs, toc)
-    return sums.join(levels, "doc_id").select("doc_id", "n_chapters", "n_images", F.array_max("levels").alias("depth"), F.array_max(clamped_levels(F.col("levels"))).alias("tree_depth"))
+    levels = nested_levels(navigation_entries(paragraphs, toc)).groupBy("doc_id").agg(F.max("level").alias("depth"), F.max("nested").alias("tree_depth"))
+    return sums.join(levels, "doc_id").select("doc_id", "n_chapters", "n_images", "depth", "tree_depth")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import package as P
 from folio.operators.rounds import new_folder
+from folio.operators.structure import nested_levels
 from folio.plans.base import query, table
 from folio.sources.archives import read_archives, write_archives
 
@@ -84,3 +85,15 @@ def merged_chunks(spark, sf_dir):
     said = F.concat(F.lit("chapter"), F.get(links, 0).cast("long").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.when(on != F.get(links, 0).cast("long"), F.concat(F.lit(" on to chapter"), on.cast("string"))).otherwise(""))
     html = F.regexp_extract("xhtml", r'(?s)<section epub:type="chapter">\n(.*)\n</section>', 1)
     return m.join(n, "doc_id").select("doc_id", "chapter", "id", "href", "chunk", said.alias("links"), F.md5(html).alias("digest"))
+
+
+_OUTLINE = """h AS (SELECT page_id, i - 1 AS idx, CASE ls[i] WHEN 'h1' THEN 1 WHEN 'ul' THEN 2 WHEN 'p' THEN 2 WHEN 'li' THEN 3 WHEN 'b' THEN 5 ELSE 6 END AS level FROM (SELECT page_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<(h1|ul|li|a|p|b)[ >]', 1) AS ls FROM pages))),
+t(page_id, idx, level, nested) AS (SELECT page_id, idx, level, 1 FROM h WHERE idx = 0 UNION ALL SELECT h.page_id, h.idx, h.level, least(h.level, t.nested + 1) FROM t JOIN h ON h.page_id = t.page_id AND h.idx = t.idx + 1)"""
+
+
+@query(f"WITH RECURSIVE {_OUTLINE} SELECT page_id AS doc_id, idx::INT AS idx, level::INT AS level, nested::INT AS nested FROM t")
+def page_outline(spark, sf_dir):
+    """Headings, lists, paragraphs and links of web pages as the entries of a navigation, at levels that skip some, nested."""
+    tags = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit("<(h1|ul|li|a|p|b)[ >]"), 1)).alias("idx", "tag"))
+    level = F.when(F.col("tag") == "h1", 1).when(F.col("tag").isin("ul", "p"), 2).when(F.col("tag") == "li", 3).when(F.col("tag") == "b", 5).otherwise(6)
+    return nested_levels(tags.select("doc_id", "idx", level.alias("level")))
