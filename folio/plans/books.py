@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import package as P
+from folio.operators.convert import converted_books
 from folio.operators.rounds import new_folder
 from folio.operators.structure import nested_levels
 from folio.plans.base import query, table
+from folio.plans.texts import _BOOK_LINES, _GRID
+from folio.plans.texts import _CAP as CAP
+from folio.plans.texts import _book_units as book_units
 from folio.sources.archives import read_archives, write_archives
 
 LINES = 4  # of a chapter
@@ -49,15 +53,15 @@ _NUMBER = F.regexp_extract("name", r"(\d+)\.epub$", 1).cast("long").alias("doc_i
 @query(f"WITH {_CHAPTERS}, x AS (SELECT doc_id, chapter, {_XHTML} AS x FROM ch) SELECT doc_id, printf('OEBPS/text/chapter%04d.xhtml', chapter) AS entry, strlen(x) AS size, md5(x) AS digest FROM x")
 def archived_chapters(spark, sf_dir):
     """The chapters of all books as they stand in their archives; only these entries are decompressed."""
-    e = read_archives(spark, library(spark, sf_dir), "name string, entry string, size long, body binary")
-    return e.where("entry LIKE 'OEBPS/text/%'").select(_NUMBER, "entry", "size", F.md5("body").alias("digest"))
+    e = read_archives(spark, library(spark, sf_dir), "name string, entry string, size long, body binary", entry="OEBPS/text/*")
+    return e.select(_NUMBER, "entry", "size", F.md5("body").alias("digest"))
 
 
 @query(f"WITH {_CHAPTERS} SELECT doc_id, 'ok' AS verdict, any_value(book) AS title, any_value(lang) AS language, NULL::VARCHAR AS direction, false AS fixed, any_value(n)::BIGINT AS n_spine, any_value(n)::BIGINT AS n_marks, 'mimetype' AS first FROM ch GROUP BY doc_id")
 def archived_metadata(spark, sf_dir):
     """What each archive's own documents say of it: whether it can be read, title, language, direction, layout, spine and navigation."""
     needed = ["mimetype", "META-INF/container.xml", "META-INF/encryption.xml", "OEBPS/content.opf", "OEBPS/nav.xhtml"]
-    e = read_archives(spark, library(spark, sf_dir), "name string, ord int, entry string, body binary").where(F.col("entry").isin(needed))
+    e = read_archives(spark, library(spark, sf_dir), "name string, ord int, entry string, body binary", entry=needed)
     of = lambda entry: F.decode(F.max(F.when(F.col("entry") == entry, F.col("body"))), "UTF-8")
     sums = e.groupBy("name").agg(*[of(x).alias(k) for k, x in zip(("mimetype", "container", "encryption", "opf", "nav"), needed, strict=True)], F.min_by("entry", "ord").alias("first"))
     opf = F.col("opf")
@@ -97,3 +101,32 @@ def page_outline(spark, sf_dir):
     tags = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit("<(h1|ul|li|a|p|b)[ >]"), 1)).alias("idx", "tag"))
     level = F.when(F.col("tag") == "h1", 1).when(F.col("tag").isin("ul", "p"), 2).when(F.col("tag") == "li", 3).when(F.col("tag") == "b", 5).otherwise(6)
     return nested_levels(tags.select("doc_id", "idx", level.alias("level")))
+
+
+_SHOWN = "CASE WHEN trim(text) = '' THEN '' WHEN head THEN '<h1 id=\"h' || para || '\">' || text || '</h1>' WHEN indented AND NOT all_indent THEN '<p class=\"indent\">' || text || '</p>' WHEN NOT indented AND all_indent THEN '<p class=\"noindent\">' || text || '</p>' ELSE '<p>' || text || '</p>' END"
+
+
+@query(
+    f"""WITH RECURSIVE {_GRID}, {_BOOK_LINES}, pa AS (SELECT book, para, chapter, bool_or(head) AS head, arg_min(indented, {{'p': page, 'l': line}}) AS indented, {_ESCAPED.format("string_agg(text, ' ' ORDER BY page, line)")} AS text FROM bp GROUP BY book, para, chapter),
+v AS (SELECT book, count(*) FILTER (WHERE NOT head AND indented) > count(*) FILTER (WHERE NOT head AND NOT indented) AS all_indent FROM pa GROUP BY book),
+c AS (SELECT book, chapter, arg_min(text, para) FILTER (WHERE head) AS title, string_agg({_SHOWN}, chr(10) ORDER BY para) AS html, coalesce(string_agg(para || ':' || CASE WHEN trim(text) = '' THEN '—' ELSE text END, '|' ORDER BY para) FILTER (WHERE head), '') AS marks FROM pa JOIN v USING (book) GROUP BY book, chapter)
+SELECT book AS doc_id, chapter::BIGINT AS chapter, CASE WHEN trim(title) <> '' THEN title WHEN chapter = 0 THEN 'Book ' || book ELSE 'Section ' || (chapter + 1) END AS title, md5(html) AS digest, md5(marks) AS marks FROM c"""
+)
+def converted_documents(spark, sf_dir):
+    """Fifty documents in a row as a book, converted from the lines of its pages to an archive: chapters and navigation as they stand there."""
+    units = book_units(spark, sf_dir).drop("ord", "gap")  # the conversion finds both
+    name = F.concat(F.lit("Book "), F.col("doc_id").cast("string"))
+    books = units.select("doc_id").distinct().select("doc_id", name.alias("title"), F.lit("en").alias("lang"), F.lit(False).alias("vertical"), F.concat(F.lit("urn:"), F.col("doc_id").cast("string")).alias("uid"), F.lit("2020-01-01T00:00:00Z").alias("modified"))
+    entries = converted_books(books, units, CAP)
+    folder = new_folder(spark, "converted")
+    named = entries.select(F.concat(F.lit("book"), F.col("doc_id").cast("string"), F.lit(".epub")).alias("name"), "ord", F.col("name").alias("entry"), "body", (~F.col("compress")).alias("stored"))
+    write_archives(named, folder)
+    entries = lambda wanted: read_archives(spark, folder, "name string, entry string, body binary", entry=wanted)
+    text = F.decode("body", "UTF-8")
+    chapters = entries("OEBPS/text/*").select(_NUMBER, F.regexp_extract("entry", r"(\d+)\.xhtml$", 1).try_cast("long").alias("chapter"), F.regexp_extract(text, "(?s)<title>(.*?)</title>", 1).alias("title"), F.md5(F.regexp_extract(text, r'(?s)<section epub:type="chapter">\n(.*)\n</section>', 1)).alias("digest"))
+    links = F.regexp_extract_all(text, F.lit(r'(?s)<a href="(text/chapter\d+\.xhtml#h\d+">.*?)</a>'), 1)
+    marks = entries("OEBPS/nav.xhtml").select(_NUMBER, F.explode(links).alias("mark"))
+    part = lambda k: F.regexp_extract("mark", r'(?s)^text/chapter(\d+)\.xhtml#h(\d+)">(.*)$', k)
+    marks = marks.select("doc_id", part(1).try_cast("long").alias("chapter"), part(2).try_cast("int").alias("para"), F.concat(part(2), F.lit(":"), part(3)).alias("mark"))
+    listed = marks.groupBy("doc_id", "chapter").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para", "mark"))), lambda x: x["mark"]), "|").alias("marks"))
+    return chapters.join(listed, ["doc_id", "chapter"], "left").select("doc_id", "chapter", "title", "digest", F.md5(F.coalesce("marks", F.lit(""))).alias("marks"))

@@ -253,7 +253,7 @@ def _book_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(
         F.expr("doc_id div 50").alias("doc_id"), ((c("doc_id") % 50) * 1000 + c("page")).cast("int").alias("page"), c("line").alias("ord"), F.lit("text").alias("kind"), "text", F.length(T.strip(c("text"))).alias("nchars"), "size", F.lit(10.0).alias("body"),
         F.lit(1).alias("n_runs"), head.alias("heading"), F.lit(1).alias("ladder_level"), F.lit(None).cast("int").alias("toc_level"), F.lit(False).alias("has_toc"), c("text").rlike("^[ \t]").alias("indented"), (F.length("text") >= 50).alias("full"),
-        F.lit(None).cast("string").alias("align"), F.lit(False).alias("vertical"), "gap")
+        F.lit(None).cast("string").alias("align"), F.lit(False).alias("vertical"), "gap", c("line").alias("tag"), "x0", "y0", "x1", "y1")
 
 
 @query(f"WITH RECURSIVE {_GRID}, {_BOOK_LINES} {_BOOK_PARAGRAPHS}")

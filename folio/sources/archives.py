@@ -1,14 +1,16 @@
 """Archives of books as a data source: spark.read.format("archives") and df.write.format("archives").
 
 Reading: one row an entry. Small archives share a partition, by their bytes. Conditions on the archive's name choose the files,
-conditions on the entry's name choose what is decompressed, and both reach the source; a schema without `body` reads the
-directories of the archives alone. Writing: one archive for each run of rows of one name. A task writes below a folder of the
+conditions on the entry's name choose what is decompressed, and those given to ``read_archives`` reach the source; a schema without
+`body` reads the directories of the archives alone. (Other filters stay with Spark: it keeps what was pushed with the relation, so of
+two plans that filter one relation differently the second would hold for both.) Writing: one archive for each run of rows of one name. A task writes below a folder of the
 job; its files take their places when the job commits, so a failed or repeated task leaves nothing.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import lzma
 import re
 import uuid
@@ -19,9 +21,9 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringEndsWith, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "name string, ord int, entry string, size long, body binary, error string"
@@ -34,9 +36,19 @@ def _file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
+def _condition(column: str, wanted: str | list[str]) -> tuple[list, Column]:
+    """As it is told to the source, and as Spark says it: a value, a list of values, or a pattern with one star at an end."""
+    c = F.col(column)
+    if isinstance(wanted, list):
+        return (["In", column, sorted(wanted)], c.isin(*wanted)) if len(wanted) > 1 else (["EqualTo", column, wanted[0]], c == wanted[0])
+    if wanted.endswith("*"):
+        return ["StringStartsWith", column, wanted[:-1]], c.startswith(wanted[:-1])
+    if wanted.startswith("*"):
+        return ["StringEndsWith", column, wanted[1:]], c.endswith(wanted[1:])
+    return ["EqualTo", column, wanted], c == wanted
+
+
 def _passes(f: Filter, value: str | None) -> bool:
-    if isinstance(f, IsNotNull):
-        return value is not None
     if value is None:
         return False
     if isinstance(f, EqualTo):
@@ -52,17 +64,21 @@ class _Files(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, partition_bytes: int):
+    def __init__(self, path: str, schema: StructType, partition_bytes: int, given: list[list]):
         self.path, self.fields, self.partition_bytes = path, [f.name for f in schema], partition_bytes
         self.arrow = pa.schema([(n, {"ord": pa.int32(), "size": pa.int64(), "body": pa.binary()}.get(n, pa.string())) for n in self.fields])
-        self.on: dict[str, list[Filter]] = {"name": [], "entry": []}
+        self.given, self.on = given, {"name": [], "entry": []}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        on: dict[str, list[Filter]] = {"name": [], "entry": []}
         for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith, StringEndsWith, IsNotNull)) and f.attribute in (("name",), ("entry",)):
-                self.on[f.attribute[0]].append(f)
-            else:
-                yield f
+            if isinstance(f, (EqualTo, In, StringStartsWith, StringEndsWith)) and f.attribute in (("name",), ("entry",)):
+                value = sorted(f.value) if isinstance(f, In) else f.value
+                if [type(f).__name__, f.attribute[0], value] in self.given:
+                    on[f.attribute[0]].append(f)
+                    continue
+            yield f
+        self.on = on
 
     def partitions(self) -> list[_Files]:
         system, path = _file_system(self.path)
@@ -189,7 +205,7 @@ class Archives(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> _Reader:
-        return _Reader(self.options["path"].rstrip("/"), schema, int(self.options.get("partitionBytes", PARTITION_BYTES)))
+        return _Reader(self.options["path"].rstrip("/"), schema, int(self.options.get("partitionBytes", PARTITION_BYTES)), json.loads(self.options.get("given", "[]")))
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"], schema, overwrite)
@@ -200,10 +216,15 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_archives(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
-    """The entries of a folder's archives; only the named columns are read."""
+def read_archives(spark: SparkSession, path: str, columns: str = SCHEMA, **wanted: str | list[str]) -> DataFrame:
+    """The entries of a folder's archives; only the named columns are read. name=..., entry=...: of which archives, which entries: a value,
+    a list of values, or a pattern with a star at one end."""
     register(spark)
-    return spark.read.format("archives").schema(columns).load(path)
+    told = [_condition(c, w) for c, w in wanted.items()]
+    out = spark.read.format("archives").schema(columns).option("given", json.dumps([t for t, _ in told])).load(path)
+    for _, condition in told:
+        out = out.where(condition)
+    return out
 
 
 def write_archives(entries: DataFrame, path: str, name: str = "name") -> None:

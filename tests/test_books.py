@@ -29,7 +29,7 @@ def test_archives_come_back_as_they_went(spark, entries, tmp_path):
 def test_filters_and_columns_reach_the_archives(spark, entries, tmp_path, capsys):
     write_archives(entries, str(tmp_path))
     (tmp_path / "bad.epub").write_bytes(b"no archive")
-    some = read_archives(spark, str(tmp_path)).where("name IN ('b1.epub', 'b2.epub') AND entry LIKE 'e1%' AND size > 3")
+    some = read_archives(spark, str(tmp_path), name=["b1.epub", "b2.epub"], entry="e1*").where("size > 3")
     assert sorted((r["name"], r["entry"], len(r["body"])) for r in some.collect()) == [("b1.epub", "e1.txt", 200), ("b2.epub", "e1.txt", 200)]
     some.explain("formatted")
     plan = capsys.readouterr().out
@@ -83,6 +83,16 @@ def test_overwritten_folders(spark, entries, tmp_path):
     assert os.listdir(tmp_path) == ["new.epub"]
 
 
+def test_filters_of_one_relation_stay_apart(spark, entries, tmp_path):
+    """What one plan pushes to a relation isn't held against another plan of it."""
+    write_archives(entries, str(tmp_path))
+    for e in (read_archives(spark, str(tmp_path), "name string, entry string"), read_archives(spark, str(tmp_path), "name string, entry string", name="*.epub")):
+        assert e.where("entry = 'e1.txt'").count() == 10 and e.count() == 40
+        both = e.where("entry = 'e1.txt'").groupBy("name").count().join(e.where("entry = 'e2.txt'").groupBy("name").agg(F.max("entry").alias("other")), "name")
+        assert {r["other"] for r in both.collect()} == {"e2.txt"} and both.count() == 10
+        assert e.where("entry = 'e1.txt'").union(e.where("entry = 'e2.txt'")).distinct().count() == 20
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 50])
 def test_chapters_split_and_merged(spark, size):
     """Numbers grow past four digits, links lead into other chunks, and what is no link to a chapter stays."""
