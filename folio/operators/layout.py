@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.scripts import BLANK, CJK, PUA, count_of
 from folio.functions.text import is_page_number, nfkc, overlap, position_key, signature_of, strip
+from folio.operators.spatial import points_in_boxes
 
 # Shares of the page height, repeats and sizes that the band rules go by.
 BAND, BAND_POSITION, MIN_REPEAT = 0.14, 0.09, 3
@@ -190,7 +191,7 @@ def admitted_drawings(drawings: DataFrame, tables: DataFrame, centres: DataFrame
     t = tables.select("doc_id", "page", *[F.col(c).alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
     under = overlap(F.col("x0"), F.col("x1"), F.col("tx0"), F.col("tx1")) * overlap(F.col("y0"), F.col("y1"), F.col("ty0"), F.col("ty1"))
     covered = fit.join(t, ["doc_id", "page"]).where(under >= 0.5 * area).select("doc_id", "page", "k")
-    inside = fit.join(centres.select("doc_id", "page", "cx", "cy"), ["doc_id", "page"]).where(F.col("cx").between(F.col("x0"), F.col("x1")) & F.col("cy").between(F.col("y0"), F.col("y1"))).groupBy("doc_id", "page", "k").count().where("count > 12")
+    inside = points_in_boxes(centres.select("doc_id", "page", "cx", "cy"), fit.select("doc_id", "page", "k", "x0", "y0", "x1", "y1"), 0.0, "k").groupBy("doc_id", "page", F.col("b_k").alias("k")).count().where("count > 12")
     return fit.join(covered, ["doc_id", "page", "k"], "left_anti").join(inside, ["doc_id", "page", "k"], "left_anti")
 
 

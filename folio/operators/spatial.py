@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +45,10 @@ def link_columns(runs: DataFrame, links: DataFrame, hits: DataFrame) -> DataFram
     """(doc_id, page, k, href, run, y0, y1) for links whose rectangle hit no glyph: the vertical run with the nearest middle, at most 3 sizes
     off, that they overlap by 60 %, and the stretch of it that they link."""
     missed = links.join(hits.select(*PAGE, "k").distinct(), [*PAGE, "k"], "left_anti")
-    r = _named(runs.where("vertical"), "r_", "run", "size", *BOX)
-    side = F.abs((F.col("r_x0") + F.col("r_x1")) / 2 - (F.col("x0") + F.col("x1")) / 2)
-    near = missed.join(r, PAGE).withColumn("dx", side).where((overlap(F.col("y0"), F.col("y1"), F.col("r_y0"), F.col("r_y1")) >= 0.6 * (F.col("y1") - F.col("y0"))) & (F.col("dx") <= 3 * F.col("r_size")))
+    middle = (F.col("x0") + F.col("x1")) / 2
+    # they meet by strips of x: that of the link's middle, and those within three sizes of the run's
+    r = _named(runs.where("vertical").withColumn("cx", middle), "r_", "run", "size", "cx", *BOX).withColumn("strip", _strips(F.col("r_cx") - 3 * F.col("r_size"), F.col("r_cx") + 3 * F.col("r_size")))
+    near = missed.withColumn("strip", F.floor(middle / STRIP)).join(r, [*PAGE, "strip"]).withColumn("dx", F.abs(F.col("r_cx") - middle)).where((overlap(F.col("y0"), F.col("y1"), F.col("r_y0"), F.col("r_y1")) >= 0.6 * (F.col("y1") - F.col("y0"))) & (F.col("dx") <= 3 * F.col("r_size")))
     return near.groupBy(*PAGE, "k", "href").agg(F.min_by("r_run", F.struct("dx", "r_run")).alias("run"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
 
 
@@ -69,22 +71,28 @@ def strip_boxes(glyphs: DataFrame, boxes: DataFrame, margin: float = 1.0) -> Dat
 
 def image_references(placements: DataFrame, images: DataFrame, tolerance: float = 2.0) -> DataFrame:
     """(doc_id, page, p, xref): the first image each placement lies on, all four edges within the tolerance."""
-    i = _named(images, "i_", "k", "xref", *BOX)
+    i = _named(images, "i_", "k", "xref", *BOX).withColumns({f"strip{n}": F.explode(F.sequence(F.floor((F.col(f"i_{c}") - tolerance) / STRIP), F.floor((F.col(f"i_{c}") + tolerance) / STRIP))) for n, c in enumerate(("x0", "y0"))})
+    p = placements.withColumns({f"strip{n}": F.floor(F.col(c) / STRIP) for n, c in enumerate(("x0", "y0"))})
     near = F.lit(True)
     for c in BOX:
         near &= F.abs(F.col(c) - F.col(f"i_{c}")) <= tolerance
-    return placements.join(i, PAGE).where(near).groupBy(*PAGE, "p").agg(F.min_by("i_xref", "i_k").alias("xref"))
+    return p.join(i, [*PAGE, "strip0", "strip1"]).where(near).groupBy(*PAGE, "p").agg(F.min_by("i_xref", "i_k").alias("xref"))
 
 
 def bookmark_units(toc: DataFrame, units: DataFrame) -> DataFrame:
     """(doc_id, idx, ord): a bookmark's unit: the box its point lies in (2 points wider), else the first unit that ends past the
     point (in a vertical book: begins left of it), else the page's first; null where the page has no unit (the bookmark waits for the next)."""
-    u = _named(units, "u_", "ord", *BOX)
-    at = F.col("x").between(F.col("u_x0") - 2, F.col("u_x1") + 2) & F.col("y").between(F.col("u_y0") - 2, F.col("u_y1") + 2)
-    met = toc.join(u, PAGE, "left").groupBy("doc_id", "idx").agg(
-        F.min(F.when(at, F.col("u_ord"))).alias("hit"), F.min(F.when(F.when(F.col("vertical"), F.col("u_x0") <= F.col("x") + F.col("tolerance")).otherwise(F.col("u_y1") >= F.col("y") - F.col("tolerance")), F.col("u_ord"))).alias("past"), F.min("u_ord").alias("first")
-    )
-    return met.select("doc_id", "idx", F.coalesce("hit", "past", "first").alias("ord"))
+    marks = toc.withColumns({"cx": F.col("x"), "cy": F.col("y")})
+    hit = points_in_boxes(marks.select(*PAGE, "idx", "cx", "cy"), units, 2.0, "ord").groupBy("doc_id", "idx").agg(F.min("b_ord").alias("hit"))
+    # the first unit past the point: marks and units in one order, and the least unit so far
+    upright = ~F.col("vertical")
+    limit = F.when(upright, F.col("y") - F.col("tolerance")).otherwise(-(F.col("x") + F.col("tolerance")))
+    asked = toc.select(*PAGE, upright.alias("up"), limit.alias("at"), F.lit(1).alias("side"), "idx", F.lit(None).cast("int").alias("ord"))
+    ends = units.select(*PAGE, F.explode(F.array(F.struct(F.lit(True).alias("up"), F.col("y1").alias("at")), F.struct(F.lit(False).alias("up"), (-F.col("x0")).alias("at")))).alias("e"), F.col("ord").cast("int").alias("ord"))
+    ends = ends.select(*PAGE, "e.up", "e.at", F.lit(0).alias("side"), F.lit(None).cast("long").alias("idx"), "ord")
+    w = Window.partitionBy(*PAGE, "up")
+    past = asked.unionByName(ends).select("*", F.min("ord").over(w.orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)).alias("past"), F.min("ord").over(w).alias("first")).where("side = 1")
+    return past.join(hit, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("hit", "past", "first").alias("ord"))
 
 
 def clusters(runs: DataFrame) -> DataFrame:
@@ -92,34 +100,59 @@ def clusters(runs: DataFrame) -> DataFrame:
 
     Two runs are close if they have one direction, overlap across it by 0.3 of the smaller extent, and lie within 2.5 of the
     larger size or overlap along it.
+
+    The runs of a block are swept in order of where they begin: each meets those that begin before it ends, widened by 2.5 of the
+    block's largest size, a bounded number of pairs at a time; what is close is united at once, so nothing but the runs is kept.
     """
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("run").reset_index(drop=True)
-        n = len(pdf)
-        root = list(range(n))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        b, v, s = pdf[list(BOX)].to_numpy(), pdf["vertical"].to_numpy(bool), pdf["size"].to_numpy()
-        for i in range(n):
-            c, f = (1, 0) if v[i] else (0, 1)  # the axis across the lines' order, and along it
-            j = np.arange(i + 1, n)
-            cross = np.minimum(b[i, c + 2], b[j, c + 2]) - np.maximum(b[i, c], b[j, c])
-            least = np.minimum(b[i, c + 2] - b[i, c], b[j, c + 2] - b[j, c])
-            along = np.minimum(b[i, f + 2], b[j, f + 2]) - np.maximum(b[i, f], b[j, f])
-            ok = (v[j] == v[i]) & (np.maximum(cross, 0) >= 0.3 * least) & ((along > 0) | (-along <= 2.5 * np.maximum(s[i], s[j])))
-            for k in j[ok]:
-                a, z = find(i), find(int(k))
-                root[max(a, z)] = min(a, z)
-        pdf["cluster"] = [int(pdf["run"][find(i)]) for i in range(n)]
-        return pdf[["doc_id", "page", "block", "run", "cluster"]]
-
-    return runs.groupBy(*PAGE, "block").applyInPandas(group, "doc_id long, page int, block int, run int, cluster int")
+    def group(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("run")
+        run, v, size = (t.column(c).to_numpy() for c in ("run", "vertical", "size"))
+        box = np.stack([t.column(c).to_numpy() for c in BOX], 1)
+        root = np.arange(len(run))
+        for vertical in (False, True):
+            own = np.flatnonzero(v == vertical)
+            f, c = (0, 1) if vertical else (1, 0)  # the axis along the lines' succession, and across it
+            own = own[np.argsort(box[own, f], kind="stable")]
+            if len(own) > 1:
+                for i, j in swept(box[own, f], box[own, f + 2] + 2.5 * size[own].max()):
+                    i, j = own[i], own[j]
+                    lap = lambda a: np.minimum(box[i, a + 2], box[j, a + 2]) - np.maximum(box[i, a], box[j, a])  # noqa: E731, B023
+                    cross, along = lap(c), lap(f)
+                    least = np.minimum(box[i, c + 2] - box[i, c], box[j, c + 2] - box[j, c])
+                    ok = (np.maximum(cross, 0) >= 0.3 * least) & ((along > 0) | (-along <= 2.5 * np.maximum(size[i], size[j])))
+                    root = united(root, i[ok], j[ok])
+        keys = [t.column(k) for k in (*PAGE, "block", "run")]
+        return pa.table([*keys, pa.array(run[root], pa.int32())], names=[*PAGE, "block", "run", "cluster"])
+
+    return runs.select(*PAGE, "block", "run", "vertical", "size", *BOX).groupBy(*PAGE, "block").applyInArrow(group, "doc_id long, page int, block int, run int, cluster int")
+
+
+def swept(begin: np.ndarray, end: np.ndarray, pairs: int = 1 << 20):
+    """Pairs (i < j) of intervals, sorted by begin, where j begins before i ends: places i, j, about so many at a time."""
+    last = np.maximum(np.searchsorted(begin, end, side="right"), np.arange(len(begin)) + 1)
+    count = last - np.arange(len(begin)) - 1
+    total = np.cumsum(count)
+    first = 0
+    while first < len(begin):
+        stop = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + pairs, side="right")))
+        n = count[first:stop]
+        i = np.repeat(np.arange(first, stop), n)
+        if len(i):
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        first = stop
+
+
+def united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root (each place's least place so far) after the links i, j, too."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(further := root[root], root):
+            root = further
+    return root
 
 
 def readings(runs: DataFrame, body_size: float) -> DataFrame:

@@ -231,6 +231,19 @@ def page_reading_order(spark, sf_dir):
     return ST.reading_order(units.select("doc_id", "page", "tag", "x0", "y0", "x1", "y1", "vertical", "body"))
 
 
+@query(
+    f"""WITH {_GRID}, {_HOLES}, c AS (SELECT doc_id, page, line * 10 + round_even((x0 - 40) / 125, 0)::INT AS run, x0, y0, y0 - lag(y1) OVER w AS gap, 2.5 * greatest(size, lag(size) OVER w) AS reach FROM hl WINDOW w AS (PARTITION BY doc_id, page, x0 ORDER BY y0)),
+i AS (SELECT *, sum((gap IS NULL OR gap > reach)::INT) OVER (PARTITION BY doc_id, page, x0 ORDER BY y0) AS island FROM c)
+SELECT doc_id, page, 0 AS block, run, min(run) OVER (PARTITION BY doc_id, page, x0, island) AS cluster FROM i"""
+)
+def grid_clusters(spark, sf_dir):
+    """The pieces of a page in three columns, its one block: each column falls apart where blank lines leave room."""
+    from folio.operators.spatial import clusters
+
+    run = F.col("line") * 10 + F.round((F.col("x0") - 40) / 125).cast("int")
+    return clusters(_columns(spark, sf_dir).withColumns({"block": F.lit(0), "run": run, "vertical": F.lit(False)}))
+
+
 _CAP = 30_000
 _BOOK_LINES = f"""bl AS (SELECT doc_id // 50 AS book, ((doc_id % 50) * 1000 + page)::INT AS page, line, text, length(text) AS len, {_W} AS nch, size, doc_id % 10 = 0 AND page = 0 AND line = 0 AS head, length(text) >= 50 AS full_, regexp_matches(text, '^[ \t]') AS indented, doc_id AS d FROM lines WHERE text <> ''),
 bb AS (SELECT *, lag(head) OVER w AS p_head, lag(page) OVER w AS p_page, lag(line) OVER w AS p_line, lag(full_) OVER w AS p_full, lag(size) OVER w AS p_size FROM bl WINDOW w AS (PARTITION BY book ORDER BY page, line)),

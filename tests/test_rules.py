@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -397,3 +398,50 @@ def test_scans_over_ranges(spark):
     ahead = w.rowsBetween(0, Window.unboundedFollowing)
     want = df.select("g", "i", "x", F.coalesce(F.sum("x").over(w), F.lit(0)).alias("s"), F.min("x").over(w).alias("m"), F.lag("x").over(w).alias("b"), F.last("x", True).over(w).alias("l"), F.first("x", True).over(ahead).alias("n"))
     assert sorted(map(str, got.drop("part").collect())) == sorted(map(str, want.collect()))
+
+
+def test_clusters_of_a_hundred_thousand_runs(spark):
+    """One block of two columns of lines, and strays: found in a sweep, with few pairs looked at."""
+    n = 50_000
+    rows = spark.range(2 * n).selectExpr("1L AS doc_id", "1 AS page", "0 AS block", "cast(id AS int) AS run", "false AS vertical", "10D AS size", f"(id div {n}) * 300D AS x0", f"(id % {n}) * 12D AS y0", f"(id div {n}) * 300D + 200 AS x1", f"(id % {n}) * 12D + 10 AS y1")
+    far = spark.createDataFrame([(1, 1, 0, 2 * n, False, 10.0, 0.0, -100.0, 200.0, -90.0)], rows.schema)
+    got = SP.clusters(rows.union(far)).groupBy("cluster").count().collect()
+    assert {(r["cluster"], r["count"]) for r in got} == {(0, n), (n, n), (2 * n, 1)}
+    begin = np.arange(n) * 12.0
+    assert sum(len(i) for i, _ in SP.swept(begin, begin + 35, 1000)) <= 3 * n
+
+
+def test_joins_below_a_page(spark):
+    """Images, bookmarks and columns' links by strips, against all pairs of a page."""
+    rng = random.Random(12)
+    near = lambda v: v + rng.choice([0.0, 1.9, 2.0, 2.1, -2.0, -2.5])
+    images = [(1, p, k, 100 + k, *b[:4]) for p in range(6) for k, b in enumerate(boxes(rng, 8))]
+    placed = [(1, p, i, *(near(v) for v in b)) for i, (_, p, _, _, *b) in enumerate(images + images)]
+    box = "x0 double, y0 double, x1 double, y1 double"
+    got = {(r["page"], r["p"]): r["xref"] for r in SP.image_references(spark.createDataFrame(placed, f"doc_id long, page int, p int, {box}"), spark.createDataFrame(images, f"doc_id long, page int, k int, xref int, {box}")).collect()}
+    want = {}
+    for _, p, i, *b in placed:
+        hits = [x for _, q, k, x, *c in images if p == q and all(abs(u - v) <= 2 for u, v in zip(b, c, strict=True))]
+        if hits:
+            want[p, i] = hits[0]
+    assert got == want and len(want) > 10
+    units = [(1, p, o, *b[:4]) for p in range(6) for o, b in enumerate(boxes(rng, 7))]
+    toc = [(1, i, p := rng.randrange(8), p % 2 == 0, float(rng.randint(0, 260)), float(rng.randint(0, 220)), 3.0) for i in range(120)]
+    got = {r["idx"]: r["ord"] for r in SP.bookmark_units(spark.createDataFrame(toc, "doc_id long, idx long, page int, vertical boolean, x double, y double, tolerance double"), spark.createDataFrame(units, f"doc_id long, page int, ord int, {box}")).collect()}
+    want = {}
+    for _, i, p, vertical, x, y, t in toc:
+        own = [(o, *b) for _, q, o, *b in units if p == q]
+        hit = [o for o, x0, y0, x1, y1 in own if x0 - 2 <= x <= x1 + 2 and y0 - 2 <= y <= y1 + 2]
+        past = [o for o, x0, y0, x1, y1 in own if (x0 <= x + t if vertical else y1 >= y - t)]
+        want[i] = (hit or past or [u[0] for u in own] or [None])[0]
+    assert got == want
+    runs = [(1, p, r, rng.random() < 0.8, s, *b) for p in range(6) for r, (*b, s) in enumerate(boxes(rng, 12))]
+    links = [(1, p, k, f"h{k}", *b[:4]) for p in range(6) for k, b in enumerate(boxes(rng, 8))]
+    none = spark.createDataFrame([], "doc_id long, page int, k int")
+    found = SP.link_columns(spark.createDataFrame(runs, f"doc_id long, page int, run int, vertical boolean, size double, {box}"), spark.createDataFrame(links, f"doc_id long, page int, k int, href string, {box}"), none).collect()
+    want = {}
+    for _, p, k, _, x0, y0, x1, y1 in links:
+        fits = [(abs((a + c) / 2 - (x0 + x1) / 2), r) for _, q, r, v, s, a, b, c, d in runs if q == p and v and lap(y0, y1, b, d) >= 0.6 * (y1 - y0) and abs((a + c) / 2 - (x0 + x1) / 2) <= 3 * s]
+        if fits:
+            want[p, k] = min(fits)[1]
+    assert {(r["page"], r["k"]): r["run"] for r in found} == want
