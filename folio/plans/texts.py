@@ -232,8 +232,8 @@ def page_reading_order(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_GRID}, {_HOLES}, c AS (SELECT doc_id, page, line * 10 + round_even((x0 - 40) / 125, 0)::INT AS run, x0, y0, y0 - lag(y1) OVER w AS gap, 2.5 * greatest(size, lag(size) OVER w) AS reach FROM hl WINDOW w AS (PARTITION BY doc_id, page, x0 ORDER BY y0)),
-i AS (SELECT *, sum((gap IS NULL OR gap > reach)::INT) OVER (PARTITION BY doc_id, page, x0 ORDER BY y0) AS island FROM c)
+    f"""WITH {_GRID}, {_HOLES}, c AS (SELECT doc_id, page, line * 10 + round_even((x0 - 40) / 125, 0)::INT AS run, x0, y0, y0 - lag(y1) OVER w AS gap, 2.5 * greatest(size, lag(size) OVER w) AS reach, coalesce(y0 - max(CASE WHEN size = 18 THEN y1 END) OVER (PARTITION BY doc_id, page, x0) <= 45, false) AS titled FROM hl WINDOW w AS (PARTITION BY doc_id, page, x0 ORDER BY y0)),
+i AS (SELECT *, sum((gap IS NULL OR (gap > reach AND NOT titled))::INT) OVER (PARTITION BY doc_id, page, x0 ORDER BY y0) AS island FROM c)
 SELECT doc_id, page, 0 AS block, run, min(run) OVER (PARTITION BY doc_id, page, x0, island) AS cluster FROM i"""
 )
 def grid_clusters(spark, sf_dir):
