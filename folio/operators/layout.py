@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.scripts import BLANK, CJK, PUA, count_of
 from folio.functions.text import is_page_number, nfkc, overlap, position_key, signature_of, strip
+from folio.operators.ranges import Ranges
 from folio.operators.spatial import points_in_boxes
 
 # Shares of the page height, repeats and sizes that the band rules go by.
@@ -221,11 +222,14 @@ def is_stacked(lines: DataFrame) -> DataFrame:
 
 
 def sampled_pages(pages: DataFrame, most: int = 12) -> DataFrame:
-    """At most `most` pages of each document, evenly spread: every n/most-th."""
-    w = Window.partitionBy("doc_id")
-    rows = pages.withColumn("i", F.row_number().over(w.orderBy("page")) - 1).withColumn("n", F.count("*").over(w))
+    """At most `most` pages of each document, evenly spread: every n/most-th. Pages are numbered by ranges of (doc_id, page), of which each
+    is there once; their texts stay where they are until the few that are picked are known."""
+    r = Ranges(pages.select("doc_id", "page"), ["doc_id"], ["page"])
+    total = r.rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = r.scan(r.rows, number=("sum", F.lit(1))).join(total, "doc_id")
     picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * F.col("n") / most))
-    return rows.where((F.col("n") <= most) | F.array_contains(picks, F.col("i").cast("long"))).drop("i", "n")
+    some = rows.where((F.col("n") <= most) | F.array_contains(picks, (F.col("number") - 1).cast("long")))
+    return pages.join(some.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
 
 
 def obfuscation(pages: DataFrame) -> DataFrame:

@@ -299,11 +299,12 @@ def chapters(starts: DataFrame) -> DataFrame:
 
 
 def page_anchors(units: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page, anchor, ord): each page's anchor and the unit that carries it: its first, or that of the next page that has one."""
+    """(doc_id, page, anchor, ord): each page's anchor and the unit that carries it: its first, or that of the next page that has one. A
+    document's pages may lie in many tasks."""
     firsts = units.groupBy("doc_id", "page").agg(F.min("ord").alias("ord"))
-    ahead = Window.partitionBy("doc_id").orderBy("page").rowsBetween(0, Window.unboundedFollowing)
-    rows = pages.select("doc_id", "page").join(firsts, ["doc_id", "page"], "left")
-    return rows.select("doc_id", "page", F.concat(F.lit("pg"), F.col("page").cast("string")).alias("anchor"), F.first("ord", True).over(ahead).alias("ord"))
+    r = Ranges(pages.select("doc_id", "page").join(firsts, ["doc_id", "page"], "left"), ["doc_id"], ["page"])
+    rows = r.scan(r.rows, carrier=("next", F.col("ord")))
+    return rows.select("doc_id", "page", F.concat(F.lit("pg"), F.col("page").cast("string")).alias("anchor"), F.col("carrier").alias("ord"))
 
 
 def navigation_targets(toc: DataFrame, anchors: DataFrame, page_chapters: DataFrame) -> DataFrame:
