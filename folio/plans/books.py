@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
@@ -47,14 +47,15 @@ def library(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-_NUMBER = F.regexp_extract("name", r"(\d+)\.epub$", 1).cast("long").alias("doc_id")
+def _number() -> Column:
+    return F.regexp_extract("name", r"(\d+)\.epub$", 1).try_cast("long").alias("doc_id")
 
 
 @query(f"WITH {_CHAPTERS}, x AS (SELECT doc_id, chapter, {_XHTML} AS x FROM ch) SELECT doc_id, printf('OEBPS/text/chapter%04d.xhtml', chapter) AS entry, strlen(x) AS size, md5(x) AS digest FROM x")
 def archived_chapters(spark, sf_dir):
     """The chapters of all books as they stand in their archives; only these entries are decompressed."""
     e = read_archives(spark, library(spark, sf_dir), "name string, entry string, size long, body binary", entry="OEBPS/text/*")
-    return e.select(_NUMBER, "entry", "size", F.md5("body").alias("digest"))
+    return e.select(_number(), "entry", "size", F.md5("body").alias("digest"))
 
 
 @query(f"WITH {_CHAPTERS} SELECT doc_id, 'ok' AS verdict, any_value(book) AS title, any_value(lang) AS language, NULL::VARCHAR AS direction, false AS fixed, any_value(n)::BIGINT AS n_spine, any_value(n)::BIGINT AS n_marks, 'mimetype' AS first FROM ch GROUP BY doc_id")
@@ -66,7 +67,7 @@ def archived_metadata(spark, sf_dir):
     sums = e.groupBy("name").agg(*[of(x).alias(k) for k, x in zip(("mimetype", "container", "encryption", "opf", "nav"), needed, strict=True)], F.min_by("entry", "ord").alias("first"))
     opf = F.col("opf")
     return sums.select(
-        _NUMBER, P.package_verdict(F.lit(b"PK\x03\x04"), F.col("mimetype"), F.col("container"), F.col("encryption")).alias("verdict"), P.title(opf, F.lit("?")).alias("title"), P.language(opf).alias("language"), P.page_direction(opf).alias("direction"),
+        _number(), P.package_verdict(F.lit(b"PK\x03\x04"), F.col("mimetype"), F.col("container"), F.col("encryption")).alias("verdict"), P.title(opf, F.lit("?")).alias("title"), P.language(opf).alias("language"), P.page_direction(opf).alias("direction"),
         P.is_fixed_layout(opf).alias("fixed"), F.size(F.xpath(opf, F.lit("//*[local-name()='itemref']/@idref"))).cast("long").alias("n_spine"), F.size(F.xpath(F.col("nav"), F.lit("//*[local-name()='nav']//*[local-name()='a']/@href"))).cast("long").alias("n_marks"), "first")
 
 
@@ -123,9 +124,9 @@ def converted_documents(spark, sf_dir):
     write_archives(named, folder)
     entries = lambda wanted: read_archives(spark, folder, "name string, entry string, body binary", entry=wanted)
     text = F.decode("body", "UTF-8")
-    chapters = entries("OEBPS/text/*").select(_NUMBER, F.regexp_extract("entry", r"(\d+)\.xhtml$", 1).try_cast("long").alias("chapter"), F.regexp_extract(text, "(?s)<title>(.*?)</title>", 1).alias("title"), F.md5(F.regexp_extract(text, r'(?s)<section epub:type="chapter">\n(.*)\n</section>', 1)).alias("digest"))
+    chapters = entries("OEBPS/text/*").select(_number(), F.regexp_extract("entry", r"(\d+)\.xhtml$", 1).try_cast("long").alias("chapter"), F.regexp_extract(text, "(?s)<title>(.*?)</title>", 1).alias("title"), F.md5(F.regexp_extract(text, r'(?s)<section epub:type="chapter">\n(.*)\n</section>', 1)).alias("digest"))
     links = F.regexp_extract_all(text, F.lit(r'(?s)<a href="(text/chapter\d+\.xhtml#h\d+">.*?)</a>'), 1)
-    marks = entries("OEBPS/nav.xhtml").select(_NUMBER, F.explode(links).alias("mark"))
+    marks = entries("OEBPS/nav.xhtml").select(_number(), F.explode(links).alias("mark"))
     part = lambda k: F.regexp_extract("mark", r'(?s)^text/chapter(\d+)\.xhtml#h(\d+)">(.*)$', k)
     marks = marks.select("doc_id", part(1).try_cast("long").alias("chapter"), part(2).try_cast("int").alias("para"), F.concat(part(2), F.lit(":"), part(3)).alias("mark"))
     listed = marks.groupBy("doc_id", "chapter").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para", "mark"))), lambda x: x["mark"]), "|").alias("marks"))
