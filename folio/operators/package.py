@@ -48,9 +48,14 @@ def page_direction(opf: Column) -> Column:
     return F.get(F.filter(_all(opf, f"{_node('spine')}/@page-progression-direction"), lambda x: x.isin("rtl", "ltr")), 0)
 
 
+def spine_ids(opf: Column) -> Column:
+    """The first spine's idrefs in order."""
+    return _all(opf, f"({_node('spine')})[1]/*[local-name()='itemref']/@idref")
+
+
 def spine(packages: DataFrame) -> DataFrame:
     """(doc_id, pos, idref) of the first spine."""
-    return packages.select("doc_id", F.posexplode(_all(F.col("opf_xml"), f"({_node('spine')})[1]/*[local-name()='itemref']/@idref")).alias("pos", "idref"))
+    return packages.select("doc_id", F.posexplode(spine_ids(F.col("opf_xml"))).alias("pos", "idref"))
 
 
 def cover_href(opf: Column) -> Column:

@@ -58,7 +58,7 @@ def archived_chapters(spark, sf_dir):
     return e.select(_number(), "entry", "size", F.md5("body").alias("digest"))
 
 
-@query(f"WITH {_CHAPTERS} SELECT doc_id, 'ok' AS verdict, any_value(book) AS title, any_value(lang) AS language, NULL::VARCHAR AS direction, false AS fixed, any_value(n)::BIGINT AS n_spine, any_value(n)::BIGINT AS n_marks, 'mimetype' AS first FROM ch GROUP BY doc_id")
+@query(f"WITH {_CHAPTERS} SELECT doc_id, 'ok' AS verdict, any_value(book) AS title, any_value(lang) AS language, NULL::VARCHAR AS direction, false AS fixed, 'OEBPS/content.opf' AS package, string_agg('c' || chapter, ',' ORDER BY chapter) AS spine, any_value(n)::BIGINT AS n_marks, 'mimetype' AS first FROM ch GROUP BY doc_id")
 def archived_metadata(spark, sf_dir):
     """What each archive's own documents say of it: whether it can be read, title, language, direction, layout, spine and navigation."""
     needed = ["mimetype", "META-INF/container.xml", "META-INF/encryption.xml", "OEBPS/content.opf", "OEBPS/nav.xhtml"]
@@ -68,7 +68,7 @@ def archived_metadata(spark, sf_dir):
     opf = F.col("opf")
     return sums.select(
         _number(), P.package_verdict(F.lit(b"PK\x03\x04"), F.col("mimetype"), F.col("container"), F.col("encryption")).alias("verdict"), P.title(opf, F.lit("?")).alias("title"), P.language(opf).alias("language"), P.page_direction(opf).alias("direction"),
-        P.is_fixed_layout(opf).alias("fixed"), F.size(F.xpath(opf, F.lit("//*[local-name()='itemref']/@idref"))).cast("long").alias("n_spine"), F.size(F.xpath(F.col("nav"), F.lit("//*[local-name()='nav']//*[local-name()='a']/@href"))).cast("long").alias("n_marks"), "first")
+        P.is_fixed_layout(opf).alias("fixed"), P.opf_path(F.col("container")).alias("package"), F.array_join(P.spine_ids(opf), ",").alias("spine"), F.size(F.xpath(F.col("nav"), F.lit("//*[local-name()='nav']//*[local-name()='a']/@href"))).cast("long").alias("n_marks"), "first")
 
 
 @query(
