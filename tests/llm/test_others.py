@@ -115,6 +115,20 @@ def test_neighbours_in_clusters_visit_few_cells(spark):
     assert hit >= 0.9 * want
 
 
+def test_neighbours_of_queries_unlike_the_other_rows(spark):
+    """Queries that lie where few rows do, of vectors at several scales: no neighbour is missed."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 24)) * np.exp(rng.normal(size=(6000, 1)))
+    x[:2000] = rng.normal(size=24) * 5 + 0.01 * rng.normal(size=(2000, 24))
+    x = x[rng.permutation(6000)]
+    x[::100] = rng.normal(size=(60, 24)) * 4
+    rows = list(enumerate((x + 100).tolist()))
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in near] for q, near in exact(rows)}
+
+
 # 3: personal data
 
 
