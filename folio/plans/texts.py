@@ -168,8 +168,12 @@ SELECT doc_id, page, line, part::BIGINT AS part, min(x0) AS x0, max(x1) AS x1, c
 )
 def gap_split_runs(spark, sf_dir):
     """Every seven glyphs stand 60 points further, so that there are gaps to split at, and in a title's larger type too small ones."""
-    shift = F.floor(F.col("pos") / 7) * 60
-    return L.run_boxes(L.gap_runs(L.glyphs(_lines(spark, sf_dir)).withColumns({"x0": F.col("x0") + shift, "x1": F.col("x1") + shift})))
+
+    def edges(pos, size):
+        x0 = 40 + pos * size / 2
+        return x0 + pos // 7 * 60, x0 + size / 2 + pos // 7 * 60
+
+    return L.line_runs(_lines(spark, sf_dir), edges)
 
 
 _HOLES = "hl AS (SELECT doc_id, page, line, size, 40 + k * 125.0::DOUBLE AS x0, 40 + k * 125.0::DOUBLE + length(substr(text, (k * 20 + 1)::BIGINT, 20)) * 5 AS x1, y0, y1 FROM (SELECT *, unnest(range(0, 3)) AS k FROM lines) WHERE length(text) > k * 20)"

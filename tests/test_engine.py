@@ -63,6 +63,22 @@ def test_each_glyph_in_one_run(spark, sf):
     assert parts.count() == glyphs.count() == lines.select(F.sum(F.length("text"))).first()[0]
 
 
+def test_lines_split_where_they_lie(spark, capsys):
+    """The same runs as by windows over glyphs, of blanks, wide gaps and characters of any length, without a shuffle."""
+    r = random.Random(4)
+    rows = [(i // 9, i // 3 % 3, i % 3, "".join(r.choices("ab é中😀 \u3000\t\u00a0", k=r.randint(0, 30))), r.choice([0.1, 5.0, 10.0])) for i in range(300)]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, line int, text string, size double").withColumns({"y0": F.lit(0.0), "y1": F.lit(1.0)})
+    shift = lambda pos: F.floor(pos / 4) * 30
+    g = L.glyphs(lines).withColumns({"x0": F.col("x0") + shift(F.col("pos")), "x1": F.col("x1") + shift(F.col("pos"))})
+    want = L.run_boxes(L.gap_runs(g))
+    edges = lambda pos, size: (40 + pos * size / 2 + pos // 4 * 30, 40 + (pos + 1) * size / 2 + pos // 4 * 30)
+    got = L.line_runs(lines, edges)
+    near = lambda df: sorted((*x[:4], round(x[4], 6), round(x[5], 6), x[6]) for x in map(tuple, df.collect()))
+    assert near(got) == near(want) and len(near(got)) > 300
+    got.explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_nav_levels_step_by_one_at_most(spark):
     random.seed(2)
     rows = [(i, [random.randint(1, 6) for _ in range(random.randint(1, 9))]) for i in range(50)]
