@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PART_ROWS = 1 << 18  # of a task, about
+
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder that the driver and all executors see: below spark.checkpoint.dir, or else the warehouse's."""
@@ -13,6 +15,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """How many tasks so many rows are for: the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
+def spread(df: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
+    """df dealt by these columns to tasks whose number grows with the table, so what a task sorts doesn't. Windows, groups and joins by these
+    columns, or more, need no other exchange. The rows are counted first, unless their parts are given."""
+    return df.repartition(parts or parts_for(df.sparkSession, df.count()), *by)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)

@@ -9,6 +9,7 @@ from folio.functions import scripts as S
 from folio.functions import text as T
 from folio.operators import layout as L
 from folio.operators import structure as ST
+from folio.operators.rounds import parts_for
 from folio.plans.base import Rows, query, table
 
 #: Texts in scripts that the documents lack.
@@ -186,6 +187,13 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "page", "line", "size", F.col("p.x0").alias("x0"), (F.col("p.x0") + F.col("p.w")).alias("x1"), "y0", "y1")
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the pieces of ``_columns``: there is one for each line and for each 20 characters, at most."""
+    text = F.col("text")
+    most = table(spark, sf_dir, "documents").agg(F.sum(F.length(text) / 20 + F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0]
+    return parts_for(spark, int(most or 0))
+
+
 _GUTTERS = """ln AS (SELECT doc_id, page, line, min(x0) AS l0, max(x1) AS l1 FROM hl GROUP BY ALL HAVING count(*) >= 2),
 pn AS (SELECT doc_id, page, min(l0) AS xmin, count(*) AS n_lines FROM ln GROUP BY ALL HAVING count(*) >= 6),
 cv AS (SELECT doc_id, page, xmin, n_lines, bin, count(*) AS cover FROM (SELECT doc_id, page, xmin, n_lines, unnest(range(floor(l0 - xmin)::BIGINT, floor(l1 - xmin)::BIGINT + 1)) AS bin FROM ln JOIN pn USING (doc_id, page)) GROUP BY ALL),
@@ -196,7 +204,7 @@ gu AS (SELECT doc_id, page, xmin + min(bin) AS g0, xmin + max(bin) + 1 AS g1 FRO
 
 @query(f"WITH {_GRID}, {_HOLES}, {_GUTTERS} SELECT doc_id, page, g0, g1 FROM gu")
 def gutters(spark, sf_dir):
-    return L.gutters(_columns(spark, sf_dir))
+    return L.gutters(_columns(spark, sf_dir), parts=_parts(spark, sf_dir))
 
 
 @query(

@@ -8,10 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.operators import catalog as C
+from folio.operators import layout as L
 from folio.operators import ranges as R
+from folio.operators import rounds as RO
 from folio.operators import spatial as SP
 from folio.operators import stages as E
 from folio.operators import structure as ST
+from folio.operators import units as U
 
 BLANKS = [chr(c) for c in (9, 0x20, 0xA0, 0x2003)]  # an ideographic space isn't one
 
@@ -26,6 +29,28 @@ def boxes(rng, n, wide=200, high=200, size=(4, 14)):
         yield float(x), float(y), float(x + rng.randint(5, 80)), float(y + s), float(s)
 
 
+# Tasks that grow in number, not in size
+
+
+@pytest.mark.parametrize("name", ["gutters"])
+def test_tasks_of_pages_grow_in_number(spark, monkeypatch, name):
+    """What a task has of pages is bounded, whatever the session's number of partitions is."""
+    dealt = []
+    monkeypatch.setattr(RO, "PART_ROWS", 100)
+    rows = [(d, 0, line, k, 40.0 + k * 125, 140.0 + k * 125, 60.0 + line * 14, 70.0 + line * 14) for d in range(50) for line in range(8) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, line int, k int, x0 double, x1 double, y0 double, y1 double")
+    kind = type(df)
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *by, f=kind.repartition: dealt.append(n) or f(self, n, *by))
+    if name == "order":
+        got = ST.reading_order(df.withColumns({"tag": F.col("line") * 10 + F.col("k"), "vertical": F.lit(False), "body": F.lit(10.0)}))
+        assert got.where("ord = 8").select("tag").distinct().collect() == [(1,)]
+    else:
+        found = L.gutters(df)
+        got = found if name == "gutters" else U.split_at_gutters(df.select("doc_id", "page", "line", "x0", "x1"), found)
+        assert got.count() == (100 if name == "gutters" else 1200) and (name == "gutters" or got.where("part = 2").count() == 400)
+    assert dealt and dealt[0] == 12 and all(n >= 8 for n in dealt)  # of 1,200 rows, in the order's second round 800
+
+
 # J3
 
 
