@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folio.functions.scripts import BLANK
 from folio.functions.text import half_points, strip
 from folio.operators.layout import mode
+from folio.operators.rounds import spread
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -27,14 +28,14 @@ def pruned(runs: DataFrame) -> DataFrame:
     return full.groupBy("doc_id", "page", "unit").agg(F.count("*").alias("n_runs"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def split_at_gutters(pieces: DataFrame, gutters: DataFrame) -> DataFrame:
+def split_at_gutters(pieces: DataFrame, gutters: DataFrame, parts: int | None = None) -> DataFrame:
     """Pieces of lines (doc_id, page, line, x0, x1) with `part`: a new part begins across any gutter of the page.
 
     A page's gutters are few (they lie side by side in its width), so they ride along as an array.
     """
     own = gutters.groupBy("doc_id", "page").agg(F.collect_list(F.struct("g0", "g1")).alias("gs"))
     w = Window.partitionBy("doc_id", "page", "line").orderBy("x0")
-    rows = pieces.withColumn("px1", F.lag("x1").over(w)).join(own, ["doc_id", "page"], "left")
+    rows = spread(pieces, "doc_id", "page", parts=parts).withColumn("px1", F.lag("x1").over(w)).join(own, ["doc_id", "page"], "left")
     cross = F.exists("gs", lambda g: (F.col("px1") <= g["g0"] + 0.5) & (F.col("x0") >= g["g1"] - 0.5))
     return rows.withColumn("cross", F.coalesce(cross, F.lit(False)).cast("int")).withColumn("part", F.sum("cross").over(w)).drop("px1", "gs", "cross")
 

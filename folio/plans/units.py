@@ -8,7 +8,7 @@ from folio.functions.scripts import BLANK
 from folio.operators import layout as L
 from folio.operators import units as U
 from folio.plans.base import Rows, query, table
-from folio.plans.texts import _GLYPHS, _GRID, _GUTTERS, _HOLES, _columns, _lines, _strip
+from folio.plans.texts import _GLYPHS, _GRID, _GUTTERS, _HOLES, _columns, _lines, _parts, _strip
 
 
 @query(f"WITH {_GRID}, c AS (SELECT doc_id, page, line, replace(text, chr(65533), '') AS t FROM lines) SELECT doc_id, page, line, CASE WHEN line % 5 = 0 THEN regexp_replace(t, '{BLANK}', '', 'g') ELSE regexp_replace(regexp_replace(t, '^{BLANK}+|{BLANK}+$', '', 'g'), '{BLANK}+', ' ', 'g') END AS text FROM c")
@@ -30,7 +30,8 @@ SELECT doc_id, page, line, x0, x1, (sum(b::INT) OVER (PARTITION BY doc_id, page,
 )
 def gutter_split(spark, sf_dir):
     pieces = _columns(spark, sf_dir).select("doc_id", "page", "line", "x0", "x1")
-    return U.split_at_gutters(pieces, L.gutters(_columns(spark, sf_dir)))
+    parts = _parts(spark, sf_dir)
+    return U.split_at_gutters(pieces, L.gutters(_columns(spark, sf_dir), parts=parts), parts)
 
 
 @query(
