@@ -15,13 +15,13 @@ from folio.functions.text import CJK_OPENERS, CJK_TERMINAL, escape, strip
 from folio.operators.folds import sorted_fold
 from folio.operators.layout import is_ink
 from folio.operators.ranges import Ranges, either
-from folio.operators.rounds import written
+from folio.operators.rounds import spread, written
 
 CHAPTER_BYTES = 250_000
 _CJK = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), CJK))
 
 
-def reading_order(units: DataFrame) -> DataFrame:
+def reading_order(units: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, page, tag, ord) from units (doc_id, page, tag, box, vertical, body): a page is cut along its widest gap, and its pieces
     are, until none can be; what can't be cut is read by position.
 
@@ -38,7 +38,7 @@ def reading_order(units: DataFrame) -> DataFrame:
     least = {a: F.when(F.col("vertical") == F.lit(a == "x"), 0.3).otherwise(1.0) * F.col("body") for a in "xy"}
     todo, done = units.withColumn("path", F.lit("")), []
     while True:
-        u = todo.withColumns({f"gap_{a}": F.when((reach[a] > 0.5) & (reach[a] >= least[a]), reach[a]) for a in "xy"})
+        u = spread(todo, "doc_id", "page", parts=None if done else parts).withColumns({f"gap_{a}": F.when((reach[a] > 0.5) & (reach[a] >= least[a]), reach[a]) for a in "xy"})
         # the widest gap, the first of equals, and whether all units of the piece have a point of the axis in common
         widest = {f"widest_{a}": F.max(F.when(F.col(f"gap_{a}").isNotNull(), F.struct(F.col(f"gap_{a}").alias("gap"), (-low[a]).alias("at")))).over(w) for a in "xy"}
         common = {f"common_{a}": F.max(low[a]).over(w) <= F.min(high[a]).over(w) + 0.5 for a in "xy"}
@@ -46,13 +46,13 @@ def reading_order(units: DataFrame) -> DataFrame:
         wide = {a: F.coalesce(F.col(f"widest_{a}.gap"), F.lit(0.0)) for a in "xy"}
         axis = F.when((wide["x"] == 0) & (wide["y"] == 0), None).when(wide["x"] > wide["y"], "x").otherwise("y")
         u = u.withColumn("axis", axis)
-        parts = {}
+        cuts = {}
         for a, other in ("xy", "yx"):
             one = (F.col(f"gap_{a}") == wide[a]) & (-low[a] == F.col(f"widest_{a}.at"))
             cut = F.when(F.col(f"common_{other}"), F.col(f"gap_{a}").isNotNull()).otherwise(one)
             # of units that begin at one place only the first has the gap before it
-            parts[a] = F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(in_order[a])
-        k = F.when(F.col("axis") == "x", parts["x"]).otherwise(parts["y"])
+            cuts[a] = F.sum(F.coalesce(cut, F.lit(False)).cast("int")).over(in_order[a])
+        k = F.when(F.col("axis") == "x", cuts["x"]).otherwise(cuts["y"])
         k = F.when((F.col("axis") == "x") & F.col("vertical"), 999_999 - k).otherwise(k)  # columns of vertical lines are read from the right
         u = u.withColumn("next", F.when(F.col("axis").isNotNull(), F.concat("path", F.lpad(k.cast("string"), 6, "0"))))
         whole = F.when(F.col("axis") == "x", F.col("common_y")).otherwise(F.col("common_x"))
@@ -61,7 +61,7 @@ def reading_order(units: DataFrame) -> DataFrame:
         if u.where("on").limit(1).count() == 0:
             break
         todo = u.where("on").drop("on")
-    out = reduce(DataFrame.unionByName, done)
+    out = spread(reduce(DataFrame.unionByName, done), "doc_id", "page", parts=parts)
     by = [F.col("path"), F.when(F.col("vertical"), -F.col("x1")).otherwise(F.col("y0")), F.when(F.col("vertical"), F.col("y0")).otherwise(F.col("x0")), F.col("tag")]
     return out.select("doc_id", "page", "tag", (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*by)) - 1).alias("ord"))
 

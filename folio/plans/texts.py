@@ -240,7 +240,7 @@ SELECT doc_id, page, tag, (row_number() OVER (PARTITION BY doc_id, page ORDER BY
 def page_reading_order(spark, sf_dir):
     """The documents' pages in three columns, in which bands that blank lines leave are read before columns where they are wider apart."""
     units = _columns(spark, sf_dir).withColumns({"tag": F.col("line") * 10 + F.round((F.col("x0") - 40) / 125).cast("int"), "vertical": F.lit(False), "body": F.lit(10.0)})
-    return ST.reading_order(units.select("doc_id", "page", "tag", "x0", "y0", "x1", "y1", "vertical", "body"))
+    return ST.reading_order(units.select("doc_id", "page", "tag", "x0", "y0", "x1", "y1", "vertical", "body"), _parts(spark, sf_dir))
 
 
 @query(

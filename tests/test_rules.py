@@ -32,7 +32,7 @@ def boxes(rng, n, wide=200, high=200, size=(4, 14)):
 # Tasks that grow in number, not in size
 
 
-@pytest.mark.parametrize("name", ["gutters", "split"])
+@pytest.mark.parametrize("name", ["gutters", "split", "order"])
 def test_tasks_of_pages_grow_in_number(spark, monkeypatch, name):
     """What a task has of pages is bounded, whatever the session's number of partitions is."""
     dealt = []
