@@ -17,6 +17,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql.types import StructType
 SCHEMA = "name string, ord int, entry string, size long, body binary, error string"
 PARTITION_BYTES = 32 << 20
 _PENDING = "_pending-"
+MOVES = 16  # archives that take their places at once when a job commits
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -145,7 +147,7 @@ class _Writer(DataSourceArrowWriter):
         system, path = _file_system(self.path)
         own = f"{path}/{self.pending}/{uuid.uuid4().hex}"  # an attempt's, so a repeated task is in nobody's way
         system.create_dir(own)
-        files, name, sink, z = [], None, None, None
+        files, seen, name, sink, z = [], set(), None, None, None
 
         def close() -> None:
             if z is not None:
@@ -156,19 +158,20 @@ class _Writer(DataSourceArrowWriter):
 
         for batch in iterator:
             columns = {n: batch.column(n) for n in batch.schema.names}
-            stored = columns.get("stored")
-            for i in range(batch.num_rows):
-                n = columns["name"][i].as_py()
+            names, entries = columns["name"].to_pylist(), columns["entry"].to_pylist()
+            stored = columns["stored"].to_pylist() if "stored" in columns else [False] * batch.num_rows
+            for i, n in enumerate(names):
                 if n is None or "/" in n or n[:1] in ("", ".", "_"):
                     raise ValueError(f"{n!r} is no name of an archive")
                 if n != name:
                     close()
-                    if any(f.rpartition("/")[2] == n for f in files):
+                    if n in seen:
                         raise ValueError(f"the rows of {n} don't lie together")
+                    seen.add(n)
                     name, sink = n, io.BytesIO()
                     z = zipfile.ZipFile(sink, "w")
-                info = zipfile.ZipInfo(columns["entry"][i].as_py(), (1980, 1, 1, 0, 0, 0))  # fixed, so a rerun gives the same bytes
-                info.compress_type = zipfile.ZIP_STORED if stored is not None and stored[i].as_py() else zipfile.ZIP_DEFLATED
+                info = zipfile.ZipInfo(entries[i], (1980, 1, 1, 0, 0, 0))  # fixed, so a rerun gives the same bytes
+                info.compress_type = zipfile.ZIP_STORED if stored[i] else zipfile.ZIP_DEFLATED
                 z.writestr(info, columns["body"][i].as_py() or b"")
         close()
         return _Written(files)
@@ -184,8 +187,8 @@ class _Writer(DataSourceArrowWriter):
             for info in system.get_file_info(fs.FileSelector(path)):
                 if info.type == fs.FileType.File:
                     system.delete_file(info.path)
-        for f, n in zip(files, names, strict=True):
-            system.move(f, f"{path}/{n}")
+        with ThreadPoolExecutor(MOVES) as pool:  # a store's answers overlap; list() tells of what failed
+            list(pool.map(lambda part: [system.move(files[i], f"{path}/{names[i]}") for i in part], [range(k, min(k + 256, len(files))) for k in range(0, len(files), 256)]))
         system.delete_dir(f"{path}/{self.pending}") if system.get_file_info(f"{path}/{self.pending}").type == fs.FileType.Directory else None
 
     def abort(self, messages: list[_Written | None]) -> None:

@@ -1,12 +1,18 @@
 import io
 import os
+import time
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folio.operators.package import merge_chapters, split_chapters
-from folio.sources.archives import read_archives, register, write_archives
+from folio.sources.archives import _Writer, read_archives, register, write_archives
+
+
+WRITTEN = StructType().add("name", "string").add("entry", "string").add("body", "binary").add("stored", "boolean")
 
 
 @pytest.fixture
@@ -103,3 +109,15 @@ def test_chapters_split_and_merged(spark, size):
     assert chunks.agg(F.max("chapter")).first()[0] == min(size, 7) - 1
     got = sorted((r["doc_id"], r["chapter"], r["xhtml"], r["id"], r["href"], r["chunk"]) for r in merge_chapters(chunks.select("doc_id", "chunk", "chapter", "xhtml")).collect())
     assert got == [(d, c, t, f"c{c}", f"text/chapter{c:04d}.xhtml", c // size) for d, c, t in rows]
+
+
+def test_writing_many_archives_takes_time_in_proportion(tmp_path):
+    """What a task does for an archive doesn't grow with those that it has written."""
+
+    def seconds(n: int) -> float:
+        batch = pa.RecordBatch.from_pydict({"name": [f"b{i}" for i in range(n)], "entry": ["e"] * n, "body": [b"x"] * n, "stored": [True] * n})
+        begin = time.process_time()
+        assert len(_Writer(str(tmp_path / str(n)), WRITTEN, False).write(iter([batch])).files) == n
+        return time.process_time() - begin
+
+    assert seconds(16_000) < 8 * seconds(4_000)
