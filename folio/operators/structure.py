@@ -15,9 +15,10 @@ from folio.functions.text import CJK_OPENERS, CJK_TERMINAL, escape, strip
 from folio.operators.folds import sorted_fold
 from folio.operators.layout import is_ink
 from folio.operators.ranges import Ranges, either
-from folio.operators.rounds import spread, written
+from folio.operators.rounds import bucketed, parts_for, spread, written
 
 CHAPTER_BYTES = 250_000
+STRETCH = 16  # pages
 _CJK = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), CJK))
 
 
@@ -157,48 +158,90 @@ def _gap_limit() -> Column:
     return F.when(F.col("vertical"), 1.4).otherwise(1.2) * F.col("size")
 
 
-def scanned_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES, parts: int | None = None) -> DataFrame:
-    """What ``build_paragraphs`` gives, with a document in many tasks.
+def dealt(units: DataFrame, parts: int | None = None) -> DataFrame:
+    """Units dealt by stretches of a document's pages (`stretch`), each in one task: windows within a stretch need no other exchange."""
+    return units.withColumn("stretch", F.expr(f"page div {STRETCH}")).repartition(parts or parts_for(units.sparkSession, 0), "doc_id", "stretch")
+
 
-    Nearly all that decides whether a unit goes on is said by it and the one before, so it is a scan over ranges. Runs that go on
-    thereby are paragraphs, unless their sizes differ by more than 15 %, where each has to be held against its paragraph's first; only
-    such runs are folded. Chapters that are full end at the first page after: a fold over the pages' first units and the bytes
-    before them. A chapter that begins within a run of different sizes changes what follows in it, so that document is folded whole.
+def scanned_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES, parts: int | None = None) -> DataFrame:
+    """What ``build_paragraphs`` gives, with a document in many tasks. Units may be ``dealt`` already, to as many parts.
+
+    The texts move once, to stretches of pages, and are kept in buckets of these, which later passes read where they lie. What goes
+    between stretches is a row or two of each. Nearly all that decides whether a unit goes on is said by it and the one before; runs
+    that go on thereby are paragraphs, and so are their stretches of one size, but where sizes drift each unit has to be held against
+    its paragraph's first: only such runs are folded. Chapters that are full end at the first page after: a fold over the pages' first
+    units and the bytes before them. A chapter that begins within a folded run changes what follows in it, so that document is
+    folded whole.
     """
     n_ids = F.coalesce("n_ids", F.lit(0)) if "n_ids" in units.columns else F.lit(0)
-    text, mark, key = F.coalesce("text", F.lit("")), F.col("toc_level"), ["doc_id", "page", "ord"]
+    text, mark, here, key = F.coalesce("text", F.lit("")), F.col("toc_level"), ["doc_id", "stretch"], ["doc_id", "page", "ord"]
     is_text = F.col("kind") == "text"
     head = is_text & either(F.col("heading"), mark.isNotNull() & (F.col("nchars") <= 160) & (F.col("n_runs") <= 4))
-    r = Ranges(units.withColumn("head", head), ["doc_id"], ["page", "ord"], parts)
     level = F.when(F.col("head"), F.least(F.lit(4), F.greatest(F.lit(1), F.coalesce(mark, "ladder_level")))).otherwise(0)
     top = is_text & either(mark == 1, F.col("head") & (level == 1) & (mark.isNotNull() | ~F.col("has_toc")))
-    stripped = strip(text)
     aligned = F.coalesce(F.col("align"), F.lit("")) != ""
-    u = r.rows.select(
-        *key, "part", "size", level.alias("level"), top.alias("top"), is_text.alias("is_text"), (is_text & ~F.col("head")).alias("plain"), either(F.col("full")).alias("full"), aligned.alias("aligned"), "vertical",
+    small = F.when(F.col("size") <= 0.85 * F.col("body"), " small").otherwise("")
+    classes = F.when(is_text & ~F.col("head"), F.concat(F.when(aligned, F.col("align")).when(either(F.col("indented")), "indent").otherwise("noindent"), small)).otherwise(F.coalesce("align", F.lit("")))
+    rows = (units if "stretch" in units.columns else dealt(units, parts)).withColumns({"head": head, "stripped": strip(text)})
+    rows = rows.select(
+        *key, "stretch", "size", F.when(F.col("head"), "h").when(is_text, "p").otherwise(F.col("kind")).alias("kind"), level.cast("int").alias("level"), classes.alias("classes"), text.alias("text"),
+        top.alias("top"), is_text.alias("is_text"), (is_text & ~F.col("head")).alias("plain"), either(F.col("full")).alias("full"), aligned.alias("aligned"), "vertical",
         either(mark.isNotNull(), n_ids > 1, F.col("indented")).alias("own_start"), either(F.col("gap") <= _gap_limit()).alias("near"), F.length(text).alias("length"), F.coalesce("nchars", F.lit(0)).alias("nchars"),
-        F.when(stripped != "", F.right(stripped, F.lit(1))).alias("solid"), F.left(stripped, F.lit(1)).rlike(f"^[{CJK_OPENERS}]").alias("opens"), F.right(text, F.lit(1)).alias("end"))
-    before = F.struct("plain", "page", "full", "aligned", "vertical", "solid", "end")
-    u = r.scan(u, b=("before", before))
-    speech = F.col("b.solid").rlike(f"^[{CJK_TERMINAL}]") & F.col("opens")
-    first = F.col("b").isNull()
-    forced = either(first, ~F.col("plain"), ~F.col("b.plain"), F.col("top"), F.col("own_start"), F.col("aligned"), F.col("b.aligned"), ~F.col("b.full"), F.col("vertical") != F.col("b.vertical"), (F.col("b.page") == F.col("page")) & ~F.col("near"), speech)
-    u = written(u.withColumns({"first": first, "forced": forced, "turned": first | (F.col("b.page") != F.col("page")), "unsure": F.col("opens") & F.col("b.solid").isNull() & ~forced}).drop("opens", "near"), "paragraphs")
-    u = written(r.scan(u, run=("sum", F.col("forced").cast("long"))), "paragraphs")
-    mixed = u.groupBy("doc_id", "run").agg((F.max("size") - F.min("size") > 0.15 * F.max("size") - 1e-9).alias("uneven"), F.max("unsure").alias("unsure")).where("uneven OR unsure").select("doc_id", "run")
-    in_mixed = written(u.join(mixed, ["doc_id", "run"]).select("doc_id", "run", "page", "ord", "size", "solid", "unsure"), "mixed")
+        F.when(F.col("stripped") != "", F.right("stripped", F.lit(1))).alias("solid"), F.left("stripped", F.lit(1)).rlike(f"^[{CJK_OPENERS}]").alias("opens"), F.right(text, F.lit(1)).alias("end"))
+    facts = ("size", "plain", "page", "full", "aligned", "vertical", "solid", "end")
+    order, said = Window.partitionBy(*here).orderBy("page", "ord"), ("forced", "turned", "unsure", "jump", "drift", "b_end")
+
+    def held(df: DataFrame, w) -> DataFrame:
+        """With what each unit and the one before, if the window has any, say."""
+        df = df.withColumn("b", F.lag(F.struct(*facts)).over(w))
+        b = lambda c: F.col(f"b.{c}")
+        speech = b("solid").rlike(f"^[{CJK_TERMINAL}]") & F.col("opens")
+        forced = either(F.col("b").isNull(), ~F.col("plain"), ~b("plain"), F.col("top"), F.col("own_start"), F.col("aligned"), b("aligned"), ~b("full"), F.col("vertical") != b("vertical"), (b("page") == F.col("page")) & ~F.col("near"), speech)
+        df = df.withColumns({"forced": forced, "turned": either(F.col("b").isNull(), b("page") != F.col("page")), "b_end": b("end")})
+        jump = ~F.col("forced") & either(F.abs(F.col("size") - b("size")) > 0.15 * F.greatest("size", b("size")))
+        df = df.withColumns({"jump": jump, "unsure": ~F.col("forced") & either(F.col("opens") & b("solid").isNull())})
+        return df.withColumn("drift", ~F.col("forced") & ~F.col("jump") & either(F.col("size") != b("size")))
+
+    rows = held(rows, order).withColumns({"opening": F.col("b").isNull(), "closing": F.lead("page").over(order).isNull()})
+    rows = bucketed(rows.drop("b"), parts or parts_for(units.sparkSession, 0), "paragraphs", here)
+
+    # a stretch's first unit, held against the last of the stretch before
+    ends = rows.where("opening OR closing").select(*key, "stretch", "opening", *[c for c in facts if c != "page"], "top", "own_start", "near", "opens")
+    ends = held(ends, Window.partitionBy("doc_id").orderBy("page", "ord")).where("opening")
+    firsts = written(ends.select(*here, *[F.col(c).alias(f"f_{c}") for c in said], F.col("b").isNull().alias("first")), "paragraphs")
+    whole_row = rows.join(firsts, here).withColumns({c: F.when(F.col("opening"), F.col(f"f_{c}")).otherwise(F.col(c)) for c in said}).withColumn("first", F.col("opening") & F.col("first")).drop(*[f"f_{c}" for c in said])
+
+    # runs in which sizes drift, or that may part after a blank unit
+    doubted = rows.where("NOT opening AND (drift OR unsure)").select("doc_id").union(firsts.where("f_drift OR f_unsure").select("doc_id")).distinct()
+    runs = whole_row.join(doubted, "doc_id", "left_semi").select(*key, "stretch", "size", "solid", "forced", "jump", "drift", "unsure")
+    runs = runs.withColumn("run", F.last(F.when(F.col("forced"), F.struct("page", "ord")), True).over(order))
+    carried = runs.groupBy(*here).agg(F.max("run").alias("run")).select(*here, F.last("run", True).over(Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    runs = runs.join(carried, here).withColumn("run", F.coalesce("run", "carried")).select(*key, "stretch", F.col("run.page").alias("run_page"), F.col("run.ord").alias("run_ord"), "size", "solid", "jump", "drift", "unsure")
+    run = ["doc_id", "run_page", "run_ord"]
+    over = Window.partitionBy(*run)
+    mixed = runs.withColumn("mixed", F.max("unsure").over(over) | (F.max("drift").over(over) & (F.max("size").over(over) - F.min("size").over(over) > 0.15 * F.max("size").over(over) - 1e-9))).where("mixed").drop("mixed")
 
     def within(state: list, row) -> tuple:
         """state: size of the paragraph's first unit, and its last character that isn't blank."""
         start = not state or abs(row.size - state[0]) > 0.15 * max(row.size, state[0]) or (bool(row.unsure) and state[1] != "" and state[1] in CJK_TERMINAL)
         state[:] = [row.size if start else state[0], row.solid or ("" if start else state[1])]
-        return row.doc_id, row.page, row.ord, start
+        return row.doc_id, row.stretch, row.page, row.ord, start, bool(row.jump)
+
+    folded = written(sorted_fold(mixed, run, ["page", "ord"], list, within, "doc_id long, stretch long, page int, ord int, split boolean, jump boolean"), "mixed")
+    place = F.struct("page", "ord")
+    of = lambda df, name: df.groupBy(*here).agg(F.collect_list(place).alias(name))
+    has = lambda name: either(F.array_contains(name, place))
+    folds = folded.groupBy(*here).agg(F.collect_list(F.when(F.col("split") != F.col("jump"), place)).alias("other"), F.collect_list(place).alias("folded"))
+    started = lambda df: df.join(folds, here, "left").withColumn("start", F.col("forced") | (F.col("jump") != has("other")))
 
-    found = sorted_fold(in_mixed, ["doc_id", "run"], ["page", "ord"], list, within, "doc_id long, page int, ord int, split boolean")
-    u = u.join(found, key, "left").withColumn("start", F.col("forced") | F.coalesce("split", F.lit(False)))
+    # bytes and starts so far in each stretch, where pages turn or a heading stands, and at its end
+    u = started(whole_row.select(*key, "stretch", "forced", "jump", "turned", "top", "is_text", "first", "closing", "length", "nchars"))
     u = u.withColumn("bytes", F.when(F.col("start"), 3 * F.col("length") + 40).otherwise(3 * F.col("nchars")).cast("long"))
-    u = written(r.scan(u, so_far=("sum", F.col("bytes"))), "paragraphs")
-    turns = u.where("is_text AND NOT first AND (turned OR top)").select(*key, (F.col("so_far") - F.col("bytes")).alias("at"), (3 * F.col("length") + 40 - F.col("bytes")).alias("more"), "top", "start", F.col("split").isNotNull().alias("mixed"))
+    u = u.withColumns({"so_far": F.sum("bytes").over(order), "starts": F.sum(F.col("start").cast("long")).over(order), "turn": F.col("is_text") & ~F.col("first") & (F.col("turned") | F.col("top"))}).where("turn OR closing")
+    u = written(u.select(*key, "stretch", "closing", "turn", "top", "start", "so_far", "starts", (F.col("so_far") - F.col("bytes")).alias("at"), (3 * F.col("length") + 40 - F.col("bytes")).alias("more"), has("folded").alias("mixed")), "paragraphs")
+    earlier = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = u.where("closing").select(*here, "starts", F.coalesce(F.sum("so_far").over(earlier), F.lit(0)).alias("bytes_before"))
+    turns = u.where("turn").join(sums.select(*here, "bytes_before"), here).select(*key, "stretch", (F.col("at") + F.col("bytes_before")).alias("at"), "more", "top", "start", "mixed")
 
     def chapter(state: list, row) -> tuple | None:
         """state: bytes before the chapter, less what its first unit has more by beginning it."""
@@ -206,23 +249,34 @@ def scanned_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES, par
         if not (row.top or row.at - begin > chapter_bytes):
             return None
         state[:] = [row.at - row.more]
-        return row.doc_id, row.page, row.ord, bool(row.mixed and not row.start)
+        return row.doc_id, row.stretch, row.page, row.ord, bool(row.start), bool(row.mixed and not row.start)
 
-    begins = written(sorted_fold(turns, ["doc_id"], ["page", "ord"], list, chapter, "doc_id long, page int, ord int, within boolean"), "chapters")
+    begins = written(sorted_fold(turns, ["doc_id"], ["page", "ord"], list, chapter, "doc_id long, stretch long, page int, ord int, start boolean, within boolean"), "chapters")
     whole = begins.where("within").select("doc_id").distinct()
-    u = u.join(whole, "doc_id", "left_anti").join(begins.select(*key, F.lit(True).alias("begins")), key, "left")
-    u = u.withColumn("start", F.col("start") | F.coalesce("begins", F.lit(False)))
-    u = r.scan(u.select(*key, "part", "level", "start", "begins", "end", F.col("b.end").alias("b_end")), para=("sum", F.col("start").cast("long")), chapter=("sum", F.coalesce("begins", F.lit(False)).cast("long")))
-    placed = u.select(*key, "part", "level", "start", (F.col("para") - 1).cast("int").alias("para"), F.col("chapter").cast("int").alias("chapter"), "b_end").join(r.rows, [*key, "part"])
-    joined = F.when(F.col("start"), "").when(F.col("b_end").rlike(CJK) | F.left(text, F.lit(1)).rlike(CJK), "").otherwise(" ")
-    small = F.when(F.col("size") <= 0.85 * F.col("body"), " small").otherwise("")
-    classes = F.when(is_text & ~F.col("head"), F.concat(F.when(aligned, F.col("align")).when(either(F.col("indented")), "indent").otherwise("noindent"), small)).otherwise(F.coalesce("align", F.lit("")))
-    kind = F.when(F.col("head"), "h").when(is_text, "p").otherwise(F.col("kind"))
-    at = F.struct("page", "ord")
-    f = F.min_by(F.struct("chapter", kind.alias("kind"), F.col("level").cast("int").alias("level"), "page", classes.alias("classes")), at).alias("f")
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("page", "ord", F.concat(joined, text).alias("piece")))), lambda x: x["piece"])
-    out = placed.groupBy("doc_id", "para").agg(f, F.array_join(pieces, "").alias("text")).select("doc_id", "f.chapter", "para", "f.kind", "f.level", "f.page", "f.classes", "text")
-    return out.unionByName(build_paragraphs(units.join(whole, "doc_id", "left_semi"), chapter_bytes))
+    begun = begins.groupBy(*here).agg(F.collect_list(place).alias("begins"), F.count_if(~F.col("start")).alias("more"))
+    sums = sums.join(begun, here, "left").withColumns({"n": F.col("starts") + F.coalesce("more", F.lit(0)), "c": F.coalesce(F.size("begins"), F.lit(0))})
+    before = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0)).cast("int")
+    at = sums.select(*here, "begins", before("n").alias("para_before"), before("c").alias("chapter_before"), F.last(F.when(F.col("n") > 0, F.col("stretch")), True).over(earlier).alias("home"), F.col("n").cast("int").alias("n"))
+    at = written(at.join(firsts.select(*here, (F.col("f_forced")).alias("sure")), here), "paragraphs")
+
+    def placed(at: DataFrame) -> DataFrame:
+        """The units of these stretches with their paragraphs' numbers, and the piece that each adds to its paragraph's text."""
+        u = started(whole_row.select(*key, "stretch", "forced", "jump", "b_end", "kind", "level", "classes", "text").join(at, here))
+        u = u.withColumn("begin", has("begins")).withColumn("start", F.col("start") | F.col("begin"))
+        joined = F.when(F.col("start"), "").when(F.col("b_end").rlike(CJK) | F.left("text", F.lit(1)).rlike(CJK), "").otherwise(" ")
+        u = u.select(*key, "stretch", "home", "start", "kind", "level", "classes", F.concat(joined, "text").alias("piece"), "para_before", "n", *[(F.sum(F.col(c).cast("int")).over(order) + F.col(f"{k}_before")).cast("int").alias(k) for c, k in (("start", "para"), ("begin", "chapter"))])
+        return u.withColumn("para", F.col("para") - 1)
+
+    pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "ord", "piece"))), lambda x: x["piece"]), "")
+    # what goes on from the stretches before is sent to where its paragraph began
+    on = placed(at.where("NOT sure")).where(F.col("para") < F.col("para_before"))
+    on = on.groupBy(*here, "home").agg(pieces.alias("piece")).groupBy("doc_id", F.col("home").alias("stretch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("stretch").alias("s"), "piece"))), lambda x: x["piece"]), "").alias("on"))
+    first = F.struct("chapter", "kind", "level", "page", "classes")
+    out = placed(at).where(F.col("para") >= F.col("para_before")).groupBy(*here, "para").agg(F.min_by(first, place).alias("f"), pieces.alias("text"), F.max(F.col("para_before") + F.col("n") - 1).alias("last")).join(on, here, "left")
+    out = out.withColumn("text", F.concat("text", F.when(F.col("para") == F.col("last"), F.coalesce("on", F.lit(""))).otherwise(""))).select("doc_id", "f.chapter", "para", "f.kind", "f.level", "f.page", "f.classes", "text")
+    if whole.limit(1).count() == 0:
+        return out
+    return out.join(whole, "doc_id", "left_anti").unionByName(build_paragraphs(units.join(whole, "doc_id", "left_semi"), chapter_bytes))
 
 
 def indent_vote(paragraphs: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ SELECT book AS doc_id, chapter::BIGINT AS chapter, CASE WHEN trim(title) <> '' T
 )
 def converted_documents(spark, sf_dir):
     """Fifty documents in a row as a book, converted from the lines of its pages to an archive: chapters and navigation as they stand there."""
-    units = book_units(spark, sf_dir).drop("ord", "gap")  # the conversion finds both
+    units = book_units(spark, sf_dir).drop("ord")  # the conversion finds it, and the gaps
     name = F.concat(F.lit("Book "), F.col("doc_id").cast("string"))
     books = units.select("doc_id").distinct().select("doc_id", name.alias("title"), F.lit("en").alias("lang"), F.lit(False).alias("vertical"), F.concat(F.lit("urn:"), F.col("doc_id").cast("string")).alias("uid"), F.lit("2020-01-01T00:00:00Z").alias("modified"))
     entries = converted_books(books, units, CAP)

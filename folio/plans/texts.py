@@ -187,10 +187,10 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", "page", "line", "size", F.col("p.x0").alias("x0"), (F.col("p.x0") + F.col("p.w")).alias("x1"), "y0", "y1")
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> int:
-    """Tasks for the pieces of ``_columns``: there is one for each line and for each 20 characters, at most."""
+def _parts(spark: SparkSession, sf_dir: str, width: int = 20) -> int:
+    """Tasks for the pieces of ``_columns``, or others of this width: there is one for each line and for each so many characters, at most."""
     text = F.col("text")
-    most = table(spark, sf_dir, "documents").agg(F.sum(F.length(text) / 20 + F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0]
+    most = table(spark, sf_dir, "documents").agg(F.sum(F.length(text) / width + F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0]
     return parts_for(spark, int(most or 0))
 
 
@@ -272,19 +272,20 @@ def _book_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty documents in a row as a book, their lines as its units; every tenth begins with a heading."""
     c = F.col
     lines = _lines(spark, sf_dir).where("text <> ''")
-    gap = c("y0") - F.lag("y1").over(Window.partitionBy("doc_id", "page").orderBy("line"))
-    lines = lines.withColumn("gap", F.coalesce(gap, F.lit(0.0)))
     head = (c("doc_id") % 10 == 0) & (c("page") == 0) & (c("line") == 0)
     return lines.select(
         F.expr("doc_id div 50").alias("doc_id"), ((c("doc_id") % 50) * 1000 + c("page")).cast("int").alias("page"), c("line").alias("ord"), F.lit("text").alias("kind"), "text", F.length(T.strip(c("text"))).alias("nchars"), "size", F.lit(10.0).alias("body"),
         F.lit(1).alias("n_runs"), head.alias("heading"), F.lit(1).alias("ladder_level"), F.lit(None).cast("int").alias("toc_level"), F.lit(False).alias("has_toc"), c("text").rlike("^[ \t]").alias("indented"), (F.length("text") >= 50).alias("full"),
-        F.lit(None).cast("string").alias("align"), F.lit(False).alias("vertical"), "gap", c("line").alias("tag"), "x0", "y0", "x1", "y1")
+        F.lit(None).cast("string").alias("align"), F.lit(False).alias("vertical"), c("line").alias("tag"), "x0", "y0", "x1", "y1")
 
 
 @query(f"WITH RECURSIVE {_GRID}, {_BOOK_LINES} {_BOOK_PARAGRAPHS}")
 def book_paragraphs(spark, sf_dir):
     """Paragraphs and chapters of at most 30,000 bytes or so, of books that are many tasks each."""
-    return ST.scanned_paragraphs(_book_units(spark, sf_dir), _CAP).select("doc_id", "chapter", "para", "kind", "level", "page", "classes", F.md5("text").alias("digest"))
+    parts = _parts(spark, sf_dir, 60)
+    gap = F.col("y0") - F.lag("y1").over(Window.partitionBy("doc_id", "stretch", "page").orderBy("ord"))
+    units = ST.dealt(_book_units(spark, sf_dir), parts).withColumn("gap", F.coalesce(gap, F.lit(0.0)))
+    return ST.scanned_paragraphs(units, _CAP, parts).select("doc_id", "chapter", "para", "kind", "level", "page", "classes", F.md5("text").alias("digest"))
 
 
 _JOIN = f"""ls AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') AS ls FROM documents)"""

@@ -470,3 +470,17 @@ def test_joins_below_a_page(spark):
         if fits:
             want[p, k] = min(fits)[1]
     assert {(r["page"], r["k"]): r["run"] for r in found} == want
+
+
+def test_texts_of_paragraphs_move_once(spark, capsys):
+    """A paragraph over many stretches of pages, drifting sizes among them; texts lie in buckets, and no exchange is by paragraph."""
+    schema = "doc_id long, page int, ord int, kind string, text string, nchars int, size double, body double, n_runs int, heading boolean, ladder_level int, toc_level int, has_toc boolean, indented boolean, full boolean, align string, vertical boolean, gap double"
+    rows = [(d, p, o, "text", f"w{p}.{o}", 4, 10.0 + (p % 7) * 0.3 * d, 10.0, 1, p == 90 and o == 0, 1, None, False, p == 100, True, None, False, 5.0) for d in (0, 1) for p in range(7 * ST.STRETCH) for o in range(2)]
+    df = spark.createDataFrame(rows, schema)
+    for cap in (700, 10**9):
+        got = ST.scanned_paragraphs(df, cap, parts=5)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ST.build_paragraphs(df, cap).collect()))
+    capsys.readouterr()
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "Bucketed: true" in plan and not any("para#" in line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line)
