@@ -28,7 +28,7 @@ def spread(df: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.parquet(path)
 
 

@@ -30,6 +30,11 @@ def reading_order(units: DataFrame, parts: int | None = None) -> DataFrame:
     pass of windows a round. A piece whose units have a point in common on one axis can only ever be cut on the other, so it is cut
     at all its gaps at once: rounds grow with how deep columns and bands nest, not with lines.
     """
+    return ordered(units, parts).select("doc_id", "page", "tag", "ord")
+
+
+def ordered(units: DataFrame, parts: int | None = None) -> DataFrame:
+    """The units with `ord`, as ``reading_order`` says, dealt by page."""
     piece = ["doc_id", "page", "path"]
     w = Window.partitionBy(*piece)
     low = {a: F.least(a + "0", a + "1") for a in "xy"}
@@ -64,7 +69,7 @@ def reading_order(units: DataFrame, parts: int | None = None) -> DataFrame:
         todo = u.where("on").drop("on")
     out = spread(reduce(DataFrame.unionByName, done), "doc_id", "page", parts=parts)
     by = [F.col("path"), F.when(F.col("vertical"), -F.col("x1")).otherwise(F.col("y0")), F.when(F.col("vertical"), F.col("y0")).otherwise(F.col("x0")), F.col("tag")]
-    return out.select("doc_id", "page", "tag", (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*by)) - 1).alias("ord"))
+    return out.select(*units.columns, (F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*by)) - 1).alias("ord"))
 
 
 def paragraph_breaks(lines: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from folio.plans.base import query, table
 from folio.plans.texts import _BOOK_LINES, _GRID
 from folio.plans.texts import _CAP as CAP
 from folio.plans.texts import _book_units as book_units
+from folio.plans.texts import _parts as line_parts
 from folio.sources.archives import read_archives, write_archives
 
 LINES = 4  # of a chapter
@@ -117,8 +118,8 @@ def converted_documents(spark, sf_dir):
     """Fifty documents in a row as a book, converted from the lines of its pages to an archive: chapters and navigation as they stand there."""
     units = book_units(spark, sf_dir).drop("ord")  # the conversion finds it, and the gaps
     name = F.concat(F.lit("Book "), F.col("doc_id").cast("string"))
-    books = units.select("doc_id").distinct().select("doc_id", name.alias("title"), F.lit("en").alias("lang"), F.lit(False).alias("vertical"), F.concat(F.lit("urn:"), F.col("doc_id").cast("string")).alias("uid"), F.lit("2020-01-01T00:00:00Z").alias("modified"))
-    entries = converted_books(books, units, CAP)
+    books = table(spark, sf_dir, "documents").where(F.replace("text", F.lit("\n"), F.lit("")) != "").select(F.expr("doc_id div 50").alias("doc_id")).distinct().select("doc_id", name.alias("title"), F.lit("en").alias("lang"), F.lit(False).alias("vertical"), F.concat(F.lit("urn:"), F.col("doc_id").cast("string")).alias("uid"), F.lit("2020-01-01T00:00:00Z").alias("modified"))
+    entries = converted_books(books, units, CAP, line_parts(spark, sf_dir, 60))
     folder = new_folder(spark, "converted")
     named = entries.select(F.concat(F.lit("book"), F.col("doc_id").cast("string"), F.lit(".epub")).alias("name"), "ord", F.col("name").alias("entry"), "body", (~F.col("compress")).alias("stored"))
     write_archives(named, folder)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from folio.operators.convert import ordered_units
 from folio.operators.package import merge_chapters, split_chapters
 from folio.sources.archives import _Writer, read_archives, register, write_archives
 
@@ -121,3 +122,16 @@ def test_writing_many_archives_takes_time_in_proportion(tmp_path):
         return time.process_time() - begin
 
     assert seconds(16_000) < 8 * seconds(4_000)
+
+
+def test_texts_move_once_to_where_their_places_are(spark, capsys):
+    """Units and their places meet in one exchange, with whatever columns the units have; a page read in columns, another with nothing."""
+    box = [(40.0, 100.0), (200.0, 260.0)]
+    rows = [(d, p, f"t{k}", f"text {d} {p} {k}", box[k % 2][0], 20.0 * (k // 2), box[k % 2][1], 20.0 * (k // 2) + 10, False, 10.0) for d in range(2) for p in (0, 17) for k in range(6)]
+    units = spark.createDataFrame(rows, "doc_id long, page int, tag string, text string, x0 double, y0 double, x1 double, y1 double, vertical boolean, body double")
+    got = ordered_units(units, 3)
+    seen = {(r["doc_id"], r["page"], r["tag"]): (r["ord"], r["gap"], r["text"]) for r in got.collect()}
+    assert len(seen) == len(rows) and all(seen[d, p, f"t{k}"] == (k // 2 + 3 * (k % 2), {0: 0.0, 1: -50.0}.get(k, 10.0), f"text {d} {p} {k}") for d in range(2) for p in (0, 17) for k in range(6))
+    capsys.readouterr()
+    got.explain()
+    assert not any("tag#" in line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in line)
