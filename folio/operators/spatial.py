@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -95,42 +97,89 @@ def bookmark_units(toc: DataFrame, units: DataFrame) -> DataFrame:
     return past.join(hit, ["doc_id", "idx"], "left").select("doc_id", "idx", F.coalesce("hit", "past", "first").alias("ord"))
 
 
-def clusters(runs: DataFrame) -> DataFrame:
+def clusters(runs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, page, block, run, cluster): runs of a block that stand close, transitively; a cluster is named by its first run.
 
     Two runs are close if they have one direction, overlap across it by 0.3 of the smaller extent, and lie within 2.5 of the
     larger size or overlap along it.
 
-    The runs of a block are swept in order of where they begin: each meets those that begin before it ends, widened by 2.5 of the
-    block's largest size, a bounded number of pairs at a time; what is close is united at once, so nothing but the runs is kept.
+    The blocks of a task are swept together, a batch of whole blocks at a time, in order of where their runs begin: each run meets those
+    of its block that begin before it ends, widened by 2.5 of the block's largest size, a bounded number of pairs at a time; what is
+    close is united at once, so nothing but the runs is kept.
     """
+    by = [*PAGE, "block"]
 
     def group(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by("run")
         run, v, size = (t.column(c).to_numpy() for c in ("run", "vertical", "size"))
         box = np.stack([t.column(c).to_numpy() for c in BOX], 1)
+        new = np.zeros(len(run), bool)  # rows come in order of block and run
+        for k in by:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        block = np.cumsum(new)
         root = np.arange(len(run))
         for vertical in (False, True):
             own = np.flatnonzero(v == vertical)
             f, c = (0, 1) if vertical else (1, 0)  # the axis along the lines' succession, and across it
-            own = own[np.argsort(box[own, f], kind="stable")]
+            own = own[np.lexsort((box[own, f], block[own]))]
             if len(own) > 1:
-                for i, j in swept(box[own, f], box[own, f + 2] + 2.5 * size[own].max()):
+                largest = np.zeros(block[-1] + 1)
+                np.maximum.at(largest, block[own], size[own])
+                for i, j in swept(box[own, f], box[own, f + 2] + 2.5 * largest[block[own]], group=block[own]):
                     i, j = own[i], own[j]
                     lap = lambda a: np.minimum(box[i, a + 2], box[j, a + 2]) - np.maximum(box[i, a], box[j, a])  # noqa: E731, B023
                     cross, along = lap(c), lap(f)
                     least = np.minimum(box[i, c + 2] - box[i, c], box[j, c + 2] - box[j, c])
                     ok = (np.maximum(cross, 0) >= 0.3 * least) & ((along > 0) | (-along <= 2.5 * np.maximum(size[i], size[j])))
                     root = united(root, i[ok], j[ok])
-        keys = [t.column(k) for k in (*PAGE, "block", "run")]
-        return pa.table([*keys, pa.array(run[root], pa.int32())], names=[*PAGE, "block", "run", "cluster"])
-
-    return runs.select(*PAGE, "block", "run", "vertical", "size", *BOX).groupBy(*PAGE, "block").applyInArrow(group, "doc_id long, page int, block int, run int, cluster int")
-
-
-def swept(begin: np.ndarray, end: np.ndarray, pairs: int = 1 << 20):
-    """Pairs (i < j) of intervals, sorted by begin, where j begins before i ends: places i, j, about so many at a time."""
-    last = np.maximum(np.searchsorted(begin, end, side="right"), np.arange(len(begin)) + 1)
+        keys = [t.column(k) for k in (*by, "run")]
+        return pa.table([*keys, pa.array(run[root], pa.int32())], names=[*by, "run", "cluster"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, by):
+            yield from group(t.combine_chunks()).to_batches()
+
+    rows = runs.select(*by, "run", "vertical", "size", *BOX)
+    rows = (rows.repartition(parts, *PAGE) if parts else rows.repartition(*PAGE)).sortWithinPartitions(*by, "run")
+    return rows.mapInArrow(task, "doc_id long, page int, block int, run int, cluster int")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The rows of batches in order of these columns, in tables that hold each group whole: what may go on in the next batch waits for it."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        last = np.ones(t.num_rows, bool)
+        for k in by:
+            x = t.column(k).to_numpy()
+            last &= x == x[-1]
+        begin = int(np.argmax(last))  # of the batch's last group
+        goes_on = bool(held) and all(held[-1].column(k)[-1] == t.column(k)[0] for k in by)
+        if begin or not goes_on:
+            if held or begin:
+                yield pa.concat_tables([*held, t.slice(0, begin)])
+            held = []
+        held.append(t.slice(begin))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def swept(begin: np.ndarray, end: np.ndarray, pairs: int = 1 << 20, group: np.ndarray | None = None):
+    """Pairs (i < j) of intervals (of one group, if there are any), sorted by group and begin, where j begins before i ends: places i, j, about so many at a time."""
+    last = np.arange(len(begin)) + 1
+    at = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if group is not None else [0]
+    if len(at) > 1:  # all groups by halving at once: the first place of the group, from the next on, that begins behind the end
+        stops = np.append(at[1:], len(begin))
+        low, high = last.copy(), np.repeat(stops, stops - at)
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            behind = begin[np.minimum(mid, len(begin) - 1)] > end
+            low, high = np.where(open_ & ~behind, mid + 1, low), np.where(open_ & behind, mid, high)
+        last = low
+    else:
+        last = np.maximum(np.searchsorted(begin, end, side="right"), last)
     count = last - np.arange(len(begin)) - 1
     total = np.cumsum(count)
     first = 0

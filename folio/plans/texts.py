@@ -253,7 +253,7 @@ def grid_clusters(spark, sf_dir):
     from folio.operators.spatial import clusters
 
     run = F.col("line") * 10 + F.round((F.col("x0") - 40) / 125).cast("int")
-    return clusters(_columns(spark, sf_dir).withColumns({"block": F.lit(0), "run": run, "vertical": F.lit(False)}))
+    return clusters(_columns(spark, sf_dir).withColumns({"block": F.lit(0), "run": run, "vertical": F.lit(False)}), _parts(spark, sf_dir))
 
 
 _CAP = 30_000

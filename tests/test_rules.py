@@ -484,3 +484,27 @@ def test_texts_of_paragraphs_move_once(spark, capsys):
     got.explain()
     plan = capsys.readouterr().out
     assert "Bucketed: true" in plan and not any("para#" in line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line)
+
+
+def test_clusters_of_many_blocks_in_one_call(spark, capsys):
+    """Blocks share calls of Python, and one may lie across the batches of a task."""
+    rng, rows = random.Random(12), []
+    for d in range(120):
+        for run in range(rng.choice([1, 3, 40])):
+            x, y = rng.random() * 100, rng.random() * 300
+            rows.append((d % 30, d // 30, d % 2, run, rng.random() < 0.3, 10.0, x, y, x + 20, y + 10))
+    schema = "doc_id long, page int, block int, run int, vertical boolean, size double, x0 double, y0 double, x1 double, y1 double"
+    df = spark.createDataFrame(rows, schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(map(tuple, SP.clusters(df, 2).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for key in {r[:3] for r in rows}:
+        own = [r for r in rows if r[:3] == key]
+        want += map(tuple, SP.clusters(spark.createDataFrame(own, schema), 1).collect()) if len(want) < 300 else []
+    assert len(got) == len(rows) and set(want) <= set(got)
+    capsys.readouterr()
+    SP.clusters(df).explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
