@@ -38,6 +38,8 @@ def replayed_job_flow(spark, sf_dir):
     day = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(low))) / 86_400_000_000 / 5).cast("int")
     slices = e.withColumn("slice", day + (F.col("id") % 13 == 0).cast("int"))
     last = (high - low).days // 5 + 1
+    slices.write.partitionBy("slice").parquet(f"{top}/slices")  # all at once, so that a file's task reads its own rows only
+    slices = spark.read.schema(slices.schema).parquet(f"{top}/slices")
     with_timers(spark)
 
     def run() -> None:

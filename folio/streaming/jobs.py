@@ -58,22 +58,21 @@ class JobFlow(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, id long, kind string")
-        self.job = handle.getValueState("job", "id long, started long, heard long, steps long, refused long")
-        self.alarm = handle.getValueState("alarm", "at long")
+        # one value, as each call is a round trip: what waits, the time of the timer, and the job
+        self.slot = handle.getValueState("slot", "waiting array<struct<ts: long, id: long, kind: string>>, alarm long, job struct<id: long, started: long, heard: long, steps: long, refused: long>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         fresh = [(_micros(r["ts"]), r["id"], r["kind"]) for r in rows]
-        self.waiting.appendList(fresh)
-        self._set(min(r[0] for r in fresh))
+        waiting, alarm, job = self.slot.get() or ((), None, None)
+        alarm = self._set(min(r[0] for r in fresh), alarm)
+        self.slot.update(([*map(tuple, waiting), *fresh], alarm, job and tuple(job)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000  # nothing of this time or before comes any more
-        self.alarm.clear()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        waiting, _, job = self.slot.get() or ((), None, None)
+        rows, job, out = sorted(map(tuple, waiting)), job and list(job), []
         due, rest = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        job, out = (list(self.job.get()) if self.job.exists() else None), []
         for at, id_, kind in due:
             if job and at > job[2] + self.timeout:
                 out.append(self._ended(key, job, job[2] + self.timeout, "timed out"))
@@ -91,21 +90,22 @@ class JobFlow(StatefulProcessor):
         if job and job[2] + self.timeout <= now:
             out.append(self._ended(key, job, job[2] + self.timeout, "timed out"))
             job = None
-        self.job.update(tuple(job)) if job else self.job.clear()
-        self.waiting.put(rest) if rest else self.waiting.clear()
         if rest or job:
-            self._set(min([r[0] for r in rest] + ([job[2] + self.timeout] if job else [])))
+            alarm = self._set(min([r[0] for r in rest] + ([job[2] + self.timeout] if job else [])), None)
+            self.slot.update((rest, alarm, job and tuple(job)))
+        else:
+            self.slot.clear()
         return iter(out)
 
-    def _set(self, at: int) -> None:
-        """The timer at this time, or at the one that is set if that is before."""
+    def _set(self, at: int, have: int | None) -> int:
+        """The time of the timer that is set: this, or the one that is, if that is before."""
         at = -(-at // 1000)
-        have = self.alarm.get()[0] if self.alarm.exists() else None
-        if have is None or at < have:
-            if have is not None:
-                self.handle.deleteTimer(have)
-            self.handle.registerTimer(at)
-            self.alarm.update((at,))
+        if have is not None and have <= at:
+            return have
+        if have is not None:
+            self.handle.deleteTimer(have)
+        self.handle.registerTimer(at)
+        return at
 
     @staticmethod
     def _ended(key, job: list, at: int, status: str) -> Row:

@@ -1,10 +1,10 @@
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from folio.streaming.jobs import ENDS, SCHEMA, job_flow, streamed_job_flow, with_timers
+from folio.streaming.jobs import ENDS, SCHEMA, JobFlow, job_flow, streamed_job_flow, with_timers
 
 BEGIN = datetime(2024, 1, 1)
 EVENTS = "slot long, id long, ts timestamp, kind string"
@@ -79,3 +79,51 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     got = run()
     assert got == jobs(events, 60)
     assert set(before) < set(got) and len(got) > 20
+
+
+def test_a_slot_takes_few_calls_of_the_state():
+    """Each call is a round trip to the engine: rows that come take a look and a write, a timer too, however much there is."""
+    calls, value = [], [None]
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return value[0]
+
+        def update(self, new):
+            calls.append("update")
+            value[0] = new
+
+        def clear(self):
+            calls.append("clear")
+            value[0] = None
+
+    class Handle:
+        def getValueState(self, *args):
+            return State()
+
+        getListState = getValueState
+
+        def registerTimer(self, at):
+            calls.append("register")
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    p = JobFlow(60)
+    p.init(Handle())
+    zone = timezone.utc
+    rows = [{"ts": datetime(1970, 1, 1, 0, 0, s, tzinfo=zone), "id": s, "kind": "request" if s == 5 else "step"} for s in (9, 5, 7, 30)]
+    assert list(p.handleInputRows((3,), iter(rows), Now(0))) == [] and calls == ["get", "register", "update"]
+    calls.clear()
+    assert list(p.handleExpiredTimer((3,), Now(20_000), None)) == [] and calls == ["get", "register", "update"]
+    calls.clear()
+    out = list(p.handleExpiredTimer((3,), Now(100_000), None))
+    assert calls == ["get", "clear"] and [(r["job_id"], r["n_steps"], r["n_refused"], r["status"]) for r in out] == [(5, 3, 0, "timed out")]
