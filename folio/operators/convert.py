@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import escape
 from folio.operators.package import package_entries
-from folio.operators.rounds import written
+from folio.operators.rounds import by_task, written
 from folio.operators.structure import CHAPTER_BYTES, dealt, indent_vote, ordered, paragraph_html, scanned_paragraphs
 
 
@@ -30,7 +30,7 @@ def chapter_markup(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     votes = indent_vote(paragraphs).select("doc_id", "all_indent")
     heading = F.when(F.col("kind") == "h", F.col("text"))  # of its own, so that what wants titles alone moves no texts
     # dealt as the package's own windows and joins need it: texts move once
-    p = paragraphs.select("doc_id", "chapter", "para", "kind", "level", "classes", "text", heading.alias("heading")).repartition("doc_id").join(votes, "doc_id", "left")
+    p = paragraphs.select("doc_id", "chapter", "para", "kind", "level", "classes", "text", heading.alias("heading")).repartition("doc_id").join(by_task(votes), "doc_id", "left")
     none = F.array().cast("array<string>")
     name = F.concat(F.lit("h"), F.col("para").cast("string"))
     html = paragraph_html(
@@ -54,6 +54,6 @@ def converted_books(books: DataFrame, units: DataFrame, chapter_bytes: int = CHA
     paragraphs = written(scanned_paragraphs(ordered_units(units, parts), chapter_bytes, parts), "book-paragraphs")
     chapters, navigation = chapter_markup(paragraphs)
     votes = indent_vote(paragraphs).select("doc_id", "all_indent")
-    books = books.join(votes, "doc_id", "left").withColumn("all_indent", F.coalesce("all_indent", F.lit(False)))
+    books = books.join(by_task(votes), "doc_id", "left").withColumn("all_indent", F.coalesce("all_indent", F.lit(False)))
     images = books.sparkSession.createDataFrame([], "doc_id long, k int, name string, bytes binary")
     return package_entries(books, chapters, images, navigation=navigation)

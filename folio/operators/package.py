@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import escape
+from folio.operators.rounds import by_task
 from folio.operators.structure import nested_levels
 
 # Font obfuscation, which leaves a book readable; the root file's place.
@@ -250,9 +251,9 @@ def package_entries(books: DataFrame, chapters: DataFrame, images: DataFrame, co
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     author = F.col("author") if "author" in books.columns else F.lit(None).cast("string")
     books = books.select("doc_id", F.coalesce("title", F.lit("")).alias("book"), F.when(blank(F.col("lang")), "en").otherwise(F.col("lang")).alias("lang"), "vertical", "all_indent", "uid", "modified", author.alias("author"))
-    empty = books.join(chapters, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("chapter"), F.lit(None).cast("string").alias("title"), F.lit("").alias("html"))
+    empty = books.join(by_task(chapters.select("doc_id")), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("chapter"), F.lit(None).cast("string").alias("title"), F.lit("").alias("html"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chapter"))
-    parts = chapters.select("doc_id", "chapter", "title", "html").unionByName(empty).join(books.select("doc_id", "book", "lang"), "doc_id").withColumn("place", place)
+    parts = chapters.select("doc_id", "chapter", "title", "html").unionByName(empty).join(by_task(books.select("doc_id", "book", "lang")), "doc_id").withColumn("place", place)
     parts = parts.withColumn("title", F.when(~blank(F.col("title")), F.col("title")).when(F.col("place") == 1, F.col("book")).otherwise(F.concat(F.lit("Section "), F.col("place").cast("string"))))
     parts = parts.withColumn("file", F.format_string("text/chapter%04d.xhtml", "chapter"))
     section = F.concat(F.lit('<section epub:type="chapter">\n'), F.coalesce("html", F.lit("")), F.lit("\n</section>"))
@@ -260,7 +261,7 @@ def package_entries(books: DataFrame, chapters: DataFrame, images: DataFrame, co
     seen = images.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "name"))).alias("shown"))
     named = ("level", "nested", "title", "href")
     marks = nested_levels(navigation).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", *named))), lambda e: F.struct(*[e[n].alias(n) for n in named])).alias("marks"))
-    top = books.join(listed, "doc_id").join(seen, "doc_id", "left").join(marks, "doc_id", "left").join(covers.select("doc_id", F.col("name").alias("cover")), "doc_id", "left")
+    top = books.join(by_task(listed), "doc_id").join(by_task(seen), "doc_id", "left").join(by_task(marks), "doc_id", "left").join(covers.select("doc_id", F.col("name").alias("cover")), "doc_id", "left")
     plain = F.transform("cs", lambda c: F.struct(F.lit(1).alias("level"), F.lit(1).alias("nested"), c["title"].alias("title"), c["file"].alias("href")))
     top = top.withColumn("nav", F.coalesce("marks", plain))
     heading = F.concat(F.lit('<nav epub:type="toc" id="toc"><h1>'), escape(F.col("book")), F.lit("</h1>\n"), navigation_list(F.col("nav")), F.lit("\n</nav>"))

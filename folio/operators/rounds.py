@@ -26,6 +26,12 @@ def spread(df: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
     return df.repartition(parts or parts_for(df.sparkSession, df.count()), *by)
 
 
+def by_task(df: DataFrame) -> DataFrame:
+    """df as the side of a join that tasks hold, each its part. A table of a row a stretch or a document takes a byte or so a row in its files,
+    so Spark holds it to be small at sizes at which its rows, sent whole by way of the driver, are not."""
+    return df.hint("shuffle_hash")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path, compression="zstd")

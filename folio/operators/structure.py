@@ -15,7 +15,7 @@ from folio.functions.text import CJK_OPENERS, CJK_TERMINAL, escape, strip
 from folio.operators.folds import sorted_fold
 from folio.operators.layout import is_ink
 from folio.operators.ranges import Ranges, either
-from folio.operators.rounds import bucketed, parts_for, spread, written
+from folio.operators.rounds import bucketed, by_task, parts_for, spread, written
 
 CHAPTER_BYTES = 250_000
 STRETCH = 16  # pages
@@ -214,14 +214,14 @@ def scanned_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES, par
     ends = rows.where("opening OR closing").select(*key, "stretch", "opening", *[c for c in facts if c != "page"], "top", "own_start", "near", "opens")
     ends = held(ends, Window.partitionBy("doc_id").orderBy("page", "ord")).where("opening")
     firsts = written(ends.select(*here, *[F.col(c).alias(f"f_{c}") for c in said], F.col("b").isNull().alias("first")), "paragraphs")
-    whole_row = rows.join(firsts, here).withColumns({c: F.when(F.col("opening"), F.col(f"f_{c}")).otherwise(F.col(c)) for c in said}).withColumn("first", F.col("opening") & F.col("first")).drop(*[f"f_{c}" for c in said])
+    whole_row = rows.join(by_task(firsts), here).withColumns({c: F.when(F.col("opening"), F.col(f"f_{c}")).otherwise(F.col(c)) for c in said}).withColumn("first", F.col("opening") & F.col("first")).drop(*[f"f_{c}" for c in said])
 
     # runs in which sizes drift, or that may part after a blank unit
     doubted = rows.where("NOT opening AND (drift OR unsure)").select("doc_id").union(firsts.where("f_drift OR f_unsure").select("doc_id")).distinct()
     runs = whole_row.join(doubted, "doc_id", "left_semi").select(*key, "stretch", "size", "solid", "forced", "jump", "drift", "unsure")
     runs = runs.withColumn("run", F.last(F.when(F.col("forced"), F.struct("page", "ord")), True).over(order))
     carried = runs.groupBy(*here).agg(F.max("run").alias("run")).select(*here, F.last("run", True).over(Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    runs = runs.join(carried, here).withColumn("run", F.coalesce("run", "carried")).select(*key, "stretch", F.col("run.page").alias("run_page"), F.col("run.ord").alias("run_ord"), "size", "solid", "jump", "drift", "unsure")
+    runs = runs.join(by_task(carried), here).withColumn("run", F.coalesce("run", "carried")).select(*key, "stretch", F.col("run.page").alias("run_page"), F.col("run.ord").alias("run_ord"), "size", "solid", "jump", "drift", "unsure")
     run = ["doc_id", "run_page", "run_ord"]
     over = Window.partitionBy(*run)
     mixed = runs.withColumn("mixed", F.max("unsure").over(over) | (F.max("drift").over(over) & (F.max("size").over(over) - F.min("size").over(over) > 0.15 * F.max("size").over(over) - 1e-9))).where("mixed").drop("mixed")
@@ -237,7 +237,7 @@ def scanned_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES, par
     of = lambda df, name: df.groupBy(*here).agg(F.collect_list(place).alias(name))
     has = lambda name: either(F.array_contains(name, place))
     folds = folded.groupBy(*here).agg(F.collect_list(F.when(F.col("split") != F.col("jump"), place)).alias("other"), F.collect_list(place).alias("folded"))
-    started = lambda df: df.join(folds, here, "left").withColumn("start", F.col("forced") | (F.col("jump") != has("other")))
+    started = lambda df: df.join(by_task(folds), here, "left").withColumn("start", F.col("forced") | (F.col("jump") != has("other")))
 
     # bytes and starts so far in each stretch, where pages turn or a heading stands, and at its end
     u = started(whole_row.select(*key, "stretch", "forced", "jump", "turned", "top", "is_text", "first", "closing", "length", "nchars"))
@@ -246,7 +246,7 @@ def scanned_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES, par
     u = written(u.select(*key, "stretch", "closing", "turn", "top", "start", "so_far", "starts", (F.col("so_far") - F.col("bytes")).alias("at"), (3 * F.col("length") + 40 - F.col("bytes")).alias("more"), has("folded").alias("mixed")), "paragraphs")
     earlier = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = u.where("closing").select(*here, "starts", F.coalesce(F.sum("so_far").over(earlier), F.lit(0)).alias("bytes_before"))
-    turns = u.where("turn").join(sums.select(*here, "bytes_before"), here).select(*key, "stretch", (F.col("at") + F.col("bytes_before")).alias("at"), "more", "top", "start", "mixed")
+    turns = u.where("turn").join(by_task(sums.select(*here, "bytes_before")), here).select(*key, "stretch", (F.col("at") + F.col("bytes_before")).alias("at"), "more", "top", "start", "mixed")
 
     def chapter(state: list, row) -> tuple | None:
         """state: bytes before the chapter, less what its first unit has more by beginning it."""
@@ -259,14 +259,14 @@ def scanned_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES, par
     begins = written(sorted_fold(turns, ["doc_id"], ["page", "ord"], list, chapter, "doc_id long, stretch long, page int, ord int, start boolean, within boolean"), "chapters")
     whole = begins.where("within").select("doc_id").distinct()
     begun = begins.groupBy(*here).agg(F.collect_list(place).alias("begins"), F.count_if(~F.col("start")).alias("more"))
-    sums = sums.join(begun, here, "left").withColumns({"n": F.col("starts") + F.coalesce("more", F.lit(0)), "c": F.coalesce(F.size("begins"), F.lit(0))})
+    sums = sums.join(by_task(begun), here, "left").withColumns({"n": F.col("starts") + F.coalesce("more", F.lit(0)), "c": F.coalesce(F.size("begins"), F.lit(0))})
     before = lambda x: F.coalesce(F.sum(x).over(earlier), F.lit(0)).cast("int")
     at = sums.select(*here, "begins", before("n").alias("para_before"), before("c").alias("chapter_before"), F.last(F.when(F.col("n") > 0, F.col("stretch")), True).over(earlier).alias("home"), F.col("n").cast("int").alias("n"))
-    at = written(at.join(firsts.select(*here, (F.col("f_forced")).alias("sure")), here), "paragraphs")
+    at = written(at.join(by_task(firsts.select(*here, (F.col("f_forced")).alias("sure"))), here), "paragraphs")
 
     def placed(at: DataFrame) -> DataFrame:
         """The units of these stretches with their paragraphs' numbers, and the piece that each adds to its paragraph's text."""
-        u = started(whole_row.select(*key, "stretch", "forced", "jump", "b_end", "kind", "level", "classes", "text").join(at, here))
+        u = started(whole_row.select(*key, "stretch", "forced", "jump", "b_end", "kind", "level", "classes", "text").join(by_task(at), here))
         u = u.withColumn("begin", has("begins")).withColumn("start", F.col("start") | F.col("begin"))
         joined = F.when(F.col("start"), "").when(F.col("b_end").rlike(CJK) | F.left("text", F.lit(1)).rlike(CJK), "").otherwise(" ")
         u = u.select(*key, "stretch", "home", "start", "kind", "level", "classes", F.concat(joined, "text").alias("piece"), "para_before", "n", *[(F.sum(F.col(c).cast("int")).over(order) + F.col(f"{k}_before")).cast("int").alias(k) for c, k in (("start", "para"), ("begin", "chapter"))])
@@ -277,7 +277,7 @@ def scanned_paragraphs(units: DataFrame, chapter_bytes: int = CHAPTER_BYTES, par
     on = placed(at.where("NOT sure")).where(F.col("para") < F.col("para_before"))
     on = on.groupBy(*here, "home").agg(pieces.alias("piece")).groupBy("doc_id", F.col("home").alias("stretch")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("stretch").alias("s"), "piece"))), lambda x: x["piece"]), "").alias("on"))
     first = F.struct("chapter", "kind", "level", "page", "classes")
-    out = placed(at).where(F.col("para") >= F.col("para_before")).groupBy(*here, "para").agg(F.min_by(first, place).alias("f"), pieces.alias("text"), F.max(F.col("para_before") + F.col("n") - 1).alias("last")).join(on, here, "left")
+    out = placed(at).where(F.col("para") >= F.col("para_before")).groupBy(*here, "para").agg(F.min_by(first, place).alias("f"), pieces.alias("text"), F.max(F.col("para_before") + F.col("n") - 1).alias("last")).join(by_task(on), here, "left")
     out = out.withColumn("text", F.concat("text", F.when(F.col("para") == F.col("last"), F.coalesce("on", F.lit(""))).otherwise(""))).select("doc_id", "f.chapter", "para", "f.kind", "f.level", "f.page", "f.classes", "text")
     if whole.limit(1).count() == 0:
         return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import package as P
 from folio.operators.convert import converted_books
-from folio.operators.rounds import new_folder
+from folio.operators.rounds import by_task, new_folder
 from folio.operators.structure import nested_levels
 from folio.plans.base import query, table
 from folio.plans.texts import _BOOK_LINES, _GRID
@@ -131,4 +131,4 @@ def converted_documents(spark, sf_dir):
     part = lambda k: F.regexp_extract("mark", r'(?s)^text/chapter(\d+)\.xhtml#h(\d+)">(.*)$', k)
     marks = marks.select("doc_id", part(1).try_cast("long").alias("chapter"), part(2).try_cast("int").alias("para"), F.concat(part(2), F.lit(":"), part(3)).alias("mark"))
     listed = marks.groupBy("doc_id", "chapter").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para", "mark"))), lambda x: x["mark"]), "|").alias("marks"))
-    return chapters.join(listed, ["doc_id", "chapter"], "left").select("doc_id", "chapter", "title", "digest", F.md5(F.coalesce("marks", F.lit(""))).alias("marks"))
+    return chapters.join(by_task(listed), ["doc_id", "chapter"], "left").select("doc_id", "chapter", "title", "digest", F.md5(F.coalesce("marks", F.lit(""))).alias("marks"))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from folio.operators.convert import ordered_units
+from folio.operators import convert, structure
+from folio.operators.convert import converted_books, ordered_units
 from folio.operators.package import merge_chapters, split_chapters
 from folio.sources.archives import _Writer, read_archives, register, write_archives
 
@@ -135,3 +136,30 @@ def test_texts_move_once_to_where_their_places_are(spark, capsys):
     capsys.readouterr()
     got.explain()
     assert not any("tag#" in line for line in capsys.readouterr().out.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_rows_of_stretches_and_books_are_not_sent_whole(spark, monkeypatch, capsys):
+    """Their files are small at any size, their rows aren't: no step of the conversion makes a broadcast of them."""
+    rows = [(d, p, f"t{k}", "text", f"Text {d} {p} {k}.", 12, 10.0, 10.0, 1, k == 0 and p == 0, 1, None, False, k == 1, True, None, False, 40.0, 20.0 * k, 200.0, 20.0 * k + 10) for d in range(3) for p in range(0, 80, 8) for k in range(4)]
+    units = spark.createDataFrame(
+        rows, "doc_id long, page int, tag string, kind string, text string, nchars int, size double, body double, n_runs int, heading boolean, ladder_level int, toc_level int, has_toc boolean, indented boolean, full boolean, align string, vertical boolean, x0 double, y0 double, x1 double, y1 double")
+    books = spark.range(3).selectExpr("id AS doc_id", "'Book ' || id AS title", "'en' AS lang", "false AS vertical", "'u' AS uid", "'2020-01-01T00:00:00Z' AS modified")
+    written, plans = structure.written, []
+
+    def seen(df, name):
+        capsys.readouterr()
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return written(df, name)
+
+    monkeypatch.setattr(structure, "written", seen)
+    monkeypatch.setattr(convert, "written", seen)
+    entries = converted_books(books, units, parts=4)
+    got = {(r["doc_id"], r["name"]) for r in entries.collect()}
+    assert {(d, "OEBPS/text/chapter0000.xhtml") for d in range(3)} <= got
+    entries.select("body").explain()
+    plans.append(capsys.readouterr().out)
+    assert len(plans) > 5
+    # ids alone of books to fold again, and what has no rows, may be sent
+    sent = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and "LeftSemi" not in line and "LeftAnti" not in line]
+    assert not [line for line in sent if "stretch" in line] and len(sent) <= 2, sent
