@@ -44,7 +44,7 @@ def library(spark: SparkSession, sf_dir: str) -> str:
     """A new folder of these books."""
     folder = new_folder(spark, "library")
     named = packages(spark, sf_dir).select(F.concat(F.lit("book"), F.col("doc_id").cast("string"), F.lit(".epub")).alias("name"), "ord", F.col("name").alias("entry"), "body", (~F.col("compress")).alias("stored"))
-    write_archives(named, folder)
+    write_archives(named, folder, folders=True)
     return folder
 
 
@@ -122,7 +122,7 @@ def converted_documents(spark, sf_dir):
     entries = converted_books(books, units, CAP, line_parts(spark, sf_dir, 60))
     folder = new_folder(spark, "converted")
     named = entries.select(F.concat(F.lit("book"), F.col("doc_id").cast("string"), F.lit(".epub")).alias("name"), "ord", F.col("name").alias("entry"), "body", (~F.col("compress")).alias("stored"))
-    write_archives(named, folder)
+    write_archives(named, folder, folders=True)
     entries = lambda wanted: read_archives(spark, folder, "name string, entry string, body binary", entry=wanted)
     text = F.decode("body", "UTF-8")
     chapters = entries("OEBPS/text/*").select(_number(), F.regexp_extract("entry", r"(\d+)\.xhtml$", 1).try_cast("long").alias("chapter"), F.regexp_extract(text, "(?s)<title>(.*?)</title>", 1).alias("title"), F.md5(F.regexp_extract(text, r'(?s)<section epub:type="chapter">\n(.*)\n</section>', 1)).alias("digest"))

@@ -1,5 +1,6 @@
 import io
 import os
+import pickle
 import time
 import zipfile
 
@@ -11,7 +12,8 @@ from pyspark.sql.types import StructType
 from folio.operators import convert, structure
 from folio.operators.convert import converted_books, ordered_units
 from folio.operators.package import merge_chapters, split_chapters
-from folio.sources.archives import _Writer, read_archives, register, write_archives
+from folio.sources import archives
+from folio.sources.archives import _Reader, _Writer, read_archives, register, write_archives
 
 
 WRITTEN = StructType().add("name", "string").add("entry", "string").add("body", "binary").add("stored", "boolean")
@@ -163,3 +165,54 @@ def test_rows_of_stretches_and_books_are_not_sent_whole(spark, monkeypatch, caps
     # ids alone of books to fold again, and what has no rows, may be sent
     sent = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and "LeftSemi" not in line and "LeftAnti" not in line]
     assert not [line for line in sent if "stretch" in line] and len(sent) <= 2, sent
+
+
+def test_archives_in_folders(spark, entries, tmp_path):
+    """They come back as flat ones do; conditions on names hold; what has not committed or was overwritten isn't there."""
+    write_archives(entries, str(tmp_path), folders=True)
+    (job,) = os.listdir(tmp_path)
+    (tmp_path / job / "left-by-a-failed-attempt").mkdir()
+    (tmp_path / "_job-open" / "a" / "0").mkdir(parents=True)
+    (tmp_path / "_job-open" / "a" / "0" / "no.epub").write_bytes(b"")
+    (tmp_path / "flat.epub").write_bytes(b"no archive")
+    got = read_archives(spark, f"file://{tmp_path}")
+    assert sorted(map(tuple, got.where("error IS NULL").select("name", "ord", "entry", "body").collect())) == sorted(map(tuple, entries.select("name", "ord", "entry", "body").collect()))
+    assert [r["name"] for r in got.where("error IS NOT NULL").collect()] == ["flat.epub"]
+    some = read_archives(spark, str(tmp_path), name=["b1.epub", "b2.epub"], entry="e1*")
+    assert sorted((r["name"], r["entry"], len(r["body"])) for r in some.collect()) == [("b1.epub", "e1.txt", 200), ("b2.epub", "e1.txt", 200)]
+    more = entries.withColumn("name", F.concat(F.lit("new-"), "name"))
+    write_archives(more, str(tmp_path), folders=True)
+    assert read_archives(spark, str(tmp_path), "name string, entry string").where("entry IS NOT NULL").count() == 80
+    more.repartition("name").sortWithinPartitions("name").select("name", "entry", "body").write.format("archives").option("folders", True).mode("overwrite").save(str(tmp_path))
+    assert {r["name"] for r in read_archives(spark, str(tmp_path), "name string").collect()} == {f"new-b{i}.epub" for i in range(10)}
+
+
+def test_failed_jobs_of_folders(spark, entries, tmp_path):
+    bad = entries.withColumn("name", F.when(F.col("name") == "b7.epub", F.expr("raise_error('boom')")).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="boom"):
+        write_archives(bad, str(tmp_path), folders=True)
+    assert os.listdir(tmp_path) == []
+    with pytest.raises(Exception, match="don't lie together"):
+        entries.repartition(4, "ord").select("name", "entry", "body").write.format("archives").option("folders", True).mode("append").save(str(tmp_path))
+    assert os.listdir(tmp_path) == []
+    write_archives(entries.where("false"), str(tmp_path), folders=True)
+    assert read_archives(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("held", [1 << 21, 100])
+def test_what_the_driver_has_of_archives_grows_with_their_folders(tmp_path, monkeypatch, held):
+    monkeypatch.setattr(archives, "HELD", held)
+    monkeypatch.setattr(archives, "FOLDER_ARCHIVES", 500)
+    w = _Writer(str(tmp_path), WRITTEN, False, True)
+    batch = lambda low, high: pa.RecordBatch.from_pydict({"name": [f"b{i}" for i in range(low, high)], "entry": ["e"] * (high - low), "body": [b"x"] * (high - low), "stored": [True] * (high - low)})
+    messages = [w.write(iter([batch(k * 1000, k * 1000 + 1000)])) for k in range(4)]
+    assert max(len(pickle.dumps(m)) for m in messages) < 1000
+    w.commit([*messages, None])
+    r = _Reader(str(tmp_path), StructType().add("name", "string"), 1 << 40, [])
+    (part,) = r.partitions()
+    assert len(part.folders) == 8 and len(pickle.dumps(part)) < 2000
+    assert sorted(n for b in r.read(part) for n in b.column(0).to_pylist()) == sorted(f"b{i}" for i in range(4000))
+    again = _Writer(str(tmp_path / "other"), WRITTEN, False, True)
+    with pytest.raises(ValueError, match="don't lie together"):
+        again.commit([again.write(iter([batch(0, 1000)])), again.write(iter([batch(999, 1500)]))])
+    assert not os.listdir(tmp_path / "other")
